@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, topk, urltree, warc
+from . import bpe, decontam, htmltext, quality, repeats, secrets, simhash, topk, urltree, warc
 from .sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,18 +23,40 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, with their perplexity and their language's threshold."""
+    out = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep_text=False)
+    return out.where("verdict.keep").select("doc_id", "lang", F.exp("verdict.log_ppl").alias("perplexity"), F.exp("verdict.threshold").alias("threshold"))
+
+
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -44,6 +66,9 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_kdtree_topk, op5_warc_dictionary, op7_trie_bpe, op9_url_templates, op10_covering_simhash)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_html_text, op2_qgram_decontamination, op3_kdtree_topk, op4_forest_secrets, op5_warc_dictionary, op6_suffix_repeats, op7_trie_bpe, op8_kneser_ney_quality, op9_url_templates, op10_covering_simhash)
+}
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "table", "vocabulary"]

@@ -6,11 +6,15 @@ whose vector has odd inner product with v.  Any r differing positions span at mo
 so some v is orthogonal to all of them and the two fingerprints agree on that table's key: every
 pair within the radius collides in some table, with no chance involved.
 
-Inside a bucket no pairs are listed.  Two fingerprints at distance 1 or 2 share a "midpoint" at
-distance at most 1 from both, which differs from them only in positions the table leaves free; so
-each bucket member names itself and its one-bit neighbours in free positions, and members that
-name the same point (65 at most) are linked in a star.  Components come from alternating
-large-star and small-star rounds, each written to the shared folder.
+Buckets of a few fingerprints are compared directly.  Larger ones list no pairs: two fingerprints
+at distance 1 or 2 share a "midpoint" at distance at most 1 from both, which differs from them
+only in positions the table leaves free; so each bucket member names itself and its one-bit
+neighbours in free positions, and members that name the same point (65 at most) are linked in a
+star.  Components come from alternating large-star and small-star rounds, each written to the
+shared folder.
+
+Near duplicates by 5-word shingles need more than one fingerprint to be found: for them several
+independent fingerprints of word pairs propose links, and exact Jaccard similarity decides.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ from .common import materialize, remove
 
 SEED = 42
 RADIUS = 2
+#: Buckets up to this size are compared directly.
+FEW = 12
+#: Fingerprints that propose near copies by 5-word shingles.
+FAMILY = 12
 #: Words hashed at a time, so that a text of any length needs bounded memory.
 BLOCK_WORDS = 50_000
 
@@ -34,36 +42,49 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def simhash(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash: A-Z lower-cased, words split at ASCII white space, a shingle's
-    XXH64 with seed 42, repeats included; fewer words than a shingle: the whole sequence; none: 0.
-    """
+def _spread(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of independent hashes from one; the 0th is the hash itself."""
+    if k == 0:
+        return h
+    h = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_hashes(text: str | None, shingle: int):
+    """XXH64 (seed 42) of the word shingles, repeats included, in blocks: A-Z lower-cased, words
+    split at ASCII white space; fewer words than a shingle: the whole sequence; none: nothing."""
     import xxhash
 
     words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, dtype=np.int64)
+    n = max(1, len(words) - shingle + 1) if words else 0
     for lo in range(0, n, BLOCK_WORDS):
         part = words[lo : min(lo + BLOCK_WORDS, n) + shingle - 1]
-        grams = [b" ".join(part)] if len(part) < shingle else [b" ".join(g) for g in zip(*(part[i:] for i in range(shingle)))]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=">u8", count=len(grams))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > n)
-    return int.from_bytes(bits.tobytes(), "big")
+        grams = [b" ".join(part)] if len(part) < shingle else [b" ".join(g) for g in zip(*(part[i:] for i in range(shingle)), strict=False)]
+        yield np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=len(grams))
+
 
+def simhash(text: str | None, shingle: int = 3, family: int = 1) -> list[int]:
+    """Unsigned 64-bit SimHashes of a text, one for each hash of the family; no words: 0."""
+    n, ones = 0, np.zeros((family, 64), dtype=np.int64)
+    for h in shingle_hashes(text, shingle):
+        n += len(h)
+        for k in range(family):
+            ones[k] += np.unpackbits(_spread(h, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(row * 2 > n).tobytes(), "big") for row in ones]
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per input row; fp is the SimHash as a signed long."""
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, family: int = 1) -> DataFrame:
+    """(doc_id, fps): one row per input row; fps are its SimHashes as signed longs."""
 
     def run(batches):
         for b in batches:
-            fp = [_signed(simhash(t.as_py(), shingle)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            fps = [[_signed(x) for x in simhash(t.as_py(), shingle, family)] for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fps"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return src.mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -73,17 +94,22 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
 
 
 def star_links(points: DataFrame) -> DataFrame:
-    """(u, v), u > v: links between distinct fingerprints (column fp) whose transitive closure
-    joins exactly those connected by steps of 2 differing bits or fewer."""
+    """(family, u, v), u > v: links between the distinct fingerprints (columns family, fp), whose
+    transitive closure joins exactly those connected by steps of 2 differing bits or fewer."""
     masks = covering_masks()
-    keys = points.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("fp", "k.table", "k.key")
-    shared = keys.groupBy("table", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("table", "key")
-    inside = keys.join(shared, ["table", "key"]).select("fp", "table")
+    tables = F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
+    keys = points.select("family", "fp", F.explode(tables).alias("k")).select("family", "fp", "k.table", "k.key")
+    bucket = ["family", "table", "key"]
+    shared = keys.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    inside = keys.join(shared, bucket)
+    few = inside.where(F.col("n") <= FEW).groupBy(*bucket).agg(F.collect_list("fp").alias("fps"))
+    near = F.filter(F.flatten(F.transform("fps", lambda u: F.transform("fps", lambda v: F.struct(u.alias("u"), v.alias("v"))))), lambda p: (p.u > p.v) & (F.bit_count(p.u.bitwiseXOR(p.v)) <= RADIUS))
+    direct = few.select("family", F.explode(near).alias("p")).select("family", "p.u", "p.v")
     free = F.element_at(F.array(*[F.array(F.lit(0), *[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks]), F.col("table") + 1)
-    named = inside.select("fp", F.explode(free).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    stars = named.groupBy("point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    low = stars.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u"))
-    return low.where("u > v").select("u", "v").distinct()
+    named = inside.where(F.col("n") > FEW).select("family", "fp", F.explode(free).alias("flip")).select("family", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+    stars = named.groupBy("family", "point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    low = stars.select("family", F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u > v").select("family", "u", "v")
+    return direct.union(low).distinct()
 
 
 def components(edges: DataFrame, tag: str = "components") -> tuple[DataFrame, str | None]:
@@ -116,11 +142,59 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Repeated rows are repeated in the result.  Other columns of the input are ignored.  An empty
     table gives an empty result.
     """
-    marked, _ = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    points, points_path = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-points")
-    roots, _ = components(star_links(points))
+    marked, _ = materialize(fingerprints(docs, id_col, text_col, shingle).select("doc_id", F.col("fps")[0].alias("fp")), "simhash")
+    points, _ = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-points")
+    roots, _ = components(star_links(points.select(F.lit(0).alias("family"), "fp")).select("u", "v"))
     owner = points.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # A root's smallest id is aggregated first and joined back, so a huge component is never one group.
     first = owner.groupBy("root").agg(F.min("first_id").alias("component_id"))
     table = owner.join(first, "root").select("fp", "component_id")
     return marked.join(table, "fp").select("doc_id", "fp", "component_id")
+
+
+def jaccard(a: str | None, b: str | None, shingle: int) -> float:
+    """Jaccard similarity of the sets of word shingles."""
+    x, y = (np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, family: int = FAMILY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but the smallest id of each group of near copies, with their columns.
+
+    Groups are connected by exact copies and by pairs whose sets of 5-word shingles have a Jaccard
+    similarity of 0.8 or more; the pairs compared are those that one of `family` SimHashes of word
+    pairs brings within 2 bits of a common fingerprint.  Rows that repeat an id and text are one
+    document and all stay.  Documents with null ids go only as exact copies of another one; null
+    and empty texts are exact copies of one another.
+    """
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    place = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    firsts = src.select(F.sha2("text", 256).alias("sha"), place.alias("place")).groupBy("sha").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    firsts, _ = materialize(firsts.where("n > 1").select("sha", "first"), "exact")
+    digest, own = [f"_{c}" for c in ("sha", "first")], docs.columns
+    while set(digest) & set(own):
+        digest = [f"{c}_" for c in digest]
+    held = docs.withColumn(digest[0], F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)).join(firsts.toDF(*digest), digest[0], "left")
+    held = held.where(F.col(digest[1]).isNull() | (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)) <= F.col(digest[1]))).select(*[F.col(f"`{c}`") for c in own])
+    distinct, _ = materialize(held, "distinct")
+    marked, _ = materialize(fingerprints(distinct.where(F.col(id_col).isNotNull()), id_col, text_col, 2, family).select("doc_id", F.posexplode("fps").alias("family", "fp")), "family")
+    points, _ = materialize(marked.groupBy("family", "fp").agg(F.min("doc_id").alias("first_id")), "family-points")
+    links = star_links(points.select("family", "fp"))
+    to = lambda c, name: points.select("family", F.col("fp").alias(c), F.col("first_id").alias(name))
+    across = links.join(to("u", "a"), ["family", "u"]).join(to("v", "b"), ["family", "v"]).select("a", "b")
+    within = marked.join(points, ["family", "fp"]).where("doc_id > first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
+    pairs, _ = materialize(across.union(within).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    text = distinct.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    wanted = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
+    text = text.join(wanted, "i", "left_semi")
+
+    def verify(batches):
+        for b in batches:
+            ok = [jaccard(x.as_py(), y.as_py(), shingle) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    roots, _ = components(both.mapInArrow(verify, "u long, v long").distinct(), "near")
+    gone = roots.select(F.col("u").alias("gone"))
+    return distinct.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("gone"), "left_anti")
