@@ -1,6 +1,6 @@
 """Removal of repeated passages by maximal repeats of sharded enhanced suffix arrays.
 
-A string of MIN_BYTES bytes is dealt to a shard by the smallest hash of its 16-byte substrings, so
+A string of MIN_BYTES bytes is dealt to a shard by the smallest hash of its 24-byte substrings, so
 equal strings meet wherever they stand, and neighbouring strings with the same smallest hash
 travel as one fragment.  Each shard sorts the suffixes of its fragments, scans the common-prefix
 lengths with a stack into the intervals of the common-prefix tree, and keeps those intervals of
@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-MIN_BYTES, GRAM = 50, 16
+MIN_BYTES, GRAM = 50, 24
 #: Raw bytes of a chunk; anchors and text bytes that a shard is planned for.
-CHUNK_BYTES, SHARD_ANCHORS, SHARD_BYTES = 4 << 20, 1 << 20, 4 << 20
-#: Windows of a fragment; documents from which an anchor's strings are dealt one by one.
-MAX_WINDOWS, HOT_DOCS = 64, 2000
+CHUNK_BYTES, SHARD_ANCHORS, SHARD_BYTES = 2 << 20, 1 << 20, 3 << 19
+#: Windows of a fragment (so that two strings hold all its bytes); documents from which an anchor's strings are dealt one by one.
+MAX_WINDOWS, HOT_DOCS = 50, 2000
 #: The document number of a null id: after all others.
 LAST = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -47,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def window_anchors(data: np.ndarray) -> np.ndarray:
     """For each start of a MIN_BYTES window the smallest hash of its GRAM-byte substrings."""
     h = data.astype(np.uint64) + np.uint64(1)
-    for step in (1, 2, 4, 8):
+    for step in (1, 2, 4, 8, GRAM - 16):
         h = h[:-step] * np.uint64(pow(0x9E3779B97F4A7C15, step, 1 << 64)) + h[step:]
     h = mix(h)
     left = MIN_BYTES - GRAM + 1  # 35 substrings
@@ -99,31 +98,33 @@ class Chunk:
         return np.searchsorted(self.starts, at, "right") - 1
 
 
-def maximal_repeats(suffix: list[bytes] | np.ndarray, size: np.ndarray, left: np.ndarray, owner: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(length, suffix numbers, smallest owner) of every maximal repeat of `least` bytes or more.
+def maximal_repeats(suffix: np.ndarray, size: np.ndarray, left: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, groups): the suffix array, and for every maximal repeat of `least` bytes or more its
+    length, its interval of the suffix array (from, to) and its smallest owner.
 
     suffix: fixed-width byte strings padded with zeros, size: their true lengths, left: the byte
     before each, -1 where there is none, which differs from all others.
     """
     order = np.argsort(suffix, kind="stable")
     width = suffix.dtype.itemsize
-    rows = suffix[order].view(np.uint8).reshape(-1, width)
+    lcp = np.empty(max(0, len(order) - 1), dtype=np.int64)
+    for lo in range(0, len(lcp), 1 << 16):  # common prefixes of neighbours in the suffix array
+        rows = suffix[order[lo : lo + (1 << 16) + 1]].view(np.uint8).reshape(-1, width)
+        differ = rows[1:] != rows[:-1]
+        lcp[lo : lo + (1 << 16)] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     size, own, before = size[order], owner[order], left[order]
-    # Common prefixes of neighbours in the suffix array.
-    differ = rows[1:] != rows[:-1]
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     lcp = np.minimum(lcp, np.minimum(size[1:], size[:-1]))
-    varied = np.concatenate([[0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))])
+    lcp[lcp < least] = 0
+    varied = np.concatenate([[0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))]).tolist()
     stack: list[list[int]] = []  # open intervals: length, first suffix, smallest owner
-    ids, pre = own.tolist(), before.tolist()
+    ids, pre, groups = own.tolist(), before.tolist(), []
     for i, n in enumerate([*lcp.tolist(), 0], 1):
-        n = n if n >= least else 0
         first, small = i - 1, ids[i - 1]
         while stack and stack[-1][0] > n:
-            size_, first, low = stack.pop()
+            long, first, low = stack.pop()
             small = min(small, low)
             if varied[i - 1] > varied[first] or pre[first] < 0:
-                yield size_, order[first:i], small
+                groups.append((long, first, i, small))
             if stack and stack[-1][0] >= n:
                 stack[-1][2] = min(stack[-1][2], small)
         if n:
@@ -131,6 +132,13 @@ def maximal_repeats(suffix: list[bytes] | np.ndarray, size: np.ndarray, left: np
                 stack.append([n, first, small])
             else:
                 stack[-1][2] = min(stack[-1][2], small)
+    return order, np.array(groups, dtype=np.int64).reshape(-1, 4)
+
+
+def expand(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts n: which one each unit belongs to, and its number there."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - (np.cumsum(n) - n)[which]
 
 
 def pack_chunks(docs: DataFrame, table: str, buckets: int) -> DataFrame:
@@ -277,29 +285,45 @@ def repeats_of_store(table):
     start = np.cumsum(size) - size
     windows = size - MIN_BYTES + 1
     first = np.cumsum(windows) - windows  # a fragment's first window
-    frag = np.repeat(np.arange(len(size)), windows)
-    off = np.arange(len(frag)) - first[frag]
-    at = start[frag] + off
-    owner = np.concatenate(ids)[frag]
-    lowest = np.full(len(frag), LAST, dtype=np.int64)
-    # Strings that stand once in the shard are in no repeat: only the others become suffixes.
+    ids = np.concatenate(ids)
     h = data.astype(np.uint64) + np.uint64(1)
     for step in (1, 2, 4, 8, 16):
         h = h[:-step] * np.uint64(pow(0x9E3779B97F4A7C15, step, 1 << 64)) + h[step:]
-    h = mix(h[at] * _M1 + h[at + MIN_BYTES - 32])
-    u, back, n = np.unique(h, return_inverse=True, return_counts=True)
+    h = mix(h[: len(h) - MIN_BYTES + 32] * _M1 + h[MIN_BYTES - 32 :])  # of each string of MIN_BYTES
+    # Equal fragments, whose first and last strings hold all their bytes, become suffixes once.
+    head, foot = h[start], h[start + windows - 1]
+    by = np.lexsort((size, foot, head))
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (head[by[1:]] != head[by[:-1]]) | (foot[by[1:]] != foot[by[:-1]]) | (size[by[1:]] != size[by[:-1]])
+    kind = np.empty(len(by), dtype=np.int64)
+    kind[by] = np.cumsum(new) - 1
+    one = by[new]
+    least = np.full(len(one), LAST, dtype=np.int64)
+    np.minimum.at(least, kind, ids)
+    frag, off = expand(windows[one])
+    at = start[one][frag] + off
+    owner = least[frag]
+    base = np.cumsum(windows[one]) - windows[one]
+    lowest = owner.copy()
+    # Strings that stand once are in no repeat: only the others become suffixes.
+    _, back, n = np.unique(h[at], return_inverse=True, return_counts=True)
     some = np.flatnonzero(n[back] > 1)
     if len(some):
         reach = int(size.max())
-        text = data[np.minimum(at[some][:, None] + np.arange(reach), len(data) - 1)]
-        rest = size[frag[some]] - off[some]
+        rest = size[one][frag[some]] - off[some]
+        text = data[np.minimum(at[some][:, None] + np.arange(reach, dtype=np.int32), len(data) - 1)]
         text[np.arange(reach) >= rest[:, None]] = 0
         left = np.where(off[some] > 0, data[np.maximum(at[some] - 1, 0)].astype(np.int64), -1)
-        for length, group, small in maximal_repeats(np.ascontiguousarray(text).view(f"S{reach}").ravel(), rest, left, owner[some], MIN_BYTES):
-            cover = some[group][:, None] + np.arange(length - MIN_BYTES + 1)
-            lowest[cover] = np.minimum(lowest[cover], small)
-    # Copies within the chunk were sent once, with their smallest document.
-    lowest = np.minimum(lowest, owner)
+        order, groups = maximal_repeats(text.view(f"S{reach}").ravel(), rest, left, owner[some], MIN_BYTES)
+        del text
+        for lo in range(0, len(groups), 4096):
+            g = groups[lo : lo + 4096]
+            member, k = expand(g[:, 2] - g[:, 1])  # every occurrence of a group
+            first_window = some[order[g[member, 1] + k]]
+            j, step = expand(g[member, 0] - MIN_BYTES + 1)  # every window that it covers
+            np.minimum.at(lowest, first_window[j] + step, g[member[j], 3])
+    whole, j = expand(windows)
+    lowest, owner = lowest[base[kind[whole]] + j], ids[whole]
     edge = np.cumsum([0, *(len(s) for s in sizes)])
     out = []
     for k in range(table.num_rows):
