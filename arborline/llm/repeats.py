@@ -9,9 +9,10 @@ start): the maximal repeat groups, each with all its occurrences and its smalles
 
 Texts are packed in chunks and kept in a table of the shared warehouse bucketed by chunk.  Chunks
 first announce their distinct anchor hashes; only anchors of two or more documents come back, and
-only their fragments travel.  Anchors that very many documents hold are dealt string by string
+only their fragments travel.  Exact copies are found by their digests, and of a group only the
+document of the smallest id takes part.  Anchors that very many documents hold are dealt string by string
 instead, by the hash of the whole string, and equal strings of a chunk travel once, so that no
-shard grows with the number of copies.  Exact copies are set aside by their digests beforehand.
+shard grows with the number of copies.
 """
 
 from __future__ import annotations
@@ -58,18 +59,22 @@ def window_anchors(data: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Documents laid end to end: ids, starts (one more than documents) and bytes."""
+    """Documents laid end to end: ids, starts (one more than documents), bytes, and which of them
+    copy a document of a smaller id."""
 
-    def __init__(self, ids: np.ndarray, starts: np.ndarray, data: np.ndarray):
-        self.ids, self.starts, self.data = ids, starts, data
-
-    @staticmethod
-    def unpack(ids: bytes, sizes: bytes, data: bytes) -> Chunk:
+    def __init__(self, ids: bytes, sizes: bytes, data: bytes, copies: bytes | None = None):
         import zstandard
 
         n = np.frombuffer(sizes, dtype=np.int64)
-        raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=int(n.sum()) or 1) if n.sum() else b""
-        return Chunk(np.frombuffer(ids, dtype=np.int64), np.concatenate([[0], np.cumsum(n)]), np.frombuffer(raw, dtype=np.uint8))
+        raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=int(n.sum())) if n.sum() else b""
+        self.ids, self.starts, self.data = np.frombuffer(ids, dtype=np.int64), np.concatenate([[0], np.cumsum(n)]), np.frombuffer(raw, dtype=np.uint8)
+        self.copy = np.zeros(len(n), dtype=bool)
+        self.copy[np.frombuffer(copies or b"", dtype=np.int32)] = True
+
+    @staticmethod
+    def of(table, k: int = 0) -> Chunk:
+        """The chunk in row k of a table or batch."""
+        return Chunk(*(table.column(table.schema.get_field_index(c))[k].as_py() for c in ("ids", "sizes", "data", "copies")))
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first window, windows, anchor) of every run of windows with one anchor in a document."""
@@ -79,7 +84,7 @@ class Chunk:
         anchor = window_anchors(self.data)
         inside = np.zeros(len(self.data) + 1, dtype=np.int32)
         size = np.diff(self.starts)
-        long = size >= MIN_BYTES
+        long = (size >= MIN_BYTES) & ~self.copy
         np.add.at(inside, self.starts[:-1][long], 1)
         np.add.at(inside, self.starts[1:][long] - MIN_BYTES + 1, -1)
         valid = np.cumsum(inside)[: len(anchor)] > 0
@@ -171,6 +176,20 @@ def pack_chunks(docs: DataFrame, table: str, buckets: int) -> DataFrame:
     return docs.sparkSession.table(table)
 
 
+def digests(batches):
+    """From chunks: (chunk, doc, place, sha) of every document; doc is its number in the chunk."""
+    for b in batches:
+        for k in range(b.num_rows):
+            c = Chunk(b.column(1)[k].as_py(), b.column(2)[k].as_py(), b.column(3)[k].as_py())
+            sha = [hashlib.sha256(c.data[a:e]).digest() for a, e in zip(c.starts[:-1], c.starts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * len(sha), pa.int64()), pa.array(range(len(sha)), pa.int32()), pa.array(c.ids), pa.array(sha, pa.binary())], names=["chunk", "doc", "place", "sha"])
+
+
+def copy_lists(key, table):
+    """The numbers of a chunk's copies as one value."""
+    return _table([[key[0].as_py()], [np.int32(table["doc"].to_pylist()).tobytes()]], ["chunk", "copies"], (pa.int64(), pa.binary()))
+
+
 def _keys(anchor: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """(shard, 40-bit key) of anchors; a chance collision only lets a few more fragments travel."""
     x = mix(anchor + np.uint64(0x632BE59BD9B4E019))
@@ -188,7 +207,7 @@ def announce(shards: int):
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
-                c = Chunk.unpack(b.column(1)[k].as_py(), b.column(2)[k].as_py(), b.column(3)[k].as_py())
+                c = Chunk.of(b, k)
                 at, _, anchor = c.runs()
                 if not len(at):
                     continue
@@ -238,7 +257,7 @@ def fragments(shards: int, stores: int):
         names, types = ["store", "chunk", "sizes", "ids", "counts", "places", "data"], (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         if not left.num_rows or not right.num_rows:
             return _table([[]] * 7, names, types)
-        c = Chunk.unpack(left["ids"][0].as_py(), left["sizes"][0].as_py(), left["data"][0].as_py())
+        c = Chunk.of(left)
         want = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in right["keys"]])
         hot_bit = np.uint64(1) << np.uint64(63)
         hot = np.sort(want[want >= hot_bit] ^ hot_bit)
@@ -343,7 +362,7 @@ def finish(left, right):
     names, types = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
     if not left.num_rows:
         return _table([[]] * 5, names, types)
-    c = Chunk.unpack(left["ids"][0].as_py(), left["sizes"][0].as_py(), left["data"][0].as_py())
+    c = Chunk.of(left)
     gone = np.zeros(len(c.data) + 1, dtype=np.int32)
     for k in range(right.num_rows):
         places, counts, windows, firsts = (np.frombuffer(right[n][k].as_py(), dtype=t) for n, t in (("places", np.uint32), ("counts", np.uint32), ("windows", np.uint16), ("firsts", np.int64)))
@@ -359,7 +378,10 @@ def finish(left, right):
         np.add.at(gone, hit + MIN_BYTES, -1)
     removed = np.cumsum(gone)[:-1] > 0
     rows = []
-    for i, a, b in zip(c.ids.tolist(), c.starts[:-1].tolist(), c.starts[1:].tolist(), strict=True):
+    for i, a, b, copy in zip(c.ids.tolist(), c.starts[:-1].tolist(), c.starts[1:].tolist(), c.copy.tolist(), strict=True):
+        if copy and b - a >= MIN_BYTES:
+            rows.append((None if i == LAST else i, b - a, b - a, 1, hashlib.sha256(b"").hexdigest()))
+            continue
         r = removed[a:b]
         spans = int(r[:1].sum() + (r[1:] & ~r[:-1]).sum())
         rows.append((None if i == LAST else i, b - a, int(r.sum()), spans, hashlib.sha256(c.data[a:b][~r].tobytes() if spans else c.data[a:b].tobytes()).hexdigest()))
@@ -375,24 +397,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives an empty result.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    src = src.withColumns({"sha": F.sha2("text", 256), "n_bytes": F.octet_length("text").cast("long"), "place": F.coalesce("doc_id", F.lit(int(LAST)))})
-    repeated = src.groupBy("sha").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("sha", "first")
-    firsts, _ = materialize(repeated, "copies")
-    joined = src.join(firsts, "sha", "left")
-    whole = F.col("n_bytes") >= MIN_BYTES
-    copies = src.select("doc_id", "place", "sha", "n_bytes").join(firsts, "sha").where("place > first").select(
-        "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.lit(0)).alias("n_removed"), whole.cast("long").alias("n_spans"), F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept_sha256")
-    )
-    total = src.agg(F.sum("n_bytes")).first()[0] or 0
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    total = src.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = max(slots, -(-total // (18 * SHARD_ANCHORS)))
     stores = max(2 * slots, -(-total // SHARD_BYTES))
     buckets = min(4096, max(slots, -(-total // (4 * CHUNK_BYTES))))
-    chunks = pack_chunks(joined.where("first IS NULL OR place <= first").select("doc_id", "text"), f"chunks_{uuid.uuid4().hex}", buckets)
-    heard = chunks.select("chunk", "ids", "sizes", "data").mapInArrow(announce(shards), "shard int, chunk long, keys binary, docs binary")
+    chunks = pack_chunks(src, f"chunks_{uuid.uuid4().hex}", buckets)
+    known, _ = materialize(chunks.select("chunk", "ids", "sizes", "data").mapInArrow(digests, "chunk long, doc int, place long, sha binary"), "digests")
+    firsts = known.groupBy("sha").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("sha", "first")
+    copies = known.join(firsts, "sha").where("place > first").select("chunk", "doc").groupBy("chunk").applyInArrow(copy_lists, "chunk long, copies binary")
+    chunks = chunks.join(materialize(copies, "copies")[0], "chunk", "left")
+    heard = chunks.select("chunk", "ids", "sizes", "data", "copies").mapInArrow(announce(shards), "shard int, chunk long, keys binary, docs binary")
     shared = heard.groupBy("shard").applyInArrow(shared_anchors, "chunk long, keys binary")
     sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(fragments(shards, stores), "store int, chunk long, sizes binary, ids binary, counts binary, places binary, data binary")
     told = sent.groupBy("store").applyInArrow(repeats_of_store, "chunk long, places binary, counts binary, windows binary, firsts binary")
-    done = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return done.unionByName(copies)
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
