@@ -170,6 +170,18 @@ def score(docs: DataFrame, model: np.ndarray, text_col: str = "text", into: str
     return src.mapInArrow(run, schema)
 
 
+def limits(scores: DataFrame, good: DataFrame) -> tuple[DataFrame, float | None, float | None]:
+    """(lang, mid, limit) of the languages with enough trusted documents, and mid and limit of all;
+    scores: (doc_id, lang, log_ppl), good: ids of trusted documents."""
+    known = scores.join(good, "doc_id", "left_semi").where("log_ppl IS NOT NULL")
+    # Bounded sketches of all trusted documents: for each language, then for all (a null language).
+    q = F.percentile_approx("log_ppl", F.array(F.lit(MIDDLE), F.lit(UPPER)), F.lit(1000))
+    marks = known.cube("lang").agg(q.alias("q"), F.count("*").alias("n"), F.grouping("lang").alias("all")).where((F.col("all") == 1) | (F.col("lang").isNotNull() & (F.col("n") >= MIN_TRUSTED)))
+    marks, _ = materialize(marks.select("lang", "all", F.col("q")[0].alias("mid"), (F.col("q")[1] + SLACK * (F.col("q")[1] - F.col("q")[0])).alias("limit")), "quality-limits")
+    top = marks.where("all = 1").first()
+    return marks.where("all = 0").drop("all"), *((top["mid"], top["limit"]) if top else (None, None))
+
+
 def judged(docs: DataFrame, labels: DataFrame, into: str = "verdict", keep_text: bool = True) -> DataFrame:
     """docs with a struct column `into` (log_ppl, chars, threshold, keep), one row for each row.
 
@@ -182,21 +194,16 @@ def judged(docs: DataFrame, labels: DataFrame, into: str = "verdict", keep_text:
     """
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    trusted = base.join(good, "doc_id", "left_semi")
-    model = train(trusted)
-    known = score(trusted, model, keep_text=False).select("lang", F.col("score.log_ppl").alias("p")).where("p IS NOT NULL")
-    # Bounded sketches of all trusted documents: for each language, then for all (a null language).
-    q = F.percentile_approx("p", F.array(F.lit(MIDDLE), F.lit(UPPER)), F.lit(1000))
-    marks = known.cube("lang").agg(q.alias("q"), F.count("*").alias("n"), F.grouping("lang").alias("all")).where((F.col("all") == 1) | (F.col("lang").isNotNull() & (F.col("n") >= MIN_TRUSTED)))
-    marks, _ = materialize(marks.select("lang", "all", F.col("q")[0].alias("mid"), (F.col("q")[1] + SLACK * (F.col("q")[1] - F.col("q")[0])).alias("limit")), "quality-limits")
-    top = marks.where("all = 1").first()
-    mid_all, limit_all = (top["mid"], top["limit"]) if top else (None, None)
+    # Texts move once, to meet their labels; merge joins keep the plan alike at every size.
+    model = train(base.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
     tmp, lang = fresh("_score", [*docs.columns, into]), fresh("_lang", docs.columns)
+    narrow, _ = materialize(score(base, model, keep_text=False).select("doc_id", "lang", "score.*"), "perplexity")
+    own, mid_all, limit_all = limits(narrow.drop("chars"), good)
     scored = score(docs, model, into=tmp, keep_text=keep_text)
-    own = marks.where("all = 0").select(F.col("lang").alias(lang), F.struct("mid", "limit").alias(fresh("_own", docs.columns)))
+    own = own.select(F.col("lang").alias(lang), F.struct("mid", "limit").alias(fresh("_own", docs.columns)))
     out = scored.join(own, scored["lang"].cast("string") == own[lang], "left")
-    limits = out[own.columns[1]]
-    mid, limit = F.coalesce(limits["mid"], F.lit(mid_all).cast("double")), F.coalesce(limits["limit"], F.lit(limit_all).cast("double"))
+    mark = out[own.columns[1]]
+    mid, limit = F.coalesce(mark["mid"], F.lit(mid_all).cast("double")), F.coalesce(mark["limit"], F.lit(limit_all).cast("double"))
     ppl, chars = out[tmp]["log_ppl"], out[tmp]["chars"]
     steady = mid + F.least(chars / F.lit(float(STEADY_CHARS)), F.lit(1.0)) * (ppl - mid)
     verdict = F.struct(ppl.alias("log_ppl"), chars.alias("chars"), limit.alias("threshold"), F.coalesce(steady <= limit, F.lit(True)).alias("keep"))
