@@ -97,7 +97,7 @@ def store(uri: str, data: bytes) -> None:
 
     where, path = fs.FileSystem.from_uri(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
-    with where.open_output_stream(path) as f:
+    with where.open_output_stream(path, compression=None) as f:
         f.write(data)
 
 
@@ -145,7 +145,7 @@ def read_warcs(archives: DataFrame) -> DataFrame:
         for b in batches:
             for uri in b.column(0).to_pylist():
                 where, path = fs.FileSystem.from_uri(uri)
-                with where.open_input_stream(path) as f:
+                with where.open_input_stream(path, compression=None) as f:
                     data = f.read()
                 out = []
                 for h, body in read_archive(data):
