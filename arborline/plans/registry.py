@@ -1,4 +1,6 @@
-"""Queries over the catalog tables, each with its oracle."""
+"""All queries over the catalog tables, each with its oracle."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import aggregates, composites, filters, joins, metrics, ordered, scalars, scans, vectors  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
