@@ -9,8 +9,9 @@ pair within the radius collides in some table, with no chance involved.
 Buckets of a few fingerprints are compared directly.  Larger ones list no pairs: two fingerprints
 at distance 1 or 2 share a "midpoint" at distance at most 1 from both, which differs from them
 only in positions the table leaves free; so each bucket member names itself and its one-bit
-neighbours in free positions, and members that name the same point (65 at most) are linked in a
-star.  Components come from alternating large-star and small-star rounds, each written to the
+neighbours in free positions, and members that name the same point (65 at most) are linked.  That
+is done in memory for buckets up to a stated size, which give each member's root only, and by an
+exchange of the named points beyond it.  Components come from alternating large-star and small-star rounds, each written to the
 shared folder.
 
 Near duplicates by 5-word shingles need more than one fingerprint to be found: for them several
@@ -30,8 +31,9 @@ from .common import materialize, remove
 
 SEED = 42
 RADIUS = 2
-#: Buckets up to this size are compared directly.
-FEW = 12
+#: Buckets up to FEW are compared directly, up to IN_MEMORY by midpoints in one call (250 bytes a
+#: member), larger ones by an exchange; PART_ROWS members share a call.
+FEW, IN_MEMORY, PART_ROWS = 12, 100_000, 20_000
 #: Fingerprints that propose near copies by 5-word shingles.
 FAMILY = 12
 #: Words hashed at a time, so that a text of any length needs bounded memory.
@@ -93,6 +95,45 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
     return [sum(1 << i for i in range(64) if bin((i % (1 << dims)) & v).count("1") % 2) for v in range(1, 1 << dims)]
 
 
+def _free_bits(mask: int) -> list[int]:
+    return [1 << i for i in range(64) if not mask >> i & 1]
+
+
+def midpoint_roots(fps: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, root), u > root, of the fingerprints (signed, distinct) that share midpoints in the free
+    positions of a mask, directly or over others of them."""
+    flips = np.array([0, *_free_bits(mask)], dtype=np.uint64)
+    fps = np.sort(fps)
+    points = (fps.view(np.uint64)[:, None] ^ flips).ravel()
+    order = np.argsort(points, kind="stable")
+    owner = order // len(flips)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = points[order[1:]] != points[order[:-1]]
+    del points
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(order)))
+    some = size > 1  # only points that two or more have named
+    owner, size = owner[np.repeat(some, size)], size[some]
+    root = np.arange(len(fps))
+    if len(size):
+        start = np.cumsum(size) - size
+        while True:
+            low = np.minimum.reduceat(root[owner], start)
+            before = root.copy()
+            np.minimum.at(root, owner, np.repeat(low, size))
+            root = np.minimum(root, root[root])
+            if (root == before).all():
+                break
+    moved = np.flatnonzero(root < np.arange(len(fps)))
+    return fps[moved], fps[root[moved]]
+
+
+def _roots_of_part(key, table):
+    fam, tab = key[0].as_py(), key[1].as_py()
+    u, v = midpoint_roots(table["fp"].to_numpy(), covering_masks()[tab])
+    return pa.Table.from_arrays([pa.array(np.full(len(u), fam, np.int32)), pa.array(u), pa.array(v)], names=["family", "u", "v"])
+
+
 def star_links(points: DataFrame) -> DataFrame:
     """(family, u, v), u > v: links between the distinct fingerprints (columns family, fp), whose
     transitive closure joins exactly those connected by steps of 2 differing bits or fewer."""
@@ -101,15 +142,23 @@ def star_links(points: DataFrame) -> DataFrame:
     keys = points.select("family", "fp", F.explode(tables).alias("k")).select("family", "fp", "k.table", "k.key")
     bucket = ["family", "table", "key"]
     shared = keys.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
-    inside = keys.join(shared, bucket)
+    inside, _ = materialize(keys.join(shared, bucket), "buckets")
     few = inside.where(F.col("n") <= FEW).groupBy(*bucket).agg(F.collect_list("fp").alias("fps"))
     near = F.filter(F.flatten(F.transform("fps", lambda u: F.transform("fps", lambda v: F.struct(u.alias("u"), v.alias("v"))))), lambda p: (p.u > p.v) & (F.bit_count(p.u.bitwiseXOR(p.v)) <= RADIUS))
-    direct = few.select("family", F.explode(near).alias("p")).select("family", "p.u", "p.v")
-    free = F.element_at(F.array(*[F.array(F.lit(0), *[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks]), F.col("table") + 1)
-    named = inside.where(F.col("n") > FEW).select("family", "fp", F.explode(free).alias("flip")).select("family", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    stars = named.groupBy("family", "point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    low = stars.select("family", F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u > v").select("family", "u", "v")
-    return direct.union(low).distinct()
+    links = few.select("family", F.explode(near).alias("p")).select("family", "p.u", "p.v")
+    some = inside.where(F.col("n") > FEW)
+    held = some.agg(F.count("*").alias("rows"), F.max("n").alias("largest")).first()
+    if held["rows"]:
+        # Buckets share a part, so that a task call has work; a bucket is never cut.
+        parts = max(1, -(-held["rows"] // PART_ROWS))
+        dealt = some.where(F.col("n") <= IN_MEMORY).select("family", "table", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), "fp")
+        links = links.union(dealt.groupBy("family", "table", "part").applyInArrow(_roots_of_part, "family int, u long, v long"))
+    if (held["largest"] or 0) > IN_MEMORY:
+        free = F.element_at(F.array(*[F.array(F.lit(0), *[F.lit(_signed(x)) for x in _free_bits(m)]) for m in masks]), F.col("table") + 1)
+        named = some.where(F.col("n") > IN_MEMORY).select("family", "fp", F.explode(free).alias("flip")).select("family", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+        stars = named.groupBy("family", "point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+        links = links.union(stars.select("family", F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u > v").select("family", "u", "v"))
+    return links.distinct()
 
 
 def components(edges: DataFrame, tag: str = "components") -> tuple[DataFrame, str | None]:
