@@ -6,12 +6,12 @@ whose vector has odd inner product with v.  Any r differing positions span at mo
 so some v is orthogonal to all of them and the two fingerprints agree on that table's key: every
 pair within the radius collides in some table, with no chance involved.
 
-Buckets of a few fingerprints are compared directly.  Larger ones list no pairs: two fingerprints
-at distance 1 or 2 share a "midpoint" at distance at most 1 from both, which differs from them
-only in positions the table leaves free; so each bucket member names itself and its one-bit
-neighbours in free positions, and members that name the same point (65 at most) are linked.  That
-is done in memory for buckets up to a stated size, which give each member's root only, and by an
-exchange of the named points beyond it.  Components come from alternating large-star and small-star rounds, each written to the
+Inside a bucket no pairs are listed.  Two fingerprints at distance 1 or 2 share a "midpoint" at
+distance at most 1 from both, which differs from them only in positions the table leaves free; so
+each bucket member names itself and its one-bit neighbours in free positions, and members that
+name the same point (65 at most) are linked.  That is done in memory for many buckets at once,
+which give each member's root only; buckets that a sample shows to be very large exchange the
+named points instead.  Both ways are exact, so the sample decides no result.  Components come from alternating large-star and small-star rounds, each written to the
 shared folder.
 
 Near duplicates by 5-word shingles need more than one fingerprint to be found: for them several
@@ -31,9 +31,9 @@ from .common import materialize, remove
 
 SEED = 42
 RADIUS = 2
-#: Buckets up to FEW are compared directly, up to IN_MEMORY by midpoints in one call (250 bytes a
-#: member), larger ones by an exchange; PART_ROWS members share a call.
-FEW, IN_MEMORY, PART_ROWS = 12, 100_000, 20_000
+#: Fingerprints that share a call (250 bytes each), and a bucket's size, estimated from one in
+#: SAMPLED of them, from which it is exchanged instead.
+PART_ROWS, IN_MEMORY, SAMPLED = 50_000, 100_000, 64
 #: Fingerprints that propose near copies by 5-word shingles.
 FAMILY = 12
 #: Words hashed at a time, so that a text of any length needs bounded memory.
@@ -130,7 +130,13 @@ def midpoint_roots(fps: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _roots_of_part(key, table):
     fam, tab = key[0].as_py(), key[1].as_py()
-    u, v = midpoint_roots(table["fp"].to_numpy(), covering_masks()[tab])
+    mask = covering_masks()[tab]
+    fps = table["fp"].to_numpy()
+    kept = fps.view(np.uint64) & np.uint64(mask)
+    order = np.argsort(kept, kind="stable")
+    same = kept[order[1:]] == kept[order[:-1]]
+    twin = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    u, v = midpoint_roots(fps[order[twin]], mask)
     return pa.Table.from_arrays([pa.array(np.full(len(u), fam, np.int32)), pa.array(u), pa.array(v)], names=["family", "u", "v"])
 
 
@@ -139,25 +145,24 @@ def star_links(points: DataFrame) -> DataFrame:
     transitive closure joins exactly those connected by steps of 2 differing bits or fewer."""
     masks = covering_masks()
     tables = F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
-    keys = points.select("family", "fp", F.explode(tables).alias("k")).select("family", "fp", "k.table", "k.key")
+    keyed = lambda p: p.select("family", "fp", F.explode(tables).alias("k")).select("family", "fp", "k.table", "k.key")
     bucket = ["family", "table", "key"]
-    shared = keys.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
-    inside, _ = materialize(keys.join(shared, bucket), "buckets")
-    few = inside.where(F.col("n") <= FEW).groupBy(*bucket).agg(F.collect_list("fp").alias("fps"))
-    near = F.filter(F.flatten(F.transform("fps", lambda u: F.transform("fps", lambda v: F.struct(u.alias("u"), v.alias("v"))))), lambda p: (p.u > p.v) & (F.bit_count(p.u.bitwiseXOR(p.v)) <= RADIUS))
-    links = few.select("family", F.explode(near).alias("p")).select("family", "p.u", "p.v")
-    some = inside.where(F.col("n") > FEW)
-    held = some.agg(F.count("*").alias("rows"), F.max("n").alias("largest")).first()
-    if held["rows"]:
-        # Buckets share a part, so that a task call has work; a bucket is never cut.
-        parts = max(1, -(-held["rows"] // PART_ROWS))
-        dealt = some.where(F.col("n") <= IN_MEMORY).select("family", "table", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), "fp")
-        links = links.union(dealt.groupBy("family", "table", "part").applyInArrow(_roots_of_part, "family int, u long, v long"))
-    if (held["largest"] or 0) > IN_MEMORY:
+    sample = points.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0)
+    large, large_path = materialize(keyed(sample).groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > IN_MEMORY).select(*bucket), "large-buckets")
+    keys = keyed(points)
+    any_large = large.limit(1).count() > 0
+    most = points.groupBy("family").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(1, -(-most // PART_ROWS))
+    common = keys.join(large, bucket, "left_anti") if any_large else keys
+    dealt = common.select("family", "table", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "fp")
+    links = dealt.groupBy("family", "table", "part").applyInArrow(_roots_of_part, "family int, u long, v long")
+    if any_large:
         free = F.element_at(F.array(*[F.array(F.lit(0), *[F.lit(_signed(x)) for x in _free_bits(m)]) for m in masks]), F.col("table") + 1)
-        named = some.where(F.col("n") > IN_MEMORY).select("family", "fp", F.explode(free).alias("flip")).select("family", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+        named = keys.join(large, bucket).select("family", "fp", F.explode(free).alias("flip")).select("family", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
         stars = named.groupBy("family", "point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
         links = links.union(stars.select("family", F.array_min("fps").alias("v"), F.explode("fps").alias("u")).where("u > v").select("family", "u", "v"))
+    else:
+        remove(points.sparkSession, large_path)
     return links.distinct()
 
 
