@@ -100,8 +100,9 @@ def _free_bits(mask: int) -> list[int]:
 
 
 def midpoint_roots(fps: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    """(u, root), u > root, of the fingerprints (signed, distinct) that share midpoints in the free
-    positions of a mask, directly or over others of them."""
+    """(u, v), u > v, of the fingerprints (signed, distinct): for each its root among those that share
+    midpoints in the free positions of a mask, directly or over others, and its smallest partner
+    within 2 bits."""
     flips = np.array([0, *_free_bits(mask)], dtype=np.uint64)
     fps = np.sort(fps)
     points = (fps.view(np.uint64)[:, None] ^ flips).ravel()
@@ -115,8 +116,10 @@ def midpoint_roots(fps: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
     some = size > 1  # only points that two or more have named
     owner, size = owner[np.repeat(some, size)], size[some]
     root = np.arange(len(fps))
+    near = root.copy()
     if len(size):
         start = np.cumsum(size) - size
+        np.minimum.at(near, owner, np.repeat(np.minimum.reduceat(owner, start), size))
         while True:
             low = np.minimum.reduceat(root[owner], start)
             before = root.copy()
@@ -124,8 +127,8 @@ def midpoint_roots(fps: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
             root = np.minimum(root, root[root])
             if (root == before).all():
                 break
-    moved = np.flatnonzero(root < np.arange(len(fps)))
-    return fps[moved], fps[root[moved]]
+    moved, other = np.flatnonzero(root < np.arange(len(fps))), np.flatnonzero((near > root) & (near < np.arange(len(fps))))
+    return fps[np.concatenate([moved, other])], fps[np.concatenate([root[moved], near[other]])]
 
 
 def _roots_of_part(key, table):
