@@ -77,16 +77,21 @@ def simhash(text: str | None, shingle: int = 3, family: int = 1) -> list[int]:
     return [int.from_bytes(np.packbits(row * 2 > n).tobytes(), "big") for row in ones]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, family: int = 1) -> DataFrame:
-    """(doc_id, fps): one row per input row; fps are its SimHashes as signed longs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, family: int = 1, digest: bool = False) -> DataFrame:
+    """(doc_id, fps): one row per input row; fps are its SimHashes as signed longs.  digest: with
+    sha, the SHA-256 of the text."""
+    import hashlib
 
     def run(batches):
         for b in batches:
             fps = [[_signed(x) for x in simhash(t.as_py(), shingle, family)] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fps"])
+            cols, names = [b.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"]
+            if digest:
+                cols, names = [*cols, pa.array([hashlib.sha256((t.as_py() or "").encode()).digest() for t in b.column(1)], pa.binary())], [*names, "sha"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fps array<long>")
+    return src.mapInArrow(run, "doc_id long, fps array<long>" + (", sha binary" if digest else ""))
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -225,33 +230,35 @@ def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int
     document and all stay.  Documents with null ids go only as exact copies of another one; null
     and empty texts are exact copies of one another.
     """
+    last = F.lit((1 << 63) - 1)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    place = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    firsts = src.select(F.sha2("text", 256).alias("sha"), place.alias("place")).groupBy("sha").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    firsts, _ = materialize(firsts.where("n > 1").select("sha", "first"), "exact")
-    digest, own = [f"_{c}" for c in ("sha", "first")], docs.columns
-    while set(digest) & set(own):
-        digest = [f"{c}_" for c in digest]
-    held = docs.withColumn(digest[0], F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)).join(firsts.toDF(*digest), digest[0], "left")
-    held = held.where(F.col(digest[1]).isNull() | (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)) <= F.col(digest[1]))).select(*[F.col(f"`{c}`") for c in own])
-    distinct, _ = materialize(held, "distinct")
-    marked, _ = materialize(fingerprints(distinct.where(F.col(id_col).isNotNull()), id_col, text_col, 2, family).select("doc_id", F.posexplode("fps").alias("family", "fp")), "family")
-    points, _ = materialize(marked.groupBy("family", "fp").agg(F.min("doc_id").alias("first_id")), "family-points")
+    marked, _ = materialize(fingerprints(src, "doc_id", "text", 2, family, digest=True), "family")
+    firsts = marked.groupBy("sha").agg(F.min(F.coalesce("doc_id", last)).alias("first"))
+    # (place, sha) of the rows that go: later exact copies first, then near copies.
+    copies = marked.join(firsts, "sha").where(F.coalesce("doc_id", last) > F.col("first")).select(F.coalesce("doc_id", last).alias("place"), "sha")
+    single = marked.join(firsts, "sha").where("doc_id = first").select("doc_id", "sha", "fps").dropDuplicates(["doc_id", "sha"])
+    by_family = single.select("doc_id", F.posexplode("fps").alias("family", "fp"))
+    points, _ = materialize(by_family.groupBy("family", "fp").agg(F.min("doc_id").alias("first_id")), "family-points")
     links = star_links(points.select("family", "fp"))
     to = lambda c, name: points.select("family", F.col("fp").alias(c), F.col("first_id").alias(name))
     across = links.join(to("u", "a"), ["family", "u"]).join(to("v", "b"), ["family", "v"]).select("a", "b")
-    within = marked.join(points, ["family", "fp"]).where("doc_id > first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
+    within = by_family.join(points, ["family", "fp"]).where("doc_id > first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
     pairs, _ = materialize(across.union(within).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    text = distinct.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    # Merge joins keep the movement of texts in proportion at every size.
     wanted = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
-    text = text.join(wanted, "i", "left_semi")
+    text, _ = materialize(src.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).join(wanted.hint("merge"), "i", "left_semi"), "near-texts")
 
     def verify(batches):
         for b in batches:
             ok = [jaccard(x.as_py(), y.as_py(), shingle) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    both = pairs.hint("merge").join(text.toDF("a", "x"), "a").hint("merge").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y")
     roots, _ = components(both.mapInArrow(verify, "u long, v long").distinct(), "near")
-    gone = roots.select(F.col("u").alias("gone"))
-    return distinct.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("gone"), "left_anti")
+    near = single.join(roots.select(F.col("u").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("place"), "sha")
+    names = ["_place", "_sha"]
+    while set(names) & set(docs.columns):
+        names = [f"{n}_" for n in names]
+    gone = copies.union(near).distinct().toDF(*names)
+    own = docs.withColumns({names[0]: F.coalesce(F.col(f"`{id_col}`").cast("long"), last), names[1]: F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))})
+    return own.join(gone.hint("merge"), names, "left_anti").drop(*names)
