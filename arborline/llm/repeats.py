@@ -226,7 +226,11 @@ def announce(shards: int):
     return run
 
 
-def shared_anchors(key, table):
+def shared_anchors(hot_docs: int):
+    return lambda key, table: _shared(key, table, hot_docs)
+
+
+def _shared(key, table, hot_docs):
     """Of a shard's anchors those of two or more documents, back to each chunk; bit 63 marks those
     of very many."""
     keys, owner, docs = [], [], []
@@ -241,7 +245,7 @@ def shared_anchors(key, table):
     u, back = np.unique(keys, return_inverse=True)
     total = np.bincount(back, weights=docs)[back]
     some = total >= 2
-    marked = (keys | np.uint64(key[0].as_py()) << np.uint64(40) | (total >= HOT_DOCS).astype(np.uint64) << np.uint64(63))[some]
+    marked = (keys | np.uint64(key[0].as_py()) << np.uint64(40) | (total >= hot_docs).astype(np.uint64) << np.uint64(63))[some]
     owner = owner[some]
     order = np.argsort(owner, kind="stable")
     cut = np.searchsorted(owner[order], np.arange(table.num_rows + 1))
@@ -388,7 +392,7 @@ def finish(left, right):
     return _table([[r[i] for r in rows] for i in range(5)], names, types)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = HOT_DOCS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each input row.
 
     A byte goes if a string of MIN_BYTES bytes that covers it starts in a document of a smaller id
@@ -409,7 +413,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = known.join(firsts, "sha").where("place > first").select("chunk", "doc").groupBy("chunk").applyInArrow(copy_lists, "chunk long, copies binary")
     chunks = chunks.join(materialize(copies, "copies")[0], "chunk", "left")
     heard = chunks.select("chunk", "ids", "sizes", "data", "copies").mapInArrow(announce(shards), "shard int, chunk long, keys binary, docs binary")
-    shared = heard.groupBy("shard").applyInArrow(shared_anchors, "chunk long, keys binary")
+    shared = heard.groupBy("shard").applyInArrow(shared_anchors(hot_docs), "chunk long, keys binary")
     sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(fragments(shards, stores), "store int, chunk long, sizes binary, ids binary, counts binary, places binary, data binary")
     told = sent.groupBy("store").applyInArrow(repeats_of_store, "chunk long, places binary, counts binary, windows binary, firsts binary")
     return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
