@@ -24,13 +24,10 @@ def fold_updates(rows: DataFrame, key: str, step: str, vec: str) -> DataFrame:
 
 def ema_stream(stream: DataFrame, key: str, order: str, value: str, decay: float) -> DataFrame:
     """A stream of (key, order, value) with the key's exponential average after each row; rows of
-    a micro-batch are taken in `order`.  State is kept by key and ends after a day without rows."""
+    a micro-batch are taken in `order`.  State is one number for each key."""
     kind = dict(stream.dtypes)
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(list(batches)).sort_values(order)
         now = state.get[0] if state.exists else None
         out = []
@@ -38,10 +35,9 @@ def ema_stream(stream: DataFrame, key: str, order: str, value: str, decay: float
             now = float(v) if now is None else now * decay + v * (1 - decay)
             out.append(now)
         state.update((now,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
         yield pd.DataFrame({key: rows[key], order: rows[order], "ema": out})
 
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind[key]}, {order} {kind[order]}, ema double", "ema double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind[key]}, {order} {kind[order]}, ema double", "ema double", "append", GroupStateTimeout.NoTimeout)
 
 
 def means_stream(stream: DataFrame, keys: list[str], vec: str) -> DataFrame:

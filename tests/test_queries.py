@@ -70,7 +70,10 @@ def test_ema_stream_equals_batch(spark, tmp_path):
         rows.where(f"o div 4 = {part}").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "p*"))
     q = ema_stream(stream, "k", "o", "v", 0.9).writeStream.format("memory").queryName("ema").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
+    done = q.awaitTermination(40)
+    progress, error = q.lastProgress, q.exception()
+    q.stop()
+    assert done, (progress, error)
     got = {(r.k, r.o) for r in spark.table("ema").collect()}
     assert got == {(r.k, r.o) for r in rows.collect()}
     assert smoothed(rows, ["k"], "o", "v", 0.9).count() == 36
