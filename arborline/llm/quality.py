@@ -1,143 +1,225 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model runs over characters folded to an alphabet of 40 classes, in 4-grams, so that its
-tables have at most 40^4 entries whatever the corpus.  Counts are taken of all trusted documents;
-the count tables are sharded by n-gram and joined with their contexts' totals to give smoothed
-probabilities.  A document's perplexity is then a lookup for each character, and a document is
-rejected where it exceeds what its language's trusted documents show at given quantiles.
+The model runs over 4-grams of UTF-16 units, unfolded; one fits a long exactly, so no two share a
+count, and the tables grow with the corpus.  Documents are dealt to blocks by id and travel
+packed.  A block tells how often each of its 4-grams occurs in trusted documents (zero: only
+scoring needs it).  The count tables stay sharded by n-gram: they are joined with their contexts'
+totals, then level by level with the n-grams that scoring needs, and every block gets the
+probabilities of its own 4-grams back.  No table is collected or broadcast by this module.  A
+document is rejected where its perplexity exceeds what its language's trusted documents show at
+given quantiles.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, remove
 
-#: Size of the folded alphabet and of an n-gram: the table bound is SYMBOLS ** ORDER = 2.56 M entries.
-SYMBOLS, ORDER = 40, 4
-#: Rejected beyond UPPER quantile + SLACK * (UPPER - MIDDLE) of the language's trusted log-perplexities.
-MIDDLE, UPPER, SLACK = 0.5, 0.9, 3.0
+#: Units of an n-gram, and the number of different units over which the lowest order is uniform.
+ORDER, UNITS = 4, 1 << 16
+#: Rejected beyond UPPER quantile + SLACK * (UPPER - MIDDLE) of the language's trusted log-perplexities,
+#: and beyond UPPER + LEAST at least: the model has seen the trusted documents, not the others.
+MIDDLE, UPPER, SLACK, LEAST = 0.5, 0.9, 3.0, 0.25
 #: Shorter texts tell too little; their length is padded with the language's median.
-STEADY_CHARS = 400
+STEADY_CHARS = 1000
 #: Trusted documents that a language needs for quantiles of its own.
 MIN_TRUSTED = 20
-#: Characters scored at a time.
-BLOCK_CHARS = 1 << 20
-
-
-def _classes() -> np.ndarray:
-    """Class of each 16-bit unit: letters a-z, upper case, digits, white space, marks, other scripts."""
-    t = np.full(1 << 16, 39, dtype=np.int32)
-    for c in range(1 << 16):
-        ch = chr(c)
-        if "a" <= ch <= "z":
-            t[c] = c - 97
-        elif 0xD800 <= c < 0xE000:
-            continue
-        elif ch.isupper():
-            t[c] = 26
-        elif ch.isdigit():
-            t[c] = 27
-        elif ch in "\n\r\x0b\x0c\x85  ":
-            t[c] = 29
-        elif ch.isspace():
-            t[c] = 28
-        elif ch == ".":
-            t[c] = 30
-        elif ch == ",":
-            t[c] = 31
-        elif ch in ";:!?'\"()-’“”–—«»¿¡":
-            t[c] = 32
-        elif ch.isalpha():
-            t[c] = 34 + c % 4 if c < 0x250 else 38
-        elif c < 0x250:
-            t[c] = 33
-    return t
-
-
-_TABLE: list[np.ndarray] = []
-
-
-def symbols(text: str) -> np.ndarray:
-    if not _TABLE:
-        _TABLE.append(_classes())
-    return _TABLE[0][np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)]
+#: Characters of a block of documents on average, and characters made into n-grams at a time.
+BLOCK_CHARS, STEP_CHARS = 16 << 20, 1 << 20
+#: Bytes of rows packed together, and of all rows that a task holds unpacked.
+PACK_BYTES, HELD_BYTES = 4 << 20, 96 << 20
+SLOT_BITS = 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(text: str):
-    """The 4-gram numbers of a text, a line end standing before its start, in blocks."""
-    tail = np.full(ORDER - 1, 29, dtype=np.int32)
-    for lo in range(0, len(text), BLOCK_CHARS):
-        s = np.concatenate([tail, symbols(text[lo : lo + BLOCK_CHARS])])
-        g = s[: len(s) - ORDER + 1].astype(np.int32)
+    """The 4-grams of a text as 64-bit numbers, line ends standing before its start, in steps."""
+    tail = np.full(ORDER - 1, 10, dtype=np.uint16)
+    for lo in range(0, len(text), STEP_CHARS):
+        units = np.frombuffer(text[lo : lo + STEP_CHARS].encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
+        s = np.concatenate([tail, units])
+        g = s[: len(units)].astype(np.uint64)
         for i in range(1, ORDER):
-            g = g * SYMBOLS + s[i : len(s) - ORDER + 1 + i]
+            g = (g << np.uint64(16)) | s[i : len(units) + i]
         tail = s[1 - ORDER :]
         yield g
 
 
-def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(g, c): how often each 4-gram occurs in all texts."""
+def _slots(g: np.ndarray) -> np.ndarray:
+    return ((g * _ODD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+class Tally:
+    """How often each 4-gram occurs: most have a slot of their own, the others are sorted."""
+
+    def __init__(self):
+        self.keys = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
+        self.used = np.zeros(1 << SLOT_BITS, dtype=bool)
+        self.counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        self.rest: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, g: np.ndarray, weight: int) -> None:
+        at = _slots(g)
+        free = ~self.used[at]
+        self.keys[at[free]] = g[free]
+        self.used[at[free]] = True
+        own = self.keys[at] == g
+        if weight:
+            self.counts += np.bincount(at[own], minlength=len(self.counts))
+        if not own.all():
+            u, n = np.unique(g[~own], return_counts=True)
+            self.rest.append((u, n * weight))
+            if len(self.rest) > 16:
+                self.fold()
+
+    def fold(self) -> None:
+        u, back = np.unique(np.concatenate([u for u, _ in self.rest]), return_inverse=True)
+        n = np.zeros(len(u), dtype=np.int64)
+        np.add.at(n, back, np.concatenate([n for _, n in self.rest]))
+        self.rest = [(u, n)]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.rest:
+            self.fold()
+        g = np.concatenate([self.keys[self.used], *(u for u, _ in self.rest)])
+        n = np.concatenate([self.counts[self.used], *(n for _, n in self.rest)])
+        order = np.argsort(g)
+        return g[order], n[order]
+
+
+class Lookup:
+    """The values of 4-grams, all of which are known."""
+
+    def __init__(self, g: np.ndarray, values: np.ndarray):
+        order = np.argsort(g)
+        self.g, self.values = g[order], values[order]
+        # A slot without a 4-gram of its own shows the first one with its right value.
+        self.keys = np.full(1 << SLOT_BITS, self.g[0] if len(g) else 0, dtype=np.uint64)
+        self.held = np.full(1 << SLOT_BITS, self.values[0] if len(g) else 0.0)
+        at = _slots(self.g)
+        self.keys[at], self.held[at] = self.g, self.values
+
+    def total(self, g: np.ndarray) -> float:
+        at = _slots(g)
+        out, miss = self.held[at], self.keys[at] != g
+        if miss.any():
+            out[miss] = self.values[np.searchsorted(self.g, g[miss])]
+        return float(out.sum())
+
+
+def packed(rows: DataFrame, block_col: str) -> DataFrame:
+    """(block, data): the rows of each block in compressed runs; their last column is the block."""
+
+    def seal(block: int, parts: list[pa.Table]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        table = pa.concat_tables(parts).combine_chunks()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+            out.write_table(table)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
 
     def run(batches):
-        total = np.zeros(SYMBOLS**ORDER, dtype=np.int64)
+        held: dict[int, tuple[list, int]] = {}
+        total = 0
         for b in batches:
-            for t in b.column(0):
+            if not b.num_rows:
+                continue
+            keys = b.column(b.num_columns - 1).to_numpy()
+            order = np.argsort(keys, kind="stable")
+            table = pa.Table.from_batches([b.select(range(b.num_columns - 1))]).take(pa.array(order))
+            cuts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+            for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                block, part = int(keys[order[lo]]), table.slice(lo, hi - lo)
+                parts, n = held.get(block, ([], 0))
+                held[block] = ([*parts, part], n + part.nbytes)
+                total += part.nbytes
+            every = total > HELD_BYTES
+            for block in [k for k, (_, n) in held.items() if every or n > PACK_BYTES]:
+                parts, n = held.pop(block)
+                total -= n
+                yield seal(block, parts)
+        for block, (parts, _) in held.items():
+            yield seal(block, parts)
+
+    names = [c for c in rows.columns if c != block_col]
+    return rows.select(*[F.col(f"`{c}`") for c in names], F.col(block_col)).mapInArrow(run, "block long, data binary")
+
+
+def unpacked(packs: pa.Table):
+    for data in packs["data"]:
+        with pa.ipc.open_stream(data.as_buffer()) as stream:
+            yield from stream
+
+
+def gram_counts(packs: DataFrame, good: DataFrame, id_at: int, text_at: int) -> DataFrame:
+    """(block, g, c): the 4-grams of each block and how often its trusted documents hold them.
+
+    good: (block, id) of the trusted documents."""
+
+    def run(key, left, right):
+        tally, trusted = Tally(), set(right["id"].to_pylist())
+        waiting: list[tuple[list, int]] = [([], 0), ([], 0)]
+        for b in unpacked(left):
+            for i, t in zip(b.column(id_at).to_pylist(), b.column(text_at), strict=True):
+                kind = int(i is not None and i in trusted)
                 for g in grams(t.as_py() or ""):
-                    if len(g) > 50_000:
-                        total += np.bincount(g, minlength=len(total))
-                    else:
-                        u, n = np.unique(g, return_counts=True)
-                        total[u] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["g", "c"])
-
-    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "g int, c long").groupBy("g").agg(F.sum("c").alias("c"))
-
-
-def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(n, g, p) of seen n-grams without their lower-order share, and (n, h, weight) of the
-    lower-order share of each seen context, from the joined count tables of all orders."""
-    spark = counts.sparkSession
-    level, probs, weights = counts, None, None
+                    parts, n = waiting[kind]
+                    parts.append(g)
+                    waiting[kind] = (parts, n + len(g))
+                    if waiting[kind][1] >= STEP_CHARS:
+                        tally.add(np.concatenate(parts), kind)
+                        waiting[kind] = ([], 0)
+        for kind, (parts, _) in enumerate(waiting):
+            if parts:
+                tally.add(np.concatenate(parts), kind)
+        g, n = tally.result()
+        return pa.Table.from_arrays([pa.array(np.full(len(g), key[0].as_py(), np.int64)), pa.array(g.view(np.int64)), pa.array(n)], names=["block", "g", "c"])
+
+    return packs.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(run, "block long, g long, c long")
+
+
+def _last(g: Column, n: int) -> Column:
+    """The last n units of an n-gram."""
+    return g if n == ORDER else g.bitwiseAND(F.lit((1 << 16 * n) - 1))
+
+
+def _context(g: Column) -> Column:
+    return F.shiftrightunsigned(g, 16)
+
+
+def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, p): the interpolated modified Kneser-Ney probability of each wanted 4-gram's last unit
+    after the others.  counts: (g, c) of trusted text; wanted: (g), distinct."""
+    levels, level = {}, counts
     for n in range(ORDER, 0, -1):
-        # Below the top an n-gram counts for the different symbols seen before it.
+        # Below the top an n-gram counts for the different units seen before it.
         if n < ORDER:
-            level = level.groupBy((F.col("g") % SYMBOLS**n).alias("g")).agg(F.count("*").alias("c"))
-        level = level.select("g", "c")
+            level = level.groupBy(_last(F.col("g"), n).alias("g")).agg(F.count("*").alias("c"))
+        level, _ = materialize(level.select("g", "c"), f"counts{n}")
         k = level.groupBy().agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
         y = k.n1 / (k.n1 + 2 * k.n2) if k.n1 else 0.0
         # Chen and Goodman's three discounts; where a count of counts is missing, one half of the count.
         ds = [min(max(i - (i + 1) * y * k[f"n{i + 1}"] / k[f"n{i}"], 0.0), float(i)) if y and k[f"n{i}"] and k[f"n{i + 1}"] else i / 2 for i in (1, 2, 3)]
         d = F.when(F.col("c") == 1, ds[0]).when(F.col("c") == 2, ds[1]).otherwise(ds[2])
-        own = level.withColumns({"h": F.expr(f"g div {SYMBOLS}").cast("int"), "d": d})
+        own = level.withColumns({"h": _context(F.col("g")), "d": d})
         totals = own.groupBy("h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("weight"))
-        p = own.join(totals, "h").select(F.lit(n).alias("n"), F.col("g").cast("int").alias("g"), ((F.col("c") - F.col("d")) / F.col("total")).alias("p"))
-        w = totals.select(F.lit(n).alias("n"), "h", "weight")
-        probs, weights = (p, w) if probs is None else (probs.union(p), weights.union(w))
-    return probs, weights
-
-
-def train(trusted: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The natural log of every 4-gram's probability, as a dense table of bounded size."""
-    counts, path = materialize(gram_counts(trusted, text_col), "ngrams")
-    probs, weights = (t.toArrow() for t in kneser_ney(counts))  # 40^4 + 40^3 + ... rows at most
-    remove(trusted.sparkSession, path)
-    pn, pg, pp = (probs.column(c).to_numpy() for c in ("n", "g", "p"))
-    wn, wh, ww = (weights.column(c).to_numpy() for c in ("n", "h", "weight"))
-    lower = np.full(1, 1.0 / SYMBOLS)
+        levels[n] = own.join(totals, "h").select("g", ((F.col("c") - F.col("d")) / F.col("total")).alias("own")), totals.select("h", "weight")
+    lower = None
     for n in range(1, ORDER + 1):
-        share = np.ones(SYMBOLS ** (n - 1))  # an unseen context leaves all to the lower order
-        share[wh[wn == n]] = ww[wn == n]
-        g = np.arange(SYMBOLS**n)
-        table = share[g // SYMBOLS] * (lower[g % SYMBOLS ** (n - 1)] if n > 1 else lower[0])
-        table[pg[pn == n]] += pp[pn == n]
-        lower = table
-    return np.log(np.maximum(lower, 1e-12)).astype(np.float32)
+        need = wanted if n == ORDER else wanted.select(_last(F.col("g"), n).alias("g")).distinct()
+        own, weights = levels[n]
+        out = need.withColumn("h", _context(F.col("g"))).join(own, "g", "left").join(weights, "h", "left")
+        if n > 1:
+            out = out.withColumn("s", _last(F.col("g"), n - 1)).join(lower.toDF("s", "below"), "s")
+        else:
+            out = out.withColumn("below", F.lit(1.0 / UNITS))
+        # An unseen context leaves all to the lower order.
+        lower, _ = materialize(out.select("g", (F.coalesce("own", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p")), f"probabilities{n}")
+    return lower
 
 
 def fresh(name: str, taken) -> str:
@@ -147,37 +229,38 @@ def fresh(name: str, taken) -> str:
     return name
 
 
-def score(docs: DataFrame, model: np.ndarray, text_col: str = "text", into: str = "score", keep_text: bool = True) -> DataFrame:
-    """docs with a struct column `into`: log_ppl (mean negative log probability of a character,
-    null without characters) and chars."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # SYMBOLS ** ORDER floats: 10 MB, whatever the corpus
-    kept = [c for c in docs.columns if keep_text or c != text_col]
-    own = fresh("_text", docs.columns)
+def score(packs: DataFrame, known: DataFrame, schema: T.StructType, text_at: int, into: str, keep_text: bool = True) -> DataFrame:
+    """The packed rows (of such a schema) with a struct column `into`: log_ppl (mean negative log
+    probability of a character, null without characters) and chars.
 
-    def run(batches):
-        logp = shipped.value
-        for b in batches:
-            out, n = [], []
-            for t in b.column(b.num_columns - 1):
-                sums = [(len(g), float(logp[g].sum(dtype=np.float64))) for g in grams(t.as_py() or "")]
+    known: (block, g, p), the probability of every 4-gram of each block."""
+    kept = [i for i in range(len(schema)) if keep_text or i != text_at]
+
+    def run(key, left, right):
+        look = Lookup(right["g"].to_numpy().view(np.uint64), np.log(right["p"].to_numpy()))
+        out = []
+        for b in unpacked(left):
+            mean, n = [], []
+            for t in b.column(text_at):
+                sums = [(len(g), look.total(g)) for g in grams(t.as_py() or "")]
                 n.append(sum(k for k, _ in sums))
-                out.append(-sum(s for _, s in sums) / n[-1] if n[-1] else None)
-            made = pa.StructArray.from_arrays([pa.array(out, pa.float64()), pa.array(n, pa.int64())], names=["log_ppl", "chars"])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=[*b.schema.names[:-1], into])
+                mean.append(-sum(s for _, s in sums) / n[-1] if n[-1] else None)
+            made = pa.StructArray.from_arrays([pa.array(mean, pa.float64()), pa.array(n, pa.int64())], names=["log_ppl", "chars"])
+            out.append(pa.Table.from_arrays([*(b.column(i) for i in kept), made], names=[*(schema[i].name for i in kept), into]))
+        return pa.concat_tables(out)  # every block in known has rows
 
-    src = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias(own))
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField(into, T.StructType([T.StructField("log_ppl", T.DoubleType()), T.StructField("chars", T.LongType())]))])
-    return src.mapInArrow(run, schema)
+    fields = T.StructType([*(schema[i] for i in kept), T.StructField(into, T.StructType([T.StructField("log_ppl", T.DoubleType()), T.StructField("chars", T.LongType())]))])
+    return packs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, fields)
 
 
 def limits(scores: DataFrame, good: DataFrame) -> tuple[DataFrame, float | None, float | None]:
     """(lang, mid, limit) of the languages with enough trusted documents, and mid and limit of all;
-    scores: (doc_id, lang, log_ppl), good: ids of trusted documents."""
-    known = scores.join(good, "doc_id", "left_semi").where("log_ppl IS NOT NULL")
+    scores: (id, lang, log_ppl), good: ids of trusted documents."""
+    known = scores.join(good.hint("merge"), "id", "left_semi").where("log_ppl IS NOT NULL")
     # Bounded sketches of all trusted documents: for each language, then for all (a null language).
     q = F.percentile_approx("log_ppl", F.array(F.lit(MIDDLE), F.lit(UPPER)), F.lit(1000))
     marks = known.cube("lang").agg(q.alias("q"), F.count("*").alias("n"), F.grouping("lang").alias("all")).where((F.col("all") == 1) | (F.col("lang").isNotNull() & (F.col("n") >= MIN_TRUSTED)))
-    marks, _ = materialize(marks.select("lang", "all", F.col("q")[0].alias("mid"), (F.col("q")[1] + SLACK * (F.col("q")[1] - F.col("q")[0])).alias("limit")), "quality-limits")
+    marks, _ = materialize(marks.select("lang", "all", F.col("q")[0].alias("mid"), (F.col("q")[1] + F.greatest(SLACK * (F.col("q")[1] - F.col("q")[0]), F.lit(LEAST))).alias("limit")), "quality-limits")
     top = marks.where("all = 1").first()
     return marks.where("all = 0").drop("all"), *((top["mid"], top["limit"]) if top else (None, None))
 
@@ -192,14 +275,21 @@ def judged(docs: DataFrame, labels: DataFrame, into: str = "verdict", keep_text:
     trusted document nothing is rejected.  Null ids are never trusted, repeated rows count as
     often as they occur, other columns pass through.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    # Texts move once, to meet their labels; merge joins keep the plan alike at every size.
-    model = train(base.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
-    tmp, lang = fresh("_score", [*docs.columns, into]), fresh("_lang", docs.columns)
-    narrow, _ = materialize(score(base, model, keep_text=False).select("doc_id", "lang", "score.*"), "perplexity")
-    own, mid_all, limit_all = limits(narrow.drop("chars"), good)
-    scored = score(docs, model, into=tmp, keep_text=keep_text)
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    tmp, lang, ident, block = fresh("_score", [*docs.columns, into]), fresh("_lang", docs.columns), fresh("_id", docs.columns), fresh("_block", docs.columns)
+    base = docs.withColumns({"text": F.col("text").cast("string"), ident: F.col("doc_id").cast("long")})
+    schema, text_at = base.schema, base.columns.index("text")
+    chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = F.lit(chars // BLOCK_CHARS + 1)
+    dealt = base.withColumn(block, F.pmod(F.when(F.col(ident).isNull(), F.xxhash64("text")).otherwise(F.xxhash64(ident)), blocks))
+    packs = packed(dealt, block)
+    counts, counts_path = materialize(gram_counts(packs, good.select(F.pmod(F.xxhash64("id"), blocks).alias("block"), "id"), len(schema) - 1, text_at), "block-grams")
+    sums, sums_path = materialize(counts.groupBy("g").agg(F.sum("c").alias("c")), "grams")
+    known = counts.select("block", "g").join(probabilities(sums.where("c > 0"), sums.select("g")), "g").select("block", "g", "p")
+    scored, _ = materialize(score(packs, known, schema, text_at, tmp, keep_text), "perplexity")
+    remove(docs.sparkSession, counts_path, sums_path)
+    narrow = scored.select(F.col(ident).alias("id"), F.col("lang").cast("string").alias("lang"), F.col(f"{tmp}.log_ppl").alias("log_ppl"))
+    own, mid_all, limit_all = limits(narrow, good)
     own = own.select(F.col("lang").alias(lang), F.struct("mid", "limit").alias(fresh("_own", docs.columns)))
     out = scored.join(own, scored["lang"].cast("string") == own[lang], "left")
     mark = out[own.columns[1]]
@@ -207,7 +297,7 @@ def judged(docs: DataFrame, labels: DataFrame, into: str = "verdict", keep_text:
     ppl, chars = out[tmp]["log_ppl"], out[tmp]["chars"]
     steady = mid + F.least(chars / F.lit(float(STEADY_CHARS)), F.lit(1.0)) * (ppl - mid)
     verdict = F.struct(ppl.alias("log_ppl"), chars.alias("chars"), limit.alias("threshold"), F.coalesce(steady <= limit, F.lit(True)).alias("keep"))
-    return out.select(*[scored[f"`{c}`"] for c in scored.columns[:-1]], verdict.alias(into))
+    return out.select(*[scored[f"`{c}`"] for c in docs.columns if keep_text or c != "text"], verdict.alias(into))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """The corpus operators against brute force, round trips and held-out accuracy, with odd inputs."""
 
+import collections
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -251,10 +253,67 @@ def test_bpe_long_text_and_odd_rows(spark, vocab, monkeypatch):
 # 8 quality
 
 
-def test_kneser_ney_sums_to_one(spark):
-    model = quality.train(spark.createDataFrame([("the cat sat on the mat. " * 5,), ("a dog, a log.",), (None,)], "text string"))
-    p = np.exp(model.astype(np.float64)).reshape(-1, quality.SYMBOLS).sum(axis=1)
-    assert abs(p - 1).max() < 1e-3
+def kneser_ney(texts):
+    """p(unit | 3 units before) by plain recursion over the trusted texts."""
+    level = collections.Counter(t[i : i + 4] for x in texts for t in ["\n\n\n" + x] for i in range(len(t) - 3))
+    levels = {4: level}
+    for n in (3, 2, 1):
+        levels[n] = collections.Counter(g[1:] for g in levels[n + 1])
+    cuts = {}
+    for n, c in levels.items():
+        k = [0, *(sum(v == i for v in c.values()) for i in range(1, 5))]
+        y = k[1] / (k[1] + 2 * k[2]) if k[1] else 0
+        cuts[n] = [min(max(i - (i + 1) * y * k[i + 1] / k[i], 0), i) if y and k[i] and k[i + 1] else i / 2 for i in (1, 2, 3)]
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / 65536
+        same = {x: c for x, c in levels[n].items() if x[:-1] == g[:-1]}
+        if not same:
+            return p(g[1:])
+        cut = lambda c: cuts[n][min(c, 3) - 1]
+        total, c = sum(same.values()), levels[n].get(g, 0)
+        return (c - cut(c) if c else 0) / total + sum(map(cut, same.values())) / total * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_against_recursion(spark):
+    trusted, other = ["the cat sat on the mat. " * 5, "a dog, a log.", "Größe \u4e2d\u6587"], ["the cog", "zzzz", "\u4e2d!", "", None]
+    d = docs(spark, list(enumerate([*trusted, *other])))
+    labels = spark.createDataFrame([(i, int(i < 3), 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.judgement for r in quality.judged(d, labels, into="judgement").collect()}
+    p = kneser_ney(trusted)
+    for i, t in enumerate([*trusted, *other]):
+        if not t:
+            assert got[i].log_ppl is None and got[i].chars == 0 and got[i].keep
+        else:
+            x = "\n\n\n" + t
+            assert got[i].chars == len(t)
+            assert abs(got[i].log_ppl + sum(math.log(p(x[k : k + 4])) for k in range(len(t))) / len(t)) < 1e-9
+    units = {c for t in trusted for c in t}
+    for h in ("the", "zzz", "e c"):
+        seen = sum(p(h + c) for c in units)
+        assert abs(seen + (65536 - len(units)) * p(h + "\u0100") - 1) < 1e-9
+
+
+def test_ngram_counts_beyond_their_slots(monkeypatch):
+    monkeypatch.setattr(quality, "SLOT_BITS", 6)
+    r = np.random.default_rng(1)
+    tally, want = quality.Tally(), collections.Counter()
+    for k in range(40):
+        g = r.integers(0, 300, 500, dtype=np.uint64) << np.uint64(44)
+        tally.add(g, k % 2)
+        want.update({int(x): 0 for x in g})
+        if k % 2:
+            want.update(g.tolist())
+    g, n = tally.result()
+    assert dict(zip(g.tolist(), n.tolist(), strict=True)) == dict(want)
+    look = quality.Lookup(r.permutation(g), np.zeros(len(g)))
+    assert look.total(g) == 0.0
+    look = quality.Lookup(g, g.astype(float))
+    assert look.total(g[::-1]) == g.astype(float).sum()
 
 
 def test_quality_on_held_out_documents(spark):
