@@ -11,11 +11,13 @@ distance at most 1 from both, which differs from them only in positions the tabl
 each bucket member names itself and its one-bit neighbours in free positions, and members that
 name the same point (65 at most) are linked.  That is done in memory for many buckets at once,
 which give each member's root only; buckets that a sample shows to be very large exchange the
-named points instead.  Both ways are exact, so the sample decides no result.  Components come from alternating large-star and small-star rounds, each written to the
-shared folder.
+named points instead.  Both ways are exact, so the sample decides no result.  Components come
+from alternating large-star and small-star rounds, each written to the shared folder.
 
 Near duplicates by 5-word shingles need more than one fingerprint to be found: for them several
-independent fingerprints of word pairs propose links, and exact Jaccard similarity decides.
+independent fingerprints of the set of words propose links, and exact Jaccard similarity decides.
+One edited word changes five shingles but one word, so such pairs are close in words: at a
+similarity of 0.8 each fingerprint brings over a quarter of them within 2 bits.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ RADIUS = 2
 #: SAMPLED of them, from which it is exchanged instead.
 PART_ROWS, IN_MEMORY, SAMPLED = 50_000, 100_000, 64
 #: Fingerprints that propose near copies by 5-word shingles.
-FAMILY = 12
+FAMILY = 16
 #: Words hashed at a time, so that a text of any length needs bounded memory.
 BLOCK_WORDS = 50_000
 
@@ -67,24 +69,28 @@ def shingle_hashes(text: str | None, shingle: int):
         yield np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=len(grams))
 
 
-def simhash(text: str | None, shingle: int = 3, family: int = 1) -> list[int]:
-    """Unsigned 64-bit SimHashes of a text, one for each hash of the family; no words: 0."""
+def simhash(text: str | None, shingle: int = 3, family: int = 1, distinct: bool = False) -> list[int]:
+    """Unsigned 64-bit SimHashes of a text, one for each hash of the family; no words: 0.
+    distinct: shingles that repeat count once."""
     n, ones = 0, np.zeros((family, 64), dtype=np.int64)
-    for h in shingle_hashes(text, shingle):
+    hashes = shingle_hashes(text, shingle)
+    if distinct:
+        hashes = [np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))]
+    for h in hashes:
         n += len(h)
         for k in range(family):
             ones[k] += np.unpackbits(_spread(h, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return [int.from_bytes(np.packbits(row * 2 > n).tobytes(), "big") for row in ones]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, family: int = 1, digest: bool = False) -> DataFrame:
-    """(doc_id, fps): one row per input row; fps are its SimHashes as signed longs.  digest: with
-    sha, the SHA-256 of the text."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, family: int = 1, distinct: bool = False, digest: bool = False) -> DataFrame:
+    """(doc_id, fps): one row per input row; fps are its SimHashes as signed longs.  distinct:
+    repeated shingles count once.  digest: with sha, the SHA-256 of the text."""
     import hashlib
 
     def run(batches):
         for b in batches:
-            fps = [[_signed(x) for x in simhash(t.as_py(), shingle, family)] for t in b.column(1)]
+            fps = [[_signed(x) for x in simhash(t.as_py(), shingle, family, distinct)] for t in b.column(1)]
             cols, names = [b.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"]
             if digest:
                 cols, names = [*cols, pa.array([hashlib.sha256((t.as_py() or "").encode()).digest() for t in b.column(1)], pa.binary())], [*names, "sha"]
@@ -225,14 +231,14 @@ def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int
     """docs without all but the smallest id of each group of near copies, with their columns.
 
     Groups are connected by exact copies and by pairs whose sets of 5-word shingles have a Jaccard
-    similarity of 0.8 or more; the pairs compared are those that one of `family` SimHashes of word
-    pairs brings within 2 bits of a common fingerprint.  Rows that repeat an id and text are one
+    similarity of 0.8 or more; the pairs compared are those that one of `family` SimHashes of the
+    distinct words brings within 2 bits of a common fingerprint.  Rows that repeat an id and text are one
     document and all stay.  Documents with null ids go only as exact copies of another one; null
     and empty texts are exact copies of one another.
     """
     last = F.lit((1 << 63) - 1)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marked, _ = materialize(fingerprints(src, "doc_id", "text", 2, family, digest=True), "family")
+    marked, _ = materialize(fingerprints(src, "doc_id", "text", 1, family, distinct=True, digest=True), "family")
     firsts = marked.groupBy("sha").agg(F.min(F.coalesce("doc_id", last)).alias("first"))
     # (place, sha) of the rows that go: later exact copies first, then near copies.
     copies = marked.join(firsts, "sha").where(F.coalesce("doc_id", last) > F.col("first")).select(F.coalesce("doc_id", last).alias("place"), "sha")

@@ -426,6 +426,25 @@ def test_near_copies(spark):
     assert simhash.first_of_near_copies(docs(spark).limit(0)).count() == 0
 
 
+def test_near_copies_close_to_the_threshold(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghijkl", k=r.randint(3, 9)))
+    data, near, far = [], set(), set()
+    for k in range(150):
+        w = [word() for _ in range(200)]
+        data.append((3 * k, " ".join(w)))
+        for step, (edits, group) in enumerate(((4, near), (9, far)), 1):
+            other = w.copy()
+            for at in range(10, 10 + 20 * edits, 20):
+                other[at] = word()
+            data.append((3 * k + step, " ".join(other)))
+            assert (simhash.jaccard(data[3 * k][1], data[-1][1], 5) >= 0.8) == (group is near)
+            group.add(3 * k + step)
+    kept = {x.doc_id for x in simhash.first_of_near_copies(docs(spark, data)).collect()}
+    assert far <= kept and set(range(0, 450, 3)) <= kept
+    assert len(near - kept) >= 0.9 * len(near)
+
+
 # pipeline
 
 
