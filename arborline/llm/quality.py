@@ -32,7 +32,7 @@ MIN_TRUSTED = 20
 #: Characters of a block of documents on average, and characters made into n-grams at a time.
 BLOCK_CHARS, STEP_CHARS = 16 << 20, 1 << 20
 #: Bytes of rows packed together, and of all rows that a task holds unpacked.
-PACK_BYTES, HELD_BYTES = 4 << 20, 96 << 20
+PACK_BYTES, HELD_BYTES = 4 << 20, 24 << 20
 SLOT_BITS = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,20 +130,21 @@ def packed(rows: DataFrame, block_col: str) -> DataFrame:
                 continue
             keys = b.column(b.num_columns - 1).to_numpy()
             order = np.argsort(keys, kind="stable")
-            table = pa.Table.from_batches([b.select(range(b.num_columns - 1))]).take(pa.array(order))
+            table = pa.Table.from_batches([b.select(range(b.num_columns - 1))])
             cuts = np.flatnonzero(np.diff(keys[order], prepend=-1))
             for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                block, part = int(keys[order[lo]]), table.slice(lo, hi - lo)
+                block, part = int(keys[order[lo]]), table.take(pa.array(order[lo:hi]))
                 parts, n = held.get(block, ([], 0))
                 held[block] = ([*parts, part], n + part.nbytes)
                 total += part.nbytes
-            every = total > HELD_BYTES
-            for block in [k for k, (_, n) in held.items() if every or n > PACK_BYTES]:
-                parts, n = held.pop(block)
-                total -= n
-                yield seal(block, parts)
+                full = list(held) if total > HELD_BYTES else [block] if held[block][1] > PACK_BYTES else []
+                for k in full:
+                    parts, n = held.pop(k)
+                    total -= n
+                    yield seal(k, parts)
         for block, (parts, _) in held.items():
             yield seal(block, parts)
+        pa.default_memory_pool().release_unused()  # the worker lives on in other stages
 
     names = [c for c in rows.columns if c != block_col]
     return rows.select(*[F.col(f"`{c}`") for c in names], F.col(block_col)).mapInArrow(run, "block long, data binary")
