@@ -38,6 +38,8 @@ RADIUS = 2
 PART_ROWS, IN_MEMORY, SAMPLED = 50_000, 100_000, 64
 #: Fingerprints that propose near copies by 5-word shingles.
 FAMILY = 16
+#: Shingle sets in a block of a group that is compared in full, cells in a task, and tasks at least.
+BLOCK_BYTES, CELLS_PER_PART, LEAST_PARTS = 2 << 20, 64, 64
 #: Words hashed at a time, so that a text of any length needs bounded memory.
 BLOCK_WORDS = 50_000
 
@@ -227,12 +229,87 @@ def jaccard(a: str | None, b: str | None, shingle: int) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
+def _cell_links(ids: np.ndarray, comps: np.ndarray, left: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between documents on the left and any others that join different components: enough
+    of them that no two components with a similar pair stay apart."""
+    names, comp = np.unique(comps, return_inverse=True)
+    if len(names) == 1:
+        return []
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(shingle))]) if len(shingle) else np.zeros(1, np.int64)
+    holders, first = owner[order], np.cumsum(size) - size
+    out = []
+    for x in np.flatnonzero(left):
+        if (comp == comp[x]).all():
+            continue
+        mine = shingle[first[x] : first[x] + size[x]]
+        lists = [holders[start[k] : start[k + 1]] for k in mine[start[mine + 1] - start[mine] > 1]] if len(mine) else []
+        both = np.bincount(np.concatenate(lists), minlength=len(sets)) if lists else np.zeros(len(sets), np.int64)
+        either = size[x] + size - both
+        for y in np.flatnonzero(np.where(either > 0, both / np.maximum(either, 1), 1.0) >= similarity):
+            if comp[y] != comp[x]:
+                out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+                comp[comp == comp[y]] = comp[x]
+    return out
+
+
+def links_left(pairs: DataFrame, joined: DataFrame, text: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(u, v), u > v: the similar pairs that verified proposals have not joined yet.
+
+    Refused proposals (a, b) between different components of the verified links (u, root) connect these to
+    groups, so any two fingerprints within 2 bits are in one component or one group.  Each document
+    outside the largest component is compared with every document of its group.  The two sides are
+    dealt in blocks of about BLOCK_BYTES, a cell for each two blocks, so no task holds a large group.
+    """
+    comp, _ = materialize(text.select("i").distinct().join(joined.select(F.col("u").alias("i"), "root"), "i", "left").select("i", F.coalesce("root", "i").alias("c")), "near-members")
+    across = pairs.hint("merge").join(comp.toDF("a", "ca"), "a").hint("merge").join(comp.toDF("b", "cb"), "b").where("ca <> cb")
+    groups, _ = components(across.select(F.greatest("ca", "cb").alias("u"), F.least("ca", "cb").alias("v")).distinct(), "proposed")
+    group = groups.select(F.col("u").alias("c"), F.col("root").alias("g")).union(groups.select("root", "root").distinct())
+    member = comp.join(group, "c")
+    largest = member.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("largest"))
+    open_ = member.join(largest, "g").select("i", "g", "c", (F.col("c") != F.col("largest")).alias("rest"))
+
+    def hashed(batches):
+        for b in batches:
+            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), shingle)])).tobytes() for t in b.column(4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], names=["i", "g", "c", "rest", "h"])
+
+    sets, _ = materialize(open_.hint("merge").join(text, "i").select("i", "g", "c", "rest", "t").mapInArrow(hashed, "i long, g long, c long, rest boolean, h binary"), "shingle-sets")
+    weight = lambda side: F.ceil(F.sum(F.when(side, F.octet_length("h") + 64).otherwise(0)) / BLOCK_BYTES)
+    blocks = sets.groupBy("g").agg(weight(F.col("rest")).alias("kr"), weight(~F.col("rest")).alias("kd"))
+    # Blocks 0..kr-1 are the rest, kr..kr+kd-1 the largest component; a cell is (left, right), left < kr.
+    placed = sets.join(blocks, "g").withColumn("block", F.when(F.col("rest"), F.pmod(F.xxhash64("i"), "kr")).otherwise(F.col("kr") + F.pmod(F.xxhash64("i"), "kd")))
+    lefts = placed.where("rest").select("i", "g", "c", "h", F.col("block").alias("x"), F.explode(F.expr("sequence(block, kr + kd - 1)")).alias("y"), F.lit(True).alias("left"))
+    rights = placed.select("i", "g", "c", "h", F.explode(F.expr("sequence(0L, least(block, kr - 1))")).alias("x"), F.col("block").alias("y"), F.lit(False).alias("left")).where("x < y")
+    sums = blocks.agg(F.sum((F.col("kr") + F.col("kd")) * F.col("kr"))).first()[0] or 0
+    n = max(LEAST_PARTS, int(sums) // CELLS_PER_PART)
+    cells = lefts.union(rights).withColumn("part", F.pmod(F.xxhash64("g", "x", "y"), F.lit(n)).cast("int"))
+
+    def compare(table):
+        keys = np.stack([table[k].to_numpy() for k in ("y", "x", "g")])
+        order = np.lexsort(keys)
+        keys = keys[:, order]
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        ids, comps, left, found = table["i"].to_numpy(), table["c"].to_numpy(), table["left"].to_numpy(), []
+        for at in np.split(order, cuts):
+            found += _cell_links(ids[at], comps[at], left[at], [np.frombuffer(table["h"][k].as_buffer(), np.uint64) for k in at], similarity)
+        u, v = zip(*found, strict=True) if found else ((), ())
+        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return cells.groupBy("part").applyInArrow(compare, "u long, v long").distinct()
+
+
 def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, family: int = FAMILY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but the smallest id of each group of near copies, with their columns.
 
     Groups are connected by exact copies and by pairs whose sets of 5-word shingles have a Jaccard
-    similarity of 0.8 or more; the pairs compared are those that one of `family` SimHashes of the
-    distinct words brings within 2 bits of a common fingerprint.  Rows that repeat an id and text are one
+    similarity of 0.8 or more.  Proposals come from `family` SimHashes of the distinct words, by
+    covering LSH of radius 2.  Stars are verified first; where that leaves a group of proposals in
+    several components, all its pairs across them are compared.  So a similar pair is missed only if
+    no chain of fingerprints within 2 bits connects the two.  Rows that repeat an id and text are one
     document and all stay.  Documents with null ids go only as exact copies of another one; null
     and empty texts are exact copies of one another.
     """
@@ -257,10 +334,14 @@ def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int
     def verify(batches):
         for b in batches:
             ok = [jaccard(x.as_py(), y.as_py(), shingle) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
 
     both = pairs.hint("merge").join(text.toDF("a", "x"), "a").hint("merge").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    roots, _ = components(both.mapInArrow(verify, "u long, v long").distinct(), "near")
+    verified, _ = materialize(both.mapInArrow(verify, "u long, v long, ok boolean").distinct(), "verified")
+    joined, _ = components(verified.where("ok").select("u", "v"), "near")
+    refused = verified.where("NOT ok").select(F.col("u").alias("a"), F.col("v").alias("b"))  # the others lie within components
+    more, _ = materialize(links_left(refused, joined, text, similarity, shingle), "near-left")
+    roots, _ = components(joined.select("u", F.col("root").alias("v")).union(more).distinct(), "near")
     near = single.join(roots.select(F.col("u").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("place"), "sha")
     names = ["_place", "_sha"]
     while set(names) & set(docs.columns):

@@ -445,6 +445,32 @@ def test_near_copies_close_to_the_threshold(spark):
     assert len(near - kept) >= 0.9 * len(near)
 
 
+@pytest.mark.parametrize("block", [2 << 20, 20_000])
+def test_near_copies_of_a_large_group(spark, monkeypatch, block):
+    """Copies of one base that are near it and mostly not near one another, in small blocks too."""
+    r = random.Random(10)
+    word = lambda: "".join(r.choices("abcdefghijkl", k=r.randint(3, 9)))
+    data = []
+    for g in range(2):
+        base = [word() for _ in range(200)]
+        texts = []
+        for _ in range(120):
+            w = base.copy()
+            for at in range(r.randrange(5, 40), 199, 45):
+                w[at] = word()
+            texts.append(" ".join(w))
+        texts.insert(r.randrange(50, 100), " ".join(base))  # the base is not the smallest id
+        data += [(1000 * g + k, t) for k, t in enumerate(texts)]
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block, raising=False)
+    fps = {i: simhash.simhash(t, 1, simhash.FAMILY, distinct=True) for i, t in data}
+    ids = [i for i, _ in data]
+    proposed = components_of(ids, lambda a, b: a // 1000 == b // 1000 and any(bin(x ^ y).count("1") <= 2 for x, y in zip(fps[a], fps[b], strict=True)))
+    text = dict(data)
+    root = components_of(ids, lambda a, b: proposed[a] == proposed[b] and simhash.jaccard(text[a], text[b], 5) >= 0.8)
+    kept = {x.doc_id for x in simhash.first_of_near_copies(docs(spark, data)).collect()}
+    assert kept == {min(i for i in ids if root[i] == k) for k in root.values()}
+
+
 # pipeline
 
 
