@@ -1,4 +1,7 @@
-"""Secret scanning: token candidates, then a random forest that removes false findings.
+"""Secret scanning: candidates, then a random forest that removes false findings.
+
+Candidates are long tokens with a digit, whatever a known key prefix opens, values of any length
+and characters assigned to a name with a credential word in it, and passwords of urls.
 
 Features are the candidate's length, its character classes and transitions, how much of it
 dictionary pieces cover, whether it looks like a path, and the words beside it.  The forest is
@@ -29,14 +32,24 @@ THRESHOLD = 0.5
 CONTEXT = 40
 MASK = "[SECRET]"
 
-#: A run of token characters with a digit in it, or one opened by a known key prefix.
+#: A run of token characters with a digit in it; LEAST characters or more count.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*+[0-9])[A-Za-z0-9+/_\-](?:[A-Za-z0-9+/_.\-]*[A-Za-z0-9+/_\-])?={0,2}(?![A-Za-z0-9+/_])")
 LEAST = 12
 # Words that stand beside credentials, words that stand beside harmless digests, key prefixes.
 NEAR_SECRET = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "bearer", "credential", "private")
 NEAR_HARMLESS = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "revision", "uuid", "guid", "isbn", "version", "order", "invoice", "phone", "card", "tracking")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "AIza", "glpat-")
-FEATURES = ("length", "digits", "upper", "lower", "other", "entropy", "transitions", "switches", "coverage", "slashes", "dots", "hex", "separators", "prefix", "near_secret", "near_harmless", "assigned", "quoted", "sentence_word")
+#: A known key prefix and what follows, digit or not; LEAST characters or more count.
+PREFIXED = re.compile(f"(?:{'|'.join(PREFIXES)})[A-Za-z0-9+/_\\-]*={{0,2}}")
+#: An assignment, the name before it, and the value behind it.
+ASSIGNED = re.compile(r"[:=][=>]?\s{0,8}")
+NAMED = re.compile(f"(?:{'|'.join(NEAR_SECRET)})[A-Za-z0-9_\\-]{{0,32}}[\"'\\]]{{0,2}}\\s{{0,8}}\\Z", re.I)
+VALUE = re.compile(r"(?:(?:bearer|basic|token)\s{1,8})?(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"']\S*))", re.I)
+LOGIN = re.compile(r"://[^\s/@:]{0,256}:([^\s/@]+)@")
+BEFORE_LOGIN = re.compile(r"://[^\s/@:]*:$")
+# What stands in a credential's place without being one.
+STAND_INS = ("none", "null", "nil", "true", "false", "yes", "no", "string", "str", "text", "required", "optional", "empty", "password", "secret", "token", "xxx", "xxxxxxxx", "********", "...", "changeme", "your_token_here", "your-password", "<password>", "<token>", "${PASSWORD}", "{{token}}", "$TOKEN", "%s", "os.environ[\"TOKEN\"]", "getpass()", "config.get(key)", "[SECRET]")
+FEATURES = ("length", "digits", "upper", "lower", "other", "entropy", "transitions", "switches", "coverage", "slashes", "dots", "hex", "separators", "prefix", "near_secret", "near_harmless", "assigned", "quoted", "sentence_word", "login", "stand_in", "named")
 
 
 @lru_cache(maxsize=2)
@@ -61,7 +74,7 @@ def features(token: str, before: str, after: str, lang) -> list[float]:
     letters = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in low]
     moves = trans[letters[:-1], letters[1:]].mean() if n > 1 else 0.0
     covered, i = 0, 0
-    while i < min(n, 200):
+    while i < n:
         for size in range(min(14, n - i), 3, -1):
             if low[i : i + size] in pieces:
                 covered += size
@@ -76,6 +89,8 @@ def features(token: str, before: str, after: str, lang) -> list[float]:
         float(all(c in "0123456789abcdef" for c in low)), token.count("-") + token.count("_"), float(token.startswith(PREFIXES)),
         float(any(w in left[-24:] for w in NEAR_SECRET)), float(any(w in left[-24:] for w in NEAR_HARMLESS)),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in "\"'" and after[:1] in "\"'" and bool(after)), float(bool(words) and len(words[-1]) > 1 and before[-1:] == " "),
+        float(after[:1] == "@" and bool(BEFORE_LOGIN.search(before))), float(low in STAND_INS or token[0] in "$<{%[" or len(set(token)) == 1 or "(" in token or "[" in token),
+        float(bool((m := list(ASSIGNED.finditer(before[-24:]))) and NAMED.search(before[: len(before) - len(before[-24:]) + m[-1].start()]))),
     ]
 
 
@@ -92,7 +107,7 @@ def labelled_findings(n: int = LABELLED_FINDINGS, seed: int = SEED) -> list[tupl
     for i in range(n):
         lead = prose() if r.random() < 0.9 else ""
         if i % 2:
-            kind = r.randrange(6)
+            kind = r.randrange(12)
             if kind == 0:
                 b, v, a = "", "AKIA" + pick(up, 16), r.choice([" ", ".", "\n", ""])
             elif kind == 1:
@@ -103,11 +118,23 @@ def labelled_findings(n: int = LABELLED_FINDINGS, seed: int = SEED) -> list[tupl
                 b, v, a = "", r.choice(["ghp_", "xoxb-", "sk_live_", "AIza", "glpat-"]) + pick(alnum, r.randint(24, 36)), " "
             elif kind == 4:
                 b, v, a = r.choice(["Bearer ", "authorization: ", "secret "]), pick(alnum + "-_", r.randint(32, 64)), " "
-            else:
+            elif kind == 5:
                 b, v, a = "", pick(alnum + "+/", 40) + r.choice(["", "="]), r.choice([" ", "\n"])
-            v = v if any(c.isdigit() for c in v) else v + "7"
+            elif kind == 6:
+                b, v, a = "", r.choice(["AKIA", "ASIA"]) + pick(up[:26], 16), r.choice([" ", ".", "\n", ""])
+            elif kind == 7:
+                b, v, a = wrap(r.choice(["token", "api_key", "client_secret", "PRIVATE_KEY", "authToken"]), pick(alnum[:52], r.randint(16, 48)))
+            elif kind < 11:
+                short = r.choice([lambda: word() + str(r.randint(0, 9999)) + r.choice(["", "x9", "!", "#", "-2024!"]), lambda: pick(alnum + "!@#$%^*-_+?~", r.randint(5, 16))])()
+                b, v, a = wrap(r.choice(["password", "passwd", "pwd", "db_password", "PASSWORD"]), short)
+                if a[:1] in "\"'" and r.random() < 0.2:
+                    v = word() + word() + word()
+            else:
+                b, v, a = r.choice(["postgres", "mysql", "https", "redis", "amqp"]) + "://" + r.choice(["", word()]) + ":", r.choice([pick(alnum, r.randint(4, 16)), word() + str(r.randint(0, 999))]), "@" + word() + r.choice(["/x ", ":5432 ", " "])
+            if kind < 6:
+                v = v if any(c.isdigit() for c in v) else v + "7"
         else:
-            kind = r.randrange(9)
+            kind = r.randrange(12)
             if kind == 0:
                 b, v, a = r.choice(["commit ", "sha1: ", "md5 ", "checksum ", "revision ", "digest="]), pick(hexa, r.choice([32, 40, 64])), " "
             elif kind == 1:
@@ -124,8 +151,14 @@ def labelled_findings(n: int = LABELLED_FINDINGS, seed: int = SEED) -> list[tupl
                 b, v, a = r.choice(["+1 ", "phone ", "card ", "isbn "]), "-".join(str(r.randint(100, 9999)) for _ in range(r.randint(3, 4))), " "
             elif kind == 7:
                 b, v, a = r.choice(["version ", "v", ""]), ".".join(str(r.randint(0, 9999)) for _ in range(4)) + r.choice(["", "-beta1", "-release"]), " "
-            else:
+            elif kind == 8:
                 b, v, a = r.choice(["password ", "token ", "secret "]), word() + word() + word() + str(r.randint(1, 99)), " "
+            elif kind == 9:
+                b, v, a = wrap(r.choice(["password", "token", "secret", "auth", "api_key", "private"]), r.choice(STAND_INS))
+            elif kind == 10:
+                b, v, a = r.choice(["secret: ", "token: ", "author: ", "private: ", "authors = ", "password: "]), word(), " "
+            else:
+                b, v, a = "", r.choice(["ASIA", "AIza", "AKIA"]) + r.choice(["-", "_", "/"]) + r.choice([str.lower, str.upper])(word() + word() + word()) + r.choice(["", "-" + word()]), " "
         out.append((lead + b, v, a + prose(), i % 2))
     return out
 
@@ -185,10 +218,22 @@ def train(vocab_path: str, n: int = LABELLED_FINDINGS, seed: int = SEED) -> Fore
     return Forest().fit(np.array([features(v, b[-CONTEXT:], a[:CONTEXT], lang) for b, v, a, _ in found]), np.array([y for *_, y in found], dtype=float))
 
 
-def candidates(text: str):
-    for m in CANDIDATE.finditer(text):
-        if m.end() - m.start() >= LEAST:
-            yield m.start(), m.end()
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end), in order and without repeats; they may overlap."""
+    found = {m.span() for m in CANDIDATE.finditer(text) if m.end() - m.start() >= LEAST}
+    for m in PREFIXED.finditer(text):
+        if m.end() - m.start() >= LEAST and not (m.start() and re.match(r"[A-Za-z0-9+/_.\-]", text[m.start() - 1])):
+            found.add(m.span())
+    upto = 0  # no assignment is looked for within a value
+    for m in ASSIGNED.finditer(text):
+        if m.start() >= upto and NAMED.search(text, max(0, m.start() - 64), m.start()) and (v := VALUE.match(text, m.end())):
+            a, b = v.span(v.lastindex)
+            if v.lastindex == 3:
+                b = a + (len(text[a:b].rstrip(",;.)]}>\"'")) or b - a)
+            upto = b
+            found.add((a, b))
+    found |= {m.span(1) for m in LOGIN.finditer(text)}
+    return sorted(found)
 
 
 def scan(texts: list[str | None], forest: Forest, lang) -> list[list[tuple[int, int, float]]]:
@@ -200,6 +245,8 @@ def scan(texts: list[str | None], forest: Forest, lang) -> list[list[tuple[int,
         x = np.array([features(texts[i][a:b], texts[i][max(0, a - CONTEXT) : a], texts[i][b : b + CONTEXT], lang) for i, a, b in part])
         for (i, a, b), p in zip(part, forest.predict(x), strict=True):
             if p >= THRESHOLD:
+                if out[i] and a < out[i][-1][1]:  # overlapping findings are one
+                    a, b, p = out[i][-1][0], max(b, out[i][-1][1]), max(p, out[i].pop()[2])
                 out[i].append((a, b, float(p)))
     return out
 
