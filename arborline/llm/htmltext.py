@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 SHOWN_RAW = frozenset(["textarea", "xmp"])
-HIDDEN = frozenset("head datalist object audio video canvas svg math select map".split())
+HIDDEN = frozenset("head datalist object audio video canvas annotation annotation-xml".split())
+#: Closed from any depth; of svg, only what stands in SVG_SHOWN outside SVG_UNSEEN is drawn.
+EMBEDDED = frozenset(["svg", "math", "select", "map"])
+SVG_SHOWN, SVG_UNSEEN = frozenset(["text", "foreignobject"]), frozenset(["defs", "desc", "metadata", "symbol"])
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir pre blockquote table figure".split())
 BLOCKS = SPACED | frozenset("html body address article aside center details dialog dd div dt fieldset figcaption footer form header hgroup hr legend li main nav section summary tr caption option".split())
 ENDS_P = BLOCKS - {"html", "body", "tr", "caption", "option", "legend"}
@@ -103,7 +106,7 @@ def parse(page: str) -> Node:
                 if tag == "br" and not hidden:
                     stack[-1].kids.append(Node("br"))
                 continue
-            close((tag,), () if tag in BLOCKS or tag in HIDDEN or tag in CELLS or tag in ROW_GROUPS else SCOPE_ENDS)
+            close((tag,), () if tag in BLOCKS or tag in HIDDEN or tag in EMBEDDED or tag in CELLS or tag in ROW_GROUPS else SCOPE_ENDS)
             continue
         if tag in RAW:
             shut = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
@@ -180,6 +183,16 @@ class Lines:
         self.gap = self.gap or spaced
 
 
+def drawn(node: Node):
+    """The elements of an svg whose text is drawn."""
+    for kid in node.kids:
+        if isinstance(kid, Node) and kid.tag not in SVG_UNSEEN:
+            if kid.tag in SVG_SHOWN:
+                yield kid
+            else:
+                yield from drawn(kid)
+
+
 def render(node: Node, out: Lines, depth: int = 0) -> None:
     tag = node.tag
     if tag == "table":
@@ -201,6 +214,11 @@ def render(node: Node, out: Lines, depth: int = 0) -> None:
             out.line("".join(out.now).rstrip(" "))
         elif name == "hr":
             out.block(False)
+        elif name == "svg":
+            for label in drawn(kid):  # each label a line of its own
+                out.block(False)
+                render(label, out, depth + 1)
+                out.block(False)
         elif name not in BLOCKS:
             if name in CELLS and out.now:
                 out.text(" ")

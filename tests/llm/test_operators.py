@@ -50,6 +50,14 @@ def test_html_visibility_and_broken_markup():
         t(bad)
 
 
+def test_html_formulas_charts_and_choices():
+    t = htmltext.page_text
+    assert t("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds") == "so x=2 holds"
+    assert t("<svg><title>t</title><desc>d</desc><defs><text>u</text></defs><g><text x=1>May</text><text>June</text></g></svg><p>after") == "May\nJune\n\nafter"
+    assert t("Size <select><option>small<option>large</select> <map><a>north</a></map>") == "Size\nsmall\nlarge\nnorth"
+    assert t("<p>an icon <svg><path d='M0'/></svg>here") == "an icon here"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (None, None), (2, "")], "page_id long, html string").selectExpr("*", "1 AS text")
     out = htmltext.extract_text(df)
