@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import sinks as K
+from ..scratch import new_path
 from ..sources import bytestore, readers, shards
 from .base import CATALOG_SQL, catalog, query, table
 
 c = F.col
 
 
-def scratch(spark, tag: str) -> str:
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    return f"{root}/{tag}-{uuid.uuid4().hex}"
+scratch = new_path
 
 
 @query("sc01_csv_all_string", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer")
