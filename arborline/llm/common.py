@@ -2,33 +2,84 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests on one machine).
-FALLBACK_DIR = "file:///tmp/checkpoints"
+from ..scratch import new_path, remove, shared_dir
 
+#: The intermediate tables of the operators that are being put together, innermost last.
+_scopes: list[list[str]] = []
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
 
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Within it, materialize() notes its tables; finished() deletes them.  After an error all go."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    except BaseException:
+        remove(spark, *paths)
+        raise
+    finally:
+        _scopes.remove(paths)
 
 
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, tag)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete intermediate tables that nothing reads any more."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def finished(df: DataFrame, tag: str, scope: list[str]) -> DataFrame:
+    """df as a table of its own, which no longer needs the intermediate tables of scope: they are
+    deleted.  Meant for narrow results; the table itself stays in the shared folder."""
+    out, path = materialize(df, tag)
+    gone = [p for p in scope if p != path]
+    remove(df.sparkSession, *gone)
+    scope[:] = [path] if path in scope else []
+    for outer in _scopes[:-1][-1:]:  # an operator that called this one deletes it in turn
+        outer.append(path)
+    return out
+
+
+def tidy() -> None:
+    """Give freed memory back to the machine: a Python worker lives on in other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(f: Callable) -> Callable:
+    """f, a function over batches (a generator) or over groups, tidying up when it is done."""
+    if inspect.isgeneratorfunction(f):
+
+        def over_batches(batches):
+            try:
+                yield from f(batches)
+            finally:
+                tidy()
+
+        return over_batches
+
+    def after(*args):
+        try:
+            return f(*args)
+        finally:
+            tidy()
+
+    # Spark looks at the number of arguments.
+    return {1: lambda a: after(a), 2: lambda a, b: after(a, b), 3: lambda a, b, c: after(a, b, c)}[len(inspect.signature(f).parameters)]
+
+
+__all__ = ["finished", "materialize", "new_path", "remove", "scratch_scope", "shared_dir", "tidied", "tidy"]

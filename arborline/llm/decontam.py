@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidied
+
 #: Edits allowed for each character of an item, and the q-gram's length.
 EDIT_RATE, Q = 0.08, 8
 #: Items of fewer characters are looked for without edits.
@@ -212,7 +214,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "edits", "start", "end"])
 
-        out = out.union(src.mapInArrow(run, schema))
+        out = out.union(src.mapInArrow(tidied(run), schema))
     return out
 
 
@@ -229,5 +231,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
                 clean = [not hits for hits in index.value.matches(b.column(at).to_pylist())]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidied(run), schema)
     return out

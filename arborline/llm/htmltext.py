@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 # Element names by their role in the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -314,4 +316,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             )
 
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
-    return src.mapInArrow(run, "page_id long, text string, n_chars long, n_lines long, text_sha256 string")
+    return src.mapInArrow(tidied(run), "page_id long, text string, n_chars long, n_lines long, text_sha256 string")

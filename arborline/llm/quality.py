@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, remove
+from .common import materialize, remove, tidied
 
 #: Units of an n-gram, and the number of different units over which the lowest order is uniform.
 ORDER, UNITS = 4, 1 << 16
@@ -144,10 +144,9 @@ def packed(rows: DataFrame, block_col: str) -> DataFrame:
                     yield seal(k, parts)
         for block, (parts, _) in held.items():
             yield seal(block, parts)
-        pa.default_memory_pool().release_unused()  # the worker lives on in other stages
 
     names = [c for c in rows.columns if c != block_col]
-    return rows.select(*[F.col(f"`{c}`") for c in names], F.col(block_col)).mapInArrow(run, "block long, data binary")
+    return rows.select(*[F.col(f"`{c}`") for c in names], F.col(block_col)).mapInArrow(tidied(run), "block long, data binary")
 
 
 def unpacked(packs: pa.Table):
@@ -180,7 +179,7 @@ def gram_counts(packs: DataFrame, good: DataFrame, id_at: int, text_at: int) ->
         g, n = tally.result()
         return pa.Table.from_arrays([pa.array(np.full(len(g), key[0].as_py(), np.int64)), pa.array(g.view(np.int64)), pa.array(n)], names=["block", "g", "c"])
 
-    return packs.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(run, "block long, g long, c long")
+    return packs.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(tidied(run), "block long, g long, c long")
 
 
 def _last(g: Column, n: int) -> Column:
@@ -251,7 +250,7 @@ def score(packs: DataFrame, known: DataFrame, schema: T.StructType, text_at: int
         return pa.concat_tables(out)  # every block in known has rows
 
     fields = T.StructType([*(schema[i] for i in kept), T.StructField(into, T.StructType([T.StructField("log_ppl", T.DoubleType()), T.StructField("chars", T.LongType())]))])
-    return packs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, fields)
+    return packs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(tidied(run), fields)
 
 
 def limits(scores: DataFrame, good: DataFrame) -> tuple[DataFrame, float | None, float | None]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidied
 
 MIN_BYTES, GRAM = 50, 24
 #: Raw bytes of a chunk; anchors and text bytes that a shard is planned for.
@@ -171,7 +171,7 @@ def pack_chunks(docs: DataFrame, table: str, buckets: int) -> DataFrame:
         if ids:
             yield row()
 
-    out = docs.mapInArrow(run, "chunk long, n_bytes long, ids binary, sizes binary, data binary")
+    out = docs.mapInArrow(tidied(run), "chunk long, n_bytes long, ids binary, sizes binary, data binary")
     out.write.bucketBy(buckets, "chunk").option("compression", "uncompressed").saveAsTable(table)
     return docs.sparkSession.table(table)
 
@@ -408,12 +408,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stores = max(2 * slots, -(-total // SHARD_BYTES))
     buckets = min(4096, max(slots, -(-total // (4 * CHUNK_BYTES))))
     chunks = pack_chunks(src, f"chunks_{uuid.uuid4().hex}", buckets)
-    known, _ = materialize(chunks.select("chunk", "ids", "sizes", "data").mapInArrow(digests, "chunk long, doc int, place long, sha binary"), "digests")
+    known, _ = materialize(chunks.select("chunk", "ids", "sizes", "data").mapInArrow(tidied(digests), "chunk long, doc int, place long, sha binary"), "digests")
     firsts = known.groupBy("sha").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("sha", "first")
-    copies = known.join(firsts, "sha").where("place > first").select("chunk", "doc").groupBy("chunk").applyInArrow(copy_lists, "chunk long, copies binary")
+    copies = known.join(firsts, "sha").where("place > first").select("chunk", "doc").groupBy("chunk").applyInArrow(tidied(copy_lists), "chunk long, copies binary")
     chunks = chunks.join(materialize(copies, "copies")[0], "chunk", "left")
-    heard = chunks.select("chunk", "ids", "sizes", "data", "copies").mapInArrow(announce(shards), "shard int, chunk long, keys binary, docs binary")
-    shared = heard.groupBy("shard").applyInArrow(shared_anchors(hot_docs), "chunk long, keys binary")
-    sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(fragments(shards, stores), "store int, chunk long, sizes binary, ids binary, counts binary, places binary, data binary")
-    told = sent.groupBy("store").applyInArrow(repeats_of_store, "chunk long, places binary, counts binary, windows binary, firsts binary")
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    heard = chunks.select("chunk", "ids", "sizes", "data", "copies").mapInArrow(tidied(announce(shards)), "shard int, chunk long, keys binary, docs binary")
+    shared = heard.groupBy("shard").applyInArrow(tidied(shared_anchors(hot_docs)), "chunk long, keys binary")
+    sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(tidied(fragments(shards, stores)), "store int, chunk long, sizes binary, ids binary, counts binary, places binary, data binary")
+    told = sent.groupBy("store").applyInArrow(tidied(repeats_of_store), "chunk long, places binary, counts binary, windows binary, firsts binary")
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(tidied(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidied
+
 #: Findings in the training set, trees, their depth and least leaf.
 LABELLED_FINDINGS, TREES, DEPTH, LEAF, SEED = 6000, 30, 9, 4, 20240917
 THRESHOLD = 0.5
@@ -268,7 +270,7 @@ def find_secrets(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()), strict=True)], names=["doc_id", "start", "end", "score", "secret_sha256"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, start long, end long, score double, secret_sha256 string")
+    return src.mapInArrow(tidied(run), "doc_id long, start long, end long, score double, secret_sha256 string")
 
 
 def redact(docs: DataFrame, vocab_path: str, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
@@ -294,4 +296,4 @@ def redact(docs: DataFrame, vocab_path: str, text_col: str = "text", size_col: s
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
     fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema]
-    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, T.StructType(fields))
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(tidied(run), T.StructType(fields))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import materialize, remove, tidied
 
 SEED = 42
 RADIUS = 2
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fps array<long>" + (", sha binary" if digest else ""))
+    return src.mapInArrow(tidied(run), "doc_id long, fps array<long>" + (", sha binary" if digest else ""))
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -171,7 +171,7 @@ def star_links(points: DataFrame) -> DataFrame:
     parts = max(1, -(-most // PART_ROWS))
     common = keys.join(large, bucket, "left_anti") if any_large else keys
     dealt = common.select("family", "table", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "fp")
-    links = dealt.groupBy("family", "table", "part").applyInArrow(_roots_of_part, "family int, u long, v long")
+    links = dealt.groupBy("family", "table", "part").applyInArrow(tidied(_roots_of_part), "family int, u long, v long")
     if any_large:
         free = F.element_at(F.array(*[F.array(F.lit(0), *[F.lit(_signed(x)) for x in _free_bits(m)]) for m in masks]), F.col("table") + 1)
         named = keys.join(large, bucket).select("family", "fp", F.explode(free).alias("flip")).select("family", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
@@ -277,7 +277,7 @@ def links_left(pairs: DataFrame, joined: DataFrame, text: DataFrame, similarity:
             sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), shingle)])).tobytes() for t in b.column(4)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], names=["i", "g", "c", "rest", "h"])
 
-    sets, _ = materialize(open_.hint("merge").join(text, "i").select("i", "g", "c", "rest", "t").mapInArrow(hashed, "i long, g long, c long, rest boolean, h binary"), "shingle-sets")
+    sets, _ = materialize(open_.hint("merge").join(text, "i").select("i", "g", "c", "rest", "t").mapInArrow(tidied(hashed), "i long, g long, c long, rest boolean, h binary"), "shingle-sets")
     weight = lambda side: F.ceil(F.sum(F.when(side, F.octet_length("h") + 64).otherwise(0)) / BLOCK_BYTES)
     blocks = sets.groupBy("g").agg(weight(F.col("rest")).alias("kr"), weight(~F.col("rest")).alias("kd"))
     # Blocks 0..kr-1 are the rest, kr..kr+kd-1 the largest component; a cell is (left, right), left < kr.
@@ -299,7 +299,7 @@ def links_left(pairs: DataFrame, joined: DataFrame, text: DataFrame, similarity:
         u, v = zip(*found, strict=True) if found else ((), ())
         return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return cells.groupBy("part").applyInArrow(compare, "u long, v long").distinct()
+    return cells.groupBy("part").applyInArrow(tidied(compare), "u long, v long").distinct()
 
 
 def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, family: int = FAMILY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +337,7 @@ def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
 
     both = pairs.hint("merge").join(text.toDF("a", "x"), "a").hint("merge").join(text.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    verified, _ = materialize(both.mapInArrow(verify, "u long, v long, ok boolean").distinct(), "verified")
+    verified, _ = materialize(both.mapInArrow(tidied(verify), "u long, v long, ok boolean").distinct(), "verified")
     joined, _ = components(verified.where("ok").select("u", "v"), "near")
     refused = verified.where("NOT ok").select(F.col("u").alias("a"), F.col("v").alias("b"))  # the others lie within components
     more, _ = materialize(links_left(refused, joined, text, similarity, shingle), "near-left")
