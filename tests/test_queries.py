@@ -102,3 +102,22 @@ import __spark_entry__ as e
 assert 'p01_train_tree' in e.queries() and not any(k.startswith('op') for k in e.queries())
 """
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
+
+
+def test_submitted_settings_win():
+    """In a process of its own, as spark-submit would hand settings over."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+from arborline.session import build_session, settings
+s = build_session()
+got = [s.sparkContext.master, s.conf.get('spark.sql.shuffle.partitions'), s.conf.get('spark.sql.session.timeZone'), s.conf.get('spark.sql.adaptive.enabled')]
+assert got == ['local[2]', '77', 'Asia/Tokyo', 'true'], got
+assert 'spark.master' not in settings({'spark.master': 'yarn'}) and 'spark.driver.memory' not in settings({'spark.master': 'yarn'})
+assert settings({'spark.master': 'yarn'}, 'local[3]')['spark.master'] == 'local[3]'
+"""
+    args = "--master local[2] --conf spark.sql.shuffle.partitions=77 --conf spark.sql.session.timeZone=Asia/Tokyo pyspark-shell"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120, env=os.environ | {"PYSPARK_SUBMIT_ARGS": args})
