@@ -32,11 +32,12 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM f
 """
 
-ORACLES["op9_url_templates"] = r"""
-WITH u AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+#: KNOWN is a column of known verdicts, of which pages have none.
+URLS = r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, KNOWN AS known, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 w AS (
-  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, known, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r AS (
   SELECT *, CASE
@@ -44,32 +45,30 @@ r AS (
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
-    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
-    string_split(path, '/') AS parts FROM w),
-c AS (
-  SELECT page_id, host, path, rule,
-    CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
-    list_transform([coalesce(parts[2], ''), coalesce(parts[3], ''), coalesce(parts[4], '')], lambda s:
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM w),
+p AS (
+  SELECT *, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
+    list_transform(string_split(path, '/')[2:], lambda s:
       CASE WHEN regexp_matches(s, '^[0-9]+(\.[A-Za-z0-9]+)?$') THEN regexp_replace(s, '^[0-9]+', '{n}')
-           WHEN regexp_matches(s, '^[0-9A-Fa-f-]{12,}$') THEN '{x}' ELSE s END) AS s,
-    CASE WHEN len(parts) > 4 THEN '**' ELSE '' END AS tail FROM r),
-t0 AS (
-  SELECT host, s[1] AS s1, s[2] AS s2, s[3] AS s3, tail, count(*) AS n, count(ruled) AS l,
-         count(*) FILTER (WHERE ruled = 'block') AS b FROM c GROUP BY ALL),
-k1 AS (SELECT host, count(*) >= 8 AND sum(n) < 4 * count(*) AS wide FROM (SELECT host, s1, sum(n) AS n FROM t0 GROUP BY ALL) GROUP BY host),
-t1 AS (SELECT t0.*, CASE WHEN wide AND s1 <> '' THEN '*' ELSE s1 END AS g1 FROM t0 JOIN k1 USING (host)),
-k2 AS (SELECT host, g1, count(*) >= 8 AND sum(n) < 4 * count(*) AS wide FROM (SELECT host, g1, s2, sum(n) AS n FROM t1 GROUP BY ALL) GROUP BY host, g1),
-t2 AS (SELECT t1.*, CASE WHEN wide AND s2 <> '' THEN '*' ELSE s2 END AS g2 FROM t1 JOIN k2 USING (host, g1)),
-k3 AS (SELECT host, g1, g2, count(*) >= 8 AND sum(n) < 4 * count(*) AS wide FROM (SELECT host, g1, g2, s3, sum(n) AS n FROM t2 GROUP BY ALL) GROUP BY host, g1, g2),
-t3 AS (SELECT t2.*, CASE WHEN wide AND s3 <> '' THEN '*' ELSE s3 END AS g3 FROM t2 JOIN k3 USING (host, g1, g2)),
-m AS (SELECT host, g1, g2, g3, tail, CAST(sum(l) AS DOUBLE) AS l, CAST(sum(b) AS DOUBLE) AS b FROM t3 GROUP BY ALL),
-p AS (SELECT *, sum(l) OVER (PARTITION BY host, g1, g2) AS pl, sum(b) OVER (PARTITION BY host, g1, g2) AS pb FROM m),
-a AS (SELECT *, l > 0 AND (b * pl - pb * l) * (b * pl - pb * l) <= 4 * l * pb * (pl - pb) AS alike FROM p),
-e AS (
-  SELECT host, g1, g2, g3, tail,
-    CASE WHEN alike THEN sum(CASE WHEN alike THEN l ELSE 0 END) OVER (PARTITION BY host, g1, g2) ELSE l END AS l,
-    CASE WHEN alike THEN sum(CASE WHEN alike THEN b ELSE 0 END) OVER (PARTITION BY host, g1, g2) ELSE b END AS b FROM a),
-x AS (SELECT host, s1, s2, s3, t3.tail FROM t3 JOIN e USING (host, g1, g2, g3, tail) WHERE (e.b + 0.8) / (e.l + 4) >= 0.5)
-SELECT page_id, c.host, path, rule, coalesce(ruled, CASE WHEN x.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM c LEFT JOIN x ON c.host = x.host AND c.s[1] = x.s1 AND c.s[2] = x.s2 AND c.s[3] = x.s3 AND c.tail = x.tail
+           WHEN regexp_matches(s, '^[0-9A-Fa-f-]{12,}$') THEN '{x}' ELSE s END) AS segs FROM r),
+labelled AS (SELECT *, coalesce(ruled, CASE WHEN known IN ('allow', 'block') THEN known END) AS label FROM p),
+s AS (SELECT host, segs, count(*) AS n, count(label)::DOUBLE AS l, (count(*) FILTER (WHERE label = 'block'))::DOUBLE AS b FROM labelled GROUP BY ALL),
+t AS (
+  SELECT host, segs, n, l, b, 0 AS i, host AS node, sum(l) OVER h AS el, sum(b) OVER h AS eb, sum(l) OVER h AS ln, sum(b) OVER h AS bn, count(*) OVER h AS kinds, false AS ends
+  FROM s WINDOW h AS (PARTITION BY host)
+  UNION ALL
+  SELECT host, segs, n, l, b, i + 1, below, CASE WHEN ml > 0 THEN ml ELSE el END, CASE WHEN ml > 0 THEN mb ELSE eb END,
+         sum(CASE WHEN c IS NULL THEN 0 ELSE l END) OVER (PARTITION BY below), sum(CASE WHEN c IS NULL THEN 0 ELSE b END) OVER (PARTITION BY below), count(c) OVER (PARTITION BY below), c IS NULL
+  FROM (SELECT *, node || '/' || m AS below, sum(l) OVER (PARTITION BY node, m) AS ml, sum(b) OVER (PARTITION BY node, m) AS mb
+  FROM (SELECT *, CASE WHEN side = '~=' OR (side IS NOT NULL AND (gb * sl - sb * gl) ** 2 <= 4 * gl * sb * (sl - sb)) THEN side ELSE g END AS m
+  FROM (SELECT *, sum(l) OVER (PARTITION BY node, side) AS sl, sum(b) OVER (PARTITION BY node, side) AS sb
+  FROM (SELECT *, CASE WHEN gl = 0 THEN NULL WHEN (gb * pl - pb * gl) ** 2 <= 4 * gl * pb * (pl - pb) THEN '~=' WHEN gb * pl > pb * gl THEN '~+' ELSE '~-' END AS side
+  FROM (SELECT *, sum(l) OVER (PARTITION BY node, g) AS gl, sum(b) OVER (PARTITION BY node, g) AS gb
+  FROM (SELECT *, CASE WHEN c IS NULL THEN '$' WHEN k >= 8 AND kn < 4 * k AND c <> '' THEN '*' ELSE '=' || c END AS g
+  FROM (SELECT *, count(DISTINCT c) OVER (PARTITION BY node) AS k, sum(CASE WHEN c IS NULL THEN 0 ELSE n END) OVER (PARTITION BY node) AS kn, sum(l) OVER (PARTITION BY node) AS pl, sum(b) OVER (PARTITION BY node) AS pb
+  FROM (SELECT *, segs[i + 1] AS c FROM t WHERE NOT ends AND ln > bn AND bn > 0 AND kinds > 1))))))))),
+x AS (SELECT host, segs FROM t WHERE (ends OR ln <= bn OR bn = 0 OR kinds <= 1) AND (eb + 0.8::DOUBLE) / (el + 4) >= 0.5)
+SELECT page_id, labelled.host, path, rule, coalesce(ruled, CASE WHEN x.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM labelled LEFT JOIN x ON labelled.host = x.host AND labelled.segs = x.segs
 """
+ORACLES["op9_url_templates"] = URLS.replace("KNOWN", "NULL::VARCHAR")

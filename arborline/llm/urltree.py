@@ -1,20 +1,29 @@
 """URL filtering by a path-template tree, in DataFrame operations only.
 
-Explicit rules decide first (the longest that fits).  The rest is judged by templates: per host,
-path segments are generalised level by level, a segment position becoming a wildcard where its
-parent has many children for its rows; sibling templates whose blocked share does not differ
-significantly from their pool are merged; a template is rejected when its smoothed share of
-blocked labels reaches one half.  Labels are the rules' own verdicts, or a labelled column.
+Explicit rules decide first (the longest that fits).  Every other url is judged by the template
+tree of its host.  The tree goes down the path segment by segment, as deep as paths go:
+
+- the segments below a node become one wildcard where the node has many children for its rows;
+- of the branches that then hold labels, those whose blocked share does not differ significantly
+  from the node's are merged into one; the others are compared with what lies on their side of
+  it, and merged or kept alone;
+- a template's labels are those of the deepest labelled node on its way, so one without labels
+  takes those of its nearest labelled ancestor in the host's tree;
+- a template is rejected when the smoothed blocked share of its labels reaches one half.
+
+Labels are the rules' own verdicts and, where it is named, a column of labels.  The tree is not
+built on below a node whose labels agree, which has none, or which holds one path only: all
+templates there go by the node's labels.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (verdict, host, path): fits the host and its subdomains where the path starts so.
+from .common import finished, materialize, scratch_scope
+
+# Fixed values: (verdict, host, path) of the rules; one fits its host and all subdomains where the path starts so.
 RULES = (
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -22,11 +31,12 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-LEVELS = 3
 #: A position is variable with at least so many children and fewer rows than ROWS_PER_CHILD each.
 MIN_CHILDREN, ROWS_PER_CHILD = 8, 4
 #: Smoothing: PRIOR_WEIGHT imagined labels, a fifth of them blocked.
 PRIOR_WEIGHT, PRIOR_BLOCKED = 4, 0.8
+#: Ways in which a hot host, node or url is spread.
+SALT = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,39 +66,109 @@ def segment_class(s: Column) -> Column:
     )
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+def with_stats(rows: DataFrame, stats: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """rows joined with the one row of stats for their keys; rows of a hot key are spread by the
+    hash of other columns, and the (narrow) stats repeated for each part."""
+    parts = F.explode(F.array(*[F.lit(i) for i in range(SALT)]))
+    salted = rows.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(SALT)).cast("int"))
+    return salted.join(stats.withColumn("_part", parts), [*keys, "_part"]).drop("_part")
+
+
+def _sums(*names: str) -> list[Column]:
+    return [F.sum(n).alias(n) for n in names]
+
+
+def _alike(l: str, b: str, pl: str, pb: str) -> Column:  # noqa: E741
+    """Whether b of l blocked labels are within two standard errors of pb of pl."""
+    d = lambda c: F.col(c).cast("double")
+    gap = d(b) * d(pl) - d(pb) * d(l)
+    return gap * gap <= F.lit(4.0) * d(l) * d(pb) * (d(pl) - d(pb))
+
+
+def branches(open_: DataFrame) -> DataFrame:
+    """(node, c, m, ml, mb): for each child c of each node (null: the paths that end there) the
+    merged branch m that it belongs to, and the branch's labels.
+
+    open_: (node, c, n, l, b)."""
+    kids = open_.groupBy("node", "c").agg(*_sums("n", "l", "b"))
+    inner = F.col("c").isNotNull()
+    nodes = kids.groupBy("node").agg(F.count("c").alias("k"), F.sum(F.when(inner, F.col("n")).otherwise(0)).alias("kn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+    wide = (F.col("k") >= MIN_CHILDREN) & (F.col("kn") < ROWS_PER_CHILD * F.col("k"))
+    name = F.when(~inner, F.lit("$")).when(wide & (F.col("c") != ""), F.lit("*")).otherwise(F.concat(F.lit("="), "c"))
+    named = with_stats(kids, nodes, ["node"], ["c"]).select("node", "c", name.alias("g"), "l", "b", "pl", "pb")
+    groups = named.groupBy("node", "g").agg(*_sums("l", "b"), F.first("pl").alias("pl"), F.first("pb").alias("pb"))
+    above = F.col("b").cast("double") * F.col("pl") > F.col("pb").cast("double") * F.col("l")
+    side = F.when(F.col("l") == 0, None).when(_alike("l", "b", "pl", "pb"), F.lit("~=")).when(above, F.lit("~+")).otherwise(F.lit("~-"))
+    sided = groups.select("node", "g", "l", "b", side.alias("side"))
+    sides = sided.where("side IS NOT NULL").groupBy("node", "side").agg(F.sum("l").alias("sl"), F.sum("b").alias("sb"))
+    near = with_stats(sided.where("side IS NOT NULL"), sides, ["node", "side"], ["g"])
+    merged = near.select("node", "g", "l", "b", F.when((F.col("side") == "~=") | _alike("l", "b", "sl", "sb"), F.col("side")).otherwise(F.col("g")).alias("m"))
+    merged = merged.union(sided.where("side IS NULL").select("node", "g", "l", "b", F.col("g").alias("m")))
+    totals = merged.groupBy("node", "m").agg(F.sum("l").alias("ml"), F.sum("b").alias("mb"))
+    found = with_stats(merged.select("node", "g", "m"), totals, ["node", "m"], ["g"])
+    return with_stats(named.select("node", "c", "g"), found, ["node", "g"], ["c"]).select("node", "c", "m", "ml", "mb")
+
+
+def shape_labels(shapes: DataFrame) -> DataFrame:
+    """(host, shape, el, eb): for each shape (host, shape, n rows, l labels, b blocked) the labels
+    that its template goes by: those of the deepest labelled node on its way down the tree."""
+    segments = F.split("shape", "/")
+
+    def measured(rows: DataFrame, key: str) -> DataFrame:
+        """rows with their node's labels, its number of shapes, and how many segments these share next."""
+        rest = F.slice(segments, F.col("at") + 2, F.greatest(F.size(segments) - F.col("at") - 1, F.lit(0)))
+        size = rows.groupBy(key).agg(F.count("*").alias("kinds"), F.sum("l").alias("l_node"), F.sum("b").alias("b_node"), F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+        # What the first and the last in order have in common, all between them have.
+        apart = F.array_position(F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y)), False)
+        shared = F.when(apart > 0, apart - 1).otherwise(F.size("lo")).cast("int")
+        return with_stats(rows, size.select(key, "kinds", "l_node", "b_node", shared.alias("shared")), [key], ["shape"])
+
+    state = measured(shapes.withColumn("at", F.lit(0)), "host").withColumns({"node": F.md5("host"), "el": F.col("l_node"), "eb": F.col("b_node")})
+    # A node is built on while its labels differ and it has several shapes.
+    further = (F.col("l_node") > F.col("b_node")) & (F.col("b_node") > 0) & (F.col("kinds") > 1)
+    done, i = None, 0
+    while True:
+        state, _ = materialize(state, f"templates{i}")
+        settled = state.where(~further).select("host", "shape", "el", "eb")
+        done = settled if done is None else done.unionByName(settled)
+        if state.where(further).isEmpty():
+            return done
+        i += 1
+        # Levels on which all go the same way are passed at once.
+        jump = F.col("shared") > 0
+        open_ = state.where(further).withColumns({"at": F.col("at") + F.col("shared"), "el": F.when(jump, F.col("l_node")).otherwise(F.col("el")), "eb": F.when(jump, F.col("b_node")).otherwise(F.col("eb"))})
+        open_ = open_.withColumn("c", F.get(segments, F.col("at") + 1))
+        kids, _ = materialize(branches(open_.select("node", "c", "n", "l", "b")), f"branches{i}")
+        end = F.coalesce("c", F.lit("/"))  # no segment is a slash
+        down = with_stats(open_.withColumn("c", end), kids.withColumn("c", end), ["node", "c"], ["shape"])
+        own = F.col("ml") > 0
+        down, _ = materialize(down.select("host", "shape", "n", "l", "b", (F.col("at") + 1).alias("at"), F.md5(F.concat_ws("/", "node", "m")).alias("node"), (F.col("c") == "/").alias("ends"), F.when(own, F.col("ml")).otherwise(F.col("el")).alias("el"), F.when(own, F.col("mb")).otherwise(F.col("eb")).alias("eb")), f"below{i}")
+        done = done.unionByName(down.where("ends").select("host", "shape", "el", "eb"))
+        state = measured(down.where("NOT ends").drop("ends"), "node")
+
+
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, label_col: str | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict), one row for each input row.
 
-    A null url, or one without "://", has empty host and path, no rule, and is judged with the
-    (unlabelled) empty template: allow.  Ids pass through, null or repeated; repeated rows count
-    as often as they occur; other columns are ignored; an empty table gives an empty result.
+    label_col: a column of known verdicts (allow, block; anything else is none), from which the tree
+    learns where no rule fits; the verdict stays the tree's.  A null url, or one without "://", has
+    empty host and path and no rule; hosts without any label are allowed.  Ids pass through, null or
+    repeated; repeated rows count as often as they occur; other columns are ignored; an empty table
+    gives an empty result.
     """
-    shape = ["host", *(f"s{i}" for i in range(1, LEVELS + 1)), "tail"]
-    host, path = host_and_path(F.col(url_col).cast("string"))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    name, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": name, "ruled": verdict, "parts": F.split("path", "/")})
-    rows = rows.withColumns({f"s{i}": F.coalesce(segment_class(F.get("parts", F.lit(i))), F.lit("")) for i in range(1, LEVELS + 1)} | {"tail": F.when(F.size("parts") > LEVELS + 1, F.lit("**")).otherwise(F.lit(""))}).drop("parts")
-
-    counts = rows.groupBy(*shape).agg(F.count("*").alias("n"), F.count("ruled").alias("l"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("b"))
-    tree, parent = counts, ["host"]
-    for i in range(1, LEVELS + 1):
-        kids = tree.groupBy(*parent, f"s{i}").agg(F.sum("n").alias("n"))
-        wide = kids.groupBy(*parent).agg(((F.count("*") >= MIN_CHILDREN) & (F.sum("n") < ROWS_PER_CHILD * F.count("*"))).alias("wide"))
-        tree = tree.join(wide, parent).withColumn(f"g{i}", F.when(F.col("wide") & (F.col(f"s{i}") != ""), F.lit("*")).otherwise(F.col(f"s{i}"))).drop("wide")
-        parent = [*parent, f"g{i}"]
-    leaf, stem = [*parent, "tail"], parent[:-1]
-    templates = tree.groupBy(*leaf).agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
-    pool = templates.groupBy(*stem).agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
-    d = lambda c: F.col(c).cast("double")
-    gap = d("b") * d("pl") - d("pb") * d("l")
-    # Within two standard errors of the pooled share.
-    alike = (F.col("l") > 0) & (gap * gap <= F.lit(4.0) * d("l") * d("pb") * (d("pl") - d("pb")))
-    tested = templates.join(pool, stem).withColumn("alike", alike)
-    merged = tested.groupBy(*stem).agg(F.sum(F.when(F.col("alike"), F.col("l")).otherwise(0)).alias("ml"), F.sum(F.when(F.col("alike"), F.col("b")).otherwise(0)).alias("mb"))
-    judged = tested.join(merged, stem).withColumns({c: F.when(F.col("alike"), F.col("m" + c)).otherwise(F.col(c)) for c in ("l", "b")})
-    rejected = judged.where((F.col("b") + F.lit(PRIOR_BLOCKED)) / (F.col("l") + F.lit(PRIOR_WEIGHT)) >= 0.5).select(*leaf)
-    bad = tree.join(rejected, leaf).select(*shape).withColumn("rejected", F.lit(True))
-    same = reduce(lambda a, c: a & c, [F.col(f"r.{c}") == F.col(f"x.{c}") for c in shape])
-    out = rows.alias("r").join(bad.alias("x"), same, "left")
-    return out.select("r.page_id", "r.host", "r.path", "r.rule", F.coalesce("r.ruled", F.when(F.col("x.rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
+    with scratch_scope(pages.sparkSession) as scope:
+        host, path = host_and_path(F.col(url_col).cast("string"))
+        known = F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")
+        rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), known.alias("label"))
+        name, verdict = matched_rule(F.col("host"), F.col("path"), rules)
+        rows = rows.withColumns({"rule": name, "ruled": verdict, "shape": F.array_join(F.transform(F.split("path", "/"), segment_class), "/")})
+        label = F.coalesce("ruled", F.when(F.col("label").isin("allow", "block"), F.col("label")))
+        counts = rows.select("host", "shape", "ruled", label.alias("label")).groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("l"), F.count_if(F.col("label") == "block").alias("b"), F.count_if(F.col("ruled").isNull()).alias("asked"))
+        shapes, _ = materialize(counts, "shapes")
+        judged = shape_labels(shapes.drop("asked")).where((F.col("eb") + F.lit(PRIOR_BLOCKED)) / (F.col("el") + F.lit(PRIOR_WEIGHT)) >= 0.5)
+        # Only urls without a rule ask for the tree's verdict; the others, and a hot url, are spread.
+        bad = judged.join(shapes.where("asked > 0").select("host", "shape"), ["host", "shape"]).select("host", "shape", F.lit(True).alias("bad"), F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("_part"))
+        part = F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)).cast("int")
+        asked = rows.withColumn("_part", F.when(F.col("ruled").isNull(), part % SALT).otherwise(-1 - part))
+        out = asked.join(bad, ["host", "shape", "_part"], "left")
+        return finished(out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict")), "url-verdicts", scope)
