@@ -2,9 +2,13 @@
 
 A shard is a run of rows of one scan partition.  Its tree splits at the median of the widest
 coordinate and keeps the tight bounding box of every node; the largest inner product that a box
-allows bounds what a query can find there.  Queries are searched in blocks, best node first.  A
-first pass gives each block one shard, whose k-th score then travels with the block to all the
-others and prunes boxes from the start.
+allows bounds what a query can find there.  Queries are searched in blocks, best node first.
+
+Only boxes meet at first: the box of each block of queries with the root box of each shard, which
+orders a block's shards by what they may hold.  The search then goes in rounds, the most promising
+shards first and eight times as many in each round.  After each round the k-th scores are carried
+on, and shards whose root box cannot reach them are never sent.  Bounds are doubles rounded
+outward; scores are exact integers.
 """
 
 from __future__ import annotations
@@ -13,17 +17,19 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import finished, materialize, scratch_scope, tidied
 
 SCALE = 1024
 #: Rows of a shard, of a leaf, and of a block of queries.
 SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES = 8192, 512, 512
-#: Ways in which the dealing of blocks to shards is spread.
-SPREAD = 16
+#: Blocks that meet a shard in one task, and how many times more shards each round takes.
+GROUP_BLOCKS, GROWTH = 32, 8
 NONE = np.iinfo(np.int64).min
+#: Relative margin by which doubles are rounded outward, for each term of a sum.
+MARGIN = 2.0**-50
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -57,7 +63,13 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """(dim, data): the quantized rows in runs of at most so many, each run of one length."""
+    """(dim, lo, hi, data): the quantized rows in runs of at most so many, each run of one length,
+    with its bounding box."""
+    names = ["dim", "lo", "hi", "data"]
+
+    def row(i: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        box = [pa.array([v.astype(np.float64).tolist()], pa.list_(pa.float64())) for v in (x.min(axis=0), x.max(axis=0))]
+        return pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), *box, pa.array([_pack(i, x)], pa.binary())], names=names)
 
     def run(batches):
         held: dict[int, tuple[list, list, int]] = {}
@@ -69,14 +81,26 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
                     i, x, n = [*i, ids[at[lo : lo + rows]]], [*x, m[lo : lo + rows]], n + len(at[lo : lo + rows])
                     if n >= rows:
                         i, x = np.concatenate(i), np.concatenate(x)
-                        yield pa.RecordBatch.from_arrays([pa.array([m.shape[1]], pa.int32()), pa.array([_pack(i[:rows], x[:rows])], pa.binary())], names=["dim", "data"])
+                        yield row(i[:rows], x[:rows])
                         i, x, n = [i[rows:]], [x[rows:]], n - rows
                     held[m.shape[1]] = (i, x, n)
-        for d, (i, x, n) in held.items():
+        for i, x, n in held.values():
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([_pack(np.concatenate(i), np.concatenate(x))], pa.binary())], names=["dim", "data"])
+                yield row(np.concatenate(i), np.concatenate(x))
+
+    return vectors.mapInArrow(tidied(run), "dim int, lo array<double>, hi array<double>, data binary")
+
 
-    return vectors.mapInArrow(run, "dim int, data binary")
+def exact_products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Integer inner products, held at the ends of 64 bits: doubles where every sum is below 2^53
+    and so exact, 64-bit integers below 2^62, Python's integers elsewhere."""
+    big = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(rows.astype(np.float64)).max(initial=0)) * q.shape[1]
+    if big < 2**53:
+        return (q.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
+    if big < 2**62:
+        return q @ rows.T
+    found = np.clip(q.astype(object) @ rows.astype(object).T, -(2**63), 2**63 - 1)
+    return found.astype(np.int64)
 
 
 class KdTree:
@@ -106,80 +130,122 @@ class KdTree:
 
     def search(self, q_ids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int):
         """The (ids, scores) of each query's k best here, of those that may still reach its k-th
-        score, and the k-th scores now known.  Doubles serve where every sum is below 2^53 and so
-        exact, 64-bit integers elsewhere."""
-        big = float(np.abs(q).max()) * float(max(np.abs(self.lo).max(), np.abs(self.hi).max())) * q.shape[1]
-        kind = np.float64 if big < 2**53 else np.int64
-        q, rows = q.astype(kind), self.rows.astype(kind)
-        # The most that a box allows, queries by nodes.
-        bound = (np.maximum(q, 0) @ self.hi.astype(kind).T + np.minimum(q, 0) @ self.lo.astype(kind).T).astype(np.int64)
+        score, and the k-th scores now known."""
+        # The most that a box allows, queries by nodes, rounded up; scores end at 64 bits.
+        qf, lo, hi = q.astype(np.float64), self.lo.astype(np.float64), self.hi.astype(np.float64)
+        bound = np.maximum(qf, 0) @ hi.T + np.minimum(qf, 0) @ lo.T
+        bound += (np.abs(qf) @ np.maximum(np.abs(lo), np.abs(hi)).T) * (MARGIN * q.shape[1]) + 1
+        bound = np.clip(bound, -(2.0**63), 2.0**63)
         kth = kth.copy()
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
-        heap = [(-int(bound[:, 0].max()), 0)]
+        heap = [(-bound[:, 0].max(), 0)]
         while heap:
             _, at = heapq.heappop(heap)
             # Equal scores may win by a smaller id, so only a smaller bound is out of reach.
-            live = np.flatnonzero(bound[:, at] >= kth)
+            live = np.flatnonzero(bound[:, at] >= kth.astype(np.float64) * np.where(kth > 0, 1 - MARGIN, 1 + MARGIN))
             if not len(live):
                 continue
             if self.kids[at]:
                 for kid in self.kids[at]:
-                    heapq.heappush(heap, (-int(bound[live, kid].max()), kid))
+                    heapq.heappush(heap, (-bound[live, kid].max(), kid))
                 continue
             a, b = self.span[at]
-            ids, scores = self.ids[a:b], (q[live] @ rows[a:b].T).astype(np.int64)
+            ids, scores = self.ids[a:b], exact_products(q[live], self.rows[a:b])
             for row, s in zip(live, scores, strict=True):
                 hit = np.flatnonzero((s >= kth[row]) & (ids != q_ids[row]))
                 if len(hit):
                     i, v = np.concatenate([best[row][0], ids[hit]]), np.concatenate([best[row][1], s[hit]])
-                    top = np.lexsort((i, -v))[:k]
+                    top = np.lexsort((i, ~v))[:k]  # ~v falls as v rises, and cannot wrap
                     best[row] = (i[top], v[top])
                     if len(top) == k:
                         kth[row] = max(kth[row], v[top[-1]])
         return best, kth
 
 
-def _search(k: int, keep: bool):
-    """keep: give the results back, else the queries with their k-th scores."""
-
-    def run(batches):
-        held: tuple[bytes, KdTree] | None = None
-        for b in batches:
-            for data, block, kth in zip(*(b.column(c).to_pylist() for c in ("data", "block", "kth")), strict=True):
-                if held is None or held[0] != data:
-                    held = (data, KdTree(*_unpack(data)))
-                q_ids, q = _unpack(block)
-                start = np.frombuffer(kth, dtype=np.int64) if kth else np.full(len(q), NONE)
-                best, now = held[1].search(q_ids, q, start, k)
-                if keep:
-                    n = [len(i) for i, _ in best]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([v for _, v in best]))], names=["query_id", "vec_id", "score"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array([q.shape[1]], pa.int32()), pa.array([block], pa.binary()), pa.array([now.tobytes()], pa.binary())], names=["dim", "block", "kth"])
+def _search(k: int):
+    """From one shard, and some of the blocks that may find something there: their best rows."""
+    names, types = ["block", "query_id", "vec_id", "score"], (pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
+    def run(left, right):
+        out = [[] for _ in names]
+        if left.num_rows and right.num_rows:
+            tree = KdTree(*_unpack(left["data"][0].as_py()))
+            for j in range(right.num_rows):
+                q_ids, q = _unpack(right["data"][j].as_py())
+                known = dict(right["kths"][j].as_py() or ())
+                start = np.array([known.get(i, NONE) for i in q_ids.tolist()], dtype=np.int64)
+                best, _ = tree.search(q_ids, q, start, k)
+                n = [len(i) for i, _ in best]
+                for c, x in zip(out, (np.full(sum(n), right["block"][j].as_py()), np.repeat(q_ids, n), np.concatenate([i for i, _ in best]), np.concatenate([v for _, v in best])), strict=True):
+                    c.append(x)
+        return pa.Table.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]), t) for c, t in zip(out, types, strict=True)], names=names)
 
     return run
 
 
+def box_bound(qlo: Column, qhi: Column, lo: Column, hi: Column) -> Column:
+    """The largest inner product of a vector in one box with one in another, rounded up."""
+    corner = lambda a, b: F.zip_with(a, b, lambda x, y: x * y)
+    top = lambda xs, ys: F.zip_with(xs, ys, lambda x, y: F.greatest(x, y))
+    corners = [corner(a, b) for a in (qlo, qhi) for b in (lo, hi)]
+    most = top(top(corners[0], corners[1]), top(corners[2], corners[3]))
+    far = [F.transform(x, lambda y: F.abs(y)) for x in corners]
+    size = top(top(far[0], far[1]), top(far[2], far[3]))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    return F.greatest(total(most) + total(size) * F.size(qlo) * F.lit(MARGIN) + 1, F.lit(-(2.0**63)))
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """(block, query_id, vec_id, score, rank): each query's k best rows, ties to the smaller id."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of every query (ids divisible by `every`).
 
     Candidates are all other rows (rows of the query's own id are none); ties go to the smaller
     id; fewer than k candidates give them all.  Vectors that are null, empty, or hold null or
     non-finite components, and null ids, take no part; vectors of different lengths do not meet.
-    Repeated candidate rows each take a place; a query row that is repeated counts once.  Other
-    columns are ignored; an empty table gives an empty result.
+    Components beyond 64 bits, and scores beyond them, are held at their ends.  Repeated candidate
+    rows each take a place; a query row that is repeated counts once, with the vector of its largest
+    components where they differ.  Other columns are ignored; an empty table gives an empty result.
     """
-    rows = quantized(vectors, id_col, vec_col)
-    shards, _ = materialize(blocks(rows, SHARD_ROWS), "topk-shards")
-    queries = blocks(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), BLOCK_QUERIES)
-    queries, _ = materialize(queries, "topk-queries")
-    shards, _ = materialize(shards.withColumn("shard", F.monotonically_increasing_id()), "topk-numbered")
-    places = shards.select("shard", "dim", F.pmod("shard", F.lit(SPREAD)).alias("part"))
-    first = places.groupBy("dim").agg(F.min("shard").alias("shard"))
-    home = queries.withColumnRenamed("data", "block").join(first, "dim").withColumn("kth", F.lit(None).cast("binary"))
-    bounded, _ = materialize(shards.drop("dim").join(home, "shard").select("data", "block", "kth").mapInArrow(_search(k, False), "dim int, block binary, kth binary"), "topk-bounded")
-    # Every block goes to every shard of its vectors' length, spread so that no task deals them all.
-    sent = bounded.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).join(places, ["dim", "part"])
-    found = shards.drop("dim").join(sent, "shard").select("data", "block", "kth").mapInArrow(_search(k, True), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with scratch_scope(vectors.sparkSession) as scope:
+        rows = quantized(vectors, id_col, vec_col)
+        asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
+        shards, _ = materialize(blocks(rows, SHARD_ROWS), "topk-shards")
+        shards, _ = materialize(shards.withColumn("shard", F.monotonically_increasing_id()), "topk-numbered")
+        queries, _ = materialize(blocks(asked, BLOCK_QUERIES), "topk-queries")
+        queries, _ = materialize(queries.withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
+        # Boxes only; a block's shards are ordered by their bounds.
+        boxes = queries.select("dim", "block", F.col("lo").alias("qlo"), F.col("hi").alias("qhi")).join(shards.select("dim", "shard", "lo", "hi"), "dim")
+        pairs = boxes.select("block", "shard", box_bound(F.col("qlo"), F.col("qhi"), F.col("lo"), F.col("hi")).alias("bound"))
+        order = Window.partitionBy("block").orderBy(F.desc("bound"), "shard")
+        pairs, _ = materialize(pairs.withColumn("place", F.row_number().over(order) - 1), "topk-pairs")
+        size = pairs.agg(F.max("place"), F.count_distinct("block")).first()
+        last, groups = size[0], -(-size[1] // GROUP_BLOCKS) if size[1] else 1
+        best, lo, hi = None, 0, 1
+        while last is not None and lo <= last:
+            here = pairs.where(F.col("place").between(lo, hi - 1))
+            asks = queries.select("block", "data")
+            if best is not None:
+                # A query's k-th score, and the least of a block: a shard whose box stays below it has nothing for the block.
+                kth = best.groupBy("block", "query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+                blocks_kth = kth.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "kth"))).alias("kths"), F.min("kth").cast("double").alias("least"), F.count("*").alias("known"))
+                asks = queries.select("block", "data", "dim").join(blocks_kth, "block", "left")
+                asks = asks.withColumn("least", F.when(F.col("known") == F.expr("(octet_length(data) div 8 - 1) div (dim + 1)"), F.col("least") - F.abs("least") * MARGIN))
+                here = here.join(asks.select("block", "least"), "block").where(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).select("block", "shard")
+            else:
+                asks = asks.withColumn("kths", F.lit(None).cast("map<long,long>"))
+            here = here.select("block", "shard", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("part"))
+            here, _ = materialize(here, f"topk-round{lo}")
+            sent = here.join(asks.select("block", "data", "kths"), "block")
+            shipped = here.select("shard", "part").distinct().join(shards.select("shard", "data"), "shard").toDF("to", "slice", "data")
+            found = shipped.groupBy("to", "slice").cogroup(sent.groupBy("shard", "part")).applyInArrow(tidied(_search(k)), "block long, query_id long, vec_id long, score long")
+            found = found if best is None else found.unionByName(best)
+            best, _ = materialize(best_of(found, k).drop("rank"), f"topk-best{lo}")
+            lo, hi = hi, hi * GROWTH
+        if best is None:
+            return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return finished(best_of(best, k).select("query_id", "rank", "vec_id", "score"), "topk", scope)
