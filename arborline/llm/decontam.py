@@ -3,10 +3,12 @@
 An alignment of an m-character item with at most e edits keeps at least m - q + 1 - q e of its
 q-grams, all on diagonals that differ by at most e.  Matching q-grams are therefore counted in
 bands of 2 (e + 1) diagonals that overlap by half, so that every such alignment lies whole in some
-band; bands that reach the bound are verified by a banded alignment.  Texts are compared
-lower-cased with white space runs as one blank.
+band; bands that reach the bound are verified by an alignment within the band's diagonals.  Texts
+are compared lower-cased with white space runs as one blank.  Items too short for a q-gram are looked
+for as whole words, without edits.
 
-The benchmark is read in blocks of bounded size, each shipped to the scan of the documents.
+The benchmark is read in blocks of bounded size (BLOCK_CHARS); one block's index is shipped to a scan
+of the documents, and a larger benchmark takes a scan for each block, one after the other.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidied
+from .common import materialize, tidied
 
 #: Edits allowed for each character of an item, and the q-gram's length.
 EDIT_RATE, Q = 0.08, 8
-#: Items of fewer characters are looked for without edits.
-MIN_EDIT_CHARS = 40
 #: Characters of a benchmark block, and of the texts that are indexed together.
 BLOCK_CHARS, GROUP_CHARS = 4 << 20, 1 << 20
 #: Positions whose matches are expanded at a time.
 EXPAND = 1 << 18
 BITS = 22
+#: Stands for a null item id while items are searched.
+NO_ID = -(1 << 63)
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,32 +51,54 @@ def gram_hashes(c: np.ndarray) -> np.ndarray:
 
 
 def budget(m: int) -> int:
-    return int(m * EDIT_RATE) if m >= MIN_EDIT_CHARS else 0
-
-
-def edit_distance_within(item: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int] | None:
-    """(edits, end) of the best alignment of the item with any part of the region, or None beyond
-    `most` edits.  Rows of the table are made whole; its columns are the region, a band's width
-    beyond the item."""
-    n = len(region)
-    at = np.arange(n + 1)
-    row = np.zeros(n + 1, dtype=np.int64)
-    for i, c in enumerate(item, 1):
-        new = np.empty(n + 1, dtype=np.int64)
-        new[0] = i
-        np.minimum(row[:-1] + (region != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - at) + at
+    """Edits allowed to an item of m characters; the lemma needs one q-gram that they must leave."""
+    return max(0, min(int(m * EDIT_RATE), (m - Q) // Q))
+
+
+def banded_alignment(item: np.ndarray, text: np.ndarray, low: int, width: int, start: int, stop: int, most: int) -> tuple[int, int] | None:
+    """(edits, end) of the best alignment of the item with a part of text[start:stop], on `width`
+    diagonals (place in the text less place in the item) from `low` on; None beyond `most` edits.
+
+    Row i of the table holds one cell for each diagonal, so the cost is the item's length times
+    the band's width.
+    """
+    far = most + 1
+    at = np.arange(width)
+    # The characters that the cells of all rows look at; those outside start:stop match nothing.
+    reach = np.full(len(item) + width, np.uint32(0xFFFFFFFF), dtype=np.uint32)
+    a, b = max(start, low, 0), min(stop, low + len(reach))
+    if a >= b:
+        return None
+    reach[a - low : b - low] = text[a:b]
+    place = low + at  # text before the cell's place is behind it
+    row = np.where((place >= start) & (place <= stop), 0, far)
+    new = np.empty_like(row)
+    for i, c in enumerate(item):
+        np.add(row, reach[i : i + width] != c, out=new)  # both go on: the same diagonal
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])  # the item alone goes on: from the diagonal above
+        place += 1
+        new[(place < start) | (place > stop)] = far
+        # The text alone goes on: from the diagonals below, one edit for each.
+        np.minimum.accumulate(new - at, out=row)
+        row += at
+        row[(place < start) | (place > stop)] = far
         if row.min() > most:
             return None
     end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= most else None
+    return (int(row[end]), int(place[end])) if row[end] <= most else None
 
 
 class Index:
     """The q-grams of a block of benchmark items with their places."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        kept = [(i, n) for i, t in items if len(n := normal(t)) >= Q]
+        named = [(i, n) for i, t in items if (n := normal(t))]
+        kept = [(i, n) for i, n in named if len(n) >= Q]
+        self.short: dict[str, list[int]] = {}
+        for i, n in named:
+            if len(n) < Q:
+                self.short.setdefault(n, []).append(i)
+        self.short_words = sorted({n.count(" ") + 1 for n in self.short})
         self.ids = np.array([i for i, _ in kept], dtype=np.int64)
         self.texts = [n for _, n in kept]
         self.codes = [codes(n) for n in self.texts]
@@ -123,6 +147,40 @@ class Index:
         enough = c >= self.need[key >> 40]
         return [(int(k >> 40), int(k & ((1 << 40) - 1))) for k in key[enough]]
 
+    def short_matches(self, text: str) -> list[tuple[int, int, int, int]]:
+        """Items shorter than a q-gram that are words of the text: their first places."""
+        out = {}
+        words = text.split(" ")
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+        for k in self.short_words:
+            for j in range(len(words) - k + 1):
+                n = words[j] if k == 1 else " ".join(words[j : j + k]) if starts[j + k] - starts[j] <= Q else ""
+                for i in self.short.get(n, ()) if n else ():
+                    out.setdefault((i, n), (i, 0, starts[j], starts[j] + len(n)))
+        return list(out.values())
+
+    def align(self, item: int, band: int, text: np.ndarray, start: int, stop: int) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the best alignment of an item on a band's diagonals."""
+        e, c = int(self.edits[item]), self.codes[item]
+        m, width = len(c), 2 * (e + 1)
+        low = band * (e + 1) - m  # the band's first diagonal
+        a, b = max(start, low), min(stop, low + width + m)
+        if b - a < m - e:
+            return None
+        whole, part = text[a:b].tobytes(), c.tobytes()
+        exact = whole.find(part)
+        while exact > 0 and exact % 4:  # not at a character
+            exact = whole.find(part, exact + 1)
+        if exact >= 0:
+            return 0, a + exact // 4, a + exact // 4 + m
+        if not e or not (near := banded_alignment(c, text, low, width, start, stop, e)):
+            return None
+        # Backwards from that end: a place at x is at near - x of the turned text, diagonals are turned too.
+        edits, end = near
+        turned = text[max(start, low) : end][::-1]
+        back = banded_alignment(c[::-1], turned, end - m - (low + width - 1), width, 0, len(turned), edits)
+        return edits, end - back[1], end
+
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """(item id, edits, start, end) of the best match of each item in each text; places are
         those of the normalised text."""
@@ -138,37 +196,23 @@ class Index:
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for item, band in self.bands(joined):
                 e, m = int(self.edits[item]), int(self.size[item])
-                low = band * (e + 1) - m  # the band's first diagonal
-                lo, hi = max(0, low - e), min(len(joined), low + 2 * (e + 1) + m + e)
-                for d in range(max(0, int(np.searchsorted(starts, lo, "right")) - 1), min(len(held), int(np.searchsorted(starts, hi, "left")))):
-                    a, b = max(lo, int(starts[d])), min(hi, int(starts[d + 1]) - 1)
-                    if b - a < m - e or best.get((d, item), (1,))[0] == 0:
-                        continue
-                    region = joined[a:b]
-                    whole, part = region.tobytes(), self.codes[item].tobytes()
-                    exact = whole.find(part)
-                    while exact > 0 and exact % 4:  # not at a character
-                        exact = whole.find(part, exact + 1)
-                    if exact >= 0:
-                        hit = (0, a + exact // 4, a + exact // 4 + m)
-                    elif e and (near := edit_distance_within(self.codes[item], region, e)):
-                        back = edit_distance_within(self.codes[item][::-1], region[: near[1]][::-1], e)
-                        hit = (near[0], a + near[1] - back[1], a + near[1])
-                    else:
-                        continue
-                    best[d, item] = min(best.get((d, item), hit), hit)
+                low = band * (e + 1) - m
+                first, last = max(0, low), min(len(joined), low + 2 * (e + 1) + m)
+                for d in range(max(0, int(np.searchsorted(starts, first, "right")) - 1), min(len(held), int(np.searchsorted(starts, last, "left")))):
+                    if best.get((d, item), (1,))[0] and (hit := self.align(item, band, joined, int(starts[d]), int(starts[d + 1]) - 1)):
+                        best[d, item] = min(best.get((d, item), hit), hit)
             for (d, item), (edits, s, t) in sorted(best.items()):
                 out[group[d]].append((int(self.ids[item]), edits, s - int(starts[d]), t - int(starts[d])))
 
-        if not len(self.ids):
-            return out
         for i, t in enumerate(texts):
-            c = codes(normal(t))
-            if len(c) < Q:
+            n = normal(t)
+            if self.short and n:
+                out[i] += self.short_matches(n)
+            if len(n) < Q or not len(self.ids):
                 continue
             group.append(i)
-            held.append(c)
-            held_chars += len(c)
+            held.append(codes(n))
+            held_chars += len(n)
             if held_chars >= GROUP_CHARS:
                 search()
                 group.clear()
@@ -181,7 +225,7 @@ class Index:
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     """The items as lists of (id, text) of at most BLOCK_CHARS characters (one item at least)."""
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.col(text_col).cast("string")).distinct().toLocalIterator(prefetchPartitions=False)
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.col(text_col).cast("string")).distinct().toLocalIterator(prefetchPartitions=False)
     block, size = [], 0
     for i, t in rows:
         if block and size + len(t) > BLOCK_CHARS:
@@ -193,19 +237,22 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, start, end): each benchmark item found in each document, once.
 
-    Items shorter than Q characters after normalisation, and null ones, are never found; items
-    under MIN_EDIT_CHARS only without edits.  Null and empty texts hold nothing; null item ids
-    are given as -1; repeated rows repeat their findings; other columns are ignored; empty tables
-    give an empty result.
+    Items shorter than Q characters after normalisation are found as whole words; null and blank
+    ones are never found.  Null and empty texts hold nothing; items of a null id are found with a
+    null item_id; repeated rows repeat their findings, repeated benchmark rows do not; other columns
+    are ignored; empty tables give an empty result.
     """
     schema = "doc_id long, item_id long, edits int, start long, end long"
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in benchmark_blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block))
+    out, shipped = docs.sparkSession.createDataFrame([], schema), None
+    for block in benchmark_blocks(benchmark, item_col, item_text_col):
+        if shipped is not None:  # one index at a time
+            out, _ = materialize(out, "leaks")
+            shipped.unpersist()
+        shipped = index = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def run(batches, index=index):
             for b in batches:
@@ -214,17 +261,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "edits", "start", "end"])
 
-        out = out.union(src.mapInArrow(tidied(run), schema))
+        out = out.union(src.mapInArrow(tidied(run), schema).withColumn("item_id", F.when(F.col("item_id") != NO_ID, F.col("item_id"))))
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents in which no benchmark item is found, with all their columns."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents in which no benchmark item is found, with all their columns.
+
+    Null and empty texts stay, as they hold nothing; rows that repeat stay or go together; ids play no
+    part.  An empty benchmark keeps all, an empty table gives an empty result.
+    """
     at = docs.columns.index(text_col)
-    out = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    out, shipped = docs.withColumn(text_col, F.col(text_col).cast("string")), None
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    for block in benchmark_blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block))
+    for block in benchmark_blocks(benchmark, item_col, item_text_col):
+        if shipped is not None:
+            out, _ = materialize(out, "without-leaks")
+            shipped.unpersist()
+        shipped = index = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def run(batches, index=index):
             for b in batches:
