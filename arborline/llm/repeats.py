@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidied
+from .common import finished, materialize, scratch_scope, tidied
 
 MIN_BYTES, GRAM = 50, 24
 #: Raw bytes of a chunk; anchors and text bytes that a shard is planned for.
@@ -35,6 +35,9 @@ CHUNK_BYTES, SHARD_ANCHORS, SHARD_BYTES = 2 << 20, 1 << 20, 3 << 19
 MAX_WINDOWS, HOT_DOCS = 50, 2000
 #: The document number of a null id: after all others.
 LAST = np.iinfo(np.int64).max
+#: Ways in which the exact copies of one text are spread, and files at most that each task of the
+#: packing writes (a bucket may hold any number of chunks).
+SALT, MOST_BUCKETS = 16, 4096
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -66,6 +69,8 @@ class Chunk:
         import zstandard
 
         n = np.frombuffer(sizes, dtype=np.int64)
+        self.none = n < 0  # of a null id: less than zero by its size and one
+        n = np.where(self.none, -1 - n, n)
         raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=int(n.sum())) if n.sum() else b""
         self.ids, self.starts, self.data = np.frombuffer(ids, dtype=np.int64), np.concatenate([[0], np.cumsum(n)]), np.frombuffer(raw, dtype=np.uint8)
         self.copy = np.zeros(len(n), dtype=bool)
@@ -154,20 +159,21 @@ def pack_chunks(docs: DataFrame, table: str, buckets: int) -> DataFrame:
         from pyspark import TaskContext
 
         z, base, seq = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32, 0
-        ids, parts, held = [], [], 0
+        ids, parts, sizes, held = [], [], [], 0
 
         def row():
             data = z.compress(b"".join(parts))
-            return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([held], pa.int64()), pa.array([np.int64(ids).tobytes()], pa.binary()), pa.array([np.int64([len(p) for p in parts]).tobytes()], pa.binary()), pa.array([data], pa.binary())], names=["chunk", "n_bytes", "ids", "sizes", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([held], pa.int64()), pa.array([np.int64(ids).tobytes()], pa.binary()), pa.array([np.int64(sizes).tobytes()], pa.binary()), pa.array([data], pa.binary())], names=["chunk", "n_bytes", "ids", "sizes", "data"])
 
         for b in batches:
             for i, t in zip(b.column(0), b.column(1), strict=True):
                 ids.append(LAST if i.as_py() is None else i.as_py())
                 parts.append((t.as_py() or "").encode("utf-8"))
+                sizes.append(len(parts[-1]) if i.as_py() is not None else -1 - len(parts[-1]))
                 held += len(parts[-1])
                 if held >= CHUNK_BYTES:
                     yield row()
-                    ids, parts, held, seq = [], [], 0, seq + 1
+                    ids, parts, sizes, held, seq = [], [], [], 0, seq + 1
         if ids:
             yield row()
 
@@ -361,44 +367,51 @@ def repeats_of_store(table):
     return _table([[r[i] for r in out] for i in range(5)], names, types)
 
 
-def finish(left, right):
-    """The digest of each document of a chunk, from its windows' smallest documents."""
-    names, types = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    if not left.num_rows:
-        return _table([[]] * 5, names, types)
-    c = Chunk.of(left)
-    gone = np.zeros(len(c.data) + 1, dtype=np.int32)
-    for k in range(right.num_rows):
-        places, counts, windows, firsts = (np.frombuffer(right[n][k].as_py(), dtype=t) for n, t in (("places", np.uint32), ("counts", np.uint32), ("windows", np.uint16), ("firsts", np.int64)))
-        base = np.cumsum(windows.astype(np.int64)) - windows
-        frag = np.repeat(np.arange(len(counts)), counts)
-        n = windows[frag].astype(np.int64)
-        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        window = np.repeat(places.astype(np.int64), n) + j
-        small = firsts[np.repeat(base[frag], n) + j]
-        mine = c.ids[np.repeat(c.doc_of(places.astype(np.int64)), n)]
-        hit = window[small < mine]
-        np.add.at(gone, hit, 1)
-        np.add.at(gone, hit + MIN_BYTES, -1)
-    removed = np.cumsum(gone)[:-1] > 0
-    rows = []
-    for i, a, b, copy in zip(c.ids.tolist(), c.starts[:-1].tolist(), c.starts[1:].tolist(), c.copy.tolist(), strict=True):
-        if copy and b - a >= MIN_BYTES:
-            rows.append((None if i == LAST else i, b - a, b - a, 1, hashlib.sha256(b"").hexdigest()))
-            continue
-        r = removed[a:b]
-        spans = int(r[:1].sum() + (r[1:] & ~r[:-1]).sum())
-        rows.append((None if i == LAST else i, b - a, int(r.sum()), spans, hashlib.sha256(c.data[a:b][~r].tobytes() if spans else c.data[a:b].tobytes()).hexdigest()))
-    return _table([[r[i] for r in rows] for i in range(5)], names, types)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = HOT_DOCS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each input row.
+def finish(with_text: bool):
+    """What is left of each document of a chunk, from its windows' smallest documents."""
+    names, types = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    if with_text:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        names, types = [*names, "spans", "kept"], [*types, span, pa.binary()]
+
+    def run(left, right):
+        if not left.num_rows:
+            return _table([[]] * len(names), names, types)
+        c = Chunk.of(left)
+        gone = np.zeros(len(c.data) + 1, dtype=np.int32)
+        for k in range(right.num_rows):
+            places, counts, windows, firsts = (np.frombuffer(right[n][k].as_py(), dtype=t) for n, t in (("places", np.uint32), ("counts", np.uint32), ("windows", np.uint16), ("firsts", np.int64)))
+            base = np.cumsum(windows.astype(np.int64)) - windows
+            frag = np.repeat(np.arange(len(counts)), counts)
+            n = windows[frag].astype(np.int64)
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            window = np.repeat(places.astype(np.int64), n) + j
+            small = firsts[np.repeat(base[frag], n) + j]
+            mine = c.ids[np.repeat(c.doc_of(places.astype(np.int64)), n)]
+            hit = window[small < mine]
+            np.add.at(gone, hit, 1)
+            np.add.at(gone, hit + MIN_BYTES, -1)
+        removed = np.cumsum(gone)[:-1] > 0
+        rows = []
+        for i, none, a, b, copy in zip(c.ids.tolist(), c.none.tolist(), c.starts[:-1].tolist(), c.starts[1:].tolist(), c.copy.tolist(), strict=True):
+            r = np.ones(b - a, dtype=bool) if copy and b - a >= MIN_BYTES else removed[a:b]
+            edges = np.flatnonzero(np.diff(r, prepend=False, append=False)) if b > a else np.zeros(0, np.int64)
+            kept = c.data[a:b][~r].tobytes() if len(edges) else c.data[a:b].tobytes()
+            row = (None if none else i, b - a, int(r.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest())
+            rows.append((*row, [{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()], kept) if with_text else row)
+        return _table([[r[i] for r in rows] for i in range(len(names))], names, types)
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = HOT_DOCS, with_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each input row; with_text:
+    also spans (start, end of each removed run of bytes) and kept (the remaining bytes).
 
     A byte goes if a string of MIN_BYTES bytes that covers it starts in a document of a smaller id
-    too.  Null texts are empty; a null id comes after all others; rows of one id are one
-    document's and do not remove from each other; other columns are ignored; an empty table
-    gives an empty result.
+    too.  Null texts are empty; a null id comes after all others (and beside the id 2^63 - 1); rows
+    of one id are one document's and do not remove from each other; other columns are ignored; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -406,14 +419,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = max(slots, -(-total // (18 * SHARD_ANCHORS)))
     stores = max(2 * slots, -(-total // SHARD_BYTES))
-    buckets = min(4096, max(slots, -(-total // (4 * CHUNK_BYTES))))
-    chunks = pack_chunks(src, f"chunks_{uuid.uuid4().hex}", buckets)
-    known, _ = materialize(chunks.select("chunk", "ids", "sizes", "data").mapInArrow(tidied(digests), "chunk long, doc int, place long, sha binary"), "digests")
-    firsts = known.groupBy("sha").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("sha", "first")
-    copies = known.join(firsts, "sha").where("place > first").select("chunk", "doc").groupBy("chunk").applyInArrow(tidied(copy_lists), "chunk long, copies binary")
-    chunks = chunks.join(materialize(copies, "copies")[0], "chunk", "left")
-    heard = chunks.select("chunk", "ids", "sizes", "data", "copies").mapInArrow(tidied(announce(shards)), "shard int, chunk long, keys binary, docs binary")
-    shared = heard.groupBy("shard").applyInArrow(tidied(shared_anchors(hot_docs)), "chunk long, keys binary")
-    sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(tidied(fragments(shards, stores)), "store int, chunk long, sizes binary, ids binary, counts binary, places binary, data binary")
-    told = sent.groupBy("store").applyInArrow(tidied(repeats_of_store), "chunk long, places binary, counts binary, windows binary, firsts binary")
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(tidied(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    buckets = min(MOST_BUCKETS, max(slots, -(-total // (4 * CHUNK_BYTES))))
+    table = f"chunks_{uuid.uuid4().hex}"
+    try:
+        with scratch_scope(spark) as scope:
+            chunks = pack_chunks(src, table, buckets)
+            known, _ = materialize(chunks.select("chunk", "ids", "sizes", "data").mapInArrow(tidied(digests), "chunk long, doc int, place long, sha binary"), "digests")
+            # Only digests that repeat meet their documents, and the copies of one text are spread.
+            firsts = known.groupBy("sha").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
+            firsts = firsts.select("sha", "first", F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("part"))
+            spread = known.withColumn("part", F.pmod(F.xxhash64("chunk", "doc"), F.lit(SALT)).cast("int"))
+            copies = spread.join(firsts, ["sha", "part"]).where("place > first").select("chunk", "doc").groupBy("chunk").applyInArrow(tidied(copy_lists), "chunk long, copies binary")
+            chunks = chunks.join(materialize(copies, "copies")[0], "chunk", "left")
+            heard = chunks.select("chunk", "ids", "sizes", "data", "copies").mapInArrow(tidied(announce(shards)), "shard int, chunk long, keys binary, docs binary")
+            shared = heard.groupBy("shard").applyInArrow(tidied(shared_anchors(hot_docs)), "chunk long, keys binary")
+            sent = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(tidied(fragments(shards, stores)), "store int, chunk long, sizes binary, ids binary, counts binary, places binary, data binary")
+            told = sent.groupBy("store").applyInArrow(tidied(repeats_of_store), "chunk long, places binary, counts binary, windows binary, firsts binary")
+            schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<struct<start:long,end:long>>, kept binary" if with_text else "")
+            return finished(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(tidied(finish(with_text)), schema), "repeats", scope)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
