@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove, tidied
+from .common import finished, materialize, remove, scratch_scope, tidied
 
 SEED = 42
 RADIUS = 2
@@ -40,6 +40,8 @@ PART_ROWS, IN_MEMORY, SAMPLED = 50_000, 100_000, 64
 FAMILY = 16
 #: Shingle sets in a block of a group that is compared in full, cells in a task, and tasks at least.
 BLOCK_BYTES, CELLS_PER_PART, LEAST_PARTS = 2 << 20, 64, 64
+#: Ways in which the rows of one fingerprint are spread.
+SALT = 16
 #: Words hashed at a time, so that a text of any length needs bounded memory.
 BLOCK_WORDS = 50_000
 
@@ -212,14 +214,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Repeated rows are repeated in the result.  Other columns of the input are ignored.  An empty
     table gives an empty result.
     """
-    marked, _ = materialize(fingerprints(docs, id_col, text_col, shingle).select("doc_id", F.col("fps")[0].alias("fp")), "simhash")
-    points, _ = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-points")
-    roots, _ = components(star_links(points.select(F.lit(0).alias("family"), "fp")).select("u", "v"))
-    owner = points.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # A root's smallest id is aggregated first and joined back, so a huge component is never one group.
-    first = owner.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    table = owner.join(first, "root").select("fp", "component_id")
-    return marked.join(table, "fp").select("doc_id", "fp", "component_id")
+    with scratch_scope(docs.sparkSession) as scope:
+        marked, _ = materialize(fingerprints(docs, id_col, text_col, shingle).select("doc_id", F.col("fps")[0].alias("fp")), "simhash")
+        points, _ = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-points")
+        roots, _ = components(star_links(points.select(F.lit(0).alias("family"), "fp")).select("u", "v"))
+        owner = points.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        # A root's smallest id is aggregated first and joined back, so a huge component is never one group.
+        first = owner.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        parts = F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("part")
+        table = owner.join(first, "root").select("fp", "component_id", parts)
+        # Many documents may share one fingerprint: their rows are spread.
+        spread = marked.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+        return finished(spread.join(table, ["fp", "part"]).select("doc_id", "fp", "component_id"), "simhash-components", scope)
 
 
 def jaccard(a: str | None, b: str | None, shingle: int) -> float:
@@ -302,25 +308,11 @@ def links_left(pairs: DataFrame, joined: DataFrame, text: DataFrame, similarity:
     return cells.groupBy("part").applyInArrow(tidied(compare), "u long, v long").distinct()
 
 
-def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, family: int = FAMILY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the smallest id of each group of near copies, with their columns.
+def near_copies(marked: DataFrame, src: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(u, root): the documents near a smaller one, with the smallest id of their group.
 
-    Groups are connected by exact copies and by pairs whose sets of 5-word shingles have a Jaccard
-    similarity of 0.8 or more.  Proposals come from `family` SimHashes of the distinct words, by
-    covering LSH of radius 2.  Stars are verified first; where that leaves a group of proposals in
-    several components, all its pairs across them are compared.  So a similar pair is missed only if
-    no chain of fingerprints within 2 bits connects the two.  Rows that repeat an id and text are one
-    document and all stay.  Documents with null ids go only as exact copies of another one; null
-    and empty texts are exact copies of one another.
-    """
-    last = F.lit((1 << 63) - 1)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marked, _ = materialize(fingerprints(src, "doc_id", "text", 1, family, distinct=True, digest=True), "family")
-    firsts = marked.groupBy("sha").agg(F.min(F.coalesce("doc_id", last)).alias("first"))
-    # (place, sha) of the rows that go: later exact copies first, then near copies.
-    copies = marked.join(firsts, "sha").where(F.coalesce("doc_id", last) > F.col("first")).select(F.coalesce("doc_id", last).alias("place"), "sha")
-    single = marked.join(firsts, "sha").where("doc_id = first").select("doc_id", "sha", "fps").dropDuplicates(["doc_id", "sha"])
-    by_family = single.select("doc_id", F.posexplode("fps").alias("family", "fp"))
+    marked: (doc_id, fps) of different texts; src: (doc_id, text)."""
+    by_family = marked.select("doc_id", F.posexplode("fps").alias("family", "fp"))
     points, _ = materialize(by_family.groupBy("family", "fp").agg(F.min("doc_id").alias("first_id")), "family-points")
     links = star_links(points.select("family", "fp"))
     to = lambda c, name: points.select("family", F.col("fp").alias(c), F.col("first_id").alias(name))
@@ -329,7 +321,7 @@ def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int
     pairs, _ = materialize(across.union(within).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     # Merge joins keep the movement of texts in proportion at every size.
     wanted = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
-    text, _ = materialize(src.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).join(wanted.hint("merge"), "i", "left_semi"), "near-texts")
+    text, _ = materialize(src.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).join(wanted.hint("merge"), "i", "left_semi").dropDuplicates(["i", "t"]), "near-texts")
 
     def verify(batches):
         for b in batches:
@@ -341,11 +333,33 @@ def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int
     joined, _ = components(verified.where("ok").select("u", "v"), "near")
     refused = verified.where("NOT ok").select(F.col("u").alias("a"), F.col("v").alias("b"))  # the others lie within components
     more, _ = materialize(links_left(refused, joined, text, similarity, shingle), "near-left")
-    roots, _ = components(joined.select("u", F.col("root").alias("v")).union(more).distinct(), "near")
-    near = single.join(roots.select(F.col("u").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("place"), "sha")
-    names = ["_place", "_sha"]
+    return components(joined.select("u", F.col("root").alias("v")).union(more).distinct(), "near")[0]
+
+
+def first_of_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, family: int = FAMILY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but the smallest id of each group of near copies, with their columns.
+
+    Groups are connected by exact copies and by pairs whose sets of 5-word shingles have a Jaccard
+    similarity of 0.8 or more.  Proposals come from `family` SimHashes of the distinct words, by
+    covering LSH of radius 2.  Stars are verified first; where that leaves a group of proposals in
+    several components, all its pairs across them are compared.  So a similar pair is missed only if
+    no chain of fingerprints within 2 bits connects the two.  Rows that repeat an id and text are one
+    document and all stay.  Documents with null ids come after all others and go only as exact copies
+    of another one; null and empty texts are exact copies of one another.  An empty table gives an
+    empty result.
+    """
+    key, names = ["none", "id", "sha"], ["_none", "_id", "_sha"]
     while set(names) & set(docs.columns):
         names = [f"{n}_" for n in names]
-    gone = copies.union(near).distinct().toDF(*names)
-    own = docs.withColumns({names[0]: F.coalesce(F.col(f"`{id_col}`").cast("long"), last), names[1]: F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))})
-    return own.join(gone.hint("merge"), names, "left_anti").drop(*names)
+    with scratch_scope(docs.sparkSession) as scope:
+        src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        marked = fingerprints(src, "doc_id", "text", 1, family, distinct=True, digest=True)
+        # Of exact copies the first is taken before anything moves: copies combine on the map side.
+        place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))
+        firsts = marked.groupBy("sha").agg(F.min(F.struct(place.alias("at"), "fps")).alias("f"))
+        firsts, _ = materialize(firsts.select("sha", "f.at.none", "f.at.id", "f.fps"), "family")
+        single = firsts.where("NOT none").select(F.col("id").alias("doc_id"), "fps")
+        near = near_copies(single, src, similarity, shingle).select(F.col("u").alias("id"), F.lit(False).alias("none"))
+        kept = finished(firsts.select(*key).join(near, ["id", "none"], "left_anti").select(*key), "kept", scope)
+    own = docs.withColumns({names[0]: F.col(f"`{id_col}`").cast("long").isNull(), names[1]: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), names[2]: F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256))})
+    return own.join(kept.toDF(*names).hint("merge"), names, "left_semi").drop(*names)
