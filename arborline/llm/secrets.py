@@ -1,7 +1,8 @@
 """Secret scanning: candidates, then a random forest that removes false findings.
 
 Candidates are long tokens with a digit, whatever a known key prefix opens, values of any length
-and characters assigned to a name with a credential word in it, and passwords of urls.
+and characters assigned to a name with a credential word in it, passwords of urls, and private keys
+in armour, over all their lines.
 
 Features are the candidate's length, its character classes and transitions, how much of it
 dictionary pieces cover, whether it looks like a path, and the words beside it.  The forest is
@@ -47,6 +48,8 @@ PREFIXED = re.compile(f"(?:{'|'.join(PREFIXES)})[A-Za-z0-9+/_\\-]*={{0,2}}")
 ASSIGNED = re.compile(r"[:=][=>]?\s{0,8}")
 NAMED = re.compile(f"(?:{'|'.join(NEAR_SECRET)})[A-Za-z0-9_\\-]{{0,32}}[\"'\\]]{{0,2}}\\s{{0,8}}\\Z", re.I)
 VALUE = re.compile(r"(?:(?:bearer|basic|token)\s{1,8})?(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"']\S*))", re.I)
+#: A private key in armour to its end; without one, the lines of key characters that follow.
+ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:\s*[A-Za-z0-9+/=]{32,}+(?=\s|\Z))*)")
 LOGIN = re.compile(r"://[^\s/@:]{0,256}:([^\s/@]+)@")
 BEFORE_LOGIN = re.compile(r"://[^\s/@:]*:$")
 # What stands in a credential's place without being one.
@@ -88,7 +91,7 @@ def features(token: str, before: str, after: str, lang) -> list[float]:
     return [
         n, share["d"], share["u"], share["l"], share["o"], float(-(freq * np.log2(freq)).sum()), float(moves),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, covered / n, token.count("/") + 3 * left.endswith(("/", "\\", ":")), token.count("."),
-        float(all(c in "0123456789abcdef" for c in low)), token.count("-") + token.count("_"), float(token.startswith(PREFIXES)),
+        float(all(c in "0123456789abcdef" for c in low)), token.count("-") + token.count("_"), float(token.startswith((*PREFIXES, "-----BEGIN "))),
         float(any(w in left[-24:] for w in NEAR_SECRET)), float(any(w in left[-24:] for w in NEAR_HARMLESS)),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in "\"'" and after[:1] in "\"'" and bool(after)), float(bool(words) and len(words[-1]) > 1 and before[-1:] == " "),
         float(after[:1] == "@" and bool(BEFORE_LOGIN.search(before))), float(low in STAND_INS or token[0] in "$<{%[" or len(set(token)) == 1 or "(" in token or "[" in token),
@@ -109,7 +112,7 @@ def labelled_findings(n: int = LABELLED_FINDINGS, seed: int = SEED) -> list[tupl
     for i in range(n):
         lead = prose() if r.random() < 0.9 else ""
         if i % 2:
-            kind = r.randrange(12)
+            kind = r.randrange(13)
             if kind == 0:
                 b, v, a = "", "AKIA" + pick(up, 16), r.choice([" ", ".", "\n", ""])
             elif kind == 1:
@@ -131,6 +134,9 @@ def labelled_findings(n: int = LABELLED_FINDINGS, seed: int = SEED) -> list[tupl
                 b, v, a = wrap(r.choice(["password", "passwd", "pwd", "db_password", "PASSWORD"]), short)
                 if a[:1] in "\"'" and r.random() < 0.2:
                     v = word() + word() + word()
+            elif kind == 11:
+                name, body = r.choice(["", "RSA ", "EC ", "OPENSSH "]), "\n".join(pick(alnum + "+/", 64) for _ in range(r.randint(1, 12)))
+                b, v, a = r.choice(["", "\n"]), f"-----BEGIN {name}PRIVATE KEY-----\n{body}\n-----END {name}PRIVATE KEY-----", "\n"
             else:
                 b, v, a = r.choice(["postgres", "mysql", "https", "redis", "amqp"]) + "://" + r.choice(["", word()]) + ":", r.choice([pick(alnum, r.randint(4, 16)), word() + str(r.randint(0, 999))]), "@" + word() + r.choice(["/x ", ":5432 ", " "])
             if kind < 6:
@@ -234,7 +240,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
                 b = a + (len(text[a:b].rstrip(",;.)]}>\"'")) or b - a)
             upto = b
             found.add((a, b))
-    found |= {m.span(1) for m in LOGIN.finditer(text)}
+    found |= {m.span(1) for m in LOGIN.finditer(text)} | {m.span() for m in ARMOUR.finditer(text)}
     return sorted(found)
 
 
@@ -256,8 +262,9 @@ def scan(texts: list[str | None], forest: Forest, lang) -> list[list[tuple[int,
 def find_secrets(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, score, secret_sha256), one row for each finding.
 
-    Positions count characters.  Null and empty texts have no findings; repeated rows repeat
-    theirs; ids pass through, null or not; other columns are ignored; an empty table gives none.
+    Positions count characters.  Overlapping findings are one.  Null and empty texts have no findings;
+    repeated rows repeat theirs; ids pass through, null or not; other columns are ignored; an empty
+    table gives none.
     """
     forest = train(vocab_path)
 
@@ -275,7 +282,8 @@ def find_secrets(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
 
 def redact(docs: DataFrame, vocab_path: str, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with every finding replaced by MASK and, where there is such a column, the number of
-    characters brought up to date.  Null texts stay null; all rows and columns stay."""
+    characters brought up to date (null ones too, where something was found).  Null and empty texts
+    stay as they are; all rows and columns stay, repeated ones too; an empty table stays empty."""
     forest = train(vocab_path)
     at = docs.columns.index(text_col)
     n_at = docs.columns.index(size_col) if size_col in docs.columns else None
