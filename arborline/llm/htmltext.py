@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import sys
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,21 +41,25 @@ IMPLIED = (
     | {t: (frozenset([*ROW_GROUPS, "tr", "td", "th", "caption"]), frozenset(["table"])) for t in ROW_GROUPS}
 )
 SCOPE_ENDS = frozenset(["table", "td", "th", "button", "caption"])
-#: Elements nested deeper are kept beside, not inside, one another.
-MAX_DEPTH = 150
-#: Longer lines of a cell run over their column and widen it no further.
-MAX_COLUMN = 60
-
-TOKEN = re.compile(
-    r"<!--(?s:.*?)(?:-->|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>"
-)
+#: Elements nested deeper are kept beside, not inside, one another, as browsers do.
+MAX_DEPTH = 512
+# The most columns and rows that a cell may span by the standard.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+#: Cells are padded to their columns' widest line, unless that makes a table so many times longer than
+#: its text (one very long line in many rows); then lines beyond WIDE run over their column.
+MAX_PADDING, WIDE = 16, 60
+
+TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)")
+#: What ends a tag, or opens a quoted value in it.
+IN_TAG = re.compile(r"=\s*([\"'])|>")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 UNSEEN = re.compile(r"(?:^|[\s\"'/])hidden(?=$|[\s=/>])(?!\s*=\s*[\"']?until-found)|(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-START, SPAN = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", re.I), re.compile(r"\bcolspan\s*=\s*[\"']?(\d{1,3})", re.I)
 QUOTED = re.compile(r"(?<![\w-])(?!style\b)[\w-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Style sheets: comments, blocks with their selectors, simple selectors, and what hides.
+CSS_COMMENT, CSS_RULE = re.compile(r"/\*(?s:.*?)(?:\*/|\Z)"), re.compile(r"([^{}]*)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-zA-Z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
 
 
 class Node:
@@ -67,10 +73,98 @@ def text_of(s: str) -> str:
     return html.unescape(s) if "&" in s else s
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """The attributes of a tag by lower-cased name; the first of equal names counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        out.setdefault(m[1].lower(), text_of(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def number(attrs: str, name: str) -> int | None:
+    """An attribute that is a whole number, or None."""
+    if name not in attrs.lower():
+        return None
+    m = re.match(r"\s*([+-]?\d{1,9})", attributes(attrs).get(name, ""))
+    return int(m[1]) if m else None
+
+
+def tag_end(page: str, at: int) -> int:
+    """The place of the `>` that ends a tag; those in quoted values do not, and a quote that never
+    closes is none.  -1 where there is none."""
+    while m := IN_TAG.search(page, at):
+        if not m[1]:
+            return m.start()
+        shut = page.find(m[1], m.end())
+        if shut < 0:
+            return page.find(">", m.end())
+        at = shut + 1
+    return -1
+
+
+def top_level(css: str) -> str:
+    """A style sheet without comments and without the blocks of at-rules, save those for screens."""
+    css, out, at = CSS_COMMENT.sub(" ", css), [], 0
+    while (rule := css.find("@", at)) >= 0:
+        out.append(css[at:rule])
+        opened, ended = css.find("{", rule), css.find(";", rule)
+        if opened < 0 or 0 <= ended < opened:  # a rule without a block
+            at = ended + 1 if ended >= 0 else len(css)
+            continue
+        depth, i = 1, opened + 1
+        for m in re.compile(r"[{}]").finditer(css, i):
+            depth += 1 if m[0] == "{" else -1
+            i = m.end()
+            if not depth:
+                break
+        else:
+            i = len(css) + 1
+        if re.fullmatch(r"@media\s+(?:only\s+)?(?:screen|all)\s*", css[rule:opened], re.I):
+            out.append(css[opened + 1 : i - 1])
+        at = i
+    return "".join([*out, css[at:]])
+
+
+def hiding_rules(sheets: list[str]) -> list[tuple]:
+    """(important, weight, order, tag, id, classes, property, value) of the rules with a simple
+    selector (an element, class or id, or these joined) for display or visibility."""
+    out = []
+    for order, (selectors, body) in enumerate(m.groups() for css in sheets for m in CSS_RULE.finditer(top_level(css))):
+        for prop, value, important in DECLARED.findall(body):
+            for one in selectors.split(","):
+                if (m := SELECTOR.fullmatch(one.strip())) and one.strip():
+                    marks = re.findall(r"[.#][\w-]+", m[2] or "")
+                    ids, classes = frozenset(x[1:] for x in marks if x[0] == "#"), frozenset(x[1:] for x in marks if x[0] == ".")
+                    tag = (m[1] or "*").lower()
+                    out.append((bool(important), (len(ids), len(classes), tag != "*"), order, tag, ids, classes, prop.lower(), value.lower()))
+    return out if any(r[-1] in ("none", "hidden", "collapse") for r in out) else []
+
+
+def hidden_by(rules: list[tuple], node: Node) -> bool:
+    """Whether the style sheets hide an element; its own style goes before theirs."""
+    own = attributes(node.attrs) if node.attrs else {}
+    inline = {p.lower(): v for p, v, _ in DECLARED.findall(own.get("style", ""))}
+    classes, best = frozenset(own.get("class", "").split()), {}
+    for important, weight, order, tag, ids, needed, prop, value in rules:
+        if tag in ("*", node.tag) and needed <= classes and ids <= {own.get("id")} and (important or prop not in inline):
+            best[prop] = max(best.get(prop, ((), "")), ((important, weight, order), value))
+    return best.get("display", ((), ""))[1] == "none" or best.get("visibility", ((), ""))[1] in ("hidden", "collapse")
+
+
+def prune(root: Node, rules: list[tuple]) -> None:
+    """Take what style sheets hide out of the tree."""
+    left = [root]
+    while left:
+        node = left.pop()
+        node.kids = [k for k in node.kids if isinstance(k, str) or not hidden_by(rules, k)]
+        left += [k for k in node.kids if isinstance(k, Node)]
+
+
 def parse(page: str) -> Node:
     """The tree of what is shown; texts are strings among the children."""
-    root = Node("html")
+    root, sheets = Node("html"), []
     stack, at, end = [root], 0, len(page)
+    broken = False
     hidden = 0  # depth of the stack at which a hidden element was opened, 0 if none
 
     def close(names, stops, outermost: bool = False) -> None:
@@ -91,6 +185,10 @@ def parse(page: str) -> Node:
     last = page.rfind(">")  # beyond it no tag ends; all is text up to an open comment
     while at < end:
         m = TOKEN.search(page, at) if at <= last else None
+        if m and m[2]:
+            ended = -1 if broken else tag_end(page, m.end())
+            if ended < 0:  # quotes hide every end from here on: tags end at the next one
+                broken, ended = True, page.find(">", m.end())
         if at > last and (comment := page.find("<!--", at)) >= 0:
             end = comment
         upto = m.start() if m else end
@@ -98,12 +196,11 @@ def parse(page: str) -> Node:
             stack[-1].kids.append(text_of(page[at:upto]))
         if not m:
             break
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        if not m[2]:
+            at = m.end()
             continue
-        tag, attrs = name.lower(), m[3] or m[6] or ""
-        if m[1] or m[4]:
+        tag, attrs, at = m[2].lower(), page[m.end() : ended], ended + 1
+        if m[1]:
             if tag in VOID or tag in ("html", "body"):
                 if tag == "br" and not hidden:
                     stack[-1].kids.append(Node("br"))
@@ -112,6 +209,8 @@ def parse(page: str) -> Node:
             continue
         if tag in RAW:
             shut = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
+            if tag == "style" and not hidden_media(attrs):
+                sheets.append(page[at : shut.start() if shut else end])
             if tag in SHOWN_RAW and not hidden and not unseen(attrs):
                 node = Node("pre")
                 node.kids.append(text_of(page[at : shut.start() if shut else end]) if tag == "textarea" else page[at : shut.start() if shut else end])
@@ -135,7 +234,7 @@ def parse(page: str) -> Node:
             stack.append(row)
         node = Node(tag, attrs)
         if not hidden:
-            if tag in HIDDEN or (attrs and unseen(attrs)):
+            if tag in HIDDEN or (attrs and unseen(attrs)) or (tag == "dialog" and "open" not in attributes(attrs)):
                 if tag not in VOID and len(stack) < 4 * MAX_DEPTH:
                     stack.append(node)
                     hidden = len(stack) - 1
@@ -143,9 +242,17 @@ def parse(page: str) -> Node:
             stack[-1].kids.append(node)
         if tag not in VOID and not attrs.endswith("/") and len(stack) < MAX_DEPTH * (4 if hidden else 1):
             stack.append(node)
+    rules = hiding_rules(sheets)
+    if rules:
+        prune(root, rules)
     return root
 
 
+def hidden_media(attrs: str) -> bool:
+    """Whether a style sheet is for other media than screens."""
+    return "media" in attrs.lower() and not re.search(r"screen|all", attributes(attrs).get("media", "all"), re.I)
+
+
 def unseen(attrs: str) -> bool:
     low = attrs.lower()
     if "hidden" not in low and "display" not in low and "visibility" not in low:
@@ -185,6 +292,23 @@ class Lines:
         self.gap = self.gap or spaced
 
 
+def counted(n: int, style: str) -> str:
+    """The number of a list item by its list's type: 1, a, A, i or I."""
+    if style in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, r = divmod(n - 1, 26)
+            out = chr(97 + r) + out
+        return out if style == "a" else out.upper()
+    if style in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            k, n = divmod(n, value)
+            out += sign * k
+        return out if style == "i" else out.upper()
+    return str(n)
+
+
 def drawn(node: Node):
     """The elements of an svg whose text is drawn."""
     for kid in node.kids:
@@ -199,7 +323,12 @@ def render(node: Node, out: Lines, depth: int = 0) -> None:
     tag = node.tag
     if tag == "table":
         return table(node, out, depth)
-    count = int(m[1]) if tag == "ol" and (m := START.search(node.attrs)) else 1
+    count, step, style = 1, 1, "1"
+    if tag == "ol":
+        own = attributes(node.attrs) if node.attrs else {}
+        step, style = -1 if "reversed" in own else 1, own.get("type", "1")
+        start = number(node.attrs, "start")
+        count = start if start is not None else 1 if step == 1 else sum(isinstance(k, Node) and k.tag == "li" for k in node.kids)
     for kid in node.kids:
         if isinstance(kid, str):
             if tag == "pre":
@@ -231,8 +360,11 @@ def render(node: Node, out: Lines, depth: int = 0) -> None:
             out.block(spaced)
             indent = out.indent
             if name == "li":
-                mark = f"{count}. " if tag == "ol" else "- "
-                count += 1
+                if tag == "ol":
+                    value = number(kid.attrs, "value")
+                    count = count if value is None else value
+                mark = f"{counted(count, style)}. " if tag == "ol" else "- "
+                count += step
                 out.bullet, out.indent = indent + mark, indent + " " * len(mark)
             elif name == "dd" or name == "blockquote":
                 out.indent = indent + "  "
@@ -242,8 +374,10 @@ def render(node: Node, out: Lines, depth: int = 0) -> None:
 
 
 def table(node: Node, out: Lines, depth: int) -> None:
-    """Rows of cells, each cell's lines set in the columns it spans."""
-    rows: list[list[tuple[int, list[str]]]] = []
+    """Rows of cells, each cell's lines set in the columns it spans; a cell that spans rows keeps its
+    columns in them."""
+    rows: list[list[tuple[int, int, list[str]]]] = []  # cells of a row: first column, columns, lines
+    taken: dict[int, int] = {}  # column: rows still spanned from above
 
     def gather(n: Node) -> None:
         for kid in n.kids:
@@ -251,22 +385,36 @@ def table(node: Node, out: Lines, depth: int) -> None:
                 if kid.strip():
                     out.text(kid)
             elif kid.tag in ROW_GROUPS:
+                taken.clear()  # no cell spans beyond its group
                 gather(kid)
+                taken.clear()
             elif kid.tag == "tr":
-                cells = []
+                cells, at, below = [], 0, {}
                 for c in kid.kids:
                     if isinstance(c, Node) or c.strip():
-                        inner = Lines()
-                        if isinstance(c, Node) and c.tag in CELLS:
+                        inner, cell = Lines(), isinstance(c, Node) and c.tag in CELLS
+                        if cell:
                             render(c, inner, depth + 1)
                         else:  # stray content makes a cell of its own
                             box = Node("td")
                             box.kids.append(c)
                             render(box, inner, depth + 1)
                         inner.line()
-                        span = int(m[1]) if isinstance(c, Node) and (m := SPAN.search(c.attrs)) else 1
-                        cells.append((max(1, min(span, 100)), inner.lines or [""]))
+                        wide, tall = ((number(c.attrs, "colspan"), number(c.attrs, "rowspan")) if cell and c.attrs else (1, 1))
+                        wide, tall = max(1, min(wide or 1, MAX_COLSPAN)), MAX_ROWSPAN if tall == 0 else max(1, min(tall or 1, MAX_ROWSPAN))
+                        while taken.get(at, 0):
+                            at += 1
+                        cells.append((at, wide, inner.lines or [""]))
+                        if tall > 1:
+                            below |= {k: tall for k in range(at, at + wide)}
+                        at += wide
                 rows.append(cells)
+                for k in [k for k, left in taken.items() if left <= 1]:
+                    del taken[k]
+                for k in taken:
+                    taken[k] -= 1
+                for k, tall in below.items():
+                    taken[k] = max(taken.get(k, 0), tall - 1)
             else:  # captions and stray content stand before the rows
                 box = Node("div")
                 box.kids.append(kid)
@@ -275,26 +423,36 @@ def table(node: Node, out: Lines, depth: int) -> None:
 
     gather(node)
     out.line()
-    width: dict[int, int] = {}
-    for cells in rows:
-        at = 0
-        for span, lines in cells:
-            if span == 1:
-                width[at] = max(width.get(at, 0), *(min(len(s), MAX_COLUMN) for s in lines))
-            at += span
+
+    def widths(most: int | None) -> dict[int, int]:
+        width: dict[int, int] = {}
+        for cells in rows:
+            for at, span, lines in cells:
+                if span == 1:
+                    width[at] = max(width.get(at, 0), *(len(s) if most is None else min(len(s), most) for s in lines))
+        return width
+
+    width = widths(None)
+    starts = np.cumsum([0, *(width.get(k, 0) + 2 for k in range(max(width, default=-1) + 1))])
+    place = lambda k: int(starts[min(k, len(starts) - 1)]) + 2 * max(0, k - len(starts) + 1)
+    text = sum(len(s) + 2 for cells in rows for _, _, lines in cells for s in lines)
+    if sum(place(cells[-1][0]) * max(len(lines) for _, _, lines in cells) for cells in rows if cells) > MAX_PADDING * text + (1 << 16):
+        width = widths(WIDE)
+        starts = np.cumsum([0, *(width.get(k, 0) + 2 for k in range(max(width, default=-1) + 1))])
     for cells in rows:
-        for i in range(max((len(lines) for _, lines in cells), default=0)):
-            at, made = 0, ""
-            for span, lines in cells:
-                wide = sum(width.get(c, 0) + 2 for c in range(at, at + span))
-                made += (lines[i] if i < len(lines) else "").ljust(wide - 2) + "  "
-                at += span
+        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
+            made = ""
+            for at, _, lines in cells:
+                if i < len(lines) and lines[i]:
+                    # What runs over its column moves the rest of the line.
+                    made = (made + "  " if made and len(made) + 2 > place(at) else made.ljust(place(at))) + lines[i]
             if made.strip():
                 out.line(made.rstrip())
 
 
 def page_text(page: str | None) -> str:
     out = Lines()
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * MAX_DEPTH))  # a few calls for each level
     render(parse(page or ""), out)
     out.line()
     return "\n".join(out.lines).strip("\n")
