@@ -1,86 +1,292 @@
-"""Label census: evidence of tokens, and ordered rules that classify names."""
+"""Label census: evidence from a taxonomy and a catalog, and the ordered rules that classify names.
+
+Rules run once for each distinct (genus, epithet).  A token's evidence is joined to it, so that the
+vocabularies may have any size; the cascade itself is column expressions.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Names that stand for an unknown leaf, and signs of a provisional one.
-PLACEHOLDERS = ("sp", "sp.", "spp", "spp.", "unknown", "unidentified", "undetermined", "indet", "incertae sedis", "n/a", "none")
-PROVISIONAL = ("cf", "cf.", "aff", "aff.", "nr", "nr.", "near")
-SUBSPECIFIC = ("subsp", "subsp.", "ssp", "ssp.", "var", "var.", "f", "f.", "forma", "morph")
+from ..functions.text import fold, words
+
+
+def _fixed(text: str) -> tuple[str, ...]:
+    return tuple(x.strip() for x in text.split("|"))
+
+
+# The census' word lists, its author connectors, the second cascade's lists and its Latin endings.
+PH_WHOLE = _fixed("sp|sp.|spp|spp.|ssp|ssp.|subsp|subsp.|sp.nov|sp.nov.|sp. nov.|nov|nov.|n.sp.|n. sp.|x|×|xx|xxx|indet|indet.|unknown|unidentified|undetermined|undet.|cf|cf.|aff|aff.|nr|nr.|gen.|spec.|species|ss.|s.l.|s.s.|complex|group|hybrid|cv|cv.|var|var.|f.|form|morph|sect.|subg.|ser.|ined.|na|none|null|-")
+P_LEAD = _fixed("sp|sp.|spp|spp.|ssp.|cf|cf.|aff|aff.|nr|nr.|near|nov.|sp.nov|n.sp.|indet.|subg.|subgen.|sect.|subsect.|ser.|gen.|morph|cv|cv.|ss.|-")
+P_INNER = _fixed("sp|sp.|spp|spp.|prob.")
+S_MARK = _fixed("ssp|ssp.|subsp|subsp.|var|var.|f.|fo.|forma|form|ab.|ab|race|nothosubsp.|nothovar.|subvar.|lusus|morph")
+O_MARK = {"group": "cultivar_or_species_group", "complex": "complex_or_aggregate", "agg.": "complex_or_aggregate", "agg": "complex_or_aggregate", "cv.": "cultivar", "cv": "cultivar", "nom.": "provisional_name", "prov.": "provisional_name", "comb.": "provisional_name", "ined.": "provisional_name", "strain": "strain_or_virus", "virus": "strain_or_virus", "pv.": "strain_or_virus"}
+UNKNOWN_WORDS = _fixed("unknown|unidentified|unident.|indet|indet.|indeterminate|undetermined|undet.")
+CONNECT = _fixed("ex|et|al.|al|in|and|&|von|van|der|den|de|du|la|le|da|di|del|della|dos|das|y|auct.|non|sensu|emend.|hort.")
+PLACEHOLDERS = _fixed("sp|spp|ssp|species|spec|xx|xxx|x|nov|n|indet|undet|ined|unknown|unidentified|undescribed|undefined|cf|aff|nr|near|complex|hybrid|group|agg|prob|cv|morph|cultivar")
+RANK_WORDS = _fixed("subg|subgen|sect|ser|subsect|section|subgenus|series")
+LATIN_ENDINGS = "a|ae|i|ii|um|us|is|es|ensis|ense|oides|ata|atus|ica|icus|ina|inus|osa|osus|ella|ellus|ana|anus|iae|orum|arum|ior|ius|ia|ea|eus|ens|ans|alis|ale|ilis"
+SPECIES_RANKS = _fixed("SPECIES|SUBSPECIES|VARIETY|FORM|INFRASPECIFIC_NAME")
+
+#: Tokens whose dot is no abbreviation of an author.
+DOTTED = tuple(dict.fromkeys([*S_MARK, *O_MARK, *PH_WHOLE, *P_LEAD, *P_INNER]))
+
+
+@dataclass
+class Evidence:
+    """What a taxonomy knows: author and epithet tokens with their counts, the author tokens of each
+    genus, and the names of two and of three words.  All tokens are folded."""
+
+    authors: DataFrame
+    epithets: DataFrame
+    genus_authors: DataFrame
+    binomials: DataFrame
+    trinomials: DataFrame
+
+
+def _nonempty(xs: Column) -> Column:
+    return F.filter(xs, lambda w: w != "")
+
+
+def author_tokens(authority: Column) -> Column:
+    """The distinct tokens of an author string: lower-cased, years and separators away; a token with an
+    inner dot also gives its dotted parts, one with an apostrophe its parts of two characters or more."""
+    plain = F.regexp_replace(F.regexp_replace(F.translate(F.lower(authority), "’‘", "''"), r"\p{Nd}+", " "), r"[()\[\],;&:\"]", " ")
+    base = _nonempty(F.split(plain, " "))
+    dotted = F.flatten(F.transform(F.filter(base, lambda t: t.rlike(r"\.[^.]")), lambda t: F.transform(_nonempty(F.split(t, r"\.")), lambda x: F.concat(x, F.lit(".")))))
+    quoted = F.flatten(F.transform(F.filter(base, lambda t: F.contains(t, F.lit("'"))), lambda t: F.filter(F.split(t, "'"), lambda x: F.char_length(x) > 1)))
+    return F.array_distinct(F.concat(base, dotted, quoted))
+
+
+def folded(rows: DataFrame, col: str, into: str) -> DataFrame:
+    """rows with the folded form of a column: the function sees each value once."""
+    known = rows.select(col).distinct().select(F.col(col).alias("_raw"), fold(col).alias(into))
+    return rows.join(known, F.col(col) == F.col("_raw"), "left").drop("_raw")
+
 
+def evidence(taxa: DataFrame, rank: str, name: str, authority: str) -> Evidence:
+    """Evidence of a taxonomy's rows.  Rows without a name or an authority give none of that kind.
+    Rows of one authority have the same tokens, which are therefore made once."""
+    named = taxa.where(F.col(authority).isNotNull()).groupBy(F.col(authority).alias("a")).agg(F.count("*").alias("rows"))
+    tokens = folded(named.select("a", F.explode(author_tokens(F.col("a"))).alias("t")), "t", "token").select("a", "token").distinct()
+    authors = tokens.join(named, "a").groupBy("token").agg(F.sum("rows").alias("n"))
+    genera = taxa.where((F.col(rank) == "genus") & F.col(name).isNotNull() & F.col(authority).isNotNull()).select(F.col(name).alias("g"), F.col(authority).alias("a")).distinct()
+    genus_authors = folded(genera, "g", "genus").join(tokens, "a").select("genus", "token").distinct()
+    w = taxa.where(F.col(name).isNotNull()).select(F.split(F.lower(name), " ").alias("w")).where(F.size("w") >= 2)
+    epithets = folded(w.select(F.explode(_nonempty(F.slice("w", F.lit(2), F.size("w")))).alias("e")).groupBy("e").agg(F.count("*").alias("k")), "e", "token").groupBy("token").agg(F.sum("k").alias("n"))
+    first = lambda k: folded(w.where(F.size("w") >= k).select(F.array_join(F.slice("w", 1, k), " ").alias("b")).distinct(), "b", "name").select("name").distinct()
+    return Evidence(authors, epithets, genus_authors, first(2), first(3))
 
-def token_evidence(names: DataFrame, col: str) -> DataFrame:
-    """(token, n, n_last, n_firsts): occurrences of a token, those at the end of a name, and
-    the different first words of names that hold it."""
-    t = names.select(F.split(F.lower(col), r"\s+").alias("w")).select(F.posexplode("w").alias("pos", "token"), "w").where("token <> ''")
-    return t.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("pos") == F.size("w") - 1).alias("n_last"), F.count_distinct(F.get("w", F.lit(0))).alias("n_firsts"))
 
+def suffix_evidence(names: DataFrame, epithet: str) -> DataFrame:
+    """(suffix, n_epithets, n_first): for the last words of distinct epithets of several words, how many
+    end so, and with how many different first words."""
+    w = names.select(epithet).distinct().where(F.contains(epithet, F.lit(" "))).select(F.split(epithet, " ").alias("w"))
+    return w.select(F.element_at("w", -1).alias("suffix"), F.get("w", F.lit(0)).alias("first")).groupBy("suffix").agg(F.count("*").alias("n_epithets"), F.count_distinct("first").alias("n_first"))
 
-def suffix_evidence(names: DataFrame, col: str) -> DataFrame:
-    """(suffix, n, n_firsts) of the last words of names."""
-    w = F.split(F.lower(col), r"\s+")
-    return names.select(F.element_at(w, -1).alias("suffix"), F.get(w, F.lit(0)).alias("first")).groupBy("suffix").agg(F.count("*").alias("n"), F.count_distinct("first").alias("n_firsts"))
 
+def _tokens(epithet: Column) -> tuple[Column, Column]:
+    """The words of an epithet, a leading hybrid sign joined to its word; and whether there was one."""
+    raw = F.split(epithet, " ")
+    head = F.get(raw, F.lit(0))
+    apart = head.isin("x", "×") & (F.size(raw) >= 2)
+    joined = F.concat(F.array(F.concat(F.lit("×"), F.get(raw, F.lit(1)))), F.slice(raw, F.lit(3), F.size(raw)))
+    return F.when(apart, joined).otherwise(raw), apart | head.startswith("×")
 
-def author_tokens(col: Column) -> Column:
-    """Parts of an author string: years and separators away, dotted and apostrophe parts apart too."""
-    base = F.filter(F.split(F.regexp_replace(F.lower(col), r"\b\d{4}\b|[(),&;\[\]]", " "), r"\s+"), lambda w: w != "")
-    parts = F.flatten(F.transform(base, lambda w: F.split(w, r"[.']")))
-    return F.array_distinct(F.filter(F.concat(base, parts), lambda w: w != ""))
 
+def _bare(token: Column) -> Column:
+    return F.regexp_replace(token, "^×+", "")
 
-def classify(leaf: Column) -> tuple[Column, Column]:
-    """(category, subtype) of a leaf name; the first rule that holds decides.
 
-    P placeholder, S provisional or subspecific, O other marks, A looks like an author or code,
-    C clean.  A null leaf is an unknown one.
+def author_reasons(names: DataFrame, genus: str, epithet: str, ev: Evidence, suffixes: DataFrame) -> DataFrame:
+    """(genus, epithet, pos, reason): for each distinct name its first word that is author or year
+    material, and why; names without one have no row."""
+    words_, _ = _tokens(F.col("epithet"))
+    rows = names.select(F.col(genus).alias("genus"), F.col(epithet).alias("epithet")).distinct().where("genus IS NOT NULL AND epithet IS NOT NULL")
+    rows = rows.select("genus", "epithet", F.size(words_).alias("size"), F.posexplode(words_).alias("pos", "w"))
+    rows = rows.withColumn("t", F.when(F.col("pos") == 0, _bare(F.col("w"))).otherwise(F.col("w"))).where("pos > 0 OR t <> ''")
+    rows = folded(folded(rows, "t", "ft"), "genus", "g").withColumn("b", F.concat_ws(" ", "g", "ft"))
+    flag = lambda name: F.lit(True).alias(name)
+    j = rows.join(ev.authors.select(F.col("token").alias("ft"), F.col("n").alias("ac")), "ft", "left")
+    j = j.join(ev.epithets.select(F.col("token").alias("ft"), F.col("n").alias("ec")), "ft", "left")
+    j = j.join(ev.genus_authors.select(F.col("genus").alias("g"), F.col("token").alias("ft"), flag("ga")), ["g", "ft"], "left")
+    j = j.join(ev.binomials.select(F.col("name").alias("b"), flag("known")), "b", "left")
+    j = j.join(suffixes.select(F.col("suffix").alias("t"), "n_first"), "t", "left")
+    t, later = F.col("t"), F.col("pos") >= 1
+    ac, ec, fresh = F.coalesce("ac", F.lit(0)), F.coalesce("ec", F.lit(0)), later_or_new(F.col("pos"), F.col("known"))
+    ends = later & (F.col("pos") == F.col("size") - 1)
+    suffix = ((F.col("n_first") >= 3) & (ac >= 1) & (ac >= ec)) | ((F.col("n_first") >= 5) & (ec <= 2))
+    reason = (
+        F.when(t.rlike(r"\p{Nd}"), "digit")
+        .when(t.rlike(r"[()\[\]&,;]"), "punctuation")
+        .when(later & t.isin(*CONNECT), "author_connector")
+        .when(t.endswith("-") & (F.char_length(t) > 1), "truncated_author")
+        .when(F.contains("ft", F.lit("'")) & ~(t.startswith("'") | t.endswith("'")), "apostrophe_name")
+        .when(F.contains(t, F.lit(".")) & ~t.isin(*DOTTED), "abbreviation")
+        .when(F.col("ga") & fresh, "genus_authority")
+        .when((ac >= 2) & (ec == 0) & fresh, "author_name")
+        .when(later & (ac >= 5) & (ac >= 20 * ec), "author_name_mostly")
+        .when(ends & suffix, "author_name_catalog_suffix")
+    )
+    hits = j.withColumn("reason", reason).where("reason IS NOT NULL")
+    return hits.groupBy("genus", "epithet").agg(F.min(F.struct("pos", "reason")).alias("f")).select("genus", "epithet", "f.pos", "f.reason")
+
+
+def later_or_new(pos: Column, known: Column) -> Column:
+    """After the first word, or no known name of the genus."""
+    return (pos >= 1) | known.isNull()
+
+
+def classified(names: DataFrame, genus: str, epithet: str, ev: Evidence, suffixes: DataFrame) -> DataFrame:
+    """(genus, epithet, category, subtype, reason, hybrid, epithet_part), one row for each distinct name.
+
+    P placeholder, A author or year material, S subspecific or several words, O other, C clean.  The
+    first rule that holds decides; a null epithet or genus has no row.
     """
-    x = F.lower(F.regexp_replace(leaf, r"^\s+|\s+$", ""))
-    w = F.split(x, r"\s+")
-    has = lambda names: F.arrays_overlap(w, F.array(*[F.lit(n) for n in names]))
+    rows = names.select(F.col(genus).alias("genus"), F.col(epithet).alias("epithet")).distinct().where("genus IS NOT NULL AND epithet IS NOT NULL")
+    rows = rows.join(author_reasons(rows, "genus", "epithet", ev, suffixes), ["genus", "epithet"], "left")
+    s = F.col("epithet")
+    raw, (toks, hybrid) = F.split(s, " "), _tokens(s)
+    rest = lambda w: F.slice(w, F.lit(2), F.size(w))
+    inner = F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 2, F.lit(0)))
+    among = lambda w, names_: F.exists(w, lambda t: t.isin(*names_))
+    one = F.size(toks) == 1
+    marked = lambda t: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in O_MARK.items() for x in kv]), t), F.when(t.startswith("'") | t.endswith("'"), F.lit("cultivar")))
+    mark = F.get(F.filter(F.transform(rest(toks), marked), lambda x: x.isNotNull()), F.lit(0))
+    plain = F.forall(toks, lambda t: _bare(t).rlike(r"^[\p{L}\p{Nl}\p{No}]+(-[\p{L}\p{Nl}\p{No}]+)*$"))
+    formula = F.array_contains(raw, "=") | F.contains(s, F.lit("_x_")) | among(inner, ("x", "×")) | ((F.size(raw) >= 3) & F.element_at(raw, -1).isin("x", "×"))
     rules = (
-        (leaf.isNull() | (x == ""), "P", "missing"),
-        (x.isin(*PLACEHOLDERS), "P", "whole"),
-        (has(PLACEHOLDERS[:4]), "P", "token"),
-        (has(PROVISIONAL), "S", "provisional"),
-        (has(SUBSPECIFIC), "S", "subspecific"),
-        (x.rlike(r"\s[x×]\s|^[x×]\s|×"), "O", "hybrid"),
-        (x.rlike(r"[0-9]"), "A", "digits"),
-        (x.rlike(r"[^\p{L}\s.'-]"), "O", "signs"),
-        (F.size(w) > 3, "O", "long"),
-        (leaf.rlike(r"\s\p{Lu}\p{Ll}+$"), "A", "capitalised"),
+        (s.isin(*PH_WHOLE), "P", "bare_token"),
+        (s.rlike(r"^\p{Nd}+$"), "P", "bare_number"),
+        (F.contains(s, F.lit("?")), "P", "question_mark"),
+        (s.startswith("undescribed") | s.startswith("undefined") | s.isin(*UNKNOWN_WORDS), "P", "undescribed_or_undefined"),
+        (F.get(raw, F.lit(0)).isin(*P_LEAD) | s.startswith("'") | s.startswith("- "), "P", "qualified_or_rank_marker"),
+        (F.contains(s, F.lit("_or_")) | F.contains(s, F.lit(" or ")), "P", "either_or"),
+        (among(rest(raw), P_INNER), "P", "inner_sp_or_prob"),
+        (s.rlike("(taxonomy|geo):"), "O", "machine_tag"),
+        (s.rlike(r"^\p{Nd}+-[a-z]+$"), "O", "numeral_epithet"),
+        (s.rlike("virus|viroid|phytoplasma") | among(raw, ("strain", "pv.", "bv.")), "O", "strain_or_virus"),
+        (formula, "O", "hybrid_formula"),
+        ((F.col("pos") == 0) & one, "A", "author_only_single"),
+        (F.col("pos") == 0, "A", "author_only_multi"),
+        (F.col("pos") > 0, "A", "epithet_plus_author"),
+        (one & F.contains(s, F.lit("_")), "O", "underscore_label"),
+        (one & F.contains(s, F.lit("'")), "O", "stray_quote"),
+        (one & hybrid, "C", "hybrid_nothospecies"),
+        (one, "C", "single_word"),
+        (mark.isNotNull(), "O", mark),
+        (among(rest(toks), S_MARK), "S", "with_rank_marker"),
+        (plain & (F.size(toks) == 2), "S", "two_words"),
+        (plain, "O", "three_plus_plain_words"),
     )
-    category, subtype = F.lit("C"), F.lit("clean")
+    found = F.struct(F.lit("O").alias("category"), F.lit("other").alias("subtype"))
     for when, cat, sub in reversed(rules):
-        category, subtype = F.when(when, cat).otherwise(category), F.when(when, sub).otherwise(subtype)
-    return category, subtype
+        found = F.when(when, F.struct(F.lit(cat).alias("category"), (F.lit(sub) if isinstance(sub, str) else sub).alias("subtype"))).otherwise(found)
+    out = rows.withColumn("k", found)
+    author = F.col("k.category") == "A"
+    part = F.when(F.col("k.subtype") == "epithet_plus_author", F.array_join(F.slice(toks, F.lit(1), F.col("pos")), " "))
+    early = F.col("k.subtype").isin("bare_token", "bare_number", "question_mark", "undescribed_or_undefined", "qualified_or_rank_marker", "either_or", "inner_sp_or_prob", "machine_tag", "numeral_epithet", "hybrid_formula") | s.rlike("virus|viroid|phytoplasma") | among(raw, ("strain", "pv.", "bv."))
+    return out.select("genus", "epithet", "k.category", "k.subtype", F.when(author, F.col("reason")).alias("reason"), (hybrid & ~early).alias("hybrid"), part.alias("epithet_part"))
 
 
-def classified(names: DataFrame, col: str, key: str = "leaf") -> DataFrame:
-    """names with category and subtype: rules run once for each distinct name, then join back."""
-    distinct = names.select(F.col(col).alias(key)).distinct()
-    cat, sub = classify(F.col(key))
-    found = distinct.select(key, cat.alias("category"), sub.alias("subtype"))
-    return names.join(found, names[col].eqNullSafe(found[key]), "left").drop(found[key])
+def overridden(names: DataFrame, ev: Evidence, answers: DataFrame) -> DataFrame:
+    """classified names (with kingdom) after the cached answers of a name service: a lone author word
+    that it knows as a species is clean; a clean word that mostly names authors, is no known species and
+    stands in its genus' authorship is an author.
 
+    answers: (name, rank, kingdom, match_type, taxon_rank, status, scientific, canonical); rank is null
+    for species.  Names without an answer stay as they are.
+    """
+    real = (F.col("match_type") == "EXACT") & F.col("taxon_rank").isin(*SPECIES_RANKS) & F.col("status").isin("ACCEPTED", "SYNONYM")
+    species = answers.where("rank IS NULL").select(F.col("name").alias("_name"), F.col("kingdom").alias("_kingdom"), F.coalesce(real, F.lit(False)).alias("is_species")).groupBy("_name", "_kingdom").agg(F.max("is_species").alias("is_species"))
+    wrote = F.regexp_replace(F.lower(F.substring("scientific", F.length("canonical") + 1, F.length("scientific"))), r"[()\[\],;&:\p{Nd}]", " ")
+    genera = answers.where("rank = 'GENUS' AND scientific IS NOT NULL AND canonical IS NOT NULL").select(F.col("name").alias("_genus"), F.col("kingdom").alias("_kingdom"), F.explode(_nonempty(F.split(wrote, r"\s+"))).alias("_t"))
+    genera = folded(genera, "_t", "_ft").select("_genus", "_kingdom", "_ft").distinct().withColumn("in_authorship", F.lit(True))
+    rows = folded(folded(names, "epithet", "_fe"), "genus", "_fg").withColumns({"_name": F.concat_ws(" ", "genus", "epithet"), "_b": F.concat_ws(" ", "_fg", F.regexp_replace("_fe", "^×+", ""))})
+    j = rows.join(species, (rows["_name"] == species["_name"]) & (rows["kingdom"] == species["_kingdom"]), "left").drop(species["_name"], species["_kingdom"])
+    j = j.join(genera, (j["genus"] == genera["_genus"]) & (j["kingdom"] == genera["_kingdom"]) & (j["_fe"] == genera["_ft"]), "left")
+    j = j.join(ev.authors.select(F.col("token").alias("_a"), F.col("n").alias("ac")), F.col("_fe") == F.col("_a"), "left")
+    j = j.join(ev.epithets.select(F.col("token").alias("_e"), F.col("n").alias("ec")), F.col("_fe") == F.col("_e"), "left")
+    j = j.join(ev.binomials.select(F.col("name").alias("_n"), F.lit(True).alias("known")), F.col("_b") == F.col("_n"), "left")
+    ac, ec, is_species = F.coalesce("ac", F.lit(0)), F.coalesce("ec", F.lit(0)), F.coalesce("is_species", F.lit(False))
+    clean = (F.col("category") == "A") & (F.col("subtype") == "author_only_single") & F.col("reason").isin("genus_authority", "author_name") & is_species
+    weak = (F.col("category") == "C") & (F.col("subtype") == "single_word") & F.col("known").isNull() & (ac >= 5) & (ac >= 20 * ec)
+    author = weak & ~is_species & F.coalesce("in_authorship", F.lit(False))
+    new = lambda col, to, then: F.when(clean, to).when(author, then).otherwise(F.col(col)).alias(col)
+    return j.select("genus", "epithet", "kingdom", new("category", "C", "A"), new("subtype", "single_word", "author_only_single"), new("reason", "gbif_exact_species", "gbif_genus_authority"))
 
-def author_reason(names: DataFrame, col: str, evidence: DataFrame, ratio: int = 20) -> DataFrame:
-    """(name, pos, reason): the first word after the first that evidence calls an author's: seen
-    `ratio` times as often elsewhere than at the end of a name, or never at the end."""
-    t = names.select(F.col(col).alias("name")).distinct().select("name", F.posexplode(F.split(F.lower("name"), r"\s+")).alias("pos", "token")).where("pos > 0")
-    j = t.join(evidence, "token", "left")
-    reason = F.when(F.col("n").isNull(), None).when((F.col("n_last") == 0) & (F.col("n") > 1), "never_last").when(F.col("n") >= ratio * F.col("n_last"), "rarely_last")
-    hits = j.withColumn("reason", reason).where("reason IS NOT NULL")
-    return hits.groupBy("name").agg(F.min(F.struct("pos", "reason")).alias("f")).select("name", "f.pos", "f.reason")
 
+def epithet_like(t: Column, ac: Column, ec: Column) -> Column:
+    """Whether a word looks like a Latin epithet: a plain word of three letters or more, no placeholder,
+    not mainly an author's name (ac uses as an author, ec as an epithet)."""
+    w = F.regexp_replace(t, r"^\p{Nd}+-", "")
+    return ~w.isin(*PLACEHOLDERS) & (F.char_length(w) >= 3) & w.rlike(r"^[a-zà-ÿ][a-zà-ÿ-]*$") & ~((ac >= 1) & ((ec == 0) | (ac >= 5 * (ec + 1))))
 
-def reason_to_drop(category: Column, subtype: Column, n_train: Column, n_val: Column) -> Column:
-    """The second cascade: why a key is left out, or null."""
-    return (
-        F.when(category == "P", F.concat(F.lit("placeholder:"), subtype))
-        .when((category == "S") & (n_train < 10), F.lit("rare_provisional"))
-        .when((category == "A") & (n_val == 0), F.lit("no_check"))
-        .when(category == "O", F.lit("marks"))
+
+def drop_reasons(names: DataFrame, authors: DataFrame, epithets: DataFrame, species: DataFrame) -> DataFrame:
+    """names with `reason_to_drop`: why no real epithet stands in a name that the census did not find
+    clean, or null where one does.
+
+    names: (genus, epithet, category, subtype, ...); authors, epithets: (token, n); species: (genus,
+    word), lower-cased, the known species of each genus.
+    """
+    s, sub, cat = F.trim("epithet"), F.col("subtype"), F.col("category")
+    base = names.select("genus", "epithet", "category", "subtype").distinct()
+    tag_free = F.regexp_replace(s, r"taxonomy:\S+|geo:\S+", " ")
+    source = F.when(sub == "machine_tag", tag_free).otherwise(s)
+    stem = F.regexp_replace(s, r"\.+$", "")
+    all_words = F.concat(F.transform(words(source), lambda t, i: F.struct(i.alias("at"), t.alias("t"))), F.array(F.struct(F.lit(-1).alias("at"), stem.alias("t"))))
+    rows = base.select("genus", "epithet", "category", "subtype", F.explode(all_words).alias("x")).select("genus", "epithet", "category", "subtype", "x.at", "x.t").withColumn("bare", F.regexp_replace("t", r"^\p{Nd}+-", ""))
+    counts = lambda df, key, as_: df.select(F.col("token").alias(key), F.col("n").alias(as_))
+    # Counts of the bare word decide whether it is like an epithet, counts of the word as it stands whether it is known.
+    j = rows.join(counts(authors, "bare", "ac"), "bare", "left").join(counts(epithets, "bare", "bec"), "bare", "left")
+    j = j.join(counts(epithets, "t", "ec"), "t", "left").join(counts(authors, "t", "tac"), "t", "left")
+    j = j.join(species.select(F.col("genus").alias("_g"), F.col("word").alias("t"), F.lit(True).alias("known")).distinct().withColumnRenamed("t", "_t"), (F.lower("genus") == F.col("_g")) & (F.col("t") == F.col("_t")), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    like, used, latin = epithet_like(F.col("t"), zero("ac"), zero("bec")), zero("ec") >= 1, F.col("t").rlike(f"^.{{2,}}({LATIN_ENDINGS})$")
+    word, at = F.col("at") >= 0, F.col("at")
+    stray = (at == -1) & like & (used | ((zero("tac") == 0) & (F.char_length("t") >= 5) & latin))
+    any_ = lambda x: F.coalesce(F.max(x), F.lit(False))
+    f = j.groupBy("genus", "epithet", "category", "subtype").agg(
+        any_(stray).alias("stray"), any_(word & like).alias("some_like"), F.coalesce(F.min(F.when(word, like)), F.lit(False)).alias("all_like"),
+        any_((at == 0) & like & used).alias("first_used"), any_((at >= 1) & like & used & latin).alias("later_latin"), any_(word & F.col("known")).alias("known"),
+    )
+    multi = F.contains(s, F.lit(" "))
+    head = F.lower(F.regexp_replace(F.regexp_extract(s, r"^(\S+)", 1), r"^\.+|\.+$", ""))
+    keeps_single = ((sub == "either_or") & F.col("some_like")) | (F.contains(s, F.lit("?")) & F.col("all_like")) | (s.startswith("'") & F.col("first_used"))
+    quoted = s.startswith("- ") | (s.startswith("'") & ~F.split_part(s, F.lit("'"), F.lit(1)).rlike(r"[a-z]{3,}\s*$"))
+    reason = (
+        F.when(cat == "C", None)
+        .when((sub == "author_only_single") & s.endswith(".") & F.col("stray"), None)
+        .when(sub == "author_only_single", "single-word author name")
+        .when((sub == "machine_tag") & F.col("some_like"), None)
+        .when(sub == "machine_tag", "machine tag only")
+        .when(~multi & (cat == "P") & ~keeps_single, "single-word placeholder")
+        .when(~multi, None)
+        .when(head.isin(*RANK_WORDS), "subgenus, section or series label")
+        .when((sub == "author_only_multi") & ~F.col("known"), "author-only string")
+        .when((sub == "author_only_multi") | (cat != "P") | head.isin("cf", "aff", "nr", "near"), None)
+        .when(head.isin("sp", "spp") & ~F.col("later_latin"), "sp. plus a tag or locality")
+        .when(head.isin("sp", "spp"), None)
+        .when(head.isin("morph", "cv") | quoted, "morph label, cultivar marker or cultivar name")
     )
+    return f.select("genus", "epithet", "category", "subtype", reason.alias("reason_to_drop"))
+
+
+def report(rows: DataFrame, key: str, split: str) -> DataFrame:
+    """(category, subtype, n_keys, n_train_keys, n_val_keys, train_images, val_images): the census by
+    subtype; rows are the catalog's with their category and subtype."""
+    keys = rows.groupBy(key, "category", "subtype").agg(F.count_if(F.col(split) == "train").alias("tr"), F.count_if(F.col(split) == "val").alias("va"))
+    return keys.groupBy("category", "subtype").agg(F.count("*").alias("n_keys"), F.count_if(F.col("tr") > 0).alias("n_train_keys"), F.count_if(F.col("va") > 0).alias("n_val_keys"), F.sum("tr").alias("train_images"), F.sum("va").alias("val_images"))
+
+
+def top_keys(rows: DataFrame, key: str, split: str, k: int = 10) -> DataFrame:
+    """(subtype, place, key, n_tr): the k keys of each subtype with most training rows, ties by key."""
+    from pyspark.sql import Window
+
+    keys = rows.groupBy(key, "subtype").agg(F.count_if(F.col(split) == "train").alias("n_tr"))
+    place = F.row_number().over(Window.partitionBy("subtype").orderBy(F.desc("n_tr"), key))
+    return keys.withColumn("place", place).where(F.col("place") <= k).select("subtype", "place", key, "n_tr")

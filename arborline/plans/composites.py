@@ -6,14 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import batches as B
-from ..operators import census as C
 from ..operators import hierarchy as H
 from ..operators import quality as Q
 from .aggregates import LEAVES_SQL, leaves
 from .base import GROUP_SIZE, RANKS, TRAIN_SQL, catalog, complete, prefix_key, query, table, train
 from .filters import CAPTIONS, captions
 from .ordered import IDS_SQL, ids
-from .scalars import CLASS_SQL, NAMES_SQL, names
 
 c = F.col
 MASK_SQL = ", ".join(f"count(*) OVER (PARTITION BY {', '.join(RANKS[: i + 1])}) >= 2 AS m{i}" for i in range(3))
@@ -72,11 +70,6 @@ def p06(spark, d):
     return out.select(*[c(x).cast("int").alias(x) for x in out.columns])
 
 
-@query("p11_census_report", f"WITH {NAMES_SQL} SELECT split_part(k, ':', 1) AS category, split_part(k, ':', 2) AS subtype, count(*) AS n, count(DISTINCT name) AS names FROM (SELECT name, {CLASS_SQL} AS k FROM names) GROUP BY ALL")
-def p11(spark, d):
-    return C.classified(names(spark, d), "name").groupBy("category", "subtype").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
-
-
 @query("p12_benchmark_port", "WITH b AS (SELECT p_partkey, p_brand, p_name, p_brand || ' ' || p_name AS sci FROM part) SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS brand_code, dense_rank() OVER (ORDER BY sci) - 1 AS sci_code FROM b")
 def p12(spark, d):
     """Codes of sorted vocabularies, after the rows are checked."""
@@ -134,10 +127,10 @@ def p07(spark, d):
     return index.groupBy("shard").agg(F.count("*").alias("n"), F.min("row").alias("first"), (F.max("row") + 1).alias("rows"))
 
 
-@query("ud01_distinct_then_udf", "SELECT count(*) AS n, count(DISTINCT folded) AS folds FROM (SELECT lower(strip_accents(w)) AS folded FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zéèêçñäöü]+')) AS w FROM documents WHERE doc_id % 10 = 0))")
+@query("ud01_distinct_then_udf", "SELECT count(*) AS n, count(DISTINCT folded) AS folds FROM (SELECT lower(strip_accents(w)) AS folded FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zéèêçñäöü]+')) AS w FROM documents))")
 def ud01(spark, d):
     """The UDF sees each token once; its result is joined back to all occurrences."""
     w = F.explode(F.regexp_extract_all("text", F.lit("([A-Za-zéèêçñäöü]+)"), F.lit(1)))
-    tokens = table(spark, d, "documents").where("doc_id % 10 = 0").select(w.alias("w"))
+    tokens = table(spark, d, "documents").select(w.alias("w"))
     folded = tokens.distinct().select("w", X.fold("w").alias("folded"))
     return tokens.join(folded, "w").agg(F.count("*").alias("n"), F.count_distinct("folded").alias("folds"))

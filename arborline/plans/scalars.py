@@ -1,11 +1,10 @@
-"""Scalar functions (X1-X23, M5-M14) and the name cascades."""
+"""Scalar functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import census as C
 from .base import CATALOG_SQL, RANKS, catalog, prefix_key, query, table
 
 c = F.col
@@ -33,11 +32,11 @@ def x04(spark, d):
     return table(spark, d, "documents").select("doc_id", F.char_length(x).cast("long").alias("n"))
 
 
-@query("x05_fold", "SELECT w, lower(strip_accents(w)) AS folded FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zà-öø-ýÀ-ÖØ-Ý]+')) AS w FROM documents WHERE doc_id % 10 = 0) WHERE NOT regexp_matches(w, '[øØæÆðÐþÞß]')")
+@query("x05_fold", "SELECT w, lower(strip_accents(w)) AS folded FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zà-öø-ýÀ-ÖØ-Ý]+')) AS w FROM documents)")
 def x05(spark, d):
     """The UDF runs on distinct tokens."""
     w = F.explode(F.regexp_extract_all("text", F.lit("([A-Za-zà-öø-ýÀ-ÖØ-Ý]+)"), F.lit(1)))
-    tokens = table(spark, d, "documents").where("doc_id % 10 = 0").select(w.alias("w")).where(~c("w").rlike("[øØæÆðÐþÞß]")).distinct()
+    tokens = table(spark, d, "documents").select(w.alias("w")).distinct()
     return tokens.select("w", X.fold("w").alias("folded"))
 
 
@@ -46,17 +45,6 @@ def x06(spark, d):
     return table(spark, d, "pages").select("page_id", c("url").rlike("^https").alias("secure"), F.regexp_extract("url", "/([a-z]{2})/", 1).rlike("^(en|fr|de|es)$").alias("known"))
 
 
-@query("x07_words", "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_name || ' (' || p_type || ')', ' '), lambda w: regexp_replace(w, '^[().,]+|[().,]+$', '', 'g')), lambda w: w <> ''), '|') AS words FROM part")
-def x07(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.array_join(X.words(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))), "|").alias("words"))
-
-
-@query("x08_author_tokens", "SELECT DISTINCT w FROM (SELECT unnest(string_split(regexp_replace(lower(s_name || ' & L. d''Or, 1758'), '[0-9]{4}\\b|[(),&;]', ' ', 'g'), ' ')) AS w FROM supplier UNION ALL SELECT unnest(regexp_split_to_array(regexp_replace(lower(s_name || ' & L. d''Or, 1758'), '[0-9]{4}\\b|[(),&;]', ' ', 'g'), '[ .'']')) FROM supplier) WHERE w <> '' AND NOT regexp_matches(w, '[0-9#]')")
-def x08(spark, d):
-    s = F.concat("s_name", F.lit(" & L. d'Or, 1758"))
-    return table(spark, d, "supplier").select(F.explode(C.author_tokens(s)).alias("w")).where(~c("w").rlike("[0-9#]")).distinct()
-
-
 @query("x09_class_text", "SELECT n_nationkey, 'a photo of ' || r_name || ' ' || n_name || '.' AS photo, r_name || ' ' || n_name AS lineage, n_name AS bare FROM nation JOIN region ON n_regionkey = r_regionkey")
 def x09(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
@@ -71,11 +59,13 @@ def x10(spark, d):
     return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", X.render_path(parts, 3).alias("path"), X.render_path(parts, 2).alias("upper"))
 
 
-@query("x11_unescape", "SELECT page_id, md5(trim(regexp_replace(replace(replace(t, '&amp;', '&'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS digest FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages) WHERE NOT regexp_matches(replace(replace(t, '&amp;', '&'), '&amp;', '&'), '&[A-Za-z#]')")
+UNESCAPE_SQL = "regexp_replace(regexp_replace({}, '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+
+
+@query("x11_unescape", f"SELECT page_id, md5(trim(regexp_replace({UNESCAPE_SQL.format(UNESCAPE_SQL.format('t'))}, '\\s+', ' ', 'g'))) AS digest FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)")
 def x11(spark, d):
     t = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("t"))
-    plain = F.replace(F.replace("t", F.lit("&amp;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
-    return t.where(~plain.rlike("&[A-Za-z#]")).select("page_id", F.md5(X.squeeze(X.unescape_twice("t"))).alias("digest"))
+    return t.select("page_id", F.md5(X.squeeze(X.basic_clean("t"))).alias("digest"))
 
 
 @query("x12_canonicalize", "SELECT p_partkey, trim(regexp_replace(lower(regexp_replace(replace(p_type || '_' || p_brand || '!  x', '_', ' '), '[!-/:-@\\[-`{-~]', '', 'g')), '\\s+', ' ', 'g')) AS x FROM part")
@@ -83,9 +73,11 @@ def x12(spark, d):
     return table(spark, d, "part").select("p_partkey", X.canonical(F.concat("p_type", F.lit("_"), "p_brand", F.lit("!  x"))).alias("x"))
 
 
-@query("x13_clean_dispatch", "SELECT s_suppkey, trim(regexp_replace(lower(replace(s_name, '#', '')), '\\s+', ' ', 'g')) AS canonicalize, lower(s_name) AS lower, s_name AS whitespace FROM supplier")
+@query("x13_clean_dispatch", "SELECT s_suppkey, lower(replace(s_name, '#', '')) || ' café b' AS canonicalize, lower(s_name) || ' café & b' AS lower, s_name || ' Café & b' AS whitespace FROM supplier")
 def x13(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", *[X.clean(c("s_name"), how).alias(how) for how in X.CLEANERS])
+    """Each cleaner first repairs, unescapes and strips."""
+    raw = F.concat(F.lit(" "), "s_name", F.lit("  CafÃ© &amp;amp; b\n"))
+    return table(spark, d, "supplier").select("s_suppkey", *[X.clean(raw, how).alias(how) for how in X.CLEANERS])
 
 
 @query("x14_pre_tokens", "SELECT doc_id, len(regexp_extract_all(text, '(?i)(''s|''t|''re|''ve|''m|''ll|''d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+)')) AS n FROM documents")
@@ -134,71 +126,11 @@ def x21(spark, d):
     return rows.select("k", X.scientific(c("x")).alias("s"))
 
 
-@query("x22_placeholders", "SELECT count(*) FILTER (WHERE x IN ('sp', 'unknown')) AS whole, count(*) FILTER (WHERE x LIKE 'cf %') AS leading FROM (SELECT CASE p_size % 5 WHEN 0 THEN 'sp' WHEN 1 THEN 'unknown' WHEN 2 THEN 'cf ' || p_name ELSE p_name END AS x FROM part)")
-def x22(spark, d):
-    x = F.when(c("p_size") % 5 == 0, "sp").when(c("p_size") % 5 == 1, "unknown").when(c("p_size") % 5 == 2, F.concat(F.lit("cf "), "p_name")).otherwise(c("p_name"))
-    cat, sub = C.classify(c("x"))
-    return table(spark, d, "part").select(x.alias("x")).select(cat.alias("c"), sub.alias("s")).agg(F.count_if((c("c") == "P") & (c("s") == "whole")).alias("whole"), F.count_if(c("s") == "provisional").alias("leading"))
-
-
 @query("x23_digests", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
 def x23(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
 
 
-NAMES_SQL = "names AS (SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN NULL WHEN 1 THEN 'sp.' WHEN 2 THEN p_name || ' cf. x' WHEN 3 THEN p_name || ' 7' WHEN 4 THEN p_name || ' Miller' WHEN 5 THEN p_name || ' × b' WHEN 6 THEN p_name || ' var. c' ELSE p_name END AS name FROM part)"
-CLASS_SQL = r"""CASE WHEN name IS NULL OR trim(name) = '' THEN 'P:missing' WHEN lower(name) IN ('sp', 'sp.', 'spp', 'spp.', 'unknown') THEN 'P:whole'
-  WHEN list_has_any(string_split(lower(name), ' '), ['sp', 'sp.', 'spp', 'spp.']) THEN 'P:token' WHEN list_has_any(string_split(lower(name), ' '), ['cf', 'cf.', 'aff', 'aff.', 'nr', 'nr.', 'near']) THEN 'S:provisional'
-  WHEN list_has_any(string_split(lower(name), ' '), ['subsp', 'subsp.', 'ssp', 'ssp.', 'var', 'var.', 'f', 'f.', 'forma', 'morph']) THEN 'S:subspecific' WHEN regexp_matches(lower(name), '\s[x×]\s|^[x×]\s|×') THEN 'O:hybrid'
-  WHEN regexp_matches(name, '[0-9]') THEN 'A:digits' WHEN regexp_matches(lower(name), '[^\p{L}\s.''-]') THEN 'O:signs' WHEN len(string_split(name, ' ')) > 3 THEN 'O:long'
-  WHEN regexp_matches(name, '\s\p{Lu}\p{Ll}+$') THEN 'A:capitalised' ELSE 'C:clean' END"""
-
-
-def names(spark, d):
-    p, k = table(spark, d, "part"), c("p_size") % 8
-    add = lambda s: F.concat("p_name", F.lit(s))
-    name = F.when(k == 0, None).when(k == 1, "sp.").when(k == 2, add(" cf. x")).when(k == 3, add(" 7")).when(k == 4, add(" Miller")).when(k == 5, add(" × b")).when(k == 6, add(" var. c")).otherwise(c("p_name"))
-    return p.select("p_partkey", name.alias("name"))
-
-
-@query("c01_name_classifier", f"WITH {NAMES_SQL} SELECT p_partkey, split_part(k, ':', 1) AS category, split_part(k, ':', 2) AS subtype FROM (SELECT p_partkey, {CLASS_SQL} AS k FROM names)")
-def c01(spark, d):
-    return C.classified(names(spark, d), "name").select("p_partkey", "category", "subtype")
-
-
-EVIDENCE_SQL = f"{NAMES_SQL}, w AS (SELECT string_split(lower(name), ' ') AS w FROM names WHERE name IS NOT NULL), t AS (SELECT unnest(w) AS token, unnest(range(1, len(w) + 1)) AS pos, len(w) AS n, w[1] AS first FROM w), ev AS (SELECT token, count(*) AS n, count(*) FILTER (WHERE pos = t.n) AS n_last, count(DISTINCT first) AS n_firsts FROM t GROUP BY 1)"
-
-
-@query("c02_author_reason", f"WITH {EVIDENCE_SQL}, d AS (SELECT DISTINCT name FROM names WHERE name IS NOT NULL), x AS (SELECT name, unnest(string_split(lower(name), ' ')) AS token, unnest(range(0, len(string_split(name, ' ')))) AS pos FROM d), h AS (SELECT name, pos, CASE WHEN n_last = 0 AND n > 1 THEN 'never_last' WHEN n >= 20 * n_last THEN 'rarely_last' END AS reason FROM x JOIN ev USING (token) WHERE pos > 0) SELECT name, CAST(min(pos) AS INT) AS pos, arg_min(reason, pos) AS reason FROM h WHERE reason IS NOT NULL GROUP BY name")
-def c02(spark, d):
-    n = names(spark, d).where("name IS NOT NULL")
-    return C.author_reason(n, "name", C.token_evidence(n, "name"))
-
-
-@query("c03_token_evidence", f"WITH {EVIDENCE_SQL} SELECT * FROM ev")
-def c03(spark, d):
-    return C.token_evidence(names(spark, d).where("name IS NOT NULL"), "name")
-
-
-@query("c04_suffix_evidence", f"WITH {NAMES_SQL} SELECT split_part(lower(name), ' ', -1) AS suffix, count(*) AS n, count(DISTINCT split_part(lower(name), ' ', 1)) AS n_firsts FROM names WHERE name IS NOT NULL GROUP BY 1")
-def c04(spark, d):
-    return C.suffix_evidence(names(spark, d).where("name IS NOT NULL"), "name")
-
-
-@query("c05_reason_to_drop", f"WITH {NAMES_SQL}, k AS (SELECT name, {CLASS_SQL} AS k, count(*) FILTER (WHERE p_partkey % 20 <> 0) AS n_train, count(*) FILTER (WHERE p_partkey % 20 = 0) AS n_val FROM names GROUP BY ALL) SELECT name, CASE WHEN k LIKE 'P:%' THEN 'placeholder:' || split_part(k, ':', 2) WHEN k LIKE 'S:%' AND n_train < 10 THEN 'rare_provisional' WHEN k LIKE 'A:%' AND n_val = 0 THEN 'no_check' WHEN k LIKE 'O:%' THEN 'marks' END AS reason FROM k")
-def c05(spark, d):
-    n = names(spark, d).groupBy("name").agg(F.count_if(c("p_partkey") % 20 != 0).alias("n_train"), F.count_if(c("p_partkey") % 20 == 0).alias("n_val"))
-    cat, sub = C.classify(c("name"))
-    return n.select("name", C.reason_to_drop(cat, sub, c("n_train"), c("n_val")).alias("reason"))
-
-
-@query("c06_evidence_override", f"WITH {NAMES_SQL}, k AS (SELECT p_partkey, name, split_part({CLASS_SQL}, ':', 1) AS category FROM names) SELECT p_partkey, CASE WHEN category = 'A' AND EXISTS (SELECT 1 FROM part q WHERE q.p_name = k.name AND q.p_size > 40) THEN 'C' ELSE category END AS category FROM k")
-def c06(spark, d):
-    known = table(spark, d, "part").where("p_size > 40").select(c("p_name").alias("name"), F.lit(True).alias("exact")).distinct()
-    rows = C.classified(names(spark, d), "name").join(known, "name", "left")
-    return rows.select("p_partkey", F.when((c("category") == "A") & c("exact"), "C").otherwise(c("category")).alias("category"))
-
-
 @query("m05_integer_arithmetic", "SELECT p_partkey, CAST(ceil(p_size / 16) AS BIGINT) AS up, CAST(p_size // 16 AS BIGINT) AS down, p_size % 16 AS rest FROM part")
 def m05(spark, d):
     return table(spark, d, "part").select("p_partkey", F.ceil(c("p_size") / 16).cast("long").alias("up"), F.expr("p_size div 16").alias("down"), (c("p_size") % 16).alias("rest"))

@@ -154,12 +154,13 @@ def m03(spark, d):
     return e.join(after, "vec_id").select("vec_id", F.when(c("label") == c("other"), F.round(F.pow(V.cosine(c("v"), c("w")), 2), 6)).otherwise(F.lit(0.0)).alias("cos2"))
 
 
-@query("m04_image_normalize", "SELECT page_id, round(avg((ascii(ch) / 255.0 - 0.5) / 0.25), 6) AS mean FROM (SELECT page_id, unnest(string_split(substr(url, 1, 8), '')) AS ch FROM pages) GROUP BY 1")
+@query("m04_image_normalize", "SELECT page_id, round(avg((('0x' || h)::INT / 255.0 - 0.5) / 0.25), 6) AS mean FROM (SELECT page_id, unnest(regexp_extract_all(hex(encode(html)), '..')) AS h FROM pages) GROUP BY 1")
 def m04(spark, d):
     from ..sources.bytestore import normalized_bytes
 
-    rows = table(spark, d, "pages").select("page_id", F.encode(F.substring("url", 1, 8), "utf-8").alias("b"))
-    return rows.select("page_id", F.posexplode(normalized_bytes(0.5, 0.25)("b")).alias("i", "x")).groupBy("page_id").agg(F.round(F.avg("x"), 6).alias("mean"))
+    x = normalized_bytes(0.5, 0.25)(F.encode("html", "utf-8"))
+    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")
+    return table(spark, d, "pages").select("page_id", x.alias("x")).where(F.size("x") > 0).select("page_id", F.round(mean, 6).alias("mean"))
 
 
 @query("m07_softmax", "WITH m AS (SELECT user_id, max(value / 100) AS m FROM events GROUP BY 1) SELECT user_id, round(any_value(m) + ln(sum(exp(value / 100 - m))), 6) AS logsumexp FROM events JOIN m USING (user_id) GROUP BY 1")

@@ -6,6 +6,7 @@ import io
 import tarfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,6 @@ def normalized_bytes(mean: float, std: float):
 
     @pandas_udf("array<double>")
     def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: [(x / 255 - mean) / std for x in b], na_action="ignore")
+        return s.map(lambda b: (np.frombuffer(b, np.uint8) / 255 - mean) / std, na_action="ignore")
 
     return f

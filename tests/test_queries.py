@@ -121,3 +121,38 @@ assert settings({'spark.master': 'yarn'}, 'local[3]')['spark.master'] == 'local[
 """
     args = "--master local[2] --conf spark.sql.shuffle.partitions=77 --conf spark.sql.session.timeZone=Asia/Tokyo pyspark-shell"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120, env=os.environ | {"PYSPARK_SUBMIT_ARGS": args})
+
+
+def test_each_rule_of_the_census(spark):
+    """One name for each class, subtype and reason."""
+    from arborline.operators import census as C
+
+    taxa = [("genus", "Rosa", "Linn. & Weldon, 1753"), ("species", "Rosa alba", "Linn."), ("species", "Rosa alba minor", None), ("species", "Rosa minor", "Smith"), ("species", "Rosa rubra", "O’Hara-Smith"), ("species", "Bellis brown", "Smith")]
+    taxa += [("species", "Bellis rubra", "Brown")] * 20
+    ev = C.evidence(spark.createDataFrame(taxa, "rank string, name string, authority string"), "rank", "name", "authority")
+    want = {
+        ("Rosa", "weldon"): ("A", "author_only_single", "genus_authority"), ("Rosa", "alba"): ("C", "single_word", None), ("Rosa", "alba weldon"): ("A", "epithet_plus_author", "genus_authority"),
+        ("Bellis", "smith"): ("A", "author_only_single", "author_name"), ("Bellis", "smith jones"): ("A", "author_only_multi", "author_name"), ("Bellis", "minor brown"): ("A", "epithet_plus_author", "author_name_mostly"),
+        ("Bellis", "alba ssp. minor"): ("S", "with_rank_marker", None), ("Bellis", "alba minor"): ("S", "two_words", None), ("Bellis", "alba minor rubra"): ("O", "three_plus_plain_words", None),
+        ("Bellis", "alba group"): ("O", "cultivar_or_species_group", None), ("Bellis", "alba 'gold'"): ("O", "cultivar", None), ("Bellis", "alba agg."): ("O", "complex_or_aggregate", None), ("Bellis", "alba nom. nova"): ("O", "provisional_name", None),
+        ("Bellis", "alba =b"): ("O", "other", None), ("Bellis", "x alba"): ("C", "hybrid_nothospecies", None), ("Bellis", "×alba"): ("C", "hybrid_nothospecies", None), ("Bellis", "alba_b"): ("O", "underscore_label", None), ("Bellis", "alba'"): ("O", "stray_quote", None),
+        ("Bellis", "alba x rubra"): ("O", "hybrid_formula", None), ("Bellis", "alba strain 1"): ("O", "strain_or_virus", None), ("Bellis", "7-alba"): ("O", "numeral_epithet", None), ("Bellis", "geo:lat=1"): ("O", "machine_tag", None),
+        ("Bellis", "sp."): ("P", "bare_token", None), ("Bellis", "12"): ("P", "bare_number", None), ("Bellis", "alba?"): ("P", "question_mark", None), ("Bellis", "undefined b"): ("P", "undescribed_or_undefined", None), ("Bellis", "cf. alba"): ("P", "qualified_or_rank_marker", None), ("Bellis", "alba or rubra"): ("P", "either_or", None), ("Bellis", "alba sp."): ("P", "inner_sp_or_prob", None),
+        ("Bellis", "alba 1758"): ("A", "epithet_plus_author", "digit"), ("Bellis", "alba (b"): ("A", "epithet_plus_author", "punctuation"), ("Bellis", "alba ex nova"): ("A", "epithet_plus_author", "author_connector"), ("Bellis", "mül-"): ("A", "author_only_single", "truncated_author"), ("Bellis", "d'orb"): ("A", "author_only_single", "apostrophe_name"), ("Bellis", "alba mey."): ("A", "epithet_plus_author", "abbreviation"),
+        **{("Bellis", f"{w} weld"): ("A", "epithet_plus_author", "author_name_catalog_suffix") for w in ("alba", "rubra", "minor", "nova", "prima")},
+    }
+    names = spark.createDataFrame([*want, ("Bellis", None), (None, "alba")], "genus string, epithet string")
+    got = {(r.genus, r.epithet): (r.category, r.subtype, r.reason) for r in C.classified(names, "genus", "epithet", ev, C.suffix_evidence(names, "epithet")).collect()}
+    assert got == want
+    assert {r.token: r.n for r in ev.authors.collect()}["o'hara-smith"] == 1 and {r.token for r in ev.authors.where("token IN ('hara-smith', 'linn.')").collect()} == {"hara-smith", "linn."}
+
+
+def test_overrides_of_a_name_service(spark):
+    from arborline.operators import census as C
+
+    taxa = spark.createDataFrame([("genus", "Rosa", "Weldon")] + [("species", "Rosa alba", "Brown")] * 6, "rank string, name string, authority string")
+    ev = C.evidence(taxa, "rank", "name", "authority")
+    names = spark.createDataFrame([("Rosa", "weldon", "p", "A", "author_only_single", "genus_authority"), ("Bellis", "brown", "p", "C", "single_word", None), ("Rosa", "nova", "p", "C", "single_word", None)], "genus string, epithet string, kingdom string, category string, subtype string, reason string")
+    answers = spark.createDataFrame([("Rosa weldon", None, "p", "EXACT", "SPECIES", "ACCEPTED", None, None), ("Bellis", "GENUS", "p", "EXACT", "GENUS", "ACCEPTED", "Bellis (Brown, 1800)", "Bellis")], "name string, rank string, kingdom string, match_type string, taxon_rank string, status string, scientific string, canonical string")
+    got = {r.epithet: (r.category, r.subtype, r.reason) for r in C.overridden(names, ev, answers).collect()}
+    assert got == {"weldon": ("C", "single_word", "gbif_exact_species"), "brown": ("A", "author_only_single", "gbif_genus_authority"), "nova": ("C", "single_word", None)}
