@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def steps(log: DataFrame, run: str = "user_id", order: str = "ts") -> DataFrame:
@@ -27,14 +31,28 @@ def ema(values: Column, decay: float) -> Column:
 def smoothed(log: DataFrame, keys: list[str], order: str, value: str, decay: float, reset: Column | None = None) -> DataFrame:
     """log with `ema`, started anew after each row where `reset` holds.
 
-    A run of one key and segment is folded in order in one array; rows of a segment share a task.
+    The rows of a key are sorted in one partition and go by in batches with one number carried on, so
+    a run of any length takes linear time and bounded memory.  A null value leaves the average as it
+    is; before the first value it is null.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     cut = F.coalesce(F.sum(F.when(reset, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if reset is not None else F.lit(0)
-    runs = log.withColumn("segment", cut).groupBy(*keys, "segment").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("r"))
-    # One fold keeps the whole path: linear in the run's length.
-    path = F.aggregate("r", F.array().cast("array<struct<o:{0},v:double,e:double>>".format(log.schema[order].dataType.simpleString())), lambda acc, x: F.concat(acc, F.array(F.struct(x.o.alias("o"), x.v.alias("v"), F.coalesce(F.try_element_at(acc, F.lit(-1)).e * decay + x.v * (1 - decay), x.v).alias("e")))))
-    return runs.select(*keys, "segment", F.explode(path).alias("p")).select(*keys, "segment", F.col("p.o").alias(order), F.col("p.v").alias(value), F.col("p.e").alias("ema"))
+    runs = log.withColumn("segment", cut.cast("long")).select(*keys, "segment", order, F.col(value).cast("double").alias(value))
+    schema = T.StructType([*runs.schema.fields, T.StructField("ema", T.DoubleType())])
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now, k = None, None, len(keys) + 1
+        for b in batches:
+            out = []
+            for *head, x in zip(*(b.column(i).to_pylist() for i in range(k)), b.column(k + 1).to_pylist(), strict=True):
+                if head != at:
+                    at, now = head, None
+                if x is not None:
+                    now = x if now is None else now * decay + x * (1 - decay)
+                out.append(now)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=schema.names)
+
+    return runs.repartition(*keys).sortWithinPartitions(*keys, "segment", order).mapInArrow(carry, schema)
 
 
 def calibrated(log: DataFrame, lo: int, hi: int, by: str = "run") -> DataFrame:

@@ -6,11 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Below this a norm counts as this much (the clamping contract).
 TINY = 1e-12
+#: Bytes of the class matrix that goes to every task at once, rows of a tile of a blocked product, and
+#: parts in which sums of matrices are brought together.
+CLASS_BYTES, TILE_ROWS, PARTS = 64 << 20, 2048, 32
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """Vectors as the rows of a matrix; nulls among them raise, as do vectors of different lengths."""
+    size = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, int)
+    if column.null_count or (size != (size[0] if len(size) else 0)).any():
+        raise ValueError("vectors are null or of different lengths")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(size), -1)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,11 +45,46 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def vector_sums(rows: DataFrame, keys: list[str], vec: str) -> DataFrame:
+    """(keys, s, n): the sum of the vectors of each group and their number.
+
+    Each Arrow batch is summed as a matrix, one row for each of its groups; the partial sums of a group
+    then meet one after the other, so that no task holds more than two of them.  Null vectors are left
+    out.  Keys are compared as Spark compares them, nulls are a group of their own.
+    """
+    kinds = [rows.schema[k] for k in keys]
+    schema = T.StructType([*(T.StructField(k.name, k.dataType) for k in kinds), T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = matrix_of(b.column(len(keys)))
+                code = b.select(range(len(keys))).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(x), np.int64)
+                order = np.argsort(code, kind="stable")
+                start = np.flatnonzero(np.diff(code[order], prepend=-1))
+                sums, n = np.add.reduceat(x[order], start, axis=0), np.diff(np.append(start, len(order)))
+                first = pa.array(order[start])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(first) for k in range(len(keys))), pa.array(list(sums), pa.list_(pa.float64())), pa.array(n, pa.int64())], names=schema.names)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, n, head = None, 0, None
+        for b in batches:
+            if b.num_rows:
+                head = b.slice(0, 1) if head is None else head
+                x = matrix_of(b.column(len(keys))).sum(axis=0)
+                s, n = x if s is None else s + x, n + sum(b.column(len(keys) + 1).to_pylist())
+        if head is not None:
+            yield pa.RecordBatch.from_arrays([*(head.column(k) for k in range(len(keys))), pa.array([s], pa.list_(pa.float64())), pa.array([n], pa.int64())], names=schema.names)
+
+    parts = rows.where(F.col(vec).isNotNull()).select(*keys, F.col(vec).cast("array<double>").alias("_v")).mapInArrow(partial, schema)
+    if not keys:
+        return parts.repartition(1).mapInArrow(total, schema)
+    return parts.groupBy(*keys).applyInArrow(total, schema)
+
+
 def group_mean(rows: DataFrame, keys: list[str], vec: str, name: str = "mean") -> DataFrame:
-    """Element-wise mean by group: components are summed in partial aggregates, so a large group
-    is no bottleneck, then put together again (one row for each group and dimension)."""
-    parts = rows.select(*keys, F.posexplode(vec).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg("_x").alias("_m"))
-    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(name))
+    """Element-wise mean by group."""
+    return vector_sums(rows, keys, vec).select(*keys, F.transform("s", lambda x: x / F.col("n")).alias(name))
 
 
 def roll_up(leaf_means: DataFrame, ranks: list[str], vec: str = "mean") -> DataFrame:
@@ -51,65 +100,124 @@ def roll_up(leaf_means: DataFrame, ranks: list[str], vec: str = "mean") -> DataF
 
 def variance_split(rows: DataFrame, label: str, vec: str) -> DataFrame:
     """Total, within and between variance (weighted by rows, and by classes): two passes."""
-    all_mean = group_mean(rows.withColumn("_all", F.lit(0)), ["_all"], vec, "root")
+    all_mean = group_mean(rows, [], vec, "root")
     means = group_mean(rows, [label], vec, "mean")
-    j = rows.join(means, label).join(F.broadcast(all_mean.drop("_all")))  # one row
+    j = rows.join(means, label).join(F.broadcast(all_mean))  # one row
     diff = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
     sq = lambda v: dot(v, v)
     by_row = j.agg(F.avg(sq(diff(F.col(vec), F.col("root")))).alias("total"), F.avg(sq(diff(F.col(vec), F.col("mean")))).alias("within"), F.avg(sq(diff(F.col("mean"), F.col("root")))).alias("between"))
-    centre = group_mean(means.withColumn("_all", F.lit(0)), ["_all"], "mean", "centre").drop("_all")
+    centre = group_mean(means, [], "mean", "centre")
     by_class = means.join(F.broadcast(centre)).agg(F.avg(sq(diff(F.col("mean"), F.col("centre")))).alias("between_classes"))
     return by_row.join(by_class)
 
 
-def nearest_class(rows: DataFrame, key: str, vec: str, classes: DataFrame, cls: str, cvec: str, most: int = 20_000) -> DataFrame:
+def nearest_class(rows: DataFrame, key: str, vec: str, classes: DataFrame, cls: str, cvec: str, most_bytes: int = CLASS_BYTES) -> DataFrame:
     """(key, class, cosine): the class of the largest cosine, ties to the smallest class.
 
-    Up to `most` classes their matrix goes to every task, which scores whole batches at once;
-    beyond, classes are cut in blocks, each scored in turn and the best kept.
+    Classes go to the tasks in blocks of `most_bytes` at most, each block to a scan of the rows that
+    scores whole batches; of several blocks the best is kept.  Keys are unique.
     """
-    n = classes.count()
+    classes = classes.select(cls, cvec).persist()
+    size = classes.agg(F.count("*").alias("n"), F.max(F.size(cvec)).alias("d")).first()
+    blocks = max(1, -(-size["n"] * (size["d"] or 1) * 8 // most_bytes))
+    kind, key_kind = (df.schema[x].dataType.simpleString() for df, x in ((classes, cls), (rows, key)))
     out = None
-    for block in range(max(1, -(-n // most))):
-        part = classes if n <= most else classes.where(F.pmod(F.xxhash64(cls), F.lit(-(-n // most))) == block)
-        pdf = part.orderBy(cls).toPandas()  # `most` rows at most
-        names, matrix = pdf[cls].tolist(), np.array(pdf[cvec].tolist(), dtype=np.float64)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), TINY)
-        kind = classes.schema[cls].dataType.simpleString()
-
-        def score(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
+    for block in range(blocks):
+        part = classes.where(F.pmod(F.xxhash64(cls), F.lit(blocks)) == block).orderBy(cls).toArrow()  # most_bytes, as counted above
+        if not part.num_rows:
+            continue
+        matrix = matrix_of(part.column(1).combine_chunks())
+        held = rows.sparkSession.sparkContext.broadcast((part.column(0).combine_chunks(), (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), TINY)).T))
+
+        def score(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, m = held.value
             for b in batches:
-                if len(b):
-                    x = np.array(b[vec].tolist(), dtype=np.float64)
-                    s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), TINY)) @ matrix.T
+                if b.num_rows:
+                    x = matrix_of(b.column(1))
+                    s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), TINY)) @ m
                     best = s.argmax(axis=1)  # the first of equals
-                    yield pd.DataFrame({key: b[key], cls: [names[i] for i in best], "cosine": s[np.arange(len(s)), best]})
+                    yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(best)), pa.array(s[np.arange(len(s)), best])], names=[key, cls, "cosine"])
 
-        one = rows.select(key, vec).mapInPandas(score, f"{key} {rows.schema[key].dataType.simpleString()}, {cls} {kind}, cosine double")
+        one = rows.select(key, F.col(vec).cast("array<double>").alias("_v")).mapInArrow(score, f"{key} {key_kind}, {cls} {kind}, cosine double")
         out = one if out is None else out.unionByName(one)
-    if n <= most:
+    classes.unpersist()
+    if out is None:
+        return rows.sparkSession.createDataFrame([], f"{key} {key_kind}, {cls} {kind}, cosine double")
+    if blocks == 1:
         return out
-    best = out.groupBy(key).agg(F.max(F.struct("cosine")).alias("_m"))
-    return out.join(best, key).where(F.col("cosine") == F.col("_m.cosine")).groupBy(key).agg(F.min(cls).alias(cls), F.first("cosine").alias("cosine"))
+    top = out.groupBy(key).agg(F.max("cosine").alias("_top"))
+    return out.join(top, key).where(F.col("cosine") == F.col("_top")).groupBy(key).agg(F.min(cls).alias(cls), F.first("cosine").alias("cosine"))
+
+
+def blocked_max_cosine(left: DataFrame, right: DataFrame, key: str, block: str, vec: str, tile: int = TILE_ROWS) -> DataFrame:
+    """(key, cosine): the largest cosine of each left row with right rows of its block; blocks that
+    either side lacks give nothing.
+
+    Both sides of a block are cut in chunks of about `tile` rows by hash; each two chunks are one
+    matrix product, so a large block is many tasks and none holds more than two chunks.
+    """
+    kind = left.schema[key].dataType.simpleString()
+    chunks = lambda df, name: df.groupBy(block).agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    counts = chunks(left, "_nl").join(chunks(right, "_nr"), block)
+
+    def cut(df: DataFrame, own: str, other: str, names: list[str]) -> DataFrame:
+        rows = df.select(F.col(block), F.col(key).alias("_k"), F.col(vec).cast("array<double>").alias("_v")).join(counts, block)
+        mine = F.pmod(F.xxhash64("_k", "_v"), F.col(own)).cast("int")
+        return rows.select(F.col(block).alias(names[0]), mine.alias(names[1]), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[2]), "_k", "_v")
+
+    a, b = cut(left, "_nl", "_nr", ["b", "l", "r"]), cut(right, "_nr", "_nl", ["b2", "r2", "l2"])
 
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({key: pa.array([], x.schema.field("_k").type), "cosine": pa.array([], pa.float64())})
+        m, n = (matrix_of(t["_v"].combine_chunks()) for t in (x, y))
+        m, n = (t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), TINY) for t in (m, n))
+        return pa.table({key: x["_k"], "cosine": (m @ n.T).max(axis=1)})
 
-def blocked_max_cosine(left: DataFrame, right: DataFrame, key: str, block: str, vec: str, salt: int = 8) -> DataFrame:
-    """(key, cosine): the largest cosine of each left row with right rows of its block; blocks
-    that the right lacks give nothing.  A large block's right side is spread over `salt` tasks."""
-    r = right.select(F.col(block), F.pmod(F.xxhash64(key), F.lit(salt)).alias("_s"), normalized(F.col(vec)).alias("_r"))
-    a = left.select(key, block, normalized(F.col(vec)).alias("_l"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))).alias("_s"))
-    return a.join(r, [block, "_s"]).groupBy(key).agg(F.max(dot(F.col("_l"), F.col("_r"))).alias("cosine"))
+    found = a.groupBy("b", "l", "r").cogroup(b.groupBy("b2", "l2", "r2")).applyInArrow(best, f"{key} {kind}, cosine double")
+    return found.groupBy(key).agg(F.max("cosine").alias("cosine"))
 
 
 def spectrum(rows: DataFrame, vec: str) -> DataFrame:
     """Participation ratio tr(C)^2 / |C|^2, mean pairwise cosine by |sum x|^2, mean norm: moments
-    only, no eigenvalues and no pairs of rows."""
-    n = rows.agg(F.count("*").alias("n"), F.avg(norm(F.col(vec))).alias("mean_norm"))
-    # Row i of the second moment: sum over rows of x_i * x, in partial aggregates by (i, j).
-    xs = rows.select(F.posexplode(vec).alias("i", "x"), vec).select("i", "x", F.posexplode(vec).alias("j", "y"))
-    second = xs.groupBy("i", "j").agg(F.avg(F.col("x").cast("double") * F.col("y").cast("double")).alias("m"))
-    first = rows.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("mu"))
-    cov = second.join(first, "i").join(first.toDF("j", "nu"), "j").select("i", "j", (F.col("m") - F.col("mu") * F.col("nu")).alias("c"))
-    pr = cov.agg((F.pow(F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))), 2) / F.sum(F.col("c") * F.col("c"))).alias("participation"))
-    unit = rows.select(F.posexplode(normalized(F.col(vec))).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
-    return n.join(pr).join(unit).select("participation", ((F.col("ss") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"), "mean_norm")
+    only, no eigenvalues and no pairs of rows.  Each partition gives one sum of X'X; these meet in
+    PARTS tasks first, one after the other."""
+    schema = "part int, m array<double>, s array<double>, u array<double>, norms double, n long"
+    names = ["part", "m", "s", "u", "norms", "n"]
+
+    def row(part: int, m: np.ndarray, s: np.ndarray, u: np.ndarray, norms: float, n: int) -> pa.RecordBatch:
+        lists = [pa.array([x.ravel()], pa.list_(pa.float64())) for x in (m, s, u)]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *lists, pa.array([norms]), pa.array([n], pa.int64())], names=names)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        got = None
+        for b in batches:
+            if b.num_rows:
+                x = matrix_of(b.column(0))
+                size = np.linalg.norm(x, axis=1)
+                one = (x.T @ x, x.sum(axis=0), (x / np.maximum(size, TINY)[:, None]).sum(axis=0), float(size.sum()), len(x))
+                got = one if got is None else tuple(p + q for p, q in zip(got, one, strict=True))
+        if got is not None:
+            yield row(TaskContext.get().partitionId() % PARTS, *got)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = None
+        for b in batches:
+            for k in range(b.num_rows):
+                one = tuple(np.array(b.column(i)[k].as_py()) for i in range(1, 4)) + (b.column(4)[k].as_py(), b.column(5)[k].as_py())
+                got = one if got is None else tuple(p + q for p, q in zip(got, one, strict=True))
+        if got is not None:
+            yield row(0, *got)
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in total(batches):
+            m, s, u = (np.array(b.column(i)[0].as_py()) for i in range(1, 4))
+            norms, n = b.column(4)[0].as_py(), b.column(5)[0].as_py()
+            mu = s / n
+            c = m.reshape(len(s), len(s)) / n - np.outer(mu, mu)
+            yield pa.RecordBatch.from_arrays([pa.array([float(np.trace(c) ** 2 / (c * c).sum())]), pa.array([float((u @ u - n) / (n * (n - 1)))] if n > 1 else [None], pa.float64()), pa.array([norms / n])], names=["participation", "mean_cosine", "mean_norm"])
+
+    parts = rows.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("_v")).mapInArrow(moments, schema)
+    return parts.groupBy("part").applyInArrow(total, schema).repartition(1).mapInArrow(ratios, "participation double, mean_cosine double, mean_norm double")

@@ -61,6 +61,44 @@ def test_vector_edges(spark):
     assert t.select(V.cosine(F.col("v"), F.col("v"))).collect()[0][0] is None
 
 
+def test_vector_operators_in_small_pieces(spark):
+    """Blocks of classes and tiles of a product give what one piece gives; ties go to the smallest class."""
+    import numpy as np
+
+    from arborline.operators import vectors as V
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6))
+    rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, b int, v array<double>").repartition(7)
+    classes = spark.createDataFrame([(k, x[k % 20].tolist()) for k in range(40)], "cls int, m array<double>")
+    one, many = ({r.id: (r.cls, round(r.cosine, 9)) for r in V.nearest_class(rows, "id", "v", classes, "cls", "m", size).collect()} for size in (1 << 20, 200))
+    assert one == many and {one[i][0] for i in range(20)} == set(range(20))
+    left, right = rows.where("id % 5 = 0"), rows.where("id % 5 <> 0")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {i: max(float(unit[i] @ unit[j]) for j in range(300) if j % 5 and j % 3 == i % 3) for i in range(0, 300, 5)}
+    for tile in (7, 2048):
+        got = {r.id: r.cosine for r in V.blocked_max_cosine(left, right, "id", "b", "v", tile).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    assert V.blocked_max_cosine(left, right.limit(0), "id", "b", "v").count() == 0 and V.nearest_class(rows, "id", "v", classes.limit(0), "cls", "m").count() == 0
+    cov = np.cov(x.T, bias=True)
+    s = V.spectrum(rows, "v").first()
+    assert abs(s.participation - np.trace(cov) ** 2 / (cov * cov).sum()) < 1e-9 and abs(s.mean_norm - np.linalg.norm(x, axis=1).mean()) < 1e-12
+    with pytest.raises(Exception, match="different lengths"):
+        V.group_mean(spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "k int, v array<double>").coalesce(1), ["k"], "v").collect()
+
+
+def test_smoothing_of_long_runs(spark):
+    from arborline.operators.metrics import smoothed
+
+    log = spark.range(200_000).selectExpr("id % 2 AS k", "id AS o", "IF(id % 1000 = 7, NULL, CAST(id % 13 AS double)) AS v")
+    got = {(r.k, r.o): r.ema for r in smoothed(log, ["k"], "o", "v", 0.9).collect()}
+    now = {0: None, 1: None}
+    for i in range(200_000):
+        if i % 1000 != 7:
+            now[i % 2] = float(i % 13) if now[i % 2] is None else now[i % 2] * 0.9 + (i % 13) * (1 - 0.9)
+        assert got[i % 2, i] == now[i % 2]
+
+
 def test_ema_stream_equals_batch(spark, tmp_path):
     from arborline.operators.metrics import smoothed
     from arborline.streaming.ema import ema_stream
@@ -74,10 +112,26 @@ def test_ema_stream_equals_batch(spark, tmp_path):
     progress, error = q.lastProgress, q.exception()
     q.stop()
     assert done, (progress, error)
-    got = {(r.k, r.o) for r in spark.table("ema").collect()}
-    assert got == {(r.k, r.o) for r in rows.collect()}
-    assert smoothed(rows, ["k"], "o", "v", 0.9).count() == 36
+    got = {(r.k, r.o): r.ema for r in spark.table("ema").collect()}
+    want = {(r.k, r.o): r.ema for r in smoothed(rows, ["k"], "o", "v", 0.9).collect()}
+    assert len(want) == 36 and got.keys() == want.keys()
+    assert all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
+def test_means_stream_equals_batch(spark, tmp_path):
+    from arborline.operators.vectors import group_mean
+    from arborline.streaming.ema import means_stream
 
+    rows = spark.createDataFrame([(i % 3, [float(i), float(i * i % 7)]) for i in range(30)], "k int, v array<double>")
+    for part in range(3):
+        rows.coalesce(1).where(f"v[0] >= {part * 10} AND v[0] < {part * 10 + 10}").write.parquet(str(tmp_path / "in" / f"p{part}"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "p*"))
+    q = means_stream(stream, ["k"], "v").writeStream.format("memory").queryName("means").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(40), (q.lastProgress, q.exception())
+    got = {(r.k, r.i): (r.mean, r.n) for r in spark.table("means").collect()}
+    q.stop()
+    want = {(r.k, i): (x, 10) for r in group_mean(rows, ["k"], "v").collect() for i, x in enumerate(r["mean"])}
+    assert got.keys() == want.keys() and all(abs(got[x][0] - want[x][0]) < 1e-12 and got[x][1] == want[x][1] for x in want)
 
 def test_shard_lists():
     from arborline.sources.shards import expand_all
