@@ -1,75 +1,163 @@
-"""Batch plans: balanced groups of each leaf, batches of groups, and their checks."""
+"""Batch plans: balanced groups of each leaf, batches of groups dealt to workers, and their checks."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hierarchy import dense_ids
+
+#: Groups that are dealt in one task; more are dealt in several, whose leftovers are dealt together.
+PART_GROUPS = 100_000
+
+
+def hashed_order(seed: int, epoch: int, *parts) -> Column:
+    """A reproducible random order: md5(seed-epoch-parts)."""
+    return F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(epoch)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+
 
 def balanced_groups(rows: DataFrame, leaf: str, item: str, most: int, seed: int = 0, epoch: int = 1) -> DataFrame:
     """rows with group_no: each leaf's rows, shuffled by md5(seed-epoch-item), in ceil(n / most)
     groups whose sizes differ by one at most, the larger first."""
     w = Window.partitionBy(leaf)
-    order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(epoch)), F.col(item).cast("string")))
-    p = rows.withColumns({"_pos": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)}).withColumn("_g", F.ceil(F.col("_n") / most).cast("long"))
+    order = hashed_order(seed, epoch, item)
+    p = rows.withColumns({"_pos": F.row_number().over(w.orderBy(order, item)) - 1, "_n": F.count("*").over(w)}).withColumn("_g", F.ceil(F.col("_n") / most).cast("long"))
     p = p.withColumns({"_small": F.expr("_n div _g"), "_extra": F.col("_n") % F.col("_g")}).withColumn("_head", F.col("_extra") * (F.col("_small") + 1))
     group = F.when(F.col("_pos") < F.col("_head"), F.expr("_pos div (_small + 1)")).otherwise(F.col("_extra") + F.expr("(_pos - _head) div _small"))
     return p.withColumn("group_no", group).drop("_pos", "_n", "_g", "_small", "_extra", "_head")
 
 
-def random_batches(rows: DataFrame, item: str, leaf: str, size: int, seed: int = 0, epoch: int = 1, ranges: int = 64) -> DataFrame:
-    """rows with batch: a random partition in batches of `size`, the last one short; rows of a leaf
-    in a batch are one group.  Numbering goes by ranges of the hash, so no task holds all rows."""
-    from .hierarchy import dense_ids
+class Batches:
+    """Batches that are being filled: each has a number of workers with equal room, and takes a leaf
+    with several groups once.  Groups are offered to the batches in turn."""
 
-    h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(epoch)), F.col(item).cast("string")))
-    r = rows.withColumn("_h", h).withColumn("_range", F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("long") * ranges / 65536))
-    numbered = dense_ids(r, ["_range", "_h", item], "_pos")
-    return numbered.withColumn("batch", F.expr(f"_pos div {size}")).drop("_h", "_range", "_pos")
+    def __init__(self, rooms: list[list[int]]):
+        self.free = [list(r) for r in rooms]
+        self.total = [sum(r) for r in rooms]
+        self.leaves: list[set] = [set() for _ in rooms]
+        self.open = [b for b, n in enumerate(self.total) if n]
+        self.turn = 0
 
+    def place(self, leaf, size: int, alone: bool) -> tuple[int, int] | None:
+        """(batch, worker) for a group, on the worker with most room of the next batch that can take it."""
+        for tried in range(len(self.open)):
+            k = (self.turn + tried) % len(self.open)
+            b = self.open[k]
+            free = self.free[b]
+            room = max(free)
+            if room >= size and (alone or leaf not in self.leaves[b]):
+                worker = free.index(room)
+                free[worker] -= size
+                self.total[b] -= size
+                if not alone:
+                    self.leaves[b].add(leaf)
+                if self.total[b]:
+                    self.turn = k + 1
+                else:
+                    self.open[k] = self.open[-1]  # its place goes to the last one
+                    self.open.pop()
+                    self.turn = k
+                return b, worker
+        return None
 
-def pack_groups(groups: DataFrame, batch: int, parts: int = 1) -> DataFrame:
-    """(leaf, group_no, size) with step: greedy packing in batches of `batch` rows at most, at most
-    one group of a leaf in a batch, large groups first.
 
-    Packing is sequential, so it runs over the table of groups (not rows), and apart for each of
-    `parts` parts, chosen to hold as many groups as a task can; a leaf's groups share a part only
-    by chance, steps are counted within a part, and each part's last batches may be short.
+def _deal(g: pd.DataFrame, batch: int, world: int, last: bool) -> pd.DataFrame:
+    """The groups of one part with batch and worker.  Where it is not the last part, batches that could
+    not be filled are given up: their groups, like those that found no room, get batch -1."""
+    g = g.sort_values(["size", "h"], ascending=[False, True], ignore_index=True)
+    rows = int(g["size"].sum())
+    rooms = [[batch // world] * world for _ in range(rows // batch)]
+    short = rows % batch if last else 0
+    if short:
+        rooms.append([short // world + (r < short % world) for r in range(world)])
+    bins = Batches(rooms)
+    found = [bins.place(leaf, size, groups == 1) or (-1, -1) for leaf, size, groups in zip(g["leaf"], g["size"], g["groups"], strict=True)]
+    if last and any(b < 0 for b, _ in found):
+        raise RuntimeError(f"{sum(b < 0 for b, _ in found)} groups fit no batch")
+    given_up = {b for b in bins.open}
+    g["batch"], g["worker"] = [-1 if b in given_up else b for b, _ in found], [w for _, w in found]
+    return g[["leaf", "group_no", "size", "groups", "h", "part", "batch", "worker"]]
+
+
+def pack_groups(groups: DataFrame, batch: int, world: int = 1, seed: int = 0, epoch: int = 1, part_groups: int = PART_GROUPS) -> DataFrame:
+    """(leaf, group_no, size, step, worker): every group in a batch of exactly `batch` rows, each worker
+    with an equal share of them, and at most one group of a leaf in a batch; one last batch is short.
+
+    Groups are dealt largest first, random among equals, so the smallest fill what is left.  Of many
+    groups about `part_groups` share a task; a leaf's groups go to different parts in turn.  What a
+    part cannot fill whole is dealt with the other parts' leftovers in one more task (a batch or two
+    for each part).  A set that cannot be dealt so raises.
     """
-    dealt = groups.withColumn("part", F.pmod(F.xxhash64("leaf", "group_no"), F.lit(parts)).cast("int"))
-
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["size", "h"], ascending=[False, True]).reset_index(drop=True)
-        room: list[int] = []
-        seen: list[set] = []
-        step = []
-        first_open = 0
-        for leaf, size in zip(g["leaf"], g["size"], strict=True):
-            i = first_open
-            while i < len(room) and (room[i] < size or leaf in seen[i]):
-                i += 1
-            if i == len(room):
-                room.append(batch)
-                seen.append(set())
-            room[i] -= size
-            seen[i].add(leaf)
-            while first_open < len(room) and room[first_open] == 0:
-                first_open += 1
-            step.append(i)
-        return g.assign(step=step)[["part", "leaf", "group_no", "size", "step"]]
-
-    h = F.md5(F.concat_ws("-", "leaf", F.col("group_no").cast("string")))
-    return dealt.withColumn("h", h).groupBy("part").applyInPandas(pack, "part int, leaf string, group_no long, size long, step long")
-
-
-def check_plan(plan: DataFrame, rows: DataFrame, item: str, leaf: str, batch: int, most: int) -> DataFrame:
-    """One row of violations of a plan (item, leaf, group_no, step): all zero if it is sound."""
-    per_item = plan.groupBy(item).agg(F.count("*").alias("n"))
-    missing = rows.select(item).join(per_item, item, "left").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("repeated"))
-    groups = plan.groupBy("step", leaf, "group_no").agg(F.count("*").alias("size"))
+    if batch % world:
+        raise ValueError(f"{world} workers cannot share {batch} rows evenly")
+    n = groups.count()
+    parts = max(1, -(-n // part_groups))
+    h = hashed_order(seed, epoch, "leaf", "group_no")
+    dealt = groups.select("leaf", F.col("group_no").cast("long").alias("group_no"), F.col("size").cast("long").alias("size"), F.count("*").over(Window.partitionBy("leaf")).alias("groups"), h.alias("h"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("leaf") + F.col("group_no"), F.lit(parts)).cast("int"))
+    kind = groups.schema["leaf"].dataType.simpleString()
+    schema = f"leaf {kind}, group_no long, size long, groups long, h string, part int, batch int, worker int"
+    placed = dealt.groupBy("part").applyInPandas(lambda g: _deal(g, batch, world, parts == 1), schema)
+    if parts > 1:
+        placed = placed.persist()  # read twice; the same input gives the same parts again
+        rest = placed.where("batch < 0").withColumn("part", F.lit(parts)).groupBy("part").applyInPandas(lambda g: _deal(g, batch, world, True), schema)
+        placed = placed.where("batch >= 0").union(rest)
+    # Batches in random order, the short one last.
+    sizes = placed.groupBy("part", "batch").agg(F.sum("size").alias("rows"))
+    order = hashed_order(seed, epoch, "part", "batch")
+    steps = dense_ids(sizes.select("part", "batch", (F.col("rows") < batch).cast("int").alias("short"), order.alias("h")), ["short", "h"], "step")
+    return placed.join(steps.select("part", "batch", "step"), ["part", "batch"]).select("leaf", "group_no", "size", "step", "worker")
+
+
+def random_batches(rows: DataFrame, item: str, leaf: str, size: int, world: int = 1, seed: int = 0, epoch: int = 1) -> DataFrame:
+    """rows with group_no (0), step and worker: a uniformly random partition in batches of `size`, the last
+    one short; rows of a leaf in a batch are one group.  In each batch groups go to the worker with
+    most room, largest first, and single rows fill the rest.
+
+    Numbering goes by ranges of the hash, about one for a million rows, so no task holds all rows.
+    """
+    if size % world:
+        raise ValueError(f"{world} workers cannot share {size} rows evenly")
+    ranges = max(1, min(1 << 16, -(-rows.count() // 1_000_000) * 8))
+    r = rows.withColumn("_h", hashed_order(seed, epoch, item)).withColumn("_range", F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("long") * ranges / 65536))
+    numbered = dense_ids(r, ["_range", "_h", item], "_pos").withColumn("step", F.expr(f"_pos div {size}")).drop("_range", "_pos")
+    groups = numbered.groupBy("step", F.col(leaf).alias("leaf")).agg(F.count("*").alias("size"), F.min("_h").alias("h"))
+
+    def share(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["size", "h"], ascending=[False, True], ignore_index=True)
+        n = int(g["size"].sum())
+        bins = Batches([[n // world + (w < n % world) for w in range(world)]])
+        found = [bins.place(x, k, True) for x, k in zip(g["leaf"], g["size"], strict=True)]
+        if None in found:
+            raise RuntimeError(f"step {g['step'].iloc[0]}: a group fits no worker")
+        return g.assign(worker=[w for _, w in found])[["step", "leaf", "worker"]]
+
+    kind = rows.schema[leaf].dataType.simpleString()
+    workers = groups.groupBy("step").applyInPandas(share, f"step long, leaf {kind}, worker int")
+    joined = numbered.join(workers, (numbered["step"] == workers["step"]) & numbered[leaf].eqNullSafe(workers["leaf"])).drop(workers["step"], workers["leaf"])
+    return joined.withColumn("group_no", F.lit(0).cast("long")).drop("_h")
+
+
+def check_plan(plan: DataFrame, rows: DataFrame, item: str, leaf: str, batch: int, most: int, world: int = 1) -> DataFrame:
+    """One row of violations of a plan (item, leaf, group_no, step, worker) of rows (item, leaf), all zero
+    if it is sound: items that are missing, repeated or unknown, or in a group of another leaf; groups
+    that are too large; leaves with two groups in a batch; batches (but the last) and workers' shares
+    that are not of the exact size."""
+    planned = plan.groupBy(item).agg(F.count("*").alias("n"), F.first(leaf).alias("_leaf"))
+    known = rows.select(item, F.col(leaf).alias("_own"))
+    j = known.join(planned, item, "full_outer")
+    items = j.agg(
+        F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("_own").isNull()).alias("unknown"),
+        F.count_if(F.col("n").isNotNull() & F.col("_own").isNotNull() & (F.col("_own") != F.col("_leaf"))).alias("strangers"),
+    )
+    groups = plan.groupBy("step", "worker", leaf, "group_no").agg(F.count("*").alias("size"))
     sizes = groups.agg(F.count_if(F.col("size") > most).alias("large_groups"))
     twice = groups.groupBy("step", leaf).agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") > 1).alias("leaf_twice"))
-    full = groups.groupBy("step").agg(F.sum("size").alias("rows")).agg(F.count_if(F.col("rows") > batch).alias("large_batches"))
-    one = [t.withColumn("_j", F.lit(0)) for t in (missing, sizes, twice, full)]
+    shares = groups.groupBy("step", "worker").agg(F.sum("size").alias("rows")).groupBy("step").agg(F.sum("rows").alias("rows"), F.min("rows").alias("least"), F.max("rows").alias("most"), F.count("*").alias("workers"))
+    last = plan.agg(F.max("step").alias("last"))
+    full = shares.join(F.broadcast(last))  # one row
+    even = (F.col("least") == batch // world) & (F.col("most") == batch // world) & (F.col("workers") == world)
+    exact = full.agg(F.count_if((F.col("step") < F.col("last")) & (F.col("rows") != batch)).alias("wrong_batches"), F.count_if(F.when(F.col("rows") == batch, ~even).otherwise(F.col("most") - F.col("least") > 1)).alias("wrong_shares"))
+    one = [t.withColumn("_j", F.lit(0)) for t in (items, sizes, twice, exact)]
     return one[0].join(one[1], "_j").join(one[2], "_j").join(one[3], "_j").drop("_j")

@@ -45,39 +45,67 @@ def p03(spark, d):
     return H.with_mask(leaves(spark, d), list(RANKS)).select("key", *[c("p_mask")[i].alias(f"m{i}") for i in range(3)])
 
 
-def epoch_plan(spark, d, batch: int = 256):
-    """(uuid, key, group_no, step): balanced groups packed in batches."""
+WORLD = 4
+
+
+def epoch_plan(spark, d, batch: int = 256, part_groups: int = B.PART_GROUPS):
+    """(uuid, key, group_no, step, worker): balanced groups packed in batches of exactly `batch`."""
     rows = B.balanced_groups(train(spark, d).select("uuid", "key"), "key", "uuid", GROUP_SIZE)
     groups = rows.groupBy(c("key").alias("leaf"), "group_no").agg(F.count("*").alias("size"))
-    packed = B.pack_groups(groups, batch).select(c("leaf").alias("key"), "group_no", "step")
+    packed = B.pack_groups(groups, batch, WORLD, part_groups=part_groups).select(c("leaf").alias("key"), "group_no", "step", "worker")
     return rows.join(packed, ["key", "group_no"])
 
 
 @query("p04_epoch_plan")
 def p04(spark, d):
-    return epoch_plan(spark, d).select("uuid", "key", "group_no", "step")
+    return epoch_plan(spark, d).select("uuid", "key", "group_no", "step", "worker")
+
+
+#: What any sound plan of the training rows shows, whatever its random order.
+PLAN_SQL = "t AS (SELECT count(*) AS n FROM train), l AS (SELECT key, count(*) AS n FROM train GROUP BY 1)"
+
+
+@query("p04_plan_shape", f"{TRAIN_SQL}, {PLAN_SQL} SELECT (SELECT n FROM t) AS n_rows, (SELECT CAST(ceil(n / 256) AS BIGINT) FROM t) AS steps, (SELECT n // 256 FROM t) AS full_steps, (SELECT n % 256 FROM t) AS short_rows, (SELECT n // 256 * 4 FROM t) AS full_shares, CAST(sum(ceil(n / 16)) AS BIGINT) AS n_groups, CAST(max(ceil(n / ceil(n / 16))) AS BIGINT) AS largest, count(*) AS n_leaves FROM l")
+def p04_shape(spark, d):
+    """The plan by its counts: batches, equal shares of the workers, groups."""
+    plan = epoch_plan(spark, d)
+    shares = plan.groupBy("step", "worker").agg(F.count("*").alias("n"))
+    steps = shares.groupBy("step").agg(F.sum("n").alias("rows"), F.count_if(c("n") == 64).alias("shares"))
+    groups = plan.groupBy("key", "group_no").agg(F.count("*").alias("n"), F.count_distinct("step", "worker").alias("places"))
+    a = steps.agg(F.sum("rows").alias("n_rows"), F.count("*").alias("steps"), F.count_if(c("rows") == 256).alias("full_steps"), F.sum(F.when(c("rows") < 256, c("rows")).otherwise(0)).alias("short_rows"), F.sum(F.when(c("rows") == 256, c("shares")).otherwise(0)).alias("full_shares"))
+    b = groups.agg(F.sum("places").alias("n_groups"), F.max("n").alias("largest"), F.count_distinct("key").alias("n_leaves"))
+    return a.join(F.broadcast(b))  # one row each
 
 
-@query("p05_random_batches", f"{TRAIN_SQL} SELECT batch, count(*) AS n, count(DISTINCT key) AS groups FROM (SELECT key, (row_number() OVER (ORDER BY md5('0-1-' || uuid), uuid) - 1) // 256 AS batch FROM train) GROUP BY 1")
+@query("p05_random_batches", f"{TRAIN_SQL}, o AS (SELECT key, (row_number() OVER (ORDER BY md5('0-1-' || uuid), uuid) - 1) // 256 AS step FROM train) SELECT step, count(*) AS n, count(DISTINCT key) AS groups, CAST(ceil(count(*) / 4) AS BIGINT) AS most, count(*) // 4 AS least FROM o GROUP BY 1")
 def p05(spark, d):
-    plan = B.random_batches(train(spark, d).select("uuid", "key"), "uuid", "key", 256)
-    return plan.groupBy("batch").agg(F.count("*").alias("n"), F.count_distinct("key").alias("groups"))
+    plan = B.random_batches(train(spark, d).select("uuid", "key"), "uuid", "key", 256, WORLD)
+    shares = plan.groupBy("step", "worker").agg(F.count("*").alias("n"), F.count_distinct("key").alias("groups"))
+    return shares.groupBy("step").agg(F.sum("n").alias("n"), F.sum("groups").alias("groups"), F.max("n").alias("most"), F.min("n").alias("least"))
 
 
-@query("p06_check_plan", "SELECT 0 AS missing, 0 AS repeated, 0 AS large_groups, 0 AS leaf_twice, 0 AS large_batches")
+@query("p06_check_plan", f"{TRAIN_SQL} SELECT count(*) FILTER (WHERE uuid % 100 = 3) AS missing, count(*) FILTER (WHERE uuid % 100 = 4) AS repeated, count(*) FILTER (WHERE uuid % 100 = 5) AS unknown, count(*) FILTER (WHERE uuid % 100 = 6) AS strangers FROM train")
 def p06(spark, d):
-    out = B.check_plan(epoch_plan(spark, d), train(spark, d), "uuid", "key", 256, GROUP_SIZE)
-    return out.select(*[c(x).cast("int").alias(x) for x in out.columns])
+    """The check of a plan that was spoilt: rows left out, given twice, of no training row, and in another leaf's group."""
+    plan, k = epoch_plan(spark, d), c("uuid") % 100
+    spoilt = plan.where(k != 3)
+    spoilt = spoilt.union(plan.where(k == 4)).union(plan.where(k == 5).withColumn("uuid", -c("uuid") - 1))
+    spoilt = spoilt.withColumn("key", F.when(k == 6, F.concat("key", F.lit("!"))).otherwise(c("key")))
+    return B.check_plan(spoilt, train(spark, d), "uuid", "key", 256, GROUP_SIZE, WORLD).select("missing", "repeated", "unknown", "strangers")
 
 
-@query("p12_benchmark_port", "WITH b AS (SELECT p_partkey, p_brand, p_name, p_brand || ' ' || p_name AS sci FROM part) SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS brand_code, dense_rank() OVER (ORDER BY sci) - 1 AS sci_code FROM b")
+@query("p12_benchmark_port", "WITH b AS (SELECT p_partkey, p_brand, p_name, p_brand || ' ' || p_name AS sci FROM part), ok AS (SELECT * FROM b WHERE p_partkey % 100 <> 0) SELECT p_partkey, CASE WHEN p_partkey % 100 = 0 THEN NULL ELSE dense_rank() OVER (ORDER BY CASE WHEN p_partkey % 100 = 0 THEN NULL ELSE p_brand END NULLS LAST) - 1 END AS brand_code, CASE WHEN p_partkey % 100 = 0 THEN NULL ELSE dense_rank() OVER (ORDER BY CASE WHEN p_partkey % 100 = 0 THEN NULL ELSE p_brand END NULLS LAST, CASE WHEN p_partkey % 100 = 0 THEN NULL ELSE sci END NULLS LAST) - 1 END AS sci_code, p_partkey % 100 = 0 AS refused FROM b")
 def p12(spark, d):
-    """Codes of sorted vocabularies, after the rows are checked."""
-    rows = table(spark, d, "part").withColumn("sci", F.concat("p_brand", F.lit(" "), "p_name"))
-    rows = Q.assert_that(rows, c("sci") == F.concat_ws(" ", "p_brand", "p_name"), "names disagree")
-    code = lambda keys, name: H.dense_ids(rows.select("p_brand", *[k for k in keys if k != "p_brand"]).distinct(), ["p_brand", *[k for k in keys if k != "p_brand"]], name)
-    brands, scis = code(["p_brand"], "brand_code"), code(["p_brand", "sci"], "sci_code")
-    return rows.join(brands, "p_brand").join(scis, ["p_brand", "sci"]).select("p_partkey", "brand_code", "sci_code")
+    """Codes of sorted vocabularies of the rows whose parts agree with their full name; the others are refused."""
+    rows = table(spark, d, "part").withColumn("sci", F.concat_ws(" ", "p_brand", F.when(c("p_partkey") % 100 == 0, F.upper("p_name")).otherwise(c("p_name"))))
+    # The full name must be the brand and the name, part by part.
+    sound = (F.substring_index("sci", " ", 1) == c("p_brand")) & (F.expr("substring(sci, length(p_brand) + 2)") == c("p_name"))
+    rows = rows.withColumn("refused", ~sound)
+    good = rows.where("NOT refused")
+    brands = H.dense_ids(good.select("p_brand").distinct(), ["p_brand"], "brand_code")
+    scis = H.dense_ids(good.select("p_brand", "sci").distinct(), ["p_brand", "sci"], "sci_code")
+    coded = good.join(brands, "p_brand").join(scis, ["p_brand", "sci"]).select("p_partkey", "brand_code", "sci_code")
+    return rows.select("p_partkey", "refused").join(coded, "p_partkey", "left").select("p_partkey", "brand_code", "sci_code", "refused")
 
 
 @query("p13_caption_pipeline", f"SELECT count(*) AS kept, count(*) // 64 AS train_batches, CAST(ceil(count(*) / 64) AS BIGINT) AS val_batches FROM ({CAPTIONS}) WHERE (status IS NULL OR status = 'success') AND (sim IS NULL OR sim >= 0.5) AND doc_id NOT IN (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k > 1) AND nullif(trim(text), '') IS NOT NULL")

@@ -15,15 +15,35 @@ def test_query(spark, sf_dir, name):
         assert df.count() > 0
 
 
-def test_plan_is_sound(spark, sf_dir):
+@pytest.mark.parametrize("part_groups", [100_000, 40])
+def test_plan_is_sound(spark, sf_dir, part_groups):
     from arborline.operators.batches import check_plan
     from arborline.plans.base import GROUP_SIZE, train
-    from arborline.plans.composites import epoch_plan
+    from arborline.plans.composites import WORLD, epoch_plan
 
-    row = check_plan(epoch_plan(spark, sf_dir, 64), train(spark, sf_dir), "uuid", "key", 64, GROUP_SIZE).first()
+    row = check_plan(epoch_plan(spark, sf_dir, 64, part_groups), train(spark, sf_dir), "uuid", "key", 64, GROUP_SIZE, WORLD).first()
     assert set(row.asDict().values()) == {0}
 
 
+def test_random_plan_is_sound(spark, sf_dir):
+    from arborline.operators.batches import check_plan, random_batches
+    from arborline.plans.base import train
+
+    rows = train(spark, sf_dir).select("uuid", "key")
+    row = check_plan(random_batches(rows, "uuid", "key", 64, 4), rows, "uuid", "key", 64, 64, 4).first()
+    assert set(row.asDict().values()) == {0}
+
+
+def test_groups_that_fit_no_batch_raise(spark):
+    from arborline.operators.batches import pack_groups
+
+    groups = spark.createDataFrame([("a", 0, 9), ("a", 1, 9), ("b", 0, 2)], "leaf string, group_no long, size long")
+    with pytest.raises(Exception, match="fit no batch"):
+        pack_groups(groups, 20).collect()
+    with pytest.raises(ValueError, match="evenly"):
+        pack_groups(groups, 20, 3)
+
+
 @pytest.mark.parametrize("parts", [1, 4, 17])
 def test_results_do_not_depend_on_partitions(spark, sf_dir, parts):
     from arborline.operators import vectors as V
