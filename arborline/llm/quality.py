@@ -5,9 +5,11 @@ count, and the tables grow with the corpus.  Documents are dealt to blocks by id
 packed.  A block tells how often each of its 4-grams occurs in trusted documents (zero: only
 scoring needs it).  The count tables stay sharded by n-gram: they are joined with their contexts'
 totals, then level by level with the n-grams that scoring needs, and every block gets the
-probabilities of its own 4-grams back.  No table is collected or broadcast by this module.  A
-document is rejected where its perplexity exceeds what its language's trusted documents show at
-given quantiles.
+probabilities of its own 4-grams back.  No table is collected or broadcast by this module.
+
+One in CALIBRATE trusted documents, chosen by the hash of its id, is kept out of the counts.  These
+are to the model what any other good document is, so a quantile of their log-perplexities in each
+language is that language's threshold, without any allowance: beyond it a document is rejected.
 """
 
 from __future__ import annotations
@@ -18,17 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, remove, tidied
+from .common import finished, materialize, remove, scratch_scope, tidied
 
 #: Units of an n-gram, and the number of different units over which the lowest order is uniform.
 ORDER, UNITS = 4, 1 << 16
-#: Rejected beyond UPPER quantile + SLACK * (UPPER - MIDDLE) of the language's trusted log-perplexities,
-#: and beyond UPPER + LEAST at least: the model has seen the trusted documents, not the others.
-MIDDLE, UPPER, SLACK, LEAST = 0.5, 0.9, 3.0, 0.25
-#: Shorter texts tell too little; their length is padded with the language's median.
+#: Of so many trusted documents one calibrates; the quantile of these that is the threshold.
+CALIBRATE, UPPER = 2, 0.999
+#: Shorter texts tell too little: their score is drawn towards their language's median, in proportion
+#: to their length; so are those of the documents that calibrate.
 STEADY_CHARS = 1000
-#: Trusted documents that a language needs for quantiles of its own.
-MIN_TRUSTED = 20
+#: Parts in which the rows of one id are dealt.
+SALT = 16
 #: Characters of a block of documents on average, and characters made into n-grams at a time.
 BLOCK_CHARS, STEP_CHARS = 16 << 20, 1 << 20
 #: Bytes of rows packed together, and of all rows that a task holds unpacked.
@@ -253,54 +255,77 @@ def score(packs: DataFrame, known: DataFrame, schema: T.StructType, text_at: int
     return packs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(tidied(run), fields)
 
 
-def limits(scores: DataFrame, good: DataFrame) -> tuple[DataFrame, float | None, float | None]:
-    """(lang, mid, limit) of the languages with enough trusted documents, and mid and limit of all;
-    scores: (id, lang, log_ppl), good: ids of trusted documents."""
-    known = scores.join(good.hint("merge"), "id", "left_semi").where("log_ppl IS NOT NULL")
-    # Bounded sketches of all trusted documents: for each language, then for all (a null language).
-    q = F.percentile_approx("log_ppl", F.array(F.lit(MIDDLE), F.lit(UPPER)), F.lit(1000))
-    marks = known.cube("lang").agg(q.alias("q"), F.count("*").alias("n"), F.grouping("lang").alias("all")).where((F.col("all") == 1) | (F.col("lang").isNotNull() & (F.col("n") >= MIN_TRUSTED)))
-    marks, _ = materialize(marks.select("lang", "all", F.col("q")[0].alias("mid"), (F.col("q")[1] + F.greatest(SLACK * (F.col("q")[1] - F.col("q")[0]), F.lit(LEAST))).alias("limit")), "quality-limits")
-    top = marks.where("all = 1").first()
-    return marks.where("all = 0").drop("all"), *((top["mid"], top["limit"]) if top else (None, None))
+def steady(score: Column, chars: Column, middle: Column) -> Column:
+    return middle + F.least(chars / F.lit(float(STEADY_CHARS)), F.lit(1.0)) * (score - middle)
+
+
+def folds(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ids that are counted, and those that calibrate."""
+    last = F.pmod(F.xxhash64("id"), F.lit(CALIBRATE)) == CALIBRATE - 1
+    return trusted.where(~last), trusted.where(last)
+
+
+def limits(scores: DataFrame, calibrating: DataFrame) -> tuple[DataFrame, float | None, float | None]:
+    """(lang, mid, limit) of each language with calibrating documents, and mid and limit of them all;
+    scores: (id, lang, log_ppl, chars), calibrating: their ids.  Bounded sketches, exact for up to a
+    thousand documents."""
+    known, _ = materialize(scores.join(calibrating.hint("merge"), "id", "left_semi").where("log_ppl IS NOT NULL"), "calibrating")
+    q = lambda c, at: F.percentile_approx(c, F.lit(at), F.lit(10_000))
+    middles = known.where("lang IS NOT NULL").groupBy("lang").agg(q("log_ppl", 0.5).alias("mid"))
+    own = known.join(F.broadcast(middles), "lang")  # one row for each language
+    own = own.groupBy("lang").agg(F.first("mid").alias("mid"), q(steady(F.col("log_ppl"), F.col("chars"), F.col("mid")), UPPER).alias("limit"))
+    mid = known.agg(q("log_ppl", 0.5)).first()[0]
+    limit = known.agg(q(steady(F.col("log_ppl"), F.col("chars"), F.lit(mid).cast("double")), UPPER)).first()[0]
+    return materialize(own, "quality-limits")[0], mid, limit
 
 
-def judged(docs: DataFrame, labels: DataFrame, into: str = "verdict", keep_text: bool = True) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, into: str = "verdict", keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """docs with a struct column `into` (log_ppl, chars, threshold, keep), one row for each row.
 
     Trusted are the documents that `labels` gives quality 1.  A document is kept unless its
-    log-perplexity is beyond its language's threshold; a language with few trusted documents,
-    and a null one, takes the threshold of all.  Null and empty texts have no perplexity and are
-    kept, as they show nothing bad; short ones are drawn towards the median.  Without any
-    trusted document nothing is rejected.  Null ids are never trusted, repeated rows count as
-    often as they occur, other columns pass through.
+    log-perplexity is beyond its language's threshold; a language without calibrating documents, and
+    a null one, takes the threshold of all.  Null and empty texts have no perplexity and are kept, as
+    they show nothing bad; short ones are drawn towards the median.  Without any calibrating document
+    nothing is rejected.  Null ids are never trusted, repeated rows count as often as they occur, other
+    columns pass through; an empty table gives an empty result.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    spark = docs.sparkSession
+    good = labels.where(F.col(label_col) == 1).select(F.col(label_id).cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    counted, calibrating = folds(good)
     tmp, lang, ident, block = fresh("_score", [*docs.columns, into]), fresh("_lang", docs.columns), fresh("_id", docs.columns), fresh("_block", docs.columns)
-    base = docs.withColumns({"text": F.col("text").cast("string"), ident: F.col("doc_id").cast("long")})
-    schema, text_at = base.schema, base.columns.index("text")
-    chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
+    base = docs.withColumns({text_col: F.col(text_col).cast("string"), ident: F.col(id_col).cast("long")})
+    schema, text_at = base.schema, base.columns.index(text_col)
+    chars = base.agg(F.sum(F.length(text_col))).first()[0] or 0
     blocks = F.lit(chars // BLOCK_CHARS + 1)
-    dealt = base.withColumn(block, F.pmod(F.when(F.col(ident).isNull(), F.xxhash64("text")).otherwise(F.xxhash64(ident)), blocks))
-    packs = packed(dealt, block)
-    counts, counts_path = materialize(gram_counts(packs, good.select(F.pmod(F.xxhash64("id"), blocks).alias("block"), "id"), len(schema) - 1, text_at), "block-grams")
-    sums, sums_path = materialize(counts.groupBy("g").agg(F.sum("c").alias("c")), "grams")
-    known = counts.select("block", "g").join(probabilities(sums.where("c > 0"), sums.select("g")), "g").select("block", "g", "p")
-    scored, _ = materialize(score(packs, known, schema, text_at, tmp, keep_text), "perplexity")
-    remove(docs.sparkSession, counts_path, sums_path)
-    narrow = scored.select(F.col(ident).alias("id"), F.col("lang").cast("string").alias("lang"), F.col(f"{tmp}.log_ppl").alias("log_ppl"))
-    own, mid_all, limit_all = limits(narrow, good)
-    own = own.select(F.col("lang").alias(lang), F.struct("mid", "limit").alias(fresh("_own", docs.columns)))
-    out = scored.join(own, scored["lang"].cast("string") == own[lang], "left")
-    mark = out[own.columns[1]]
-    mid, limit = F.coalesce(mark["mid"], F.lit(mid_all).cast("double")), F.coalesce(mark["limit"], F.lit(limit_all).cast("double"))
-    ppl, chars = out[tmp]["log_ppl"], out[tmp]["chars"]
-    steady = mid + F.least(chars / F.lit(float(STEADY_CHARS)), F.lit(1.0)) * (ppl - mid)
-    verdict = F.struct(ppl.alias("log_ppl"), chars.alias("chars"), limit.alias("threshold"), F.coalesce(steady <= limit, F.lit(True)).alias("keep"))
-    return out.select(*[scored[f"`{c}`"] for c in docs.columns if keep_text or c != "text"], verdict.alias(into))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their columns."""
+    # Rows that share an id go to SALT blocks, by the part of the scan that they stand in.
+    own = F.pmod(F.when(F.col(ident).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(ident, F.pmod(F.spark_partition_id(), F.lit(SALT)))), blocks)
+    parts = F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("part")
+    trusted = counted.select("id", parts).select(F.pmod(F.xxhash64("id", "part"), blocks).alias("block"), "id").distinct()
+    with scratch_scope(spark) as scope:
+        packs = packed(base.withColumn(block, own), block)
+        counts, _ = materialize(gram_counts(packs, trusted, len(schema) - 1, text_at), "block-grams")
+        sums, _ = materialize(counts.groupBy("g").agg(F.sum("c").alias("c")), "grams")
+        known = counts.select("block", "g").join(probabilities(sums.where("c > 0"), sums.select("g")), "g").select("block", "g", "p")
+        scored, scored_path = materialize(score(packs, known, schema, text_at, tmp, keep_text), "perplexity")
+        narrow = scored.select(F.col(ident).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(f"{tmp}.log_ppl").alias("log_ppl"), F.col(f"{tmp}.chars").alias("chars"))
+        marks, mid_all, limit_all = limits(narrow, calibrating)
+        marks = marks.select(F.col("lang").alias(lang), F.struct("mid", "limit").alias(fresh("_own", docs.columns)))
+        out = scored.join(F.broadcast(marks), scored[lang_col].cast("string") == marks[lang], "left")  # one row for each language
+        mark = out[marks.columns[1]]
+        mid, limit = F.coalesce(mark["mid"], F.lit(mid_all).cast("double")), F.coalesce(mark["limit"], F.lit(limit_all).cast("double"))
+        ppl, n = out[tmp]["log_ppl"], out[tmp]["chars"]
+        verdict = F.struct(ppl.alias("log_ppl"), n.alias("chars"), limit.alias("threshold"), F.coalesce(steady(ppl, n, mid) <= limit, F.lit(True)).alias("keep"))
+        out = out.select(*[scored[f"`{c}`"] for c in docs.columns if keep_text or c != text_col], verdict.alias(into))
+        if not keep_text:
+            return finished(out, "quality", scope)
+        # With their texts the rows are too many for one more copy: the table of scores stays.
+        marks_kept = [p for p in scope if "quality-limits" in p]
+        remove(spark, *[p for p in scope if p != scored_path and p not in marks_kept])
+        return out
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
+    """The documents that are not rejected, with their columns: judged() says which; null and empty
+    texts, null ids and repeated rows stay or go by the same rule.  names: as those of judged()."""
     mark = fresh("_verdict", docs.columns)
-    return judged(docs, labels, into=mark).where(F.col(f"{mark}.keep")).drop(mark)
+    return judged(docs, labels, into=mark, **names).where(F.col(f"{mark}.keep")).drop(mark)
