@@ -86,29 +86,44 @@ class TrieBpe:
         self.special_split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.words = regex.compile(SPLIT)
         self.apart: dict[int, bool] = {}
+        self.edges: dict[tuple[int, bool], tuple[tuple[int, int], ...]] = {}
         self.seqs = Cache()
         self.decimal = {i: str(i) for i in self.bytes_of}
 
+    def edge(self, token: int, right: bool) -> tuple[tuple[int, int], ...]:
+        """The pieces that stand at one end of a token while the rules build it up, from its byte to
+        itself, each with the rank of the merge that ends it (for the token itself: none ever does)."""
+        found, ended = [], len(self.halves)
+        while True:
+            found.append((token, ended))
+            if token < 256:
+                return tuple(reversed(found))
+            ended, token = token, self.halves[token][1 if right else 0]
+
     def _stay_apart(self, a: int, b: int) -> bool:
-        """Whether the rules, applied to the joined strings of tokens a and b, give back a, b:
-        the merges are undone from the latest to the earliest on both sides of the seam."""
+        """Whether the rules, applied to the joined strings of tokens a and b, give back a, b.
+
+        Merges go by rank, and the piece that a merge makes has the merge's rank.  So at any time one
+        piece of a and one of b meet at the seam; they are merged if their own rank comes before the
+        merges that end them, at equal ranks the one further left first."""
         key = a * len(self.halves) + b
         if (known := self.apart.get(key)) is not None:
             return known
-        x, y, bound, out = a, b, len(self.halves) + 1, None
-        while out is None:
-            if self.joined.get((x, y), bound) < bound:
+        if len(self.edges) >= MAX_PAIRS:
+            self.edges.clear()
+        for k in ((a, True), (b, False)):
+            if k not in self.edges:
+                self.edges[k] = self.edge(*k)
+        left, right = self.edges[a, True], self.edges[b, False]
+        i = j = 0
+        out = True
+        while i < len(left) and j < len(right):
+            (x, x_ends), (y, y_ends) = left[i], right[j]
+            rank = self.joined.get((x, y))
+            if rank is not None and rank < x_ends and rank <= y_ends:
                 out = False
-            elif x > y:
-                bound, x = x, self.halves[x][1]
-                if x == bound:  # a byte: the other side must give way
-                    bound, y = y + 1, self.halves[y][0]
-                    out = True if y + 1 == bound else None
-            else:
-                bound, y = y + 1, self.halves[y][0]
-                if y + 1 == bound:
-                    bound, x = x, self.halves[x][1]
-                    out = True if x == bound else None
+                break
+            i, j = i + (x_ends <= y_ends), j + (y_ends <= x_ends)
         if len(self.apart) >= MAX_PAIRS:
             self.apart.clear()
         self.apart[key] = out
@@ -242,7 +257,9 @@ def bpe_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
 
 
 def token_ids(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the token ids themselves."""
+    """(doc_id, ids): the token ids themselves, one row for each input row.  Null and empty texts have
+    no tokens; ids pass through, null or repeated; other columns are ignored; an empty table gives an
+    empty result."""
 
     def run(batches):
         bpe = load(vocab_path)
