@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,14 +20,15 @@ def hashed_order(seed: int, epoch: int, *parts) -> Column:
 
 
 def balanced_groups(rows: DataFrame, leaf: str, item: str, most: int, seed: int = 0, epoch: int = 1) -> DataFrame:
-    """rows with group_no: each leaf's rows, shuffled by md5(seed-epoch-item), in ceil(n / most)
-    groups whose sizes differ by one at most, the larger first."""
+    """rows with group_no and place (in the group): each leaf's rows, shuffled by md5(seed-epoch-item), in
+    ceil(n / most) groups whose sizes differ by one at most, the larger first."""
     w = Window.partitionBy(leaf)
     order = hashed_order(seed, epoch, item)
     p = rows.withColumns({"_pos": F.row_number().over(w.orderBy(order, item)) - 1, "_n": F.count("*").over(w)}).withColumn("_g", F.ceil(F.col("_n") / most).cast("long"))
     p = p.withColumns({"_small": F.expr("_n div _g"), "_extra": F.col("_n") % F.col("_g")}).withColumn("_head", F.col("_extra") * (F.col("_small") + 1))
     group = F.when(F.col("_pos") < F.col("_head"), F.expr("_pos div (_small + 1)")).otherwise(F.col("_extra") + F.expr("(_pos - _head) div _small"))
-    return p.withColumn("group_no", group).drop("_pos", "_n", "_g", "_small", "_extra", "_head")
+    place = F.when(F.col("_pos") < F.col("_head"), F.col("_pos") % (F.col("_small") + 1)).otherwise((F.col("_pos") - F.col("_head")) % F.col("_small"))
+    return p.withColumns({"group_no": group, "place": place}).drop("_pos", "_n", "_g", "_small", "_extra", "_head")
 
 
 class Batches:
@@ -62,32 +65,88 @@ class Batches:
         return None
 
 
-def _deal(g: pd.DataFrame, batch: int, world: int, last: bool) -> pd.DataFrame:
-    """The groups of one part with batch and worker.  Where it is not the last part, batches that could
-    not be filled are given up: their groups, like those that found no room, get batch -1."""
+    def scatter(self, leaf, n: int) -> list[tuple[int, int]] | None:
+        """(batch, worker) for n single rows of a leaf: the n batches with most room that do not have it.
+        Taking the fullest needs first is what lets such rows fill any holes that they can fill."""
+        best = heapq.nlargest(n, (b for b in range(len(self.total)) if self.total[b] and leaf not in self.leaves[b]), key=lambda b: (self.total[b], -b))
+        if len(best) < n:
+            return None
+        out = []
+        for b in best:
+            worker = self.free[b].index(max(self.free[b]))
+            self.free[b][worker] -= 1
+            self.total[b] -= 1
+            self.leaves[b].add(leaf)
+            out.append((b, worker))
+        return out
+
+
+def _dealt(leaf: list, size: list, groups: list, rooms: list, cut: set) -> tuple[list, list, Batches]:
+    """Pieces (group, start, size), their places (None: no room) and the batches, where the groups in
+    `cut` are dealt row by row after all others."""
+    bins = Batches(rooms)
+    pieces = [(k, 0, size[k]) for k in range(len(size)) if k not in cut]
+    places = [bins.place(leaf[k], s, groups[k] == 1) for k, _, s in pieces]
+    if cut:
+        for (k, _, _), place in zip(pieces, places, strict=True):
+            if place:
+                bins.leaves[place[0]].add(leaf[k])
+        rows: dict = {}
+        for k in [*sorted(cut), *(k for (k, _, _), place in zip(pieces, places, strict=True) if place is None)]:
+            rows.setdefault(leaf[k], []).extend((k, i, 1) for i in range(size[k]))
+        kept = [(p, place) for p, place in zip(pieces, places, strict=True) if place]
+        pieces, places = [p for p, _ in kept], [place for _, place in kept]
+        for x in sorted(rows, key=lambda x: -len(rows[x])):
+            pieces += rows[x]
+            places += bins.scatter(x, len(rows[x])) or [None] * len(rows[x])
+    return pieces, places, bins
+
+
+def _deal(g: pd.DataFrame, batch: int, world: int, last: bool, cut: bool) -> pd.DataFrame:
+    """The groups of one part, or the pieces that they are cut in, with batch and worker.
+
+    Where it is not the last part, batches that could not be filled are given up: their groups, like those
+    that found no room, get batch -1.  In the last part all must find room: if not, as many groups are
+    cut in single rows as there are holes to be expected, then twice as many, and so on.
+    """
     g = g.sort_values(["size", "h"], ascending=[False, True], ignore_index=True)
-    rows = int(g["size"].sum())
-    rooms = [[batch // world] * world for _ in range(rows // batch)]
-    short = rows % batch if last else 0
+    leaf, size, groups = g["leaf"].tolist(), g["size"].tolist(), g["groups"].tolist()
+    total, by_hash = sum(size), g["h"].argsort().tolist()
+    rooms = [[batch // world] * world for _ in range(total // batch)]
+    short = total % batch if last else 0
     if short:
         rooms.append([short // world + (r < short % world) for r in range(world)])
-    bins = Batches(rooms)
-    found = [bins.place(leaf, size, groups == 1) or (-1, -1) for leaf, size, groups in zip(g["leaf"], g["size"], g["groups"], strict=True)]
-    if last and any(b < 0 for b, _ in found):
-        raise RuntimeError(f"{sum(b < 0 for b, _ in found)} groups fit no batch")
-    given_up = {b for b in bins.open}
-    g["batch"], g["worker"] = [-1 if b in given_up else b for b, _ in found], [w for _, w in found]
-    return g[["leaf", "group_no", "size", "groups", "h", "part", "batch", "worker"]]
-
-
-def pack_groups(groups: DataFrame, batch: int, world: int = 1, seed: int = 0, epoch: int = 1, part_groups: int = PART_GROUPS) -> DataFrame:
-    """(leaf, group_no, size, step, worker): every group in a batch of exactly `batch` rows, each worker
-    with an equal share of them, and at most one group of a leaf in a batch; one last batch is short.
-
-    Groups are dealt largest first, random among equals, so the smallest fill what is left.  Of many
-    groups about `part_groups` share a task; a leaf's groups go to different parts in turn.  What a
-    part cannot fill whole is dealt with the other parts' leftovers in one more task (a batch or two
-    for each part).  A set that cannot be dealt so raises.
+    fillers, single = 0, set()
+    while True:
+        pieces, places, bins = _dealt(leaf, size, groups, rooms, single)
+        lost = sum(x is None for x in places)
+        if not last or not lost:
+            break
+        if not cut or len(single) == len(size):
+            raise RuntimeError(f"{lost} groups fit no batch")
+        fillers, n = max(2 * fillers, len(rooms) * world * max(size) // 4), 0
+        single = set()
+        for k in by_hash:
+            if n >= fillers:
+                break
+            single.add(k)
+            n += size[k]
+    given_up = set() if last else set(bins.open)
+    at, start, taken = zip(*pieces, strict=True)
+    places = [(-1, -1) if x is None or x[0] in given_up else x for x in places]
+    out = g.iloc[list(at)][["leaf", "group_no", "groups", "h", "part"]].reset_index(drop=True)
+    return out.assign(start=start, size=taken, batch=[b for b, _ in places], worker=[w for _, w in places])[["leaf", "group_no", "start", "size", "groups", "h", "part", "batch", "worker"]]
+
+
+def pack_groups(groups: DataFrame, batch: int, world: int = 1, seed: int = 0, epoch: int = 1, part_groups: int = PART_GROUPS, cut: bool = True) -> DataFrame:
+    """(leaf, group_no, start, size, step, worker): every group in a batch of exactly `batch` rows, each
+    worker with an equal share of them, and at most one group of a leaf in a batch; one last batch is short.
+
+    Groups are dealt largest first, random among equals, so the smallest fill what is left.  Where they
+    are too few, some groups are cut in single rows (row `start` of the group), which go to different
+    batches; without `cut` that raises.  Of many groups about `part_groups` share a task; a leaf's
+    groups go to different parts in turn.  What a part cannot fill whole is dealt with the other parts'
+    leftovers in one more task (a batch or two for each part).
     """
     if batch % world:
         raise ValueError(f"{world} workers cannot share {batch} rows evenly")
@@ -97,17 +156,17 @@ def pack_groups(groups: DataFrame, batch: int, world: int = 1, seed: int = 0, ep
     dealt = groups.select("leaf", F.col("group_no").cast("long").alias("group_no"), F.col("size").cast("long").alias("size"), F.count("*").over(Window.partitionBy("leaf")).alias("groups"), h.alias("h"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("leaf") + F.col("group_no"), F.lit(parts)).cast("int"))
     kind = groups.schema["leaf"].dataType.simpleString()
-    schema = f"leaf {kind}, group_no long, size long, groups long, h string, part int, batch int, worker int"
-    placed = dealt.groupBy("part").applyInPandas(lambda g: _deal(g, batch, world, parts == 1), schema)
+    schema = f"leaf {kind}, group_no long, start long, size long, groups long, h string, part int, batch int, worker int"
+    placed = dealt.groupBy("part").applyInPandas(lambda g: _deal(g, batch, world, parts == 1, cut), schema)
     if parts > 1:
         placed = placed.persist()  # read twice; the same input gives the same parts again
-        rest = placed.where("batch < 0").withColumn("part", F.lit(parts)).groupBy("part").applyInPandas(lambda g: _deal(g, batch, world, True), schema)
+        rest = placed.where("batch < 0").withColumn("part", F.lit(parts)).groupBy("part").applyInPandas(lambda g: _deal(g, batch, world, True, cut), schema)
         placed = placed.where("batch >= 0").union(rest)
     # Batches in random order, the short one last.
     sizes = placed.groupBy("part", "batch").agg(F.sum("size").alias("rows"))
     order = hashed_order(seed, epoch, "part", "batch")
     steps = dense_ids(sizes.select("part", "batch", (F.col("rows") < batch).cast("int").alias("short"), order.alias("h")), ["short", "h"], "step")
-    return placed.join(steps.select("part", "batch", "step"), ["part", "batch"]).select("leaf", "group_no", "size", "step", "worker")
+    return placed.join(steps.select("part", "batch", "step"), ["part", "batch"]).select("leaf", "group_no", "start", "size", "step", "worker")
 
 
 def random_batches(rows: DataFrame, item: str, leaf: str, size: int, world: int = 1, seed: int = 0, epoch: int = 1) -> DataFrame:

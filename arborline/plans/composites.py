@@ -52,8 +52,8 @@ def epoch_plan(spark, d, batch: int = 256, part_groups: int = B.PART_GROUPS):
     """(uuid, key, group_no, step, worker): balanced groups packed in batches of exactly `batch`."""
     rows = B.balanced_groups(train(spark, d).select("uuid", "key"), "key", "uuid", GROUP_SIZE)
     groups = rows.groupBy(c("key").alias("leaf"), "group_no").agg(F.count("*").alias("size"))
-    packed = B.pack_groups(groups, batch, WORLD, part_groups=part_groups).select(c("leaf").alias("key"), "group_no", "step", "worker")
-    return rows.join(packed, ["key", "group_no"])
+    packed = B.pack_groups(groups, batch, WORLD, part_groups=part_groups).withColumnRenamed("leaf", "key")
+    return rows.join(packed, ["key", "group_no"]).where("place >= start AND place < start + size").select("uuid", "key", "group_no", "step", "worker")
 
 
 @query("p04_epoch_plan")
@@ -65,15 +65,16 @@ def p04(spark, d):
 PLAN_SQL = "t AS (SELECT count(*) AS n FROM train), l AS (SELECT key, count(*) AS n FROM train GROUP BY 1)"
 
 
-@query("p04_plan_shape", f"{TRAIN_SQL}, {PLAN_SQL} SELECT (SELECT n FROM t) AS n_rows, (SELECT CAST(ceil(n / 256) AS BIGINT) FROM t) AS steps, (SELECT n // 256 FROM t) AS full_steps, (SELECT n % 256 FROM t) AS short_rows, (SELECT n // 256 * 4 FROM t) AS full_shares, CAST(sum(ceil(n / 16)) AS BIGINT) AS n_groups, CAST(max(ceil(n / ceil(n / 16))) AS BIGINT) AS largest, count(*) AS n_leaves FROM l")
+@query("p04_plan_shape", f"{TRAIN_SQL}, {PLAN_SQL} SELECT (SELECT n FROM t) AS n_rows, (SELECT CAST(ceil(n / 256) AS BIGINT) FROM t) AS steps, (SELECT n // 256 FROM t) AS full_steps, (SELECT n % 256 FROM t) AS short_rows, (SELECT n // 256 * 4 FROM t) AS full_shares, CAST(sum(ceil(n / 16)) AS BIGINT) AS n_groups, 0 AS scattered, CAST(max(ceil(n / ceil(n / 16))) AS BIGINT) AS largest, count(*) AS n_leaves FROM l")
 def p04_shape(spark, d):
     """The plan by its counts: batches, equal shares of the workers, groups."""
     plan = epoch_plan(spark, d)
     shares = plan.groupBy("step", "worker").agg(F.count("*").alias("n"))
     steps = shares.groupBy("step").agg(F.sum("n").alias("rows"), F.count_if(c("n") == 64).alias("shares"))
-    groups = plan.groupBy("key", "group_no").agg(F.count("*").alias("n"), F.count_distinct("step", "worker").alias("places"))
+    pieces = plan.groupBy("key", "group_no", "step").agg(F.count("*").alias("n"), F.count_distinct("worker").alias("workers"))
+    groups = pieces.groupBy("key", "group_no").agg(F.sum("n").alias("n"), F.max("workers").alias("workers"))
     a = steps.agg(F.sum("rows").alias("n_rows"), F.count("*").alias("steps"), F.count_if(c("rows") == 256).alias("full_steps"), F.sum(F.when(c("rows") < 256, c("rows")).otherwise(0)).alias("short_rows"), F.sum(F.when(c("rows") == 256, c("shares")).otherwise(0)).alias("full_shares"))
-    b = groups.agg(F.sum("places").alias("n_groups"), F.max("n").alias("largest"), F.count_distinct("key").alias("n_leaves"))
+    b = groups.agg(F.count("*").alias("n_groups"), F.count_if(c("workers") > 1).alias("scattered"), F.max("n").alias("largest"), F.count_distinct("key").alias("n_leaves"))
     return a.join(F.broadcast(b))  # one row each
 
 

@@ -39,7 +39,7 @@ def test_groups_that_fit_no_batch_raise(spark):
 
     groups = spark.createDataFrame([("a", 0, 9), ("a", 1, 9), ("b", 0, 2)], "leaf string, group_no long, size long")
     with pytest.raises(Exception, match="fit no batch"):
-        pack_groups(groups, 20).collect()
+        pack_groups(groups, 20, cut=False).collect()
     with pytest.raises(ValueError, match="evenly"):
         pack_groups(groups, 20, 3)
 
