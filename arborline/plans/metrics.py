@@ -33,7 +33,7 @@ def w10(spark, d):
     return out.select("user_id", "step", F.round("ema", 6).alias("ema"))
 
 
-@query("w11_vector_ema")
+@query("w11_vector_ema", "WITH RECURSIVE v AS (SELECT vec_id % 10 AS step, label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings), m AS (SELECT label, step, i, avg(x) AS x, count(*) AS k FROM v GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), o AS (SELECT m.*, n, row_number() OVER (PARTITION BY label, i ORDER BY step) AS pos, count(*) OVER (PARTITION BY label, i) AS steps FROM m JOIN n USING (label)), r AS (SELECT label, i, pos, steps, x AS s FROM o WHERE pos = 1 UNION ALL SELECT o.label, o.i, o.pos, o.steps, r.s + (o.x - r.s) * (o.k / o.n) FROM r JOIN o ON o.label = r.label AND o.i = r.i AND o.pos = r.pos + 1) SELECT label, round(sum(s), 6) AS total FROM r WHERE pos = steps GROUP BY 1")
 def w11(spark, d):
     """Group means that move by k / N with each batch of k of a group's N vectors, in order."""
     from ..streaming.ema import fold_updates

@@ -141,7 +141,7 @@ def o09(spark, d):
     return table(spark, d, "events").withColumn("x", x).orderBy(F.when(F.isnan("x"), F.lit(float("-inf"))).otherwise(c("x")), "event_id").limit(5).select("event_id")
 
 
-@query("o10_resampled_shards")
+@query("o10_resampled_shards", "SELECT doc_id, doc_id % 16 AS shard, draw FROM documents JOIN (SELECT range AS draw, ('0x' || substr(md5('3-' || range), 1, 8))::BIGINT % 16 AS shard FROM range(32)) q ON q.shard = doc_id % 16")
 def o10(spark, d):
     """Shards drawn with replacement by hash, then a buffered shuffle: counts are reproducible."""
     from ..sources.shards import resampled

@@ -91,7 +91,7 @@ def x16(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(X.fit(ids, 6, 98, 99), ",").alias("ids"))
 
 
-@query("x17_token_reduction")
+@query("x17_token_reduction", "WITH w AS (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS w FROM documents), s AS (SELECT doc_id, w, list_sort(list_transform(range(len(w)), lambda i: {'h': md5(doc_id || '-' || i), 'i': i, 'x': w[i + 1]}))[1:8] AS c FROM w) SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(c, lambda s: {'i': s.i, 'x': s.x})), lambda s: s.x), ' ') AS random, array_to_string(list_transform(c, lambda s: s.x), ' ') AS shuffle, array_to_string(w[1 + ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % greatest(len(w) - 7, 1) : 8 + ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % greatest(len(w) - 7, 1)], ' ') AS simple FROM s")
 def x17(spark, d):
     w = F.split("text", r"\s+")
     return table(spark, d, "documents").select("doc_id", *[F.array_join(X.reduce_tokens(w, 8, how, c("doc_id")), " ").alias(how) for how in ("random", "shuffle", "simple")])

@@ -276,12 +276,12 @@ def p09(spark, d):
     return val.agg(F.count("*").alias("n_val")).join(drop.agg(F.count("*").alias("dropped")))
 
 
-@query("p15_geometry_with_null")
+@query("p15_geometry_with_null", f"WITH {BANK_SQL}, p AS (SELECT r_name, row_number() OVER (ORDER BY md5('0-' || r_name)) AS a, row_number() OVER (ORDER BY md5('1-' || r_name)) AS b FROM (SELECT DISTINCT r_name FROM r)), s AS (SELECT x.r_name, y.r_name AS other FROM p x JOIN p y ON x.a = y.b), e AS (SELECT m.label, sum(m.x * r.x) / sqrt(sum(m.x ** 2) * sum(r.x ** 2)) AS own, sum(m.x * q.x) / sqrt(sum(m.x ** 2) * sum(q.x ** 2)) AS other FROM m JOIN r ON r.r_name = m.r_name AND r.i = m.i JOIN s ON s.r_name = m.r_name JOIN r q ON q.r_name = s.other AND q.i = m.i GROUP BY m.label) SELECT round(avg(own), 6) AS own, round(avg(other), 6) AS null_value FROM e")
 def p15(spark, d):
     """Cosines of leaves with their parents against the same after the parents are shuffled by hash."""
     means = V.group_mean(emb(spark, d), ["label"], "v").join(tree(spark, d), "label")
     up = V.group_mean(means, ["r_name"], "mean", "parent")
-    order = lambda seed: F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "r_name")))  # noqa: E731  one row for each parent
+    order = lambda seed: F.row_number().over(Window.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), "r_name"))))  # noqa: E731  one row for each parent
     moved = up.select(order(0).alias("k"), "r_name").join(up.select(order(1).alias("k"), c("parent").alias("shuffled")), "k")
     j = means.join(up, "r_name").join(moved.drop("k"), "r_name")
     return j.agg(F.round(F.avg(V.cosine(c("mean"), c("parent"))), 6).alias("own"), F.round(F.avg(V.cosine(c("mean"), c("shuffled"))), 6).alias("null_value"))

@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import re
+from itertools import chain, product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BRACES = re.compile(r"\{(\d+)\.\.(\d+)\}")
+RANGE = re.compile(r"\{([0-9]+)\.\.([0-9]+)\}")
 
 
 def expand(pattern: str) -> list[str]:
-    """The first {0000..0015} of a pattern as a list, padded to the width of its start; a pattern
-    without one is left to the reader's globs."""
-    m = BRACES.search(pattern)
-    if not m:
-        return [pattern]
-    lo, hi = m.groups()
-    return [f"{pattern[: m.start()]}{i:0{len(lo)}d}{pattern[m.end() :]}" for i in range(int(lo), int(hi) + 1)]
+    """Every numeric range of a pattern, {0000..0015} as sixteen names with zeros to the width of the
+    range's start; the first range varies slowest.  What has no range is left to the reader's globs."""
+    pieces = RANGE.split(pattern)  # text, start, end, text, ...
+    ranges = [[str(n).zfill(len(start)) for n in range(int(start), int(end) + 1)] for start, end in zip(pieces[1::3], pieces[2::3], strict=True)]
+    return ["".join(chain.from_iterable(zip(pieces[::3], (*numbers, ""), strict=True))) for numbers in product(*ranges)]
 
 
 def expand_all(patterns: str | list[str]) -> list[str]:
@@ -25,8 +24,24 @@ def expand_all(patterns: str | list[str]) -> list[str]:
     return sorted({p for one in ([patterns] if isinstance(patterns, str) else patterns) for p in expand(one)})
 
 
+def hashed_number(seed: int, *cols: str):
+    """A whole number from 0 that looks random: the first half of md5(seed-values)."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(x).cast("string") for x in cols])), 1, 8), 16, 10).cast("long")
+
+
 def resampled(rows: DataFrame, shard: str, shards: int, draws: int, seed: int = 0) -> DataFrame:
-    """Rows of `draws` shards drawn with replacement by a hash, in a shuffled order."""
-    spark = rows.sparkSession
-    drawn = spark.range(draws).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(shards)).alias(shard))
-    return rows.join(drawn, shard).orderBy(F.xxhash64(F.lit(seed), "draw", *[c for c in rows.columns if c != shard]))
+    """Rows of `draws` shards drawn with replacement by a hash, with their draw, in a shuffled order."""
+    drawn = rows.sparkSession.range(draws).select(F.col("id").alias("draw")).withColumn(shard, F.pmod(hashed_number(seed, "draw"), F.lit(shards)))
+    return rows.join(drawn, shard).orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), "draw", *[F.col(c).cast("string") for c in rows.columns if c != shard])))
+
+
+def listed(spark, patterns: list[str]) -> list[str]:
+    """The files of several globs on any store, once each, in order; a glob that fits nothing raises."""
+    hadoop, out = spark._jvm.org.apache.hadoop.fs, set()
+    for pattern in expand_all(patterns):
+        path = hadoop.Path(pattern)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        if not found:
+            raise FileNotFoundError(pattern)
+        out |= {str(f.getPath().toString()) for f in found}
+    return sorted(out)

@@ -158,6 +158,7 @@ def test_shard_lists():
 
     assert expand_all(["a-{08..11}.tar", "a-{10..10}.tar"]) == ["a-08.tar", "a-09.tar", "a-10.tar", "a-11.tar"]
     assert expand_all("b-*.tar") == ["b-*.tar"]
+    assert expand_all("{1..2}/c{09..10}.tar") == ["1/c09.tar", "1/c10.tar", "2/c09.tar", "2/c10.tar"]
 
 
 def test_corpus_operators_are_optional():
