@@ -59,3 +59,12 @@ def calibrated(log: DataFrame, lo: int, hi: int, by: str = "run") -> DataFrame:
     """The mean over steps lo..hi of the runs that have all of them."""
     span = log.where(F.col("step").between(lo, hi))
     return span.groupBy(by).agg(F.avg("value").alias("mean"), F.count_distinct("step").alias("n")).where(F.col("n") == hi - lo + 1).select(by, "mean")
+
+
+def gate_status(asked: str, parts: str, errors: str, limited: str, digest: str, wanted: str, every: tuple[str, ...]) -> Column:
+    """FAIL where a part that was asked for has failed or has no result, an error stands, or the label files
+    differ; PARTIAL where rows were limited or not every part was asked for; else PASS."""
+    result = lambda p: F.coalesce(F.try_element_at(F.col(parts), p), F.lit(False))
+    failed = F.exists(asked, lambda p: ~result(p)) | (F.col(errors) > 0) | (F.col(digest) != wanted)
+    some = F.col(limited) | ~F.forall(F.array(*[F.lit(p) for p in every]), lambda p: F.array_contains(asked, p))
+    return F.when(failed, "FAIL").when(some, "PARTIAL").otherwise("PASS")

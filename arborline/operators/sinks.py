@@ -1,30 +1,41 @@
-"""Sinks: sorted indexes, summaries, key lists, archives and state with checks."""
+"""Sinks: sorted indexes, summaries, key lists, archives, byte stores, exports and state with checks."""
 
 from __future__ import annotations
 
-import hashlib
 import io
 import os
+import posixpath
+import re
 import tarfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import opened, write_file
 from ..sources.readers import NULL
 
 
+def resolved(path: str) -> tuple[str, str]:
+    """(store, path) with dots and links away: links of local paths only, other stores have none."""
+    store, rest = re.fullmatch(r"(?:([a-z][a-z0-9+.-]*:(?://[^/]*)?))?(.*)", path, re.S).groups()
+    if store in (None, "file:", "file://"):
+        return "file://", os.path.realpath(rest)
+    return store, posixpath.normpath(rest)
+
+
 def guard(path: str, forbidden: str) -> str:
-    """The path, unless it lies under a folder that must not be written."""
-    real, outside = os.path.realpath(path), os.path.realpath(forbidden)
-    if os.path.commonpath([real, outside]) == outside:
+    """The path, unless it lies under a folder that must not be written, on any store."""
+    (store, real), (other, outside) = resolved(path), resolved(forbidden)
+    if store == other and (real == outside or real.startswith(outside.rstrip("/") + "/")):
         raise ValueError(f"{path} lies under {forbidden}")
     return path
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True, nullValue=NULL, emptyValue="")
+    """Quotes in values are doubled; an empty value is a pair of quotes, a missing one NULL."""
+    df.write.csv(path, header=True, nullValue=NULL, emptyValue='""', escape='"')
 
 
 def write_index(df: DataFrame, path: str) -> None:
@@ -43,55 +54,127 @@ def write_keys(df: DataFrame, col: str, path: str) -> str:
     return spark.read.format("binaryFile").load(f"{path}/part-*").where("length > 0").select(F.sha2("content", 256).alias("d")).first()["d"]
 
 
-def _store(folder: str, name: str, data: bytes) -> None:
-    from pyarrow import fs
-
-    where, path = fs.FileSystem.from_uri(folder)
-    where.create_dir(path, recursive=True)
-    with where.open_output_stream(f"{path}/{name}", compression=None) as f:
-        f.write(data)
-
-
-def write_tars(rows: DataFrame, folder: str) -> None:
+def write_tars(rows: DataFrame, folder: str) -> DataFrame:
     """One tar.gz for each shard with <key>.jpg and <key>.txt of its rows; a null member is left out.
-    A retried task writes the same file again."""
+    Rows stream into their archive; returns (shard, path, n)."""
 
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
+    def archive(rows: Iterator[tuple]) -> Iterator[bytes]:
         buf = io.BytesIO()
-        with tarfile.open(fileobj=buf, mode="w:gz") as t:
-            for key, jpg, txt in zip(g["key"], g["jpg"], g["txt"], strict=True):
+        with tarfile.open(fileobj=buf, mode="w|gz") as t:
+            for key, jpg, txt in rows:
                 for end, data in (("jpg", jpg), ("txt", txt)):
                     if data is not None:
                         info = tarfile.TarInfo(f"{key}.{end}")
                         info.size = len(data)
                         t.addfile(info, io.BytesIO(data))
-        _store(folder, f"{g['shard'].iloc[0]:05d}.tar.gz", buf.getvalue())
-        return pd.DataFrame({"shard": [int(g["shard"].iloc[0])], "n": [len(g)]})
+                if buf.tell() > 1 << 20:
+                    yield buf.getvalue()
+                    buf.seek(0)
+                    buf.truncate()
+        yield buf.getvalue()
+
+    src = rows.select(F.col("shard").cast("long").alias("shard"), "key", "jpg", "txt")
+    return _by_shard(src, "key", lambda shard, found: write_file(folder, f"{shard:05d}.tar.gz", archive(found)))
+
+
+def write_bytes(rows: DataFrame, folder: str, width: int, order: str = "page_id") -> DataFrame:
+    """One file of fixed-width records for each shard, in the order of a column; (shard, path, n)."""
+
+    def checked(found: Iterator[tuple]) -> Iterator[bytes]:
+        for (data,) in found:
+            if len(data) != width:
+                raise ValueError("a record has another width")
+            yield data
 
-    rows.groupBy("shard").applyInPandas(pack, "shard long, n long").agg(F.sum("n")).collect()
+    src = rows.select(F.col("shard").cast("long").alias("shard"), F.col(order).alias("_order"), "data")
+    return _by_shard(src, "_order", lambda shard, found: write_file(folder, f"{shard:05d}.u8", checked(row[1:] for row in found)))
 
 
-def write_bytes(rows: DataFrame, folder: str, width: int) -> None:
-    """One file of fixed-width records for each shard, in the order of page_id."""
+def _by_shard(rows: DataFrame, order: str, write) -> DataFrame:
+    """Each shard's rows in order, streamed through `write(shard, rows)`; done at once, (shard, path, n)."""
+    from itertools import groupby
 
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        data = [bytes(x) for x in g.sort_values("page_id")["data"]]
-        if any(len(x) != width for x in data):
-            raise ValueError("a record has another width")
-        _store(folder, f"{g['shard'].iloc[0]:05d}-{hashlib.md5(b''.join(data)).hexdigest()}.u8", b"".join(data))
-        return pd.DataFrame({"shard": [int(g["shard"].iloc[0])], "n": [len(g)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for shard, found in groupby(flat, key=lambda row: row[0]):
+            n = 0
 
-    rows.groupBy("shard").applyInPandas(pack, "shard long, n long").agg(F.sum("n")).collect()
+            def counted(found=found):
+                nonlocal n
+                for row in found:
+                    n += 1
+                    yield row[1:]
+
+            path = write(shard, counted())
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([path]), pa.array([n], pa.int64())], names=["shard", "path", "n"])
+
+    done = rows.repartition("shard").sortWithinPartitions("shard", order).mapInArrow(run, "shard long, path string, n long").toArrow()  # one row for each shard
+    return rows.sparkSession.createDataFrame(done.to_pylist(), "shard long, path string, n long")
+
+
+def export_files(rows: DataFrame, folder: str) -> DataFrame:
+    """(name, status) of rows (name, path, data) written as files under the folder: written, existing (a file
+    of the same size stays), or mismatch (the path's last part is not the name's: nothing is written)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(folder)
+        for b in batches:
+            status = []
+            for name, path, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if path is None or posixpath.basename(name) != posixpath.basename(path) or data is None:
+                    status.append("mismatch")
+                    continue
+                about = store.get_file_info(f"{root}/{name}")
+                if about.is_file and about.size == len(data):
+                    status.append("existing")
+                else:
+                    at, _, last = name.rpartition("/")
+                    write_file(f"{folder}/{at}" if at else folder, last, iter([data]))
+                    status.append("written")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(status, pa.string())], names=["name", "status"])
+
+    return rows.select("name", "path", "data").mapInArrow(run, "name string, status string")
 
 
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def is_done(spark: SparkSession, path: str) -> bool:
     """Whether the commit protocol has left its marker."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    store, p = _file(spark, f"{path}/_SUCCESS")
+    return store.exists(p)
+
+
+def begin(spark: SparkSession, folder: str) -> None:
+    """Take the markers of an earlier run away, before anything is written."""
+    for name in ("done", "failed"):
+        store, p = _file(spark, f"{folder}/_{name}")
+        store.delete(p, False)
+
+
+def mark(spark: SparkSession, folder: str, name: str, about: str = "") -> None:
+    """Leave a marker (done or failed) with a text; it appears whole or not at all."""
+    if name not in ("done", "failed"):
+        raise ValueError(f"no marker is called {name}")
+    write = f"{folder}/.{name}.tmp"
+    store, p = _file(spark, write)
+    with_text = store.create(p, True)
+    with_text.write(bytearray(about.encode()))
+    with_text.close()
+    _, final = _file(spark, f"{folder}/_{name}")
+    store.delete(final, False)
+    if not store.rename(p, final):
+        raise OSError(f"no marker could be left in {folder}")
+
+
+def markers(spark: SparkSession, folder: str) -> dict[str, bool]:
+    return {name: (lambda sp: sp[0].exists(sp[1]))(_file(spark, f"{folder}/_{name}")) for name in ("done", "failed")}
 
 
 def key_hash(keys: DataFrame, col: str):

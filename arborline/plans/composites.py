@@ -146,14 +146,129 @@ def caption_of(df, col: str):
     raise TypeError(f"no caption in {kind.simpleString()}")
 
 
-@query("p07_store_build", "SELECT shard, count(*) AS n, min(row) AS first, max(row) + 1 AS rows FROM (SELECT page_id % 8 AS shard, row_number() OVER (PARTITION BY page_id % 8 ORDER BY page_id) - 1 AS row FROM pages WHERE octet_length(encode(html)) > 1000) GROUP BY 1")
+@query("p07_store_build", "WITH cat AS (SELECT page_id FROM pages WHERE page_id % 7 <> 0), arc AS (SELECT page_id FROM pages WHERE page_id % 5 <> 0) SELECT (SELECT count(*) FROM cat) AS n_catalog, (SELECT count(*) FROM arc) AS n_members, (SELECT count(*) FROM cat JOIN arc USING (page_id)) AS stored, (SELECT count(*) FROM cat LEFT JOIN arc USING (page_id) WHERE arc.page_id IS NULL) AS missing, (SELECT count(*) FROM arc LEFT JOIN cat USING (page_id) WHERE cat.page_id IS NULL) AS extra, (SELECT count(*) FROM cat JOIN arc USING (page_id)) AS verified")
 def p07(spark, d):
-    """Rows of a catalog numbered in their shards, small ones refused."""
+    """Archives to a store of fixed-width rows: members with valid names that the catalog has, in the order of
+    their names in each shard, an index of (shard, row), what either side lacks, and a read of every row."""
     from pyspark.sql import Window
 
-    rows = table(spark, d, "pages").where(F.octet_length("html") > 1000).select((c("page_id") % 8).alias("shard"), "page_id")
-    index = rows.withColumn("row", F.row_number().over(Window.partitionBy("shard").orderBy("page_id")) - 1)
-    return index.groupBy("shard").agg(F.count("*").alias("n"), F.min("row").alias("first"), (F.max("row") + 1).alias("rows"))
+    from ..operators import sinks as S
+    from ..scratch import new_path
+    from ..sources import bytestore as Y
+
+    root = new_path(spark, "store")
+    pages = table(spark, d, "pages").select("page_id", (c("page_id") % 4).alias("shard"), F.md5(F.concat(F.lit("p"), "page_id")).alias("uuid"), F.encode("html", "utf-8").alias("jpg"))
+    S.write_tars(pages.where("page_id % 5 <> 0").select("shard", c("uuid").alias("key"), "jpg", F.lit(None).cast("binary").alias("txt")), f"{root}/tars")
+    listed = pages.where("page_id % 7 <> 0").select("uuid", c("shard").alias("cat_shard"))
+    found = Y.tar_members(spark, f"{root}/tars/*.tar.gz").where("error IS NULL").select(Y.valid_member(c("name")).alias("uuid"), F.regexp_extract("path", r"(\d+)\.tar", 1).cast("long").alias("shard"), F.unhex(F.md5("data")).alias("data")).where("uuid IS NOT NULL")
+    both = listed.join(found, "uuid", "full_outer").persist()  # for the reconciliation and the store
+    rows = both.where("cat_shard = shard").withColumn("row", F.row_number().over(Window.partitionBy("shard").orderBy("uuid")) - 1)
+    S.write_bytes(rows.select("shard", "uuid", "data"), f"{root}/rows", 16, "uuid")
+    S.write_index(rows.select("uuid", "shard", "row"), f"{root}/index")
+    store = Y.byte_rows(spark, f"{root}/rows/*.u8", 16, 4096).select(F.regexp_extract("path", r"(\d+)\.u8", 1).cast("long").alias("shard"), "row", c("data").alias("stored"))
+    same = spark.read.parquet(f"{root}/index").join(store, ["shard", "row"]).join(both.select("uuid", "data"), "uuid").agg(F.count("*").alias("stored"), F.count_if(c("stored") == c("data")).alias("verified"))
+    counts = both.agg(F.count("cat_shard").alias("n_catalog"), F.count("shard").alias("n_members"), F.count_if(c("shard").isNull()).alias("missing"), F.count_if(c("cat_shard").isNull()).alias("extra"))
+    return counts.join(F.broadcast(same))  # one row each
+
+
+SOURCE_SQL = "SELECT '{name}' AS source, count(*) AS kept, count(*) // 32 AS train_batches, CAST(ceil(count(*) / 32) AS BIGINT) AS val_batches, count(*) - CAST(ceil(count(*) / 32) - 1 AS BIGINT) * 32 AS last_batch FROM conversations WHERE {where}"
+
+
+@query("p13_caption_sources", " UNION ALL ".join(SOURCE_SQL.format(name=n, where=w) for n, w in (("coco", "nullif(trim(text), '') IS NOT NULL"), ("hub", "nullif(trim(text), '') IS NOT NULL AND turn % 2 = 0"), ("tar", "nullif(trim(text), '') IS NOT NULL AND turn = 1"))))
+def p13_sources(spark, d):
+    """Captions from a JSON document, a hub split and archives, each in batches of 32 in a hashed order."""
+    from pyspark.sql import Window
+
+    from ..operators import sinks as S
+    from ..scratch import new_path
+    from ..sources import bytestore as Y
+    from ..sources import readers as R
+
+    root = new_path(spark, "captions")
+    t = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "conv_id", "turn", "text")
+    t.groupBy("conv_id").agg(F.collect_list(F.struct("id", c("text").alias("caption"))).alias("annotations")).write.json(f"{root}/coco")
+    t.where("turn % 2 = 0").select("id", c("text").alias("caption")).write.parquet(f"{root}/hub/set/train")
+    S.write_tars(t.where("turn = 1").select((c("conv_id") % 3).alias("shard"), F.replace("id", F.lit("-"), F.lit("_")).alias("key"), F.encode(F.lit("image"), "utf-8").alias("jpg"), F.encode("text", "utf-8").alias("txt")), f"{root}/tar")
+    coco = spark.read.schema("annotations array<struct<id:string,caption:string>>").json(f"{root}/coco").select(F.explode("annotations").alias("a")).select(F.lit("coco").alias("source"), "a.id", "a.caption")
+    hub = R.hub_dataset(spark, f"{root}/hub", "set", "train").select(F.lit("hub").alias("source"), "id", "caption")
+    tars = Y.tar_pairs(spark, f"{root}/tar/*.tar.gz").select(F.lit("tar").alias("source"), c("key").alias("id"), c("txt").alias("caption"))
+    rows = coco.unionByName(hub).unionByName(tars).where(Q.clean_text(c("caption")).isNotNull())
+    place = F.row_number().over(Window.partitionBy("source", F.substring(F.md5("id"), 1, 2)).orderBy(F.md5("id"), "id"))  # 256 ranges of the order
+    ranges = rows.groupBy("source", F.substring(F.md5("id"), 1, 2).alias("r")).agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 256 rows
+    batches = rows.select("source", F.substring(F.md5("id"), 1, 2).alias("r"), place.alias("p")).join(ranges.select("source", "r", before.alias("s")), ["source", "r"]).select("source", F.expr("(s + p - 1) div 32").alias("batch"))
+    per = batches.groupBy("source", "batch").agg(F.count("*").alias("n"))
+    return per.groupBy("source").agg(F.sum("n").alias("kept"), F.count_if(c("n") == 32).alias("train_batches"), F.count("*").alias("val_batches"), F.max_by("n", "batch").alias("last_batch"))
+
+
+@query("ud02_errors_as_rows", "SELECT 'read' AS outcome, count(*) AS n FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT 'unreadable', count(*) FROM supplier WHERE s_suppkey % 4 = 0")
+def ud02(spark, d):
+    """A function that fails on a sample gives its error in the row and goes on with the next."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, text in zip(b["s_suppkey"], b["text"], strict=True):
+                try:
+                    out.append((key, int(text), None))
+                except ValueError as e:
+                    out.append((key, None, str(e)))
+            yield pd.DataFrame(out, columns=["s_suppkey", "value", "error"]).astype({"value": "Int64"})
+
+    text = F.when(c("s_suppkey") % 4 != 0, c("s_suppkey").cast("string")).otherwise("none")
+    rows = table(spark, d, "supplier").select("s_suppkey", text.alias("text")).mapInPandas(parse, "s_suppkey long, value long, error string")
+    return rows.groupBy(F.when(c("error").isNull() & (c("value") == c("s_suppkey")), "read").otherwise("unreadable").alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("ud04_collate", "SELECT o_orderkey // 64 AS batch, count(*) AS n, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS ids, sum(CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) AS lacking FROM orders GROUP BY 1")
+def ud04(spark, d):
+    """Samples of a batch as one record of lists; what a sample lacks is null in its place."""
+    import pyarrow as pa
+
+    from ..operators.plugins import collated
+
+    def collate(key, t):
+        one = collated({k: v for k, v in row.items() if v is not None} for row in t.sort_by("o_orderkey").to_pylist())
+        n = len(one["o_orderkey"])
+        names = one.get("o_orderpriority", [None] * n)
+        return pa.table({"batch": [key[0].as_py()], "n": pa.array([n], pa.int64()), "ids": [",".join(map(str, one["o_orderkey"]))], "lacking": pa.array([sum(x is None for x in names)], pa.int64())})
+
+    rows = table(spark, d, "orders").select(F.expr("o_orderkey div 64").alias("batch"), "o_orderkey", F.when(c("o_orderkey") % 11 != 0, c("o_orderpriority")).alias("o_orderpriority"))
+    return rows.groupBy("batch").applyInArrow(collate, "batch long, n long, ids string, lacking long")
+
+
+@query("ud05_generator", "SELECT r_regionkey, unnest(range(0, 1 + r_regionkey)) AS row FROM region")
+def ud05(spark, d):
+    """A shard as a table function of its rows."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for shard in b["r_regionkey"]:
+                for lo in range(0, 1 + shard, 2):  # a few rows at a time
+                    n = min(2, 1 + shard - lo)
+                    yield pd.DataFrame({"r_regionkey": [shard] * n, "row": range(lo, lo + n)})
+
+    return table(spark, d, "region").select(c("r_regionkey").cast("long").alias("r_regionkey")).mapInPandas(rows, "r_regionkey long, row long")
+
+
+@query("ud07_configured_filters", "SELECT count(*) FILTER (WHERE p_size >= 10 AND p_brand <> 'Brand#4') AS n FROM part")
+def ud07(spark, d):
+    """Filters by name from a table of settings."""
+    from functools import reduce
+
+    from ..operators.plugins import Registry
+
+    filters = Registry("filter")
+    filters.add("least", lambda col, value: c(col) >= value)
+    filters.add("not", lambda col, value: c(col) != value)
+    made = filters.make_all({"size": {"name": "least", "col": "p_size", "value": 10}, "none": {"col": "p_size"}, "brand": {"name": "not", "col": "p_brand", "value": "Brand#4"}})
+    return table(spark, d, "part").where(reduce(lambda a, b: a & b, made)).agg(F.count("*").alias("n"))
 
 
 @query("ud01_distinct_then_udf", "SELECT count(*) AS n, count(DISTINCT folded) AS folds FROM (SELECT lower(strip_accents(w)) AS folded FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zéèêçñäöü]+')) AS w FROM documents))")

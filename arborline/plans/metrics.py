@@ -61,16 +61,26 @@ def p14(spark, d):
     return got.join(control, "event_type").select("event_type", F.when(c("same"), c("identical")).otherwise(c("max_gap") <= c("control")).alias("passes"))
 
 
-@query("p16_gate_cells", "SELECT coalesce(a.k, b.k) AS k, a.n AS got, b.n AS want, a.n IS NOT DISTINCT FROM b.n AS matches FROM (SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderkey % 100 <> 0 OR o_orderpriority > '3' GROUP BY 1) b ON a.k = b.k")
+@query("p16_gate_cells", "SELECT coalesce(a.k, b.k) AS k, a.n AS got, b.n AS want, a.n IS NOT DISTINCT FROM b.n AS matches FROM (SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderkey % 100 <> 0 OR o_orderpriority > '3' GROUP BY 1 UNION ALL SELECT '9-NONE', 7) b ON a.k = b.k")
 def p16(spark, d):
-    o = table(spark, d, "orders")
+    """Counts made anew against targets that an earlier run has stored, cell by cell; what only one side has differs."""
+    from ..operators import sinks as S
+    from ..scratch import new_path
+
+    o, path = table(spark, d, "orders"), new_path(spark, "targets")
     n = lambda df, name: df.groupBy(c("o_orderpriority").alias("k")).agg(F.count("*").alias(name))
-    want = n(o.where("o_orderkey % 100 <> 0 OR o_orderpriority > '3'"), "want")
+    S.write_summary(n(o.where("o_orderkey % 100 <> 0 OR o_orderpriority > '3'"), "want").union(spark.createDataFrame([("9-NONE", 7)], "k string, want long")), path)
+    want = spark.read.schema("k string, want long").json(path)
     return n(o, "got").join(want, "k", "full_outer").withColumn("matches", c("got").eqNullSafe(c("want")))
 
 
-@query("p19_gate_status", "SELECT CASE WHEN bool_or(bad) THEN 'FAIL' WHEN count(*) < 30 THEN 'PARTIAL' ELSE 'PASS' END AS status, count(DISTINCT digest) = count(*) AS distinct_files FROM (SELECT n_nationkey % 100 = 99 AS bad, sha256(n_name) AS digest FROM nation)")
+@query("p19_gate_status", "SELECT * FROM (VALUES ('all good', 'PASS', true), ('one failed', 'FAIL', true), ('an error', 'FAIL', true), ('part missing', 'FAIL', true), ('limited rows', 'PARTIAL', true), ('one part asked', 'PARTIAL', true), ('other files', 'FAIL', false)) x(run, status, same_files)")
 def p19(spark, d):
-    parts = table(spark, d, "nation").select((c("n_nationkey") % 100 == 99).alias("bad"), F.sha2("n_name", 256).alias("digest"))
-    status = F.when(F.bool_or("bad"), "FAIL").when(F.count("*") < 30, "PARTIAL").otherwise("PASS")
-    return parts.agg(status.alias("status"), (F.count_distinct("digest") == F.count("*")).alias("distinct_files"))
+    """Runs by their parts' results, their errors, what was asked of them, and the digests of their label files."""
+    digest = table(spark, d, "nation").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("n_name")), "|"), 256)).first()[0]  # a small table
+    runs = [
+        ("all good", ["A", "B"], {"A": True, "B": True}, 0, False, digest), ("one failed", ["A", "B"], {"A": True, "B": False}, 0, False, digest), ("an error", ["A", "B"], {"A": True, "B": True}, 1, False, digest),
+        ("part missing", ["A", "B"], {"A": True}, 0, False, digest), ("limited rows", ["A", "B"], {"A": True, "B": True}, 0, True, digest), ("one part asked", ["A"], {"A": True}, 0, False, digest), ("other files", ["A", "B"], {"A": True, "B": True}, 0, False, "x"),
+    ]
+    df = spark.createDataFrame(runs, "run string, asked array<string>, parts map<string,boolean>, errors int, limited boolean, digest string")
+    return df.select("run", M.gate_status("asked", "parts", "errors", "limited", "digest", digest, ("A", "B")).alias("status"), (c("digest") == digest).alias("same_files"))

@@ -97,10 +97,31 @@ def x17(spark, d):
     return table(spark, d, "documents").select("doc_id", *[F.array_join(X.reduce_tokens(w, 8, how, c("doc_id")), " ").alias(how) for how in ("random", "shuffle", "simple")])
 
 
-@query("x18_attention_mask", "SELECT p_partkey, p_size % 9 AS n, array_to_string(list_transform(range(0, 6), lambda i: CASE WHEN i < p_size % 9 THEN 1 ELSE 0 END), '') AS mask FROM part")
+MERGES = [("a", "s"), ("e", "r"), ("i", "n"), ("in", "g</w>"), ("o", "l"), ("b", "ol"), ("bol", "t</w>"), ("w", "i"), ("r", "e"), ("re", "d</w>")]
+
+
+@query("x15_word_bpe")
+def x15(spark, d):
+    """Ids of words with an end sign, and the text that they decode to."""
+    from ..functions.wordbpe import WordBpe, encoder
+
+    bpe = WordBpe(MERGES)
+    table_ = F.array(*[F.lit(t) for t in bpe.tokens])  # a few hundred tokens
+    ids = table(spark, d, "part").select("p_partkey", "p_name", encoder(MERGES)(F.concat("p_name", F.lit(", "), "p_type")).alias("ids"))
+    return ids.select("p_partkey", "ids", F.array_join(F.transform("ids", lambda i: F.element_at(table_, i + 1)), "").alias("tokens"))
+
+
+X18_SQL = "SELECT p_partkey, list_transform(range(1, 1 + p_size % 9), lambda i: CASE WHEN i % 4 = 0 THEN 50 ELSE i END) AS ids FROM part"
+
+
+@query("x18_attention_mask", f"SELECT p_partkey, array_to_string(list_concat(ids, list_transform(range(0, 9), lambda i: 0))[1:6], ',') AS ids, array_to_string(list_transform(range(0, 6), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), '') AS mask, array_to_string(list_transform(ids, lambda x: CASE WHEN x = 50 THEN 0 ELSE x END), ',') AS bare, array_to_string(list_concat(list_concat(list_concat(list_concat([98], ids[1:3]), [99]), list_transform(range(0, 9), lambda i: 0))[1:5], [97]), ',') AS clips FROM ({X18_SQL})")
 def x18(spark, d):
+    """Padding and mask, separators out, and the form with the class token last."""
     n = c("p_size") % 9
-    return table(spark, d, "part").select("p_partkey", n.alias("n"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.when(i < n, 1).otherwise(0)), "").alias("mask"))
+    ids = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i % 4 == 0, 50).otherwise(i))).otherwise(F.array().cast("array<int>"))
+    p = table(spark, d, "part").select("p_partkey", ids.alias("t"))
+    join = lambda x: F.array_join(x.cast("array<string>"), ",")
+    return p.select("p_partkey", join(X.padded(c("t"), 6)).alias("ids"), F.array_join(X.attention_mask(c("t"), 6).cast("array<string>"), "").alias("mask"), join(X.without_separators(c("t"), 50)).alias("bare"), join(X.class_last(c("t"), 6, 98, 99, 97)).alias("clips"))
 
 
 TEMPLATES = ("a photo of a {}.", "a drawing of the {}.", "many {}.")

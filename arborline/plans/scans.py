@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..operators import sinks as K
 from ..scratch import new_path
-from ..sources import bytestore, readers, shards
+from ..sources import bytestore, matrices, readers, shards
 from .base import CATALOG_SQL, catalog, query, table
 
 c = F.col
@@ -46,6 +46,15 @@ def sc04(spark, d):
     return readers.image_shards(spark, [f"{path}/a", f"{path}/b"]).where("bytes IS NOT NULL").groupBy((c("page_id") % 2).alias("shard")).agg(F.count("*").alias("n"))
 
 
+@query("sc05_shard_globs", "SELECT 'n_regionkey=' || r_regionkey AS folder FROM region WHERE r_regionkey <= 2")
+def sc05(spark, d):
+    """Several globs, each file once, in order."""
+    path = scratch(spark, "globs")
+    table(spark, d, "nation").write.partitionBy("n_regionkey").parquet(path)
+    files = shards.listed(spark, [f"{path}/n_regionkey=[0-1]", f"{path}/n_regionkey=1*", f"{path}/n_regionkey={{2..2}}"])
+    return spark.createDataFrame([(f.rsplit("/", 1)[1],) for f in files], "folder string")
+
+
 @query("sc06_shard_ranges", "SELECT 'train-' || lpad(range::VARCHAR, 4, '0') || '.tar' AS path FROM range(16)")
 def sc06(spark, d):
     return spark.createDataFrame([(p,) for p in shards.expand_all(["train-{0000..0015}.tar", "train-{0003..0004}.tar"])], "path string")
@@ -96,9 +105,15 @@ def sc14(spark, d):
     return bytestore.read_positions(store, asked).withColumn("data", F.decode("data", "utf-8"))
 
 
-@query("sc15_chunk_ranges", "SELECT o_orderkey // 1000 AS chunk, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1")
+@query("sc15_chunk_ranges", "WITH p AS (SELECT o_orderkey % 4 AS shard, o_orderkey // 4 AS row, row_number() OVER (ORDER BY o_orderkey % 4, o_orderkey // 4) - 1 AS pos FROM orders) SELECT pos // 1000 AS chunk, count(*) AS n, CAST(min(pos) AS BIGINT) AS first, arg_min(shard, pos) AS shard, arg_min(row, pos) AS row FROM p GROUP BY 1")
 def sc15(spark, d):
-    return table(spark, d, "orders").groupBy(F.expr("o_orderkey div 1000").alias("chunk")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    """Runs of 1000 positions in the order of (shard, row), the last one short, each with where it starts."""
+    from ..operators.hierarchy import dense_ids
+
+    rows = table(spark, d, "orders").select((c("o_orderkey") % 4).alias("shard"), F.expr("o_orderkey div 4").alias("row"))
+    pos = dense_ids(rows, ["shard", "row"], "pos")
+    at = F.struct("pos", "shard", "row")
+    return pos.groupBy(F.expr("pos div 1000").alias("chunk")).agg(F.count("*").alias("n"), F.min(at).alias("f")).select("chunk", "n", c("f.pos").alias("first"), "f.shard", "f.row")
 
 
 @query("sc16_prefix_validation", "SELECT page_id, 'val/' || page_id || '.jpg' AS name FROM pages")
@@ -109,11 +124,51 @@ def sc16(spark, d):
     return assert_that(rows, c("name").startswith("val/"), "a name is not under val/")
 
 
-@query("sc18_cached_lookup", "SELECT c_custkey, s_name AS hit FROM customer LEFT JOIN (SELECT s_nationkey, min(s_name) AS s_name FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey")
+@query("sc08_tar_stream", "SELECT shard, count(*) AS n, count(*) FILTER (WHERE ok) AS valid, CAST(sum(CASE WHEN ok THEN size END) AS BIGINT) AS bytes FROM (SELECT page_id % 3 AS shard, page_id % 4 <> 0 AS ok, octet_length(encode(html)) AS size FROM pages) GROUP BY 1")
+def sc08(spark, d):
+    """Members of archives in passing, their names checked."""
+    path = scratch(spark, "stream")
+    p = table(spark, d, "pages")
+    name = F.when(c("page_id") % 4 != 0, F.md5(F.concat(F.lit("p"), "page_id"))).otherwise(F.concat(F.lit("page-"), "page_id"))
+    K.write_tars(p.select((c("page_id") % 3).alias("shard"), name.alias("key"), F.encode("html", "utf-8").alias("jpg"), F.lit(None).cast("binary").alias("txt")), path)
+    m = bytestore.tar_members(spark, f"{path}/*.tar.gz").where("error IS NULL").withColumn("uuid", bytestore.valid_member(c("name")))
+    shard = F.regexp_extract("path", r"(\d+)\.tar\.gz$", 1).cast("long")
+    return m.groupBy(shard.alias("shard")).agg(F.count("*").alias("n"), F.count("uuid").alias("valid"), F.sum(F.when(c("uuid").isNotNull(), F.octet_length("data"))).cast("long").alias("bytes"))
+
+
+@query("sc13_npy_matrices", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+def sc13(spark, d):
+    """A matrix in npy files beside its ids, read back in runs of rows and put together by place."""
+    path = scratch(spark, "npy")
+    parts = spark.createDataFrame(matrices.write_npy(table(spark, d, "embeddings"), "vec_id", "embedding", path).toArrow().to_pylist(), "path string, keys string, n long")  # one row for each file
+    rows = matrices.read_npy(spark, f"{path}/*.npy", 4096).select(F.regexp_extract("path", r"part-(\d+)", 1).alias("part"), "row", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("t"))
+    ids = spark.read.text([r["keys"] for r in parts.collect()], wholetext=True).select(F.regexp_extract("_metadata.file_path", r"part-(\d+)", 1).alias("part"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("row", "vec_id"))
+    return rows.join(ids, ["part", "row"]).select(c("vec_id").cast("long").alias("vec_id"), F.round("t", 4).alias("total"))
+
+
+@query("sc17_hub_split", "SELECT event_type, count(*) AS n FROM events WHERE event_id % 10 <> 0 GROUP BY 1")
+def sc17(spark, d):
+    """A split of an exported data set with a configuration."""
+    root = scratch(spark, "hub")
+    e = table(spark, d, "events").select("event_id", "event_type")
+    for split, rows in (("train", e.where("event_id % 10 <> 0")), ("test", e.where("event_id % 10 = 0"))):
+        rows.write.parquet(f"{root}/set/default/{split}")
+    return readers.hub_dataset(spark, root, "set", "train", "default").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def _service(key: int) -> str:
+    """A stand-in for a service: it knows odd keys and fails on others."""
+    if key % 2 == 0:
+        raise ConnectionError("no answer")
+    return f"answer {key}"
+
+
+@query("sc18_cached_lookup", "SELECT DISTINCT c_nationkey, CASE WHEN c_nationkey % 3 = 0 THEN 'cached ' || c_nationkey WHEN c_nationkey % 2 = 1 THEN 'answer ' || c_nationkey END AS hit, c_nationkey % 3 = 0 AS from_cache FROM customer")
 def sc18(spark, d):
-    """Answers of a service that a cache holds; what it lacks stays null."""
-    cache = table(spark, d, "supplier").groupBy(c("s_nationkey").alias("c_nationkey")).agg(F.min("s_name").alias("hit"))
-    return table(spark, d, "customer").join(cache, "c_nationkey", "left").select("c_custkey", "hit")
+    """Answers that a cache holds; the rest are asked for, tried again where that fails, and null in the end."""
+    nations = table(spark, d, "customer").select("c_nationkey")
+    cache = nations.distinct().where("c_nationkey % 3 = 0").select("c_nationkey", F.concat(F.lit("cached "), "c_nationkey").alias("hit"))
+    return readers.looked_up(nations, cache, "c_nationkey", _service, "hit", tries=2, pause=0.0)
 
 
 @query("sc20_primary_or_fallback", "SELECT CASE WHEN vec_id % 3 = 0 THEN 'fallback' ELSE 'primary' END AS source, count(*) AS n FROM embeddings GROUP BY 1")
@@ -133,6 +188,16 @@ def sk01(spark, d):
     return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
 
 
+@query("sk02_csv_write", "SELECT s_suppkey::VARCHAR AS s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN '' ELSE s_name || ', \"' || s_suppkey || '\"' END AS name FROM supplier")
+def sk02(spark, d):
+    """Quotes, commas, empty and missing values survive."""
+    path = scratch(spark, "csv-out")
+    k = c("s_suppkey") % 5
+    name = F.when(k == 1, "").when(k != 0, F.concat("s_name", F.lit(', "'), "s_suppkey", F.lit('"')))
+    K.write_csv(table(spark, d, "supplier").select("s_suppkey", name.alias("name")), path)
+    return readers.csv_strings(spark, path, ["s_suppkey", "name"], ["s_suppkey", "name"])
+
+
 @query("sk03_json_summary", "SELECT count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS s FROM supplier")
 def sk03(spark, d):
     path = scratch(spark, "summary")
@@ -157,11 +222,45 @@ def sk06(spark, d):
     return back.agg(F.count("*").alias("n"), F.count_if(c("page_id") % 2 == 0).alias("even"))
 
 
-@query("sk07_success_marker", "SELECT true AS done")
+@query("sk07_success_marker", "SELECT * FROM (VALUES ('first run', true, false, true), ('failed run', false, true, true), ('cleared', false, false, true)) x(state, done, failed, committed)")
 def sk07(spark, d):
+    """Markers of runs: a run takes the earlier ones away and leaves its own; the data has the commit's."""
     path = scratch(spark, "marker")
-    table(spark, d, "region").write.mode("overwrite").parquet(path)
-    return spark.createDataFrame([(K.is_done(spark, path),)], "done boolean")
+    states = []
+    for state, name in (("first run", "done"), ("failed run", "failed"), ("cleared", None)):
+        K.begin(spark, path)
+        table(spark, d, "region").write.mode("overwrite").parquet(f"{path}/data")
+        if name:
+            K.mark(spark, path, name, state)
+        seen = K.markers(spark, path)
+        states.append((state, seen["done"], seen["failed"], K.is_done(spark, f"{path}/data")))
+    return spark.createDataFrame(states, "state string, done boolean, failed boolean, committed boolean")
+
+
+@query("sk09_export_files", "SELECT run, CASE WHEN p_partkey % 50 = 0 THEN 'mismatch' WHEN run = 1 OR p_partkey % 10 = 1 THEN 'written' ELSE 'existing' END AS status, count(*) AS n FROM part, (VALUES (1), (2)) r(run) GROUP BY ALL")
+def sk09(spark, d):
+    """Files of a struct column: those that are there in the same size stay, and paths must agree with names."""
+    path = scratch(spark, "export")
+    file = F.concat(F.lit("part-"), "p_partkey", F.lit(".jpg"))
+    rows = table(spark, d, "part").select("p_partkey", F.concat_ws("/", F.concat(F.lit("d"), c("p_partkey") % 7), file).alias("name"), F.when(c("p_partkey") % 50 != 0, file).otherwise("other.jpg").alias("path"))
+    out = None
+    for run in (1, 2):
+        data = F.concat(F.lit("x" * 20), F.when((c("p_partkey") % 10 == 1) & F.lit(run == 2), "changed").otherwise(""))
+        done = K.export_files(rows.select("name", "path", F.encode(data, "utf-8").alias("data")), path).groupBy("status").agg(F.count("*").alias("n"))
+        done = spark.createDataFrame([(run, *r) for r in done.collect()], "run int, status string, n long")  # the run has ended; three rows
+        out = done if out is None else out.union(done)
+    return out
+
+
+@query("sk10_write_guard", "SELECT * FROM (VALUES ('s3://a/data/x', false), ('s3://a/data/../data2/x', true), ('s3://a/data', false), ('s3://b/data/x', true), ('s3://a/./out/../data/y', false), ('hdfs://a/data/x', true)) x(path, allowed)")
+def sk10(spark, d):
+    def allowed(path):
+        try:
+            return bool(K.guard(path, "s3://a/data"))
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(p, allowed(p)) for p in ("s3://a/data/x", "s3://a/data/../data2/x", "s3://a/data", "s3://b/data/x", "s3://a/./out/../data/y", "hdfs://a/data/x")], "path string, allowed boolean")
 
 
 @query("sk08_append_log", "SELECT event_id FROM events")

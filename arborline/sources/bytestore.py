@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-import io
 import tarfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from .files import CHUNK_BYTES, batches_of, opened, ranges, read_range, sizes
+
 NAME = r"^([0-9a-f]{32})\.jpg$"
 
 
-def byte_rows(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """(path, row, data): the rows of files of fixed-width records, by Spark's own reader, so on any
-    store; a file whose size is no multiple of the width raises."""
-    raw = spark.read.format("binaryFile").load(path)
-    n = F.expr(f"length div {width}")
-    sound = F.when(F.col("length") % width == 0, n).otherwise(F.raise_error(F.concat(F.lit("short record in "), "path")).cast("long"))
-    return raw.select("path", "content", F.explode(F.when(sound > 0, F.sequence(F.lit(0).cast("long"), sound - 1))).alias("row")).select("path", "row", F.expr(f"substring(content, cast(row * {width} + 1 as int), {width})").alias("data"))
+def byte_rows(spark: SparkSession, path: str, width: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(path, row, data): the rows of files of fixed-width records, read in runs of about `chunk_bytes`, so
+    files may have any size; one whose size is no multiple of the width raises."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                data = pa.py_buffer(read_range(r["path"], r["first"] * width, r["n"] * width))
+                rows = pa.Array.from_buffers(pa.binary(width), r["n"], [None, data]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * r["n"]), pa.array(range(r["first"], r["first"] + r["n"]), pa.int64()), rows], names=["path", "row", "data"])
+
+    return ranges(sizes(spark, path), width, 0, chunk_bytes).mapInArrow(read, "path string, row long, data binary")
 
 
 def read_positions(store: DataFrame, asked: DataFrame) -> DataFrame:
@@ -32,21 +40,25 @@ def read_positions(store: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, data, error) of the members of tar and tar.gz files, one task a file; a file that
-    cannot be read gives one row with its error."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, name, data, error) of the members of tar and tar.gz files.  Each file is a task (gzip cannot
+    be split) and goes by as a stream; where it cannot be read further a row with the error ends it."""
+
+    def members(uri: str) -> Iterator[tuple]:
+        try:
+            store, name = opened(uri)
+            with store.open_input_stream(name, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as t:
+                for m in t:
+                    if m.isfile():
+                        yield uri, m.name, t.extractfile(m).read(), None
+        except (tarfile.TarError, EOFError, OSError) as e:
+            yield uri, None, None, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, content in zip(b["path"], b["content"], strict=True):
-                rows = []
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
-                        rows = [(p, m.name, t.extractfile(m).read(), None) for m in t if m.isfile()]
-                except (tarfile.TarError, EOFError, OSError) as e:
-                    rows.append((p, None, None, str(e)))
-                yield pd.DataFrame(rows, columns=["path", "name", "data", "error"])
+            for uri in b.column(0).to_pylist():
+                yield from batches_of(members(uri), ["path", "name", "data", "error"], [pa.string(), pa.string(), pa.binary(), pa.string()])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, data binary, error string")
+    return sizes(spark, path).select("path").repartition("path").mapInArrow(run, "path string, name string, data binary, error string")
 
 
 def tar_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -70,3 +82,29 @@ def normalized_bytes(mean: float, std: float):
         return s.map(lambda b: (np.frombuffer(b, np.uint8) / 255 - mean) / std, na_action="ignore")
 
     return f
+
+
+def image_size(data: bytes | None) -> tuple[int, int] | None:
+    """(width, height) of a PNG, GIF, BMP or JPEG by its header, None of anything else."""
+    if not data:
+        return None
+    number = lambda a, b, order="big": int.from_bytes(data[a:b], order)
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return number(16, 20), number(20, 24)
+    if data[:4] == b"GIF8" and len(data) >= 10:
+        return number(6, 8, "little"), number(8, 10, "little")
+    if data[:2] == b"BM" and len(data) >= 26:
+        return number(18, 22, "little"), abs(int.from_bytes(data[22:26], "little", signed=True))
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 <= len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame's start
+            return number(at + 7, at + 9), number(at + 5, at + 7)
+        at += 2 if kind == 0xFF or 0xD0 <= kind <= 0xD9 else 2 + number(at + 2, at + 4)
+    return None
+
+
+@pandas_udf(T.StructType([T.StructField("w", T.IntegerType()), T.StructField("h", T.IntegerType())]))
+def image_dims(s: pd.Series) -> pd.DataFrame:
+    """Width and height of images by their headers; nulls where there are none."""
+    return pd.DataFrame([image_size(x) or (None, None) for x in s], columns=["w", "h"]).astype("Int32")

@@ -231,3 +231,107 @@ def test_overrides_of_a_name_service(spark):
     answers = spark.createDataFrame([("Rosa weldon", None, "p", "EXACT", "SPECIES", "ACCEPTED", None, None), ("Bellis", "GENUS", "p", "EXACT", "GENUS", "ACCEPTED", "Bellis (Brown, 1800)", "Bellis")], "name string, rank string, kingdom string, match_type string, taxon_rank string, status string, scientific string, canonical string")
     got = {r.epithet: (r.category, r.subtype, r.reason) for r in C.overridden(names, ev, answers).collect()}
     assert got == {"weldon": ("C", "single_word", "gbif_exact_species"), "brown": ("A", "author_only_single", "gbif_genus_authority"), "nova": ("C", "single_word", None)}
+
+
+def test_word_bpe_against_plain_merging(spark):
+    from arborline.functions.wordbpe import END, WordBpe, encoder
+    from arborline.plans.scalars import MERGES
+
+    bpe = WordBpe(MERGES)
+
+    def plain(word):
+        parts = [*word[:-1], word[-1] + END]
+        while True:
+            ranks = [bpe.rank.get(p, 99) for p in zip(parts, parts[1:], strict=False)]
+            if not ranks or min(ranks) == 99:
+                return parts
+            i = ranks.index(min(ranks))
+            parts[i : i + 2] = ["".join(parts[i : i + 2])]
+
+    for word in ("bolt", "red", "reading", "as", "easing", "boltbolt", "x"):
+        assert [bpe.tokens[i] for i in bpe.encode(word)] == plain(word)
+    assert bpe.tokens[bpe.encode("bolt")[-1]] == "bolt</w>" and bpe.decode(bpe.encode("the red bolt's é漢")) == "the red bolt 's é漢 "
+    assert bpe.encode("<start>a<end>")[0] == bpe.ids["<start>"] and bpe.encode("") == []
+    t = spark.createDataFrame([("red bolt",), (None,), ("",)], "t string")
+    assert [r[0] for r in t.select(encoder(MERGES)("t")).collect()] == [bpe.encode("red bolt"), None, []]
+
+
+def test_registry():
+    from arborline.operators.plugins import Registry, collated, metric
+
+    r = Registry("model")
+    r.add("big", lambda size=1: ("big", size), "a")
+    r.add("big", lambda size=1: ("big b", size), "b")
+    r.add("small", lambda inner=None: ("small", inner))
+    assert r.names() == ["big", "small"] and r.names("b*") == ["big"] and r.tags("big") == ["a", "b"] and r.by_tag("b") == ["big"]
+    assert r.make({"name": "small", "inner": {"name": "big", "tag": "b", "size": 3}}) == ("small", ("big b", 3))
+    for ask in (("none", None), ("big", None), ("big", "c")):
+        with pytest.raises(KeyError):
+            r.get(*ask)
+    with pytest.raises(ValueError, match="there is a model"):
+        r.add("small", dict)
+    assert metric({"top1": 2.0}, "top1") == 2.0 and metric({}, None) is None
+    with pytest.raises(KeyError, match="no metric"):
+        metric({"top1": 2.0}, "top5")
+    assert collated([{"a": 1}, {"b": 2}]) == {"a": [1, None], "b": [None, 2]}
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from arborline.operators import sinks as K
+    from arborline.sources import bytestore, matrices, readers
+    from arborline.sources.files import ranges, sizes
+
+    root = f"file://{tmp_path}"
+    rows = spark.range(1000).selectExpr("id % 3 AS shard", "id AS page_id", "encode(rpad(id, 8, '.'), 'utf-8') AS data")
+    done = K.write_bytes(rows, f"{root}/b", 8)
+    assert sorted((r.shard, r.n) for r in done.collect()) == [(0, 334), (1, 333), (2, 333)]
+    back = bytestore.byte_rows(spark, f"{root}/b/*.u8", 8, 100)
+    assert ranges(sizes(spark, f"{root}/b/*.u8"), 8, 0, 100).count() == 28 * 3 and back.count() == 1000
+    assert [bytes(r.data) for r in back.where("path LIKE '%00001.u8'").orderBy("row").limit(2).collect()] == [b"1.......", b"4......."]
+    with pytest.raises(Exception, match="short record"):
+        bytestore.byte_rows(spark, f"{root}/b/*.u8", 7).collect()
+    with pytest.raises(Exception, match="another width"):
+        K.write_bytes(rows, f"{root}/c", 9)
+    (tmp_path / "bad.tar.gz").write_bytes(b"no archive")
+    assert bytestore.tar_members(spark, f"{root}/bad.tar.gz").where("error IS NOT NULL").count() == 1
+    with pytest.raises(FileNotFoundError):
+        readers.hub_dataset(spark, root, "none", "train")
+    with pytest.raises(ValueError, match="lies under"):
+        K.guard(f"{tmp_path}/a/../x/y", f"{tmp_path}/x")
+    assert K.guard(f"{tmp_path}/xy", f"{tmp_path}/x")
+    import numpy as np
+
+    np.save(tmp_path / "m.npy", np.arange(12, dtype="<f2").reshape(4, 3))
+    assert [r.v for r in matrices.read_npy(spark, f"{root}/m.npy", 12).orderBy("row").collect()] == np.arange(12.0).reshape(4, 3).tolist()
+
+
+def test_image_sizes():
+    import struct
+
+    from arborline.sources.bytestore import image_size
+
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 30, 40) + b"\x03"
+    assert image_size(jpeg) == (40, 30) and image_size(b"GIF89a" + struct.pack("<HH", 5, 6)) == (5, 6)
+    assert image_size(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 7, 8)) == (7, 8)
+    assert image_size(b"BM" + bytes(16) + struct.pack("<ii", 9, -10)) == (9, 10)
+    assert image_size(None) is image_size(b"") is image_size(b"\xff\xd8\xff") is image_size(b"text") is None
+
+
+def test_cached_lookups_are_tried_again(spark, tmp_path):
+    from arborline.sources.readers import looked_up
+
+    folder = str(tmp_path)
+
+    def call(k):
+        import pathlib
+
+        seen = pathlib.Path(folder, str(k))
+        if k > 2 or not seen.exists():
+            seen.touch()
+            raise ConnectionError
+        return f"a{k}"
+
+    asked = spark.createDataFrame([(1,), (1,), (2,), (3,), (9,)], "k long")
+    cache = spark.createDataFrame([(9, "cached")], "k long, a string")
+    got = {r.k: (r.a, r.from_cache) for r in looked_up(asked, cache, "k", call, "a", tries=3, pause=0).collect()}
+    assert got == {1: ("a1", False), 2: ("a2", False), 3: (None, False), 9: ("cached", True)}
