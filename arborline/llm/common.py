@@ -18,7 +18,8 @@ _scopes: list[list[str]] = []
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
-    """Within it, materialize() notes its tables; finished() deletes them.  After an error all go."""
+    """Within it, materialize() notes its tables; finished() deletes them.  After an error all go; what is
+    still there at its end is noted in the scope around it, of an operator that called this one."""
     paths: list[str] = []
     _scopes.append(paths)
     try:
@@ -27,7 +28,9 @@ def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
         remove(spark, *paths)
         raise
     finally:
-        _scopes.remove(paths)
+        _scopes.pop()
+    if _scopes:
+        _scopes[-1].extend(paths)
 
 
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
@@ -46,9 +49,7 @@ def finished(df: DataFrame, tag: str, scope: list[str]) -> DataFrame:
     out, path = materialize(df, tag)
     gone = [p for p in scope if p != path]
     remove(df.sparkSession, *gone)
-    scope[:] = [path] if path in scope else []
-    for outer in _scopes[:-1][-1:]:  # an operator that called this one deletes it in turn
-        outer.append(path)
+    scope[:] = [path]
     return out
 
 

@@ -319,8 +319,9 @@ def judged(docs: DataFrame, labels: DataFrame, into: str = "verdict", keep_text:
         if not keep_text:
             return finished(out, "quality", scope)
         # With their texts the rows are too many for one more copy: the table of scores stays.
-        marks_kept = [p for p in scope if "quality-limits" in p]
-        remove(spark, *[p for p in scope if p != scored_path and p not in marks_kept])
+        needed = [p for p in scope if p == scored_path or "quality-limits" in p]
+        remove(spark, *[p for p in scope if p not in needed])
+        scope[:] = needed
         return out
 
 

@@ -861,3 +861,61 @@ def test_pipeline_against_brute_force(spark, vocab):
             t = t[:a] + secrets.MASK + t[b:]
         tok = lib.encode(t, add_special_tokens=False).ids
         assert (out[i].n_tokens, out[i].decoded_sha256) == (len(tok), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_pipeline_of_odd_documents(spark, vocab, tmp_path):
+    """Nulls, empty and repeated rows, a very long text and clashing columns go through all stages; so does nothing."""
+    import corpus_pipeline
+
+    folder = f"file://{tmp_path}/odd"
+    good = [(100 + i, f"a plain sentence about topic number {i} that anyone may read and keep for later use {i * 7}") for i in range(40)]
+    data = [*ODD, *good, (200, "word " * 200_000), (201, 'token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" in a text of its own kind'), (202, "this one holds the famous benchmark question of the set inside its text")]
+    rows_ = docs(spark, data).selectExpr("*", "1 AS _none", "2 AS _id", "3 AS _score", "4 AS block", "5 AS id", "6 AS none", "7 AS sha")
+    rows_.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(None, 1, 0)], "doc_id long, quality int, toxic int").selectExpr("*", "1 AS text", "2 AS id").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "The famous benchmark  question of the SET"), (2, None), (None, "")], "item_id long, text string").selectExpr("*", "1 AS doc_id").write.parquet(f"{folder}/benchmark.parquet")
+    d = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, d, folder).columns == d.columns
+        assert stage(spark, d.limit(0), folder).count() == 0
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert {i for i, _ in good} <= set(out) and 202 not in out and 3 in out and 4 not in out  # 4 is empty as 3 is
+    lines = [s for s in corpus_pipeline.secrets.redact(d.where("doc_id = 201"), vocab).collect()]
+    assert "[SECRET]" in lines[0].text
+    d.limit(0).write.parquet(f"{folder}-none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{folder}-none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}-none").count() == 0
+
+
+def test_near_dedup_recall_on_given_documents(spark):
+    """Of the documents that an all-pairs comparison would remove beside exact copies, the stage removes nine tenths or more."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in d.select("doc_id", "text").collect()}
+    first = {}
+    for i in sorted(text):
+        first.setdefault(text[i], i)
+    sets = {i: frozenset(np.concatenate([np.zeros(0, np.uint64), *simhash.shingle_hashes(t, 5)]).tolist()) for t, i in first.items()}
+    often = collections.Counter(x for s in sets.values() for x in s)
+    order = {i: sorted(s, key=lambda x: (often[x], x)) for i, s in sets.items()}
+    held, pairs = collections.defaultdict(list), set()
+    for i in sorted(sets, key=lambda i: (len(sets[i]), i)):  # prefix filter: similar sets share one of their rarest shingles
+        prefix = order[i][: len(sets[i]) - math.ceil(0.8 * len(sets[i])) + 1]
+        near = {j for x in prefix for j in held[x] if len(sets[j]) >= 0.8 * len(sets[i])}
+        pairs |= {(min(i, j), max(i, j)) for j in near if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+        for x in prefix:
+            held[x].append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in sorted(pairs):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    gone = {i for i in sets if find(i) != i}
+    kept = {r.doc_id for r in simhash.first_of_near_copies(d).select("doc_id").collect()}
+    print(f"{len(gone)} near copies among {len(sets)} texts, removed {len(gone - kept)}, others removed {len(set(sets) - gone - kept)}")
+    assert len(gone - kept) >= 0.9 * len(gone) and set(sets) - gone <= kept
