@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import dot, group_mean, norm
+from .vectors import dot, group_mean, norm, roll_up
 
 #: The least squared length of a step, below which it counts as this much.
 FLOOR = 1e-12
@@ -14,15 +14,14 @@ FLOOR = 1e-12
 def nodes(leaf_means: DataFrame, ranks: list[str], vec: str = "mean") -> DataFrame:
     """(depth, key, parent, mean, n_leaves, n_children) of the root (depth -1, key empty), every inner
     node and every leaf; n_children counts the nodes one level down."""
-    out = None
+    about = []
     for depth in range(-1, len(ranks)):
-        own, below = ranks[: depth + 1], ranks[: depth + 2]
+        own = ranks[: depth + 1]
         key, up = F.concat_ws("|", *own) if own else F.lit(""), F.concat_ws("|", *own[:-1]) if len(own) > 1 else F.lit("")
-        keyed = leaf_means.select(key.alias("key"), up.alias("parent"), F.concat_ws("|", *below).alias("child"), F.col(vec).alias("v"))
-        sizes = keyed.groupBy("key").agg(F.first("parent").alias("parent"), F.count("*").alias("n_leaves"), F.count_distinct("child").alias("n_children"))
-        one = group_mean(keyed, ["key"], "v").join(sizes, "key").select(F.lit(depth).alias("depth"), "key", "parent", "mean", "n_leaves", "n_children" if depth < len(ranks) - 1 else F.lit(0).cast("long").alias("n_children"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        about.append(F.struct(F.lit(depth).alias("depth"), key.alias("key"), up.alias("parent"), F.concat_ws("|", *ranks[: depth + 2]).alias("child")))
+    sizes = leaf_means.select(F.explode(F.array(*about)).alias("n")).select("n.*").groupBy("depth", "key").agg(F.first("parent").alias("parent"), F.count("*").alias("n_leaves"), F.count_distinct("child").alias("n_children"))
+    children = F.when(F.col("depth") < len(ranks) - 1, F.col("n_children")).otherwise(F.lit(0).cast("long")).alias("n_children")
+    return roll_up(leaf_means, ranks, vec).join(sizes, ["depth", "key"]).select("depth", "key", "parent", "mean", "n_leaves", children)
 
 
 def minus(a: Column, b: Column) -> Column:

@@ -88,14 +88,11 @@ def group_mean(rows: DataFrame, keys: list[str], vec: str, name: str = "mean") -
 
 
 def roll_up(leaf_means: DataFrame, ranks: list[str], vec: str = "mean") -> DataFrame:
-    """(depth, key, mean): every leaf weighs one in each of its ancestors, and in the root."""
-    out = None
-    for depth in range(-1, len(ranks)):
-        own = ranks[: depth + 1]
-        keyed = leaf_means.select(F.concat_ws("|", *own).alias("key") if own else F.lit("").alias("key"), vec)
-        one = group_mean(keyed, ["key"], vec).select(F.lit(depth).alias("depth"), "key", "mean")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(depth, key, mean): every leaf weighs one in each of its ancestors, and in the root: one pass, in
+    which a leaf goes to all of its nodes."""
+    nodes = [F.struct(F.lit(depth).alias("depth"), (F.concat_ws("|", *ranks[: depth + 1]) if depth >= 0 else F.lit("")).alias("key")) for depth in range(-1, len(ranks))]
+    keyed = leaf_means.select(F.explode(F.array(*nodes)).alias("node"), vec).select("node.depth", "node.key", vec)
+    return group_mean(keyed, ["depth", "key"], vec)
 
 
 def variance_split(rows: DataFrame, label: str, vec: str) -> DataFrame:
