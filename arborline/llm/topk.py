@@ -25,8 +25,9 @@ from .common import finished, materialize, scratch_scope, tidied
 SCALE = 1024
 #: Rows of a shard, of a leaf, and of a block of queries.
 SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES = 8192, 512, 512
-#: Blocks that meet a shard in one task, and how many times more shards each round takes.
-GROUP_BLOCKS, GROWTH = 32, 8
+#: Blocks that meet a shard in one task, how many times more shards each round takes, and shards whose
+#: boxes meet those of the blocks in one part.
+GROUP_BLOCKS, GROWTH, PART_SHARDS = 32, 8, 64
 NONE = np.iinfo(np.int64).min
 #: Relative margin by which doubles are rounded outward, for each term of a sum.
 MARGIN = 2.0**-50
@@ -62,17 +63,20 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return a[1 : n + 1], a[n + 1 :].reshape(n, d)
 
 
-def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """(dim, lo, hi, data): the quantized rows in runs of at most so many, each run of one length,
-    with its bounding box."""
-    names = ["dim", "lo", "hi", "data"]
+def blocks(vectors: DataFrame, rows: int, number: str) -> DataFrame:
+    """(number, dim, lo, hi, data): the quantized rows in runs of at most so many, each run of one
+    length, with a number of its own (of its partition and place) and its bounding box."""
+    names = [number, "dim", "lo", "hi", "data"]
+
+    def row(k: int, i: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        from pyspark import TaskContext
 
-    def row(i: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         box = [pa.array([v.astype(np.float64).tolist()], pa.list_(pa.float64())) for v in (x.min(axis=0), x.max(axis=0))]
-        return pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), *box, pa.array([_pack(i, x)], pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + k], pa.int64()), pa.array([x.shape[1]], pa.int32()), *box, pa.array([_pack(i, x)], pa.binary())], names=names)
 
     def run(batches):
         held: dict[int, tuple[list, list, int]] = {}
+        k = 0
         for b in batches:
             ids = b.column(0).to_numpy()
             for at, m in _matrix(b.column(1)):
@@ -81,14 +85,16 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
                     i, x, n = [*i, ids[at[lo : lo + rows]]], [*x, m[lo : lo + rows]], n + len(at[lo : lo + rows])
                     if n >= rows:
                         i, x = np.concatenate(i), np.concatenate(x)
-                        yield row(i[:rows], x[:rows])
+                        yield row(k, i[:rows], x[:rows])
+                        k += 1
                         i, x, n = [i[rows:]], [x[rows:]], n - rows
                     held[m.shape[1]] = (i, x, n)
         for i, x, n in held.values():
             if n:
-                yield row(np.concatenate(i), np.concatenate(x))
+                yield row(k, np.concatenate(i), np.concatenate(x))
+                k += 1
 
-    return vectors.mapInArrow(tidied(run), "dim int, lo array<double>, hi array<double>, data binary")
+    return vectors.mapInArrow(tidied(run), f"{number} long, dim int, lo array<double>, hi array<double>, data binary")
 
 
 def exact_products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -214,12 +220,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     with scratch_scope(vectors.sparkSession) as scope:
         rows = quantized(vectors, id_col, vec_col)
         asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
-        shards, _ = materialize(blocks(rows, SHARD_ROWS), "topk-shards")
-        shards, _ = materialize(shards.withColumn("shard", F.monotonically_increasing_id()), "topk-numbered")
-        queries, _ = materialize(blocks(asked, BLOCK_QUERIES), "topk-queries")
-        queries, _ = materialize(queries.withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
-        # Boxes only; a block's shards are ordered by their bounds.
-        boxes = queries.select("dim", "block", F.col("lo").alias("qlo"), F.col("hi").alias("qhi")).join(shards.select("dim", "shard", "lo", "hi"), "dim")
+        shards, _ = materialize(blocks(rows, SHARD_ROWS, "shard"), "topk-shards")
+        queries, _ = materialize(blocks(asked, BLOCK_QUERIES, "block"), "topk-blocks")
+        # Boxes only; a block's shards are ordered by their bounds.  All vectors may have one length, so the
+        # shards' boxes are dealt in parts, to each of which every block's box goes.
+        parts = -(-shards.count() // PART_SHARDS) or 1
+        each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+        asked_boxes = queries.select("dim", "block", F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), each)
+        boxes = asked_boxes.join(shards.select("dim", F.pmod(F.xxhash64("shard"), F.lit(parts)).cast("int").alias("part"), "shard", "lo", "hi"), ["dim", "part"])
         pairs = boxes.select("block", "shard", box_bound(F.col("qlo"), F.col("qhi"), F.col("lo"), F.col("hi")).alias("bound"))
         order = Window.partitionBy("block").orderBy(F.desc("bound"), "shard")
         pairs, _ = materialize(pairs.withColumn("place", F.row_number().over(order) - 1), "topk-pairs")
@@ -247,5 +255,5 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
             best, _ = materialize(best_of(found, k).drop("rank"), f"topk-best{lo}")
             lo, hi = hi, hi * GROWTH
         if best is None:
-            return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+            best = vectors.sparkSession.createDataFrame([], "block long, query_id long, vec_id long, score long")
         return finished(best_of(best, k).select("query_id", "rank", "vec_id", "score"), "topk", scope)
