@@ -80,7 +80,10 @@ class TrieBpe:
         self.bytes_of: dict[int, bytes] = {i: t for t, i in ids.items()}
         for t, k in self.rank.items():
             self.size[k], self.ids[k] = len(t), ids.get(t, -1)
-        self.longest = max(map(len, self.rank))
+        # The length of the longest token by its last three bytes (all of a shorter one's).
+        self.longest: dict[bytes, int] = {}
+        for t in self.rank:
+            self.longest[t[-3:]] = max(len(t), self.longest.get(t[-3:], 0))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.special_split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -133,14 +136,15 @@ class TrieBpe:
         """(word, token ids) for distinct words, in trie preorder."""
         last, before = [0], b""
         rank, apart, base = self.rank.get, self.apart.get, len(self.halves)
-        size, ids, longest = self.size, self.ids, self.longest
+        size, ids, longest = self.size, self.ids, self.longest.get
         for w in sorted(words):
             n, depth, top = len(w), 0, min(len(w), len(before))
             while depth < top and w[depth] == before[depth]:
                 depth += 1
             del last[depth + 1 :]
             for i in range(depth + 1, n + 1):
-                for j in range(i - longest if i > longest else 0, i):
+                far = longest(w[i - 3 : i], 2) if i > 3 else i
+                for j in range(i - far if i > far else 0, i):
                     if (t := rank(w[j:i])) is not None and (j == 0 or (known if (known := apart(last[j] * base + t)) is not None else self._stay_apart(last[j], t))):
                         break
                 last.append(t)
@@ -159,8 +163,9 @@ class TrieBpe:
             self.seqs.age()
         seqs, older = self.seqs, self.seqs.older
         new = {w.encode("utf-8"): w for w in set(words) if w not in seqs and w not in older}
+        decimal, bytes_of = self.decimal.__getitem__, self.bytes_of.__getitem__
         for raw, seq in self.traverse(new):
-            seqs[new[raw]] = tuple(seq)
+            seqs[new[raw]] = (",".join(map(decimal, seq)), len(seq), b"".join(map(bytes_of, seq)))
 
     def blocks(self, text: str) -> Iterator[list[str] | int]:
         """Lists of words, and the ids of special tokens between them."""
@@ -179,16 +184,16 @@ class TrieBpe:
             if special is not None:
                 yield special
 
-    def encode_block(self, block: list[str] | int) -> tuple[list[int], str]:
-        """Token ids of words that were learned last, and their decimal text."""
+    def encode_block(self, block: list[str] | int) -> tuple[str, int, bytes]:
+        """The decimal ids of words that were learned last, their number, and the bytes they decode to."""
         if isinstance(block, int):
-            return [block], str(block)
-        ids = list(chain.from_iterable(map(self.seqs.__getitem__, block)))
-        return ids, ",".join(map(self.decimal.__getitem__, ids))
+            return str(block), 1, self.bytes_of[block]
+        ids, n, raw = zip(*map(self.seqs.__getitem__, block), strict=True)
+        return ",".join(ids), sum(n), b"".join(raw)
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[Iterator[tuple[list[int], str]]]:
-        """For each text its token ids and their decimal text, block by block; each text is to be
-        read to its end before the next.  Short texts are learned together."""
+    def encode(self, texts: Iterable[str | None]) -> Iterator[Iterator[tuple[str, int, bytes]]]:
+        """For each text its decimal token ids, their number and their bytes, block by block; each text is
+        to be read to its end before the next.  Short texts are learned together."""
 
         def long(text):
             for block in self.blocks(text):
@@ -230,10 +235,10 @@ def digests(bpe: TrieBpe, texts: Iterable[str | None]) -> Iterator[tuple[int, st
     for blocks in bpe.encode(texts):
         n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
         utf8 = codecs.getincrementaldecoder("utf-8")("replace")
-        for ids, joined in blocks:
-            ids_hash.update((("," if n else "") + joined).encode())
-            n += len(ids)
-            text_hash.update(utf8.decode(bpe.decode(ids)).encode("utf-8"))
+        for ids, k, raw in blocks:
+            ids_hash.update((("," if n else "") + ids).encode())
+            n += k
+            text_hash.update(utf8.decode(raw).encode("utf-8"))
         text_hash.update(utf8.decode(b"", True).encode("utf-8"))
         yield n, ids_hash.hexdigest(), text_hash.hexdigest()
 
@@ -264,7 +269,7 @@ def token_ids(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col
     def run(batches):
         bpe = load(vocab_path)
         for b in batches:
-            ids = [[i for part, _ in blocks for i in part] for blocks in bpe.encode(t.as_py() for t in b.column(1))]
+            ids = [[int(i) for part, _, _ in blocks for i in part.split(",")] for blocks in bpe.encode(t.as_py() for t in b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
