@@ -225,6 +225,7 @@ def test_topk_against_brute_force(spark, monkeypatch):
     data = [(i, [float(v) for v in x[i]]) for i in range(900)] + [(1000, None), (1100, [float("nan")] * 5), (None, [1.0] * 5), (1200, [1.0, None, 1.0, 1.0, 1.0]), (1300, []), (1400, [1e7] * 5)]
     monkeypatch.setattr(topk, "SHARD_ROWS", 64)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(topk, "PART_SHARDS", 4)
     got = rows(topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(5)))
     q = {i: np.floor(np.array(v) * 1024).astype(np.int64) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all()}
     want = []
@@ -253,6 +254,21 @@ def test_topk_of_large_components(spark, monkeypatch):
         assert got == sorted(want, key=repr)
 
 
+def test_topk_of_long_vectors_of_two_lengths(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, rng.normal(size=3000 if i % 2 else 7).tolist()) for i in range(210)]
+    got = rows(topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>")))
+    q = {i: np.floor(np.array(v) * 1024).astype(np.int64) for i, v in data}
+    want = []
+    for i in (0, 100, 200):
+        want += [(i, k, j, -s) for k, (s, j) in enumerate(sorted((-int(q[i] @ q[j]), j) for j in q if j != i and len(q[j]) == len(q[i]))[:10], 1)]
+    assert got == sorted(want, key=repr)
+    odd = [(100 * i + 1 if i else 100, v) for i, (_, v) in enumerate(data[1:40:2])]  # a long query
+    got = rows(topk.top_k(spark.createDataFrame(odd, "vec_id long, embedding array<double>")))
+    best = sorted((-int(np.floor(np.array(odd[0][1]) * 1024) @ np.floor(np.array(v) * 1024)), j) for j, v in odd[1:])[:10]
+    assert sorted(got) == [(100, k, j, -s) for k, (s, j) in enumerate(best, 1)]
+
+
 def test_topk_sends_only_shards_that_may_hold_something(spark, monkeypatch):
     """Shards of clusters far apart: most pairs of a block and a shard are refused by their boxes."""
     rng = np.random.default_rng(2)
@@ -453,7 +469,7 @@ def brute_repeats(data, m=50):
 def test_repeats_against_brute_force(spark, hot, monkeypatch):
     r = random.Random(5)
     base = ["".join(r.choices("ab c", k=400)) for _ in range(6)]
-    data = [(500, "a" * 3000), (501, "a" * 2000), (502, "ab" * 500), (503, "\0" * 200), (504, "\0" * 100 + "q"), (505, "é" * 90), (506, "é" * 80), *((600 + i, base[0]) for i in range(4)), *ODD]
+    data = [(500, "a" * 3000), (501, "a" * 2000), (502, "ab" * 500), (503, "\0" * 200), (504, "\0" * 100 + "q"), (505, "é" * 90), (506, "é" * 80), *((600 + i, base[0]) for i in range(4)), (700, "".join(r.choices("abcdefgh ", k=150_000))), (701, base[1] * 300), *ODD]
     for _ in range(80):
         t = ""
         for _ in range(r.randint(0, 6)):
@@ -507,9 +523,11 @@ def test_bpe_equals_the_library(vocab):
     r = random.Random(1)
     texts = ["", "a" * 3000, " " * 500 + "x", "-" * 777, "\n" * 300, *("".join(r.choices("abc XYZ'sdt  \n\t\x1c\x85  éßñ漢字123½٣,.!?-\U0001f600é​_\x00", k=r.randint(0, 40))) + "<|endoftext|>" * (i % 40 == 0) for i in range(1500))]
     for t, blocks in zip(texts, own.encode(texts), strict=True):
-        ids = [i for part, _ in blocks for i in part]
+        parts = list(blocks)
+        ids = [int(i) for part, _, _ in parts for i in part.split(",")]
         want = lib.encode(t, add_special_tokens=False).ids
-        assert ids == want
+        assert ids == want and len(ids) == sum(n for _, n, _ in parts)
+        assert b"".join(raw for _, _, raw in parts) == own.decode(ids)
         assert own.decode(ids).decode("utf-8", "replace") == lib.decode(want, skip_special_tokens=False)
 
 
