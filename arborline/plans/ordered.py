@@ -100,8 +100,12 @@ def o01(spark, d):
 
 @query("o02_tuple_order", "SELECT key, row_number() OVER (ORDER BY string_split(key, '|')) AS by_tuple, row_number() OVER (ORDER BY key) AS by_string FROM (SELECT p_brand || '|' || p_type AS key FROM part UNION SELECT 'Ab|x' UNION SELECT 'A|y')")
 def o02(spark, d):
+    """Numbered within the first part, and within the first signs: no window holds all keys."""
     keys = table(spark, d, "part").select(F.concat("p_brand", F.lit("|"), "p_type").alias("key")).union(spark.createDataFrame([("Ab|x",), ("A|y",)], "key string")).distinct()
-    return keys.select("key", F.row_number().over(Window.orderBy(F.split("key", r"\|"))).alias("by_tuple"), F.row_number().over(Window.orderBy("key")).alias("by_string"))
+    parts = F.split("key", r"\|")
+    by_tuple = H.dense_ids(keys.select(F.get(parts, F.lit(0)).alias("first"), parts.alias("parts"), "key"), ["first", "parts"], "by_tuple").select("key", c("by_tuple") + 1)
+    by_string = H.dense_ids(keys.select(F.substring("key", 1, 4).alias("first"), "key"), ["first", "key"], "by_string").select("key", c("by_string") + 1)
+    return by_tuple.toDF("key", "by_tuple").join(by_string.toDF("key", "by_string"), "key")
 
 
 @query("o03_mixed_sort_head", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")

@@ -116,12 +116,14 @@ def sc15(spark, d):
     return pos.groupBy(F.expr("pos div 1000").alias("chunk")).agg(F.count("*").alias("n"), F.min(at).alias("f")).select("chunk", "n", c("f.pos").alias("first"), "f.shard", "f.row")
 
 
-@query("sc16_prefix_validation", "SELECT page_id, 'val/' || page_id || '.jpg' AS name FROM pages")
+@query("sc16_prefix_validation", "SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'train/' ELSE 'val/' END || page_id || '.jpg' AS name, page_id % 9 <> 0 AS valid, CASE WHEN page_id % 9 <> 0 THEN page_id || '.jpg' END AS file FROM pages")
 def sc16(spark, d):
-    from ..operators.quality import assert_that
-
-    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("val/"), "page_id", F.lit(".jpg")).alias("name"))
-    return assert_that(rows, c("name").startswith("val/"), "a name is not under val/")
+    """A list of files read from text: names must stand under a prefix; what stands elsewhere is told apart."""
+    path = scratch(spark, "files")
+    table(spark, d, "pages").select(F.concat(F.when(c("page_id") % 9 == 0, "train/").otherwise("val/"), "page_id", F.lit(".jpg")).alias("value")).write.text(path)
+    names = spark.read.text(path).select(c("value").alias("name"))
+    valid = c("name").startswith("val/")
+    return names.select(F.regexp_extract("name", r"/(\d+)\.", 1).cast("long").alias("page_id"), "name", valid.alias("valid"), F.when(valid, F.expr("substring(name, 5)")).alias("file"))
 
 
 @query("sc08_tar_stream", "SELECT shard, count(*) AS n, count(*) FILTER (WHERE ok) AS valid, CAST(sum(CASE WHEN ok THEN size END) AS BIGINT) AS bytes FROM (SELECT page_id % 3 AS shard, page_id % 4 <> 0 AS ok, octet_length(encode(html)) AS size FROM pages) GROUP BY 1")
