@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, quality, repeats, secrets, simhash, topk, urltree, warc
+from . import bpe, clusters, decontam, htmltext, negatives, quality, repeats, secrets, simhash, topk, toxicity, urltree, warc
 from .sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,9 +66,25 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_dense_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id is divisible by 7 have a neighbour's label, as a noisy corpus would."""
+    e = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(e.select("vec_id", label.alias("label"), "embedding"))
+
+
+def op12_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_screened_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_html_text, op2_qgram_decontamination, op3_kdtree_topk, op4_forest_secrets, op5_warc_dictionary, op6_suffix_repeats, op7_trie_bpe, op8_kneser_ney_quality, op9_url_templates, op10_covering_simhash)
+    for f in (op1_html_text, op2_qgram_decontamination, op3_kdtree_topk, op4_forest_secrets, op5_warc_dictionary, op6_suffix_repeats, op7_trie_bpe, op8_kneser_ney_quality, op9_url_templates, op10_covering_simhash, op11_dense_negatives, op12_lexicon_toxicity, op13_screened_centroids)
 }
 
 __all__ = ["ORACLES", "QUERIES", "table", "vocabulary"]

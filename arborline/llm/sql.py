@@ -72,3 +72,49 @@ SELECT page_id, labelled.host, path, rule, coalesce(ruled, CASE WHEN x.host IS N
 FROM labelled LEFT JOIN x ON labelled.host = x.host AND labelled.segs = x.segs
 """
 ORACLES["op9_url_templates"] = URLS.replace("KNOWN", "NULL::VARCHAR")
+
+ORACLES["op11_dense_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT vec_id, max((q, label)) AS top FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id, len(q)),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.top[2] AS same,
+         CAST(list_sum(list_transform(list_zip(a.top[1], v.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM a JOIN v ON len(a.top[1]) = len(v.q)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same AND vec_id <> anchor_id),
+n AS (
+  SELECT p.anchor_id, positive_id, place, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+  WHERE place <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def _rounds(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """The rounds of clustering as one query: each assigns by squared distance and floors the means."""
+    parts = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, q) - 1 AS c, q FROM v ORDER BY c LIMIT {k})"]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, vec_id, q, c, d FROM (
+    SELECT r, vec_id, v.q, c, list_sum(list_transform(list_zip(v.q, k.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c{i} k)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, unnest(range({dim})) AS i FROM a{i}) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(f, q) AS q FROM c{i} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS f FROM m{i} GROUP BY c) USING (c))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} k ON k.c = a.c"""
+
+
+ORACLES["op13_screened_centroids"] = _rounds()
