@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 from .vectors import dot, group_mean, norm, roll_up
 
 #: The least squared length of a step, below which it counts as this much.
@@ -71,7 +72,9 @@ def drift(old: DataFrame, new: DataFrame) -> DataFrame:
     roots = old.where("depth = -1").select(F.col("mean").alias("ra")).join(new.where("depth = -1").select(F.col("mean").alias("rb")))  # one row each
     j = both.join(F.broadcast(roots)).select("depth", norm(minus(F.col("a"), F.col("b"))).alias("dist"), minus(F.col("a"), F.col("ra")).alias("ca"), minus(F.col("b"), F.col("rb")).alias("cb"))
     j = j.select("depth", "dist", (1 - F.try_divide(dot(F.col("ca"), F.col("cb")), norm(F.col("ca")) * norm(F.col("cb")))).alias("turn"))
-    return j.groupBy("depth").agg(F.count("*").alias("n"), F.avg("dist").alias("dist_mean"), F.percentile("dist", 0.95).alias("dist_p95"), F.avg("turn").alias("turn_mean"), F.percentile("turn", 0.95).alias("turn_p95"))
+    means = j.groupBy("depth").agg(F.count("*").alias("n"), F.avg("dist").alias("dist_mean"), F.avg("turn").alias("turn_mean"))
+    p95 = [exact_quantiles(j, ["depth"], x, {f"{x}_p95": 0.95}) for x in ("dist", "turn")]
+    return means.join(p95[0], "depth").join(p95[1], "depth")
 
 
 def moved(leaf_means: DataFrame, key: str, batch: DataFrame) -> DataFrame:

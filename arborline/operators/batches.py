@@ -12,6 +12,8 @@ from .hierarchy import dense_ids
 
 #: Groups that are dealt in one task; more are dealt in several, whose leftovers are dealt together.
 PART_GROUPS = 100_000
+#: Steps whose groups go to workers in one call.
+STEPS_TOGETHER = 64
 
 
 def hashed_order(seed: int, epoch: int, *parts) -> Column:
@@ -174,16 +176,18 @@ def random_batches(rows: DataFrame, item: str, leaf: str, size: int, world: int
     one short; rows of a leaf in a batch are one group.  In each batch groups go to the worker with
     most room, largest first, and single rows fill the rest.
 
-    Numbering goes by ranges of the hash, about one for a million rows, so no task holds all rows.
+    Numbering goes by ranges of the hash, so no task holds all rows; steps are shared out many at a time.
     """
     if size % world:
         raise ValueError(f"{world} workers cannot share {size} rows evenly")
-    ranges = max(1, min(1 << 16, -(-rows.count() // 1_000_000) * 8))
-    r = rows.withColumn("_h", hashed_order(seed, epoch, item)).withColumn("_range", F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("long") * ranges / 65536))
-    numbered = dense_ids(r, ["_range", "_h", item], "_pos").withColumn("step", F.expr(f"_pos div {size}")).drop("_range", "_pos")
+    r = rows.withColumn("_h", hashed_order(seed, epoch, item))
+    numbered = dense_ids(r, ["_h", item], "_pos").withColumn("step", F.expr(f"_pos div {size}")).drop("_pos")
     groups = numbered.groupBy("step", F.col(leaf).alias("leaf")).agg(F.count("*").alias("size"), F.min("_h").alias("h"))
 
-    def share(g: pd.DataFrame) -> pd.DataFrame:
+    def share(steps: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([share_one(g) for _, g in steps.groupby("step")])
+
+    def share_one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["size", "h"], ascending=[False, True], ignore_index=True)
         n = int(g["size"].sum())
         bins = Batches([[n // world + (w < n % world) for w in range(world)]])
@@ -193,7 +197,7 @@ def random_batches(rows: DataFrame, item: str, leaf: str, size: int, world: int
         return g.assign(worker=[w for _, w in found])[["step", "leaf", "worker"]]
 
     kind = rows.schema[leaf].dataType.simpleString()
-    workers = groups.groupBy("step").applyInPandas(share, f"step long, leaf {kind}, worker int")
+    workers = groups.groupBy(F.expr(f"step div {STEPS_TOGETHER}")).applyInPandas(share, f"step long, leaf {kind}, worker int")
     joined = numbered.join(workers, (numbered["step"] == workers["step"]) & numbered[leaf].eqNullSafe(workers["leaf"])).drop(workers["step"], workers["leaf"])
     return joined.withColumn("group_no", F.lit(0).cast("long")).drop("_h")
 

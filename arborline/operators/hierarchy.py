@@ -5,18 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
+
+#: Bits of a place within a range; those above are the range's number.
+PLACE_BITS = 33
+
+
+def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows sorted by ranges of the whole order, with _range and _place (from 0) as columns of a written
+    table: ranges are drawn anew by each run, so what counts them must not run the sort again."""
+    at = F.monotonically_increasing_id()
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranged.withColumns({"_range": F.shiftright(at, PLACE_BITS).cast("int"), "_place": at.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))}), "ranges")
+
 
 def dense_ids(keys: DataFrame, ranks: list[str], name: str = "sid", last: list[str] | None = None) -> DataFrame:
     """A dense id from 0 by the tuple of ranks (not by the joined string, whose order differs).
 
-    Rows are numbered within each value of the first rank and moved by that value's start, so no
-    task holds more than one subtree.
+    Rows are sorted in ranges of the whole tuple, then each range is moved by the rows before it: no task
+    holds more than a range, however many rows share the first rank.
     """
-    w = Window.partitionBy(ranks[0]).orderBy(*ranks, *(last or []))
-    top = keys.groupBy(ranks[0]).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(ranks[0]).rowsBetween(Window.unboundedPreceding, -1)  # one row for each top value
-    starts = top.select(ranks[0], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return keys.withColumn("_k", F.row_number().over(w) - 1).join(starts, ranks[0]).withColumn(name, (F.col("_k") + F.col("_start")).cast("long")).drop("_k", "_start")
+    placed = in_ranges(keys, [*ranks, *(last or [])])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_place") + F.col("_start")).cast("long")).drop("_range", "_place", "_start")
+
+
+def places(rows: DataFrame, keys: list[str], order: list[str], name: str = "pos") -> DataFrame:
+    """The place from 0 of each row within its keys, by the order: ranges of (keys, order) are counted by
+    their keys, so a key may fill many ranges."""
+    placed = in_ranges(rows, [*keys, *order])
+    w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a key's ranges
+    starts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    starts = starts.select(*keys, "_range", (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_start"))
+    return placed.join(starts, [*keys, "_range"]).withColumn(name, (F.col("_place") + F.col("_start")).cast("long")).drop("_range", "_place", "_start")
+
+
+def prefix_sums(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """The sum of a value over all rows before each, by the order: sums within ranges, moved by those of the
+    ranges before."""
+    placed = in_ranges(rows, order)
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = placed.groupBy("_range").agg(F.sum(value).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_own") + F.col("_start")).drop("_range", "_place", "_start", "_own")
 
 
 def leaf_counts(rows: DataFrame, ranks: list[str], group: int) -> DataFrame:

@@ -182,15 +182,84 @@ def key_hash(keys: DataFrame, col: str):
     return keys.select(col).distinct().agg(F.sum(F.xxhash64(col).cast("decimal(38,0)")).cast("string").alias("h"), F.count("*").alias("n")).first()
 
 
-def save_state(state: DataFrame, path: str, key: str) -> None:
-    h = key_hash(state, key)
-    state.withColumn("_keys", F.lit(f"{h['h']}:{h['n']}")).write.mode("overwrite").parquet(path)
-
-
-def load_state(spark: SparkSession, path: str, keys: DataFrame, key: str) -> DataFrame:
-    """State written for exactly these keys; others raise."""
-    h = key_hash(keys, key)
-    state = spark.read.parquet(path)
-    if state.where(F.col("_keys") != f"{h['h']}:{h['n']}").limit(1).count():
-        raise ValueError("the state is for other keys")
-    return state.drop("_keys")
+def content_hash(df: DataFrame) -> str:
+    """A digest of rows in any order: their number and the sums of two hashes."""
+    cols = [F.col(c) for c in df.columns]
+    big = lambda h: F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
+    r = df.agg(F.count("*").alias("n"), big(F.xxhash64(*cols)).alias("a"), big(F.hash(*cols)).alias("b")).first()
+    return f"{r['n']}:{r['a']}:{r['b']}"
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the snapshots whose manifests are there, newest first."""
+    store, folder = _file(spark, path)
+    found = store.listStatus(folder) if store.exists(folder) else []
+    return sorted((int(m[1]) for f in found if (m := re.fullmatch(r"manifest-(\d+)", f.getPath().getName()))), reverse=True)
+
+
+def save_state(state: DataFrame, path: str, key: str | None = None, keep: int = 2, before_swap=None) -> int:
+    """A snapshot of a state in a folder of its own, then its manifest, which appears whole or not at all;
+    returns the version.  Until the manifest is there, readers see the version before.  Of older
+    snapshots `keep` stay.  before_swap: called between the two, as a crash there would come."""
+    import json
+    import uuid
+
+    spark = state.sparkSession
+    known = versions(spark, path)
+    version = known[0] + 1 if known else 1
+    data = f"data-{version:08d}-{uuid.uuid4().hex}"
+    h = key_hash(state, key) if key else None
+    state.write.parquet(f"{path}/{data}")
+    back = spark.read.schema(state.schema).parquet(f"{path}/{data}")
+    about = {"data": data, "content": content_hash(back), "keys": f"{h['h']}:{h['n']}" if h else None, "schema": state.schema.json()}
+    if before_swap is not None:
+        before_swap()
+    store, temporary = _file(spark, f"{path}/.manifest-{uuid.uuid4().hex}")
+    out = store.create(temporary, True)
+    out.write(bytearray(json.dumps(about).encode()))
+    out.close()
+    _, final = _file(spark, f"{path}/manifest-{version:08d}")
+    if not store.rename(temporary, final):  # another writer was first
+        raise OSError(f"version {version} of {path} is there already")
+    for old in known[keep:]:
+        _, gone = _file(spark, f"{path}/manifest-{old:08d}")
+        named = json.loads(_text(spark, gone.toString()))["data"]
+        store.delete(gone, False)
+        store.delete(_file(spark, f"{path}/{named}")[1], True)
+    return version
+
+
+def load_state(spark: SparkSession, path: str, keys: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """The newest snapshot whose content agrees with its manifest.  A snapshot that is damaged or gone is passed
+    over for the one before; a sound one for other keys raises, as does a folder without a sound one."""
+    import json
+
+    from pyspark.errors import PySparkException
+    from pyspark.sql import types as T
+
+    h = key_hash(keys, key) if keys is not None else None
+    for version in versions(spark, path):
+        try:
+            about = json.loads(_text(spark, f"{path}/manifest-{version:08d}"))
+            state = spark.read.schema(T.StructType.fromJson(json.loads(about["schema"]))).parquet(f"{path}/{about['data']}")
+            sound = content_hash(state) == about["content"]
+        except (PySparkException, ValueError, KeyError):
+            continue
+        if sound:
+            if h is not None and about["keys"] != f"{h['h']}:{h['n']}":
+                raise ValueError("the state is for other keys")
+            return state
+    raise FileNotFoundError(f"no sound state in {path}")
+
+
+def upsert_state(rows: DataFrame, path: str, key: str) -> int:
+    """A new snapshot: the last sound one with these rows in place of those of their keys."""
+    spark = rows.sparkSession
+    if versions(spark, path):
+        old = load_state(spark, path)
+        rows = old.join(rows.select(key), key, "left_anti").select(*rows.columns).unionByName(rows)
+    return save_state(rows, path, key)

@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import written
+
 #: Below this a norm counts as this much (the clamping contract).
 TINY = 1e-12
 #: Bytes of the class matrix that goes to every task at once, rows of a tile of a blocked product, and
 #: parts in which sums of matrices are brought together.
 CLASS_BYTES, TILE_ROWS, PARTS = 64 << 20, 2048, 32
+#: Pivots of a block, parts by the angle to the first, and what angles may be wrong by.
+PIVOTS, ANGLE_PARTS, ANGLE_ERROR = 3, 32, 1e-6
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
@@ -96,16 +100,29 @@ def roll_up(leaf_means: DataFrame, ranks: list[str], vec: str = "mean") -> DataF
 
 
 def variance_split(rows: DataFrame, label: str, vec: str) -> DataFrame:
-    """Total, within and between variance (weighted by rows, and by classes): two passes."""
-    all_mean = group_mean(rows, [], vec, "root")
-    means = group_mean(rows, [label], vec, "mean")
-    j = rows.join(means, label).join(F.broadcast(all_mean))  # one row
+    """Total, within and between variance (weighted by rows, and by classes), from each class's number of
+    rows, sum and sum of squared lengths about a point near the mean: rows are not joined with means.
+
+    The point (the mean of a few rows) keeps the differences of large sums exact enough."""
+    near = group_mean(rows.where(F.col(vec).isNotNull()).limit(1000), [], vec, "_o")
+    # One row, the same in every later use.
+    near = rows.sparkSession.createDataFrame(near.collect(), near.schema)
+    moved = rows.where(F.col(vec).isNotNull()).join(F.broadcast(near)).select(label, F.zip_with(vec, "_o", lambda x, o: x - o).alias("_m"))
+    sums = vector_sums(moved.withColumn("_m", F.concat("_m", F.array(dot(F.col("_m"), F.col("_m"))))), [label], "_m")
+    last = F.element_at("s", -1)
+    per = written(sums.select(label, "n", F.slice("s", 1, F.size("s") - 1).alias("s"), last.alias("q")).withColumn("mean", F.transform("s", lambda x: x / F.col("n"))), "variance-classes")
+    whole = vector_sums(per.select("s"), [], "s").select(F.col("s").alias("all"))
+    centre = group_mean(per, [], "mean", "centre")
     diff = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
     sq = lambda v: dot(v, v)
-    by_row = j.agg(F.avg(sq(diff(F.col(vec), F.col("root")))).alias("total"), F.avg(sq(diff(F.col(vec), F.col("mean")))).alias("within"), F.avg(sq(diff(F.col("mean"), F.col("root")))).alias("between"))
-    centre = group_mean(means, [], "mean", "centre")
-    by_class = means.join(F.broadcast(centre)).agg(F.avg(sq(diff(F.col("mean"), F.col("centre")))).alias("between_classes"))
-    return by_row.join(by_class)
+    per_total = per.agg(F.sum("n").alias("rows"))
+    j = per.join(F.broadcast(whole)).join(F.broadcast(centre)).join(F.broadcast(per_total))  # one row each
+    root = F.transform("all", lambda x: x / F.col("rows"))
+    n = F.first("rows")
+    total = (F.sum("q") / n - F.first(sq(root))).alias("total")
+    within = (F.sum(F.col("q") - sq(F.col("mean")) * F.col("n")) / n).alias("within")
+    between = (F.sum(sq(diff(F.col("mean"), root)) * F.col("n")) / n).alias("between")
+    return j.agg(total, within, between, F.avg(sq(diff(F.col("mean"), F.col("centre")))).alias("between_classes"))
 
 
 def nearest_class(rows: DataFrame, key: str, vec: str, classes: DataFrame, cls: str, cvec: str, most_bytes: int = CLASS_BYTES) -> DataFrame:
@@ -146,23 +163,46 @@ def nearest_class(rows: DataFrame, key: str, vec: str, classes: DataFrame, cls:
     return out.join(top, key).where(F.col("cosine") == F.col("_top")).groupBy(key).agg(F.min(cls).alias(cls), F.first("cosine").alias("cosine"))
 
 
-def blocked_max_cosine(left: DataFrame, right: DataFrame, key: str, block: str, vec: str, tile: int = TILE_ROWS) -> DataFrame:
+def blocked_max_cosine(left: DataFrame, right: DataFrame, key: str, block: str, vec: str, tile: int = TILE_ROWS, least: float | None = None, sent: list | None = None) -> DataFrame:
     """(key, cosine): the largest cosine of each left row with right rows of its block; blocks that
     either side lacks give nothing.
 
-    Both sides of a block are cut in chunks of about `tile` rows by hash; each two chunks are one
-    matrix product, so a large block is many tasks and none holds more than two chunks.
+    Both sides of a block are cut in chunks of about `tile` rows; each two chunks are one matrix product, so
+    a large block is many tasks and none holds more than two chunks.  Chunks are cut by the angle to a
+    pivot of the block, and each keeps the range of its angles to all PIVOTS.  Angles obey the triangle
+    inequality: where two chunks' ranges to some pivot lie further apart than arccos(least), none of
+    their rows reach `least`, and the tile is never sent.  least: smaller results are left out.
+    sent: a list that gets the number of tiles sent and of all tiles.
     """
     kind = left.schema[key].dataType.simpleString()
-    chunks = lambda df, name: df.groupBy(block).agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
-    counts = chunks(left, "_nl").join(chunks(right, "_nr"), block)
-
-    def cut(df: DataFrame, own: str, other: str, names: list[str]) -> DataFrame:
-        rows = df.select(F.col(block), F.col(key).alias("_k"), F.col(vec).cast("array<double>").alias("_v")).join(counts, block)
-        mine = F.pmod(F.xxhash64("_k", "_v"), F.col(own)).cast("int")
-        return rows.select(F.col(block).alias(names[0]), mine.alias(names[1]), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[2]), "_k", "_v")
-
-    a, b = cut(left, "_nl", "_nr", ["b", "l", "r"]), cut(right, "_nr", "_nl", ["b2", "r2", "l2"])
+    plain = lambda df: df.where(F.col(vec).isNotNull()).select(F.col(block).alias("b"), F.col(key).alias("_k"), F.col(vec).cast("array<double>").alias("_v"))
+    sides = [plain(left), plain(right)]
+    # A pivot is the right row of the least hash, under a seed of its own.
+    pivots = sides[1].groupBy("b").agg(*[F.min_by("_v", F.xxhash64("_k", F.lit(i))).alias(f"_p{i}") for i in range(PIVOTS)], F.count("*").alias("_n"))
+    near = lambda x: F.acos(F.greatest(F.least(F.coalesce(cosine(F.col("_v"), x), F.lit(0.0)), F.lit(1.0)), F.lit(-1.0)))  # noqa: E731  a zero vector is at right angles to all
+    angled = [s.join(pivots, "b").select("b", "_k", "_v", *[near(F.col(f"_p{i}")).alias(f"_a{i}") for i in range(PIVOTS)]) for s in sides]
+    cuts = angled[1].groupBy("b").agg(F.percentile_approx("_a0", [k / ANGLE_PARTS for k in range(1, ANGLE_PARTS)], 1000).alias("_cuts"))
+
+    def chunked(side: DataFrame) -> DataFrame:
+        # Parts by angle, and chunks of those by hash where they are larger than a tile.
+        parted = side.join(cuts, "b").withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col("_a0"))))
+        sizes = parted.groupBy("b", "_part").agg(F.ceil(F.count("*") / tile).cast("int").alias("_of"))
+        chunk = F.struct("_part", F.pmod(F.xxhash64("_k", "_v"), F.col("_of")).cast("int").alias("n")).alias("chunk")
+        return written(parted.join(sizes, ["b", "_part"]).select("b", chunk, "_k", "_v", *[f"_a{i}" for i in range(PIVOTS)]), "similarity-chunks")
+
+    chunks = [chunked(a) for a in angled]
+    about = [c.groupBy("b", F.col("chunk").alias(n)).agg(*[f(f"_a{i}").alias(f"{n}{m}{i}") for i in range(PIVOTS) for f, m in ((F.min, "lo"), (F.max, "hi"))]) for c, n in zip(chunks, "lr", strict=True)]
+    tiles = about[0].join(about[1], "b")
+    if sent is not None:
+        sent.append(tiles.count())
+    if least is not None:
+        apart = [F.greatest(F.col(f"llo{i}") - F.col(f"rhi{i}"), F.col(f"rlo{i}") - F.col(f"lhi{i}")) for i in range(PIVOTS)]
+        tiles = tiles.where(F.greatest(*apart, F.lit(0.0)) <= float(np.arccos(np.clip(least, -1, 1))) + ANGLE_ERROR)
+    tiles = written(tiles.select("b", "l", "r"), "similarity-tiles")
+    if sent is not None:
+        sent.insert(0, tiles.count())
+    a = chunks[0].select("b", F.col("chunk").alias("l"), "_k", "_v").join(tiles, ["b", "l"])
+    b = chunks[1].select("b", F.col("chunk").alias("r"), "_k", "_v").join(tiles, ["b", "r"]).toDF("b2", "r2", "_k", "_v", "l2")
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
@@ -172,7 +212,8 @@ def blocked_max_cosine(left: DataFrame, right: DataFrame, key: str, block: str,
         return pa.table({key: x["_k"], "cosine": (m @ n.T).max(axis=1)})
 
     found = a.groupBy("b", "l", "r").cogroup(b.groupBy("b2", "l2", "r2")).applyInArrow(best, f"{key} {kind}, cosine double")
-    return found.groupBy(key).agg(F.max("cosine").alias("cosine"))
+    out = found.groupBy(key).agg(F.max("cosine").alias("cosine"))
+    return out if least is None else out.where(F.col("cosine") >= least)
 
 
 def spectrum(rows: DataFrame, vec: str) -> DataFrame:

@@ -146,29 +146,64 @@ def caption_of(df, col: str):
     raise TypeError(f"no caption in {kind.simpleString()}")
 
 
-@query("p07_store_build", "WITH cat AS (SELECT page_id FROM pages WHERE page_id % 7 <> 0), arc AS (SELECT page_id FROM pages WHERE page_id % 5 <> 0) SELECT (SELECT count(*) FROM cat) AS n_catalog, (SELECT count(*) FROM arc) AS n_members, (SELECT count(*) FROM cat JOIN arc USING (page_id)) AS stored, (SELECT count(*) FROM cat LEFT JOIN arc USING (page_id) WHERE arc.page_id IS NULL) AS missing, (SELECT count(*) FROM arc LEFT JOIN cat USING (page_id) WHERE cat.page_id IS NULL) AS extra, (SELECT count(*) FROM cat JOIN arc USING (page_id)) AS verified")
-def p07(spark, d):
-    """Archives to a store of fixed-width rows: members with valid names that the catalog has, in the order of
-    their names in each shard, an index of (shard, row), what either side lacks, and a read of every row."""
-    from pyspark.sql import Window
+#: Side of the stored crops, and the sides of a page's picture: its bytes, again and again, as pixels.
+CROP = 224
+SIDES = {"w": "20 + page_id % 37", "h": "16 + page_id % 29"}
+
+
+def pictures(pages):
+    """(page_id, jpg): a pixmap of each page, which repeats the page's bytes; every 50th is cut short."""
+    w, h = (F.expr(x) for x in SIDES.values())
+    body = F.hex(F.encode(F.coalesce("html", F.lit("")), "utf-8"))
+    pixels = F.unhex(F.rpad(F.when(F.length(body) > 0, body).otherwise("00"), F.when(c("page_id") % 50 == 0, 2).otherwise(w * h * 6), F.when(F.length(body) > 0, body).otherwise("00")))
+    return pages.select("page_id", F.concat(F.encode(F.concat(F.lit("P6\n"), w, F.lit(" "), h, F.lit("\n255\n")), "utf-8"), pixels).alias("jpg"))
+
+
+STORE_SQL = "cat AS (SELECT page_id FROM pages WHERE page_id % 7 <> 0), arc AS (SELECT page_id FROM pages WHERE page_id % 5 <> 0), good AS (SELECT page_id FROM cat JOIN arc USING (page_id) WHERE page_id % 50 <> 0)"
 
+
+@query("p07_store_build", f"WITH {STORE_SQL} SELECT (SELECT count(*) FROM cat) AS n_catalog, (SELECT count(*) FROM arc) AS n_members, (SELECT count(*) FROM good) AS stored, (SELECT count(*) FROM cat JOIN arc USING (page_id)) - (SELECT count(*) FROM good) AS undecoded, (SELECT count(*) FROM cat LEFT JOIN arc USING (page_id) WHERE arc.page_id IS NULL) AS missing, (SELECT count(*) FROM arc LEFT JOIN cat USING (page_id) WHERE cat.page_id IS NULL) AS extra, (SELECT count(*) * {CROP * CROP * 3} FROM good) AS store_bytes, (SELECT count(*) FROM good) AS verified")
+def p07(spark, d):
+    """Archives of pictures to a store of crops: members with valid names that the catalog has are decoded, resized
+    and cropped; those that cannot be are told apart.  Rows stand in the order of their names in each shard;
+    an index of (shard, row), what either side lacks, and a read of every row against the crop made from
+    the page."""
+    from ..functions.rasters import crop
     from ..operators import sinks as S
-    from ..scratch import new_path
+    from ..scratch import new_path, written
     from ..sources import bytestore as Y
+    from ..sources import formats
+
+    root, width = new_path(spark, "store"), CROP * CROP * 3
+    pages = table(spark, d, "pages").select("page_id", "html")
+    named = pictures(pages).select("page_id", (c("page_id") % 4).alias("shard"), F.md5(F.concat(F.lit("p"), "page_id")).alias("uuid"), "jpg")
+    S.write_tars(named.where("page_id % 5 <> 0").select("shard", c("uuid").alias("key"), "jpg", F.lit(None).cast("binary").alias("txt")), f"{root}/tars")
+    listed = named.where("page_id % 7 <> 0").select("uuid", c("shard").alias("cat_shard"))
+
+    def crops(batches):
+        import pyarrow as pa
 
-    root = new_path(spark, "store")
-    pages = table(spark, d, "pages").select("page_id", (c("page_id") % 4).alias("shard"), F.md5(F.concat(F.lit("p"), "page_id")).alias("uuid"), F.encode("html", "utf-8").alias("jpg"))
-    S.write_tars(pages.where("page_id % 5 <> 0").select("shard", c("uuid").alias("key"), "jpg", F.lit(None).cast("binary").alias("txt")), f"{root}/tars")
-    listed = pages.where("page_id % 7 <> 0").select("uuid", c("shard").alias("cat_shard"))
-    found = Y.tar_members(spark, f"{root}/tars/*.tar.gz").where("error IS NULL").select(Y.valid_member(c("name")).alias("uuid"), F.regexp_extract("path", r"(\d+)\.tar", 1).cast("long").alias("shard"), F.unhex(F.md5("data")).alias("data")).where("uuid IS NOT NULL")
-    both = listed.join(found, "uuid", "full_outer").persist()  # for the reconciliation and the store
-    rows = both.where("cat_shard = shard").withColumn("row", F.row_number().over(Window.partitionBy("shard").orderBy("uuid")) - 1)
-    S.write_bytes(rows.select("shard", "uuid", "data"), f"{root}/rows", 16, "uuid")
-    S.write_index(rows.select("uuid", "shard", "row"), f"{root}/index")
-    store = Y.byte_rows(spark, f"{root}/rows/*.u8", 16, 4096).select(F.regexp_extract("path", r"(\d+)\.u8", 1).cast("long").alias("shard"), "row", c("data").alias("stored"))
-    same = spark.read.parquet(f"{root}/index").join(store, ["shard", "row"]).join(both.select("uuid", "data"), "uuid").agg(F.count("*").alias("stored"), F.count_if(c("stored") == c("data")).alias("verified"))
+        for b in batches:
+            out = []
+            for data in b.column(2).to_pylist():
+                try:
+                    out.append((crop(data, CROP), None))
+                except ValueError as e:
+                    out.append((None, str(e)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in out], pa.binary()), pa.array([e for _, e in out], pa.string())], names=["uuid", "shard", "data", "error"])
+
+    members = formats.read(spark, "tar_members", f"{root}/tars/*.tar.gz", "shard string, name string, data binary").select(Y.valid_member(c("name")).alias("uuid"), c("shard").cast("long").alias("shard"), "data").where("uuid IS NOT NULL")
+    both = listed.join(members.select("uuid", "shard"), "uuid", "full_outer")
     counts = both.agg(F.count("cat_shard").alias("n_catalog"), F.count("shard").alias("n_members"), F.count_if(c("shard").isNull()).alias("missing"), F.count_if(c("cat_shard").isNull()).alias("extra"))
-    return counts.join(F.broadcast(same))  # one row each
+    made = written(members.join(listed.where("cat_shard IS NOT NULL").select("uuid"), "uuid", "left_semi").mapInArrow(crops, "uuid string, shard long, data binary, error string"), "crops")
+    good = made.where("error IS NULL")
+    S.write_bytes(good.select("shard", "uuid", "data"), f"{root}/rows", width, "uuid")
+    S.write_index(H.places(good.select("shard", "uuid"), ["shard"], ["uuid"], "row"), f"{root}/index")
+    store = formats.read(spark, "byte_rows", f"{root}/rows/*.u8", "shard string, row long, data binary", width=str(width)).select(c("shard").cast("long").alias("shard"), "row", F.md5("data").alias("stored"), F.octet_length("data").alias("size"))
+    again = named.select("uuid", "shard", "jpg").mapInArrow(crops, "uuid string, shard long, data binary, error string").select("uuid", F.md5("data").alias("made"))
+    same = spark.read.parquet(f"{root}/index").join(store, ["shard", "row"]).join(again, "uuid").agg(F.count("*").alias("stored"), F.sum("size").alias("store_bytes"), F.count_if(c("stored") == c("made")).alias("verified"))
+    failed = made.agg(F.count("error").alias("undecoded"))
+    return counts.join(F.broadcast(same)).join(F.broadcast(failed))  # one row each
 
 
 SOURCE_SQL = "SELECT '{name}' AS source, count(*) AS kept, count(*) // 32 AS train_batches, CAST(ceil(count(*) / 32) AS BIGINT) AS val_batches, count(*) - CAST(ceil(count(*) / 32) - 1 AS BIGINT) * 32 AS last_batch FROM conversations WHERE {where}"
@@ -240,21 +275,28 @@ def ud04(spark, d):
     return rows.groupBy("batch").applyInArrow(collate, "batch long, n long, ids string, lacking long")
 
 
-@query("ud05_generator", "SELECT r_regionkey, unnest(range(0, 1 + r_regionkey)) AS row FROM region")
+BATCH = 32
+
+
+@query("ud05_generator", f"WITH p AS (SELECT page_id % 8 AS shard, page_id, octet_length(encode(html)) AS size, row_number() OVER (PARTITION BY page_id % 8 ORDER BY page_id) - 1 AS row FROM pages WHERE html IS NOT NULL) SELECT shard, row // {BATCH} AS batch, count(*) AS n, min(page_id) AS first, CAST(sum(size) AS BIGINT) AS bytes FROM p GROUP BY ALL")
 def ud05(spark, d):
-    """A shard as a table function of its rows."""
-    from collections.abc import Iterator
+    """A shard as a table function of its rows, called in SQL on a partitioned table: it goes through a shard's rows
+    in order, leaves out those without a body, and gives batches, the last one short."""
+    from ..sources.shards import register_batches
 
-    import pandas as pd
+    register_batches(spark)
+    table(spark, d, "pages").selectExpr("page_id % 8 AS shard", "page_id AS id", "octet_length(encode(html, 'utf-8')) AS size").createOrReplaceTempView("shard_rows")
+    return spark.sql(f"SELECT shard, batch, n, first, bytes FROM shard_batches({BATCH}, TABLE(shard_rows) PARTITION BY shard ORDER BY id)")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for shard in b["r_regionkey"]:
-                for lo in range(0, 1 + shard, 2):  # a few rows at a time
-                    n = min(2, 1 + shard - lo)
-                    yield pd.DataFrame({"r_regionkey": [shard] * n, "row": range(lo, lo + n)})
 
-    return table(spark, d, "region").select(c("r_regionkey").cast("long").alias("r_regionkey")).mapInPandas(rows, "r_regionkey long, row long")
+@query("ud05_lateral", f"SELECT c_mktsegment AS name, b.range AS batch, least({BATCH}, n - b.range * {BATCH}) AS size FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), range(0, 100000) b WHERE b.range < ceil(n / {BATCH}.0)")
+def ud05_lateral(spark, d):
+    """The batches of each shard by its number of rows: a table function called laterally for every row."""
+    from ..sources.shards import register_batches
+
+    register_batches(spark)
+    table(spark, d, "customer").groupBy("c_mktsegment").count().createOrReplaceTempView("shard_sizes")
+    return spark.sql(f"SELECT s.c_mktsegment AS name, b.batch, b.size FROM shard_sizes s, LATERAL shard_ranges(s.count, {BATCH}) b")
 
 
 @query("ud07_configured_filters", "SELECT count(*) FILTER (WHERE p_size >= 10 AND p_brand <> 'Brand#4') AS n FROM part")

@@ -24,12 +24,8 @@ def w01(spark, d):
 
 @query("w02_start_offsets", f"{IDS_SQL} SELECT sid, CAST(sum(n_s) OVER (ORDER BY sid) - n_s AS BIGINT) AS start FROM ids")
 def w02(spark, d):
-    """Exclusive prefix sum: within each top subtree, moved by the subtrees before."""
-    rows = ids(spark, d)
-    w = Window.partitionBy("r_name").orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    top = rows.groupBy("r_name").agg(F.sum("n_s").alias("t"))
-    before = top.select("r_name", F.coalesce(F.sum("t").over(Window.orderBy("r_name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.withColumn("own", F.coalesce(F.sum("n_s").over(w), F.lit(0))).join(before, "r_name").select("sid", (c("own") + c("base")).alias("start"))
+    """Exclusive prefix sum over all leaves."""
+    return H.prefix_sums(leaves(spark, d), list(RANKS), "n_s", "start").join(ids(spark, d).select("key", "sid"), "key").select("sid", "start")
 
 
 @query("w03_position_in_group", f"{TRAIN_SQL} SELECT uuid, row_number() OVER (PARTITION BY key ORDER BY uuid) - 1 AS pos FROM train")
@@ -67,9 +63,9 @@ def w07(spark, d):
 
 @query("w08_even_split", "SELECT worker, count(*) AS n, min(pos) AS lo FROM (SELECT pos, (4 * (pos + 1) - 1) // n AS worker FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders)) GROUP BY 1")
 def w08(spark, d):
-    """Rows [n r / W, n (r + 1) / W) of each worker r, from one numbering of ranges of keys."""
-    o = table(spark, d, "orders").select("o_orderkey", F.expr("o_orderkey div 4096").alias("range"))
-    numbered = H.dense_ids(o, ["range", "o_orderkey"], "pos")
+    """Rows [n r / W, n (r + 1) / W) of each worker r, from one numbering."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    numbered = H.dense_ids(o, ["o_orderkey"], "pos")
     n = o.agg(F.count("*").alias("n"))
     return numbered.join(F.broadcast(n)).groupBy(F.expr("(4 * (pos + 1) - 1) div n").alias("worker")).agg(F.count("*").alias("n"), F.min("pos").alias("lo"))
 
@@ -77,13 +73,12 @@ def w08(spark, d):
 @query("w09_first_occurrence_codes", "SELECT p_name, row_number() OVER (ORDER BY first) - 1 AS code FROM (SELECT p_name, min(p_partkey) AS first FROM part GROUP BY 1)")
 def w09(spark, d):
     names = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("first"))
-    return H.dense_ids(names.withColumn("range", F.expr("first div 4096")), ["range", "first"], "code").select("p_name", "code")
+    return H.dense_ids(names, ["first"], "code").select("p_name", "code")
 
 
 @query("w12_row_index", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier")
 def w12(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", F.expr("s_suppkey div 4096").alias("range"))
-    return H.dense_ids(s, ["range", "s_suppkey"], "idx").select("s_suppkey", "idx")
+    return H.dense_ids(table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"], "idx").select("s_suppkey", "idx")
 
 
 @query("w13_monotonic", "SELECT user_id, bool_and(step) AS monotonic FROM (SELECT user_id, coalesce(event_id >= lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), true) AS step FROM events) GROUP BY 1")
@@ -100,12 +95,11 @@ def o01(spark, d):
 
 @query("o02_tuple_order", "SELECT key, row_number() OVER (ORDER BY string_split(key, '|')) AS by_tuple, row_number() OVER (ORDER BY key) AS by_string FROM (SELECT p_brand || '|' || p_type AS key FROM part UNION SELECT 'Ab|x' UNION SELECT 'A|y')")
 def o02(spark, d):
-    """Numbered within the first part, and within the first signs: no window holds all keys."""
+    """Two numberings of all keys, neither with a window over them."""
     keys = table(spark, d, "part").select(F.concat("p_brand", F.lit("|"), "p_type").alias("key")).union(spark.createDataFrame([("Ab|x",), ("A|y",)], "key string")).distinct()
-    parts = F.split("key", r"\|")
-    by_tuple = H.dense_ids(keys.select(F.get(parts, F.lit(0)).alias("first"), parts.alias("parts"), "key"), ["first", "parts"], "by_tuple").select("key", c("by_tuple") + 1)
-    by_string = H.dense_ids(keys.select(F.substring("key", 1, 4).alias("first"), "key"), ["first", "key"], "by_string").select("key", c("by_string") + 1)
-    return by_tuple.toDF("key", "by_tuple").join(by_string.toDF("key", "by_string"), "key")
+    by_tuple = H.dense_ids(keys.withColumn("parts", F.split("key", r"\|")), ["parts"], "by_tuple").select("key", (c("by_tuple") + 1).alias("by_tuple"))
+    by_string = H.dense_ids(keys, ["key"], "by_string").select("key", (c("by_string") + 1).alias("by_string"))
+    return by_tuple.join(by_string, "key")
 
 
 @query("o03_mixed_sort_head", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
@@ -145,12 +139,21 @@ def o09(spark, d):
     return table(spark, d, "events").withColumn("x", x).orderBy(F.when(F.isnan("x"), F.lit(float("-inf"))).otherwise(c("x")), "event_id").limit(5).select("event_id")
 
 
-@query("o10_resampled_shards", "SELECT doc_id, doc_id % 16 AS shard, draw FROM documents JOIN (SELECT range AS draw, ('0x' || substr(md5('3-' || range), 1, 8))::BIGINT % 16 AS shard FROM range(32)) q ON q.shard = doc_id % 16")
-def o10(spark, d):
-    """Shards drawn with replacement by hash, then a buffered shuffle: counts are reproducible."""
-    from ..sources.shards import resampled
+#: Rows of a shard, of the shuffle's buffer, and streams.
+SHARD_ROWS, BUFFER_ROWS, STREAMS = 64, 256, 4
+
 
-    return resampled(table(spark, d, "documents").select("doc_id", (c("doc_id") % 16).alias("shard")), "shard", 16, 32, seed=3)
+@query("o10_resampled_shards", f"WITH n AS (SELECT max(doc_id) // {SHARD_ROWS} + 1 AS n FROM documents), q AS (SELECT range AS draw, ('0x' || substr(md5('3-' || range), 1, 8))::BIGINT % n AS shard FROM n, range(n)) SELECT doc_id, shard, draw, true AS near FROM documents JOIN q ON q.shard = doc_id // {SHARD_ROWS}")
+def o10(spark, d):
+    """As many shards as there are, drawn with replacement by hash, in four streams, each through a shuffle
+    buffer; near: the row came no more than the buffer's size too early."""
+    from ..sources.shards import buffered_shuffle, resampled, stream_order
+
+    docs = table(spark, d, "documents").select("doc_id", F.expr(f"doc_id div {SHARD_ROWS}").alias("shard"))
+    rows = resampled(docs, "shard", docs.agg(F.max("shard") + 1), seed=3)
+    streams = stream_order(rows, STREAMS, "draw", "doc_id").withColumn("before", F.monotonically_increasing_id())
+    out = buffered_shuffle(streams, BUFFER_ROWS, seed=3).withColumn("after", F.monotonically_increasing_id())
+    return out.select("doc_id", "shard", "draw", (c("before") - c("after") <= BUFFER_ROWS).alias("near"))
 
 
 @query("o11_best_epoch", "SELECT epoch FROM (SELECT user_id AS epoch, count(*) FILTER (WHERE value > 100) AS correct FROM events GROUP BY 1) ORDER BY correct DESC, epoch LIMIT 1")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import sinks as K
-from ..scratch import new_path
-from ..sources import bytestore, matrices, readers, shards
+from ..scratch import new_path, remove
+from ..sources import bytestore, formats, matrices, readers, shards
 from .base import CATALOG_SQL, catalog, query, table
 
 c = F.col
@@ -65,7 +65,7 @@ def sc07(spark, d):
     path = scratch(spark, "tar")
     rows = table(spark, d, "supplier").select(F.expr("s_suppkey div 100").alias("shard"), F.concat(F.lit("s"), "s_suppkey").alias("key"), F.when(c("s_suppkey") % 4 != 0, F.encode("s_name", "utf-8")).alias("jpg"), F.encode("s_name", "utf-8").alias("txt"))
     K.write_tars(rows, path)
-    return bytestore.tar_pairs(spark, f"{path}/*.tar.gz").select("key", "txt")
+    return formats.read(spark, "tar_pairs", f"{path}/*.tar.gz", "key string, txt string")
 
 
 @query("sc09_json_documents", "SELECT c.conv_id, count(*) AS n FROM conversations c GROUP BY 1")
@@ -94,15 +94,22 @@ def sc12(spark, d):
     return table(spark, d, "part").join(known.withColumnRenamed("key", "p_name"), "p_name").agg(F.count("*").alias("n"), F.count_distinct("p_name").alias("keys"))
 
 
-@query("sc14_random_access", "SELECT pos, s_suppkey % 4 AS shard, s_suppkey // 4 AS row, s_name AS data FROM (SELECT *, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS pos FROM supplier) WHERE pos < 20")
+STORE_WIDTH = 24
+
+
+@query("sc14_random_access", "WITH s AS (SELECT o_orderkey % 4 AS shard, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS row, o_orderkey, md5('9-' || o_orderkey) AS h FROM orders), a AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE o_orderkey % 10 = 0) SELECT row_number() OVER (ORDER BY h, o_orderkey) - 1 AS pos, shard, row, 'order ' || o_orderkey AS data FROM a")
 def sc14(spark, d):
-    s = table(spark, d, "supplier")
-    store = s.select((c("s_suppkey") % 4).alias("shard"), F.expr("s_suppkey div 4").alias("row"), F.encode("s_name", "utf-8").alias("data"))
-    asked = s.orderBy("s_acctbal", "s_suppkey").limit(20)
-    from pyspark.sql import Window
+    """Every row of a store of fixed width, asked for in a random order, a tenth of them twice."""
+    from ..operators.hierarchy import dense_ids, places
 
-    asked = asked.select((F.row_number().over(Window.orderBy("s_acctbal", "s_suppkey")) - 1).alias("pos"), (c("s_suppkey") % 4).alias("shard"), F.expr("s_suppkey div 4").alias("row"))
-    return bytestore.read_positions(store, asked).withColumn("data", F.decode("data", "utf-8"))
+    path = scratch(spark, "positions")
+    o = table(spark, d, "orders").select((c("o_orderkey") % 4).alias("shard"), "o_orderkey")
+    K.write_bytes(o.select("shard", c("o_orderkey").alias("page_id"), F.encode(F.rpad(F.concat(F.lit("order "), "o_orderkey"), STORE_WIDTH, " "), "utf-8").alias("data")), path, STORE_WIDTH)
+    stored = places(o, ["shard"], ["o_orderkey"], "row")
+    twice = F.explode(F.when(c("o_orderkey") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    asked = stored.select("shard", "row", F.md5(F.concat(F.lit("9-"), "o_orderkey")).alias("h"), "o_orderkey", twice)
+    asked = dense_ids(asked, ["h", "o_orderkey", "copy"], "pos").select("pos", "shard", "row")
+    return bytestore.read_positions(asked, path, STORE_WIDTH).withColumn("data", F.rtrim(F.decode("data", "utf-8")))
 
 
 @query("sc15_chunk_ranges", "WITH p AS (SELECT o_orderkey % 4 AS shard, o_orderkey // 4 AS row, row_number() OVER (ORDER BY o_orderkey % 4, o_orderkey // 4) - 1 AS pos FROM orders) SELECT pos // 1000 AS chunk, count(*) AS n, CAST(min(pos) AS BIGINT) AS first, arg_min(shard, pos) AS shard, arg_min(row, pos) AS row FROM p GROUP BY 1")
@@ -133,19 +140,26 @@ def sc08(spark, d):
     p = table(spark, d, "pages")
     name = F.when(c("page_id") % 4 != 0, F.md5(F.concat(F.lit("p"), "page_id"))).otherwise(F.concat(F.lit("page-"), "page_id"))
     K.write_tars(p.select((c("page_id") % 3).alias("shard"), name.alias("key"), F.encode("html", "utf-8").alias("jpg"), F.lit(None).cast("binary").alias("txt")), path)
-    m = bytestore.tar_members(spark, f"{path}/*.tar.gz").where("error IS NULL").withColumn("uuid", bytestore.valid_member(c("name")))
-    shard = F.regexp_extract("path", r"(\d+)\.tar\.gz$", 1).cast("long")
-    return m.groupBy(shard.alias("shard")).agg(F.count("*").alias("n"), F.count("uuid").alias("valid"), F.sum(F.when(c("uuid").isNotNull(), F.octet_length("data"))).cast("long").alias("bytes"))
+    m = formats.read(spark, "tar_members", f"{path}/*.tar.gz", "shard string, name string, data binary, error string").where("error IS NULL").withColumn("uuid", bytestore.valid_member(c("name")))
+    return m.groupBy(c("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.count("uuid").alias("valid"), F.sum(F.when(c("uuid").isNotNull(), F.octet_length("data"))).cast("long").alias("bytes"))
+
+
+@query("sc08_one_shard", "SELECT count(*) AS n FROM pages WHERE page_id % 3 = 1")
+def sc08_one(spark, d):
+    """A filter on the shard leaves one archive to be read, and the names alone."""
+    path = scratch(spark, "stream")
+    K.write_tars(table(spark, d, "pages").select((c("page_id") % 3).alias("shard"), F.concat(F.lit("p"), "page_id").alias("key"), F.encode("html", "utf-8").alias("jpg"), F.lit(None).cast("binary").alias("txt")), path)
+    return formats.read(spark, "tar_members", path, "shard string, name string").where("shard = '00001'").agg(F.count("name").alias("n"))
 
 
 @query("sc13_npy_matrices", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
 def sc13(spark, d):
     """A matrix in npy files beside its ids, read back in runs of rows and put together by place."""
     path = scratch(spark, "npy")
-    parts = spark.createDataFrame(matrices.write_npy(table(spark, d, "embeddings"), "vec_id", "embedding", path).toArrow().to_pylist(), "path string, keys string, n long")  # one row for each file
-    rows = matrices.read_npy(spark, f"{path}/*.npy", 4096).select(F.regexp_extract("path", r"part-(\d+)", 1).alias("part"), "row", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("t"))
-    ids = spark.read.text([r["keys"] for r in parts.collect()], wholetext=True).select(F.regexp_extract("_metadata.file_path", r"part-(\d+)", 1).alias("part"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("row", "vec_id"))
-    return rows.join(ids, ["part", "row"]).select(c("vec_id").cast("long").alias("vec_id"), F.round("t", 4).alias("total"))
+    matrices.write_npy(table(spark, d, "embeddings"), "vec_id", "embedding", path).collect()  # one row for each file
+    rows = formats.read(spark, "npy_rows", f"{path}/*.npy", "shard string, row long, v array<double>", chunkBytes="4096").select("shard", "row", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("t"))
+    ids = spark.read.text(f"{path}/*.ids.txt", wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("shard"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("row", "vec_id"))
+    return rows.join(ids, ["shard", "row"]).select(c("vec_id").cast("long").alias("vec_id"), F.round("t", 4).alias("total"))
 
 
 @query("sc17_hub_split", "SELECT event_type, count(*) AS n FROM events WHERE event_id % 10 <> 0 GROUP BY 1")
@@ -165,12 +179,15 @@ def _service(key: int) -> str:
     return f"answer {key}"
 
 
-@query("sc18_cached_lookup", "SELECT DISTINCT c_nationkey, CASE WHEN c_nationkey % 3 = 0 THEN 'cached ' || c_nationkey WHEN c_nationkey % 2 = 1 THEN 'answer ' || c_nationkey END AS hit, c_nationkey % 3 = 0 AS from_cache FROM customer")
+@query("sc18_cached_lookup", "SELECT run, c_nationkey, CASE WHEN c_nationkey % 3 = 0 THEN 'cached ' || c_nationkey WHEN c_nationkey % 2 = 1 THEN 'answer ' || c_nationkey END AS hit, c_nationkey % 3 = 0 OR (run = 2 AND c_nationkey % 2 = 1) AS from_cache FROM (SELECT DISTINCT c_nationkey FROM customer), (VALUES (1), (2)) r(run)")
 def sc18(spark, d):
-    """Answers that a cache holds; the rest are asked for, tried again where that fails, and null in the end."""
+    """Answers that a cache holds; the rest are asked for, tried again where that fails, and null in the end.
+    What the first run got the second has from the cache."""
+    path = scratch(spark, "answers")
     nations = table(spark, d, "customer").select("c_nationkey")
-    cache = nations.distinct().where("c_nationkey % 3 = 0").select("c_nationkey", F.concat(F.lit("cached "), "c_nationkey").alias("hit"))
-    return readers.looked_up(nations, cache, "c_nationkey", _service, "hit", tries=2, pause=0.0)
+    K.upsert_state(nations.distinct().where("c_nationkey % 3 = 0").select("c_nationkey", F.concat(F.lit("cached "), "c_nationkey").alias("hit")), path, "c_nationkey")
+    runs = [readers.answered(nations, path, "c_nationkey", _service, "hit", tries=2, pause=0.0).withColumn("run", F.lit(n)) for n in (1, 2)]
+    return runs[0].unionByName(runs[1])
 
 
 @query("sc20_primary_or_fallback", "SELECT CASE WHEN vec_id % 3 = 0 THEN 'fallback' ELSE 'primary' END AS source, count(*) AS n FROM embeddings GROUP BY 1")
@@ -214,14 +231,23 @@ def sk04(spark, d):
     return spark.createDataFrame([(digest,)], "digest string")
 
 
-@query("sk06_byte_store", "SELECT count(*) AS n, count(*) FILTER (WHERE page_id % 2 = 0) AS even FROM pages")
+PAGE_WIDTH = 256
+
+
+@query("sk06_byte_store", f"WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages), k AS (SELECT page_id, unnest(range(0, CAST(ceil(greatest(octet_length(body), 1) / {PAGE_WIDTH}.0) AS BIGINT))) AS part, hex(body) AS h FROM p) SELECT page_id, part, md5(rpad(substr(h, 1 + part * {2 * PAGE_WIDTH}, {2 * PAGE_WIDTH}), {2 * PAGE_WIDTH}, '0')) AS digest FROM k")
 def sk06(spark, d):
-    """Rows of fixed width packed into files, then cut up again."""
+    """Whole pages cut in rows of fixed width (the last one filled with zero bytes), packed into files, and read
+    back by the places that the index gives."""
+    from ..operators.hierarchy import places
+
     path = scratch(spark, "bytes")
-    rows = table(spark, d, "pages").select(F.pmod("page_id", F.lit(4)).alias("shard"), "page_id", F.rpad(F.concat_ws("|", "page_id", F.lit("")), 16, ".").alias("s"))
-    K.write_bytes(rows.select("shard", "page_id", F.encode("s", "utf-8").alias("data")), path, 16)
-    back = bytestore.byte_rows(spark, f"{path}/*.u8", 16).select(F.regexp_extract(F.decode("data", "utf-8"), r"^(\d+)\|", 1).cast("long").alias("page_id"))
-    return back.agg(F.count("*").alias("n"), F.count_if(c("page_id") % 2 == 0).alias("even"))
+    body = F.hex(F.encode(F.coalesce("html", F.lit("")), "utf-8"))
+    parts = F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.greatest(F.length("h"), F.lit(1)) / (2 * PAGE_WIDTH)).cast("int") - 1), lambda i: F.rpad(F.substring(F.col("h"), i * (2 * PAGE_WIDTH) + 1, F.lit(2 * PAGE_WIDTH)), 2 * PAGE_WIDTH, "0")))
+    rows = table(spark, d, "pages").select(F.pmod("page_id", F.lit(4)).alias("shard"), "page_id", body.alias("h")).select("shard", "page_id", parts.alias("part", "h"))
+    K.write_bytes(rows.select("shard", F.struct("page_id", "part").alias("at"), F.unhex("h").alias("data")), path, PAGE_WIDTH, "at")
+    index = places(rows.select("shard", "page_id", "part"), ["shard"], ["page_id", "part"], "row")
+    back = formats.read(spark, "byte_rows", f"{path}/*.u8", "shard string, row long, data binary", width=str(PAGE_WIDTH)).select(c("shard").cast("long").alias("shard"), "row", F.md5(F.hex("data")).alias("digest"))
+    return index.join(back, ["shard", "row"]).select("page_id", c("part").cast("long").alias("part"), "digest")
 
 
 @query("sk07_success_marker", "SELECT * FROM (VALUES ('first run', true, false, true), ('failed run', false, true, true), ('cleared', false, false, true)) x(state, done, failed, committed)")
@@ -274,9 +300,22 @@ def sk08(spark, d):
     return spark.read.schema(T.StructType([T.StructField("event_id", T.LongType())])).json(path)
 
 
-@query("sk11_state_with_hash", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
+@query("sk11_state_with_hash", "SELECT label, count(*) AS n, 2 AS version FROM embeddings GROUP BY 1")
 def sk11(spark, d):
+    """Two versions of a state for the same keys, a third whose writer ends before its manifest, and a fourth
+    that loses its data: the second is what a reader gets."""
     path = scratch(spark, "state")
-    state = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    K.save_state(state, path, "label")
-    return K.load_state(spark, path, state.select("label"), "label")
+    labels = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+
+    def crash():
+        raise InterruptedError
+
+    for version in (1, 2, 3):
+        try:
+            K.save_state(labels.withColumn("version", F.lit(version)), path, "label", before_swap=crash if version == 3 else None)
+        except InterruptedError:
+            pass
+    K.save_state(labels.withColumn("version", F.lit(4)), path, "label")
+    newest = K.load_state(spark, path).inputFiles()[0]
+    remove(spark, newest)
+    return K.load_state(spark, path, labels.select("label"), "label")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used where one machine runs all and the session names no folder (tests, the bench).
 LOCAL_DIR = "file:///tmp/checkpoints"
@@ -30,3 +30,10 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back: its partitions are fixed and its lineage ends there."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

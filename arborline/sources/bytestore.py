@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tarfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,60 +12,103 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .files import CHUNK_BYTES, batches_of, opened, ranges, read_range, sizes
+from .files import CHUNK_BYTES, opened
 
 NAME = r"^([0-9a-f]{32})\.jpg$"
 
 
 def byte_rows(spark: SparkSession, path: str, width: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(path, row, data): the rows of files of fixed-width records, read in runs of about `chunk_bytes`, so
+    """(path, shard, row, data): the rows of files of fixed-width records, read in runs of about `chunk_bytes`, so
     files may have any size; one whose size is no multiple of the width raises."""
+    from .formats import read
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                data = pa.py_buffer(read_range(r["path"], r["first"] * width, r["n"] * width))
-                rows = pa.Array.from_buffers(pa.binary(width), r["n"], [None, data]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * r["n"]), pa.array(range(r["first"], r["first"] + r["n"]), pa.int64()), rows], names=["path", "row", "data"])
+    return read(spark, "byte_rows", path, width=str(width), chunkBytes=str(chunk_bytes))
 
-    return ranges(sizes(spark, path), width, 0, chunk_bytes).mapInArrow(read, "path string, row long, data binary")
 
+#: Rows between two requested ones that are read rather than skipped, bytes of one read, and bytes of a
+#: file that one task is asked for.
+GAP_ROWS, RUN_BYTES, PART_BYTES = 8, 8 << 20, 64 << 20
 
-def read_positions(store: DataFrame, asked: DataFrame) -> DataFrame:
-    """Random access (shard, row) in the order asked (pos): a join, then the order."""
-    got = asked.join(store, ["shard", "row"], "left")
-    lost = F.raise_error(F.lit("a row is missing")).cast("binary")
-    return got.select("pos", "shard", "row", F.coalesce("data", lost).alias("data")).orderBy("pos")
 
+def runs(rows: list[int], width: int, gap: int = GAP_ROWS, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, last) of the reads that cover sorted rows: neighbours, and rows with a small gap between
+    them, in one, of at most so many bytes."""
+    first = last = None
+    for row in rows:
+        if first is not None and row - last <= gap + 1 and (row - first + 1) * width <= most:
+            last = row
+            continue
+        if first is not None:
+            yield first, last
+        first = last = row
+    if first is not None:
+        yield first, last
 
-def tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, data, error) of the members of tar and tar.gz files.  Each file is a task (gzip cannot
-    be split) and goes by as a stream; where it cannot be read further a row with the error ends it."""
-
-    def members(uri: str) -> Iterator[tuple]:
-        try:
-            store, name = opened(uri)
-            with store.open_input_stream(name, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as t:
-                for m in t:
-                    if m.isfile():
-                        yield uri, m.name, t.extractfile(m).read(), None
-        except (tarfile.TarError, EOFError, OSError) as e:
-            yield uri, None, None, str(e)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def read_exactly(f, at: int, size: int) -> bytes:
+    """So many bytes of an open file: a short read is followed by one of the rest; at its end that raises."""
+    parts = []
+    while size:
+        got = f.read_at(size, at)
+        if not got:
+            raise EOFError(f"the file ends at {at}")
+        parts.append(got)
+        at, size = at + len(got), size - len(got)
+    return b"".join(parts)
+
+
+def read_positions(asked: DataFrame, folder: str, width: int, gap: int = GAP_ROWS, run_bytes: int = RUN_BYTES, part_bytes: int = PART_BYTES, counted=None, ending: str = ".u8") -> DataFrame:
+    """(pos, shard, row, data) for each request (pos, shard, row), in the order of pos: positional reads of
+    the files <shard, five digits><ending> of fixed-width rows.
+
+    Requests go to tasks by parts of the files, are sorted in file order there, and neighbours are read at
+    once; a row that is asked for several times is read once.  Only what is asked for, and gaps of at most
+    `gap` rows, is read; a row beyond the end raises.  counted: an accumulator of the bytes read.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened_files: dict[int, object] = {}
         for b in batches:
-            for uri in b.column(0).to_pylist():
-                yield from batches_of(members(uri), ["path", "name", "data", "error"], [pa.string(), pa.string(), pa.binary(), pa.string()])
+            shard, row = b.column(1).to_numpy(), b.column(2).to_numpy()
+            data: list[bytes | None] = [None] * b.num_rows
+            for own in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(shard)) + 1) if b.num_rows else ():
+                number = int(shard[own[0]])
+                if number not in opened_files:
+                    for f in opened_files.values():
+                        f.close()
+                    store, path = opened(f"{folder}/{number:05d}{ending}")
+                    opened_files = {number: store.open_input_file(path)}
+                at = 0
+                for first, last in runs(np.unique(row[own]).tolist(), width, gap, run_bytes):
+                    got = read_exactly(opened_files[number], first * width, (last - first + 1) * width)
+                    if counted is not None:
+                        counted.add(len(got))
+                    while at < len(own) and row[own[at]] <= last:
+                        start = (int(row[own[at]]) - first) * width
+                        data[own[at]] = got[start : start + width]
+                        at += 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary())], names=["pos", "shard", "row", "data"])
+        for f in opened_files.values():
+            f.close()
+
+    part = F.floor(F.col("row") * width / part_bytes)
+    ordered = asked.select(F.col("pos").cast("long"), F.col("shard").cast("long"), F.col("row").cast("long")).repartition("shard", part).sortWithinPartitions("shard", "row")
+    return ordered.mapInArrow(read, "pos long, shard long, row long, data binary").orderBy("pos")
+
 
-    return sizes(spark, path).select("path").repartition("path").mapInArrow(run, "path string, name string, data binary, error string")
+def tar_members(spark: SparkSession, path: str) -> DataFrame:
+    """(path, shard, name, data, error) of the members of tar and tar.gz files, one partition each (gzip cannot
+    be split); where an archive cannot be read further a row with the error ends it."""
+    from .formats import read
+
+    return read(spark, "tar_members", path)
 
 
 def tar_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(key, jpg, txt): members that share a name up to its ending; samples without both are left out."""
-    m = tar_members(spark, path).where("name IS NOT NULL")
-    part = lambda end: F.max(F.when(F.col("end") == end, F.col("data")))
-    split = m.select("path", F.regexp_extract("name", r"^(.*)\.[^.]+$", 1).alias("key"), F.regexp_extract("name", r"\.([^.]+)$", 1).alias("end"), "data")
-    return split.groupBy("path", "key").agg(part("jpg").alias("jpg"), F.decode(part("txt"), "utf-8").alias("txt")).where("jpg IS NOT NULL AND txt IS NOT NULL").select("key", "jpg", "txt")
+    """(key, jpg, txt): neighbouring members that share a name up to its ending; samples without both are left out."""
+    from .formats import read
+
+    return read(spark, "tar_pairs", path, "key string, jpg binary, txt string")
 
 
 def valid_member(name: Column) -> Column:

@@ -5,10 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes that a task reads at a time.
 CHUNK_BYTES = 32 << 20
@@ -19,31 +16,6 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
 
 
-def sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of the files of a glob; their content is not read."""
-    return spark.read.format("binaryFile").load(path).select("path", "length")
-
-
-def ranges(files: DataFrame, width: str | int, skip: str | int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """files cut in runs of whole records: first and n rows of each, dealt over tasks.
-
-    width: bytes of a record, skip: bytes before the first (columns or numbers).  A file that holds no
-    whole number of records raises.
-    """
-    w, s = (F.lit(x).cast("long") if isinstance(x, int) else F.col(x).cast("long") for x in (width, skip))
-    whole = (F.col("length") - s) % w == 0
-    rows = F.when(whole, F.floor((F.col("length") - s) / w)).otherwise(F.raise_error(F.concat(F.lit("short record in "), "path")).cast("long")).cast("long")
-    step = F.greatest(F.floor(F.lit(chunk_bytes) / w), F.lit(1)).cast("long")
-    cut = files.withColumns({"rows": rows, "step": step}).where("rows > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.col("step"))))
-    return cut.withColumn("n", F.least("step", F.col("rows") - F.col("first"))).drop("rows", "step").repartition("path", "first")
-
-
-def read_range(uri: str, at: int, size: int) -> bytes:
-    store, path = opened(uri)
-    with store.open_input_file(path) as f:
-        return f.read_at(size, at)
-
-
 def write_file(folder: str, name: str, parts: Iterator[bytes]) -> str:
     """A file under a name of its own, moved to its place when it is whole: a task that is lost or tried
     again leaves the same file."""
@@ -57,16 +29,3 @@ def write_file(folder: str, name: str, parts: Iterator[bytes]) -> str:
             f.write(part)
     store.move(own, f"{path}/{name}")
     return f"{folder}/{name}"
-
-
-def batches_of(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of about so many bytes from rows whose byte values are counted."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += sum(len(x) for x in row if isinstance(x, bytes)) + 64
-        if size >= most:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)

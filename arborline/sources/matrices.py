@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.vectors import matrix_of
-from .files import opened, ranges, read_range, sizes, write_file
+from .files import CHUNK_BYTES, opened, write_file
 
 MAGIC = b"\x93NUMPY"
 
@@ -58,19 +58,8 @@ def write_npy(rows: DataFrame, key: str, vec: str, folder: str, dtype: str = "<f
     return rows.select(key, F.col(vec).cast("array<double>").alias("v")).repartitionByRange(key).sortWithinPartitions(key).mapInArrow(pack, "path string, keys string, n long")
 
 
-def read_npy(spark: SparkSession, path: str, chunk_bytes: int = 32 << 20) -> DataFrame:
-    """(path, row, v) of the matrices of a glob, in runs of rows; v is an array of doubles."""
+def read_npy(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(path, shard, row, v) of the matrices of a glob, in runs of rows; v is an array of doubles."""
+    from .formats import read
 
-    def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [header(p) for p in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t.str for t, _, _ in found], pa.string()), pa.array([d for _, d, _ in found], pa.int32()), pa.array([t.itemsize * d for t, d, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.int64())], names=["path", "length", "dtype", "dim", "width", "skip"])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                x = np.frombuffer(read_range(r["path"], r["skip"] + r["first"] * r["width"], r["n"] * r["width"]), np.dtype(r["dtype"])).reshape(r["n"], r["dim"]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * r["n"]), pa.array(range(r["first"], r["first"] + r["n"]), pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], names=["path", "row", "v"])
-
-    files = sizes(spark, path).mapInArrow(about, "path string, length long, dtype string, dim int, width long, skip long")
-    return ranges(files, "width", "skip", chunk_bytes).mapInArrow(read, "path string, row long, v array<double>")
+    return read(spark, "npy_rows", path, chunkBytes=str(chunk_bytes))

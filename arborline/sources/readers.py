@@ -119,3 +119,19 @@ def frozen_keys(spark: SparkSession, path: str, digest: str) -> DataFrame:
     raw = spark.read.format("binaryFile").load(f"{path}/part-*").where("length > 0")
     same = F.when(F.sha2("content", 256) == digest, F.decode("content", "utf-8")).otherwise(F.raise_error(F.lit("the key list has changed")))
     return raw.select(F.explode(F.filter(F.split(same, "\n"), lambda x: x != "")).alias("key"))
+
+
+def answered(asked: DataFrame, path: str, key: str, call, answer: str, tries: int = 4, pause: float = 0.5) -> DataFrame:
+    """looked_up with a cache that is kept: new answers are written to it as a new version before they are
+    returned, so each is asked for once; keys without an answer are not written and are asked for again."""
+    from ..operators.sinks import load_state, upsert_state, versions
+    from ..scratch import written
+
+    spark = asked.sparkSession
+    kind = asked.schema[key].dataType.simpleString()
+    cache = load_state(spark, path) if versions(spark, path) else spark.createDataFrame([], f"{key} {kind}, {answer} string")
+    out = written(looked_up(asked, cache, key, call, answer, tries, pause), "answers")
+    fresh = out.where(~F.col("from_cache") & F.col(answer).isNotNull()).select(key, answer)
+    if fresh.limit(1).count():
+        upsert_state(fresh, path, key)
+    return out
