@@ -238,6 +238,7 @@ def load_state(spark: SparkSession, path: str, keys: DataFrame | None = None, ke
     over for the one before; a sound one for other keys raises, as does a folder without a sound one."""
     import json
 
+    from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
     from pyspark.sql import types as T
 
@@ -247,7 +248,7 @@ def load_state(spark: SparkSession, path: str, keys: DataFrame | None = None, ke
             about = json.loads(_text(spark, f"{path}/manifest-{version:08d}"))
             state = spark.read.schema(T.StructType.fromJson(json.loads(about["schema"]))).parquet(f"{path}/{about['data']}")
             sound = content_hash(state) == about["content"]
-        except (PySparkException, ValueError, KeyError):
+        except (PySparkException, Py4JJavaError, ValueError, KeyError):
             continue
         if sound:
             if h is not None and about["keys"] != f"{h['h']}:{h['n']}":

@@ -92,8 +92,15 @@ def read_positions(asked: DataFrame, folder: str, width: int, gap: int = GAP_ROW
             f.close()
 
     part = F.floor(F.col("row") * width / part_bytes)
-    ordered = asked.select(F.col("pos").cast("long"), F.col("shard").cast("long"), F.col("row").cast("long")).repartition("shard", part).sortWithinPartitions("shard", "row")
-    return ordered.mapInArrow(read, "pos long, shard long, row long, data binary").orderBy("pos")
+    asked = asked.select(F.col("pos").cast("long"), F.col("shard").cast("long"), F.col("row").cast("long"))
+    got = asked.repartition("shard", part).sortWithinPartitions("shard", "row").mapInArrow(read, "pos long, shard long, row long, data binary")
+    # Rows go straight to the partition of their place: a sort would read the files once more for its ranges.
+    ends = asked.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
+    if ends["lo"] is None:
+        return got
+    parts = min(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), ends["hi"] - ends["lo"] + 1)
+    place = F.expr(f"(pos - {ends['lo']}) div {-(-(ends['hi'] - ends['lo'] + 1) // parts)}").cast("int")
+    return got.repartitionById(parts, place).sortWithinPartitions("pos")
 
 
 def tar_members(spark: SparkSession, path: str) -> DataFrame:

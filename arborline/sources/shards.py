@@ -89,8 +89,7 @@ def stream_order(rows: DataFrame, workers: int, draw: str, *within: str) -> Data
     """Draws dealt to workers by turns, each worker's rows in the order of its draws and of the columns
     within: the streams that a buffered shuffle takes.  A worker is a partition."""
     worker = F.pmod(F.col(draw), F.lit(workers)).cast("int")
-    # A range partitioning by the worker's number, as hashes of few numbers collide.
-    return rows.withColumn("_worker", worker).repartitionByRange(workers, "_worker").sortWithinPartitions("_worker", draw, *within).drop("_worker")
+    return rows.withColumn("_worker", worker).repartitionById(workers, "_worker").drop("_worker").sortWithinPartitions(draw, *within)
 
 
 def listed(spark, patterns: list[str]) -> list[str]:
