@@ -63,7 +63,7 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, int]:
         row, k = np.nonzero(may[several])
         d = exact_distances(x[several[row]], centroids[k])
         first = np.full(len(several), -1)
-        best = np.empty(len(several), dtype=d.dtype)
+        best = np.zeros(len(several), dtype=d.dtype)
         for c in range(len(centroids)):  # in the centroids' order, so that the smaller number keeps a tie
             at = k == c
             r, v = row[at], d[at]

@@ -78,9 +78,9 @@ def _passed(blocks: DataFrame, anchors: dict, k: int, tag: str) -> DataFrame:
         best = Best(len(ids if windows is None else windows[0]), k)
         for b in batches:
             for c_ids, c_labels, m in unpacked(b):
-                c_ids, c_labels = c_ids.to_numpy(), c_labels.to_numpy()
                 if m.shape[1] != x.shape[1]:
                     continue
+                c_ids, c_labels, m = c_ids.to_numpy(), c_labels.to_numpy(), m.astype(np.int64)
                 for lo in range(0, len(ids), ANCHOR_ROWS):
                     own = slice(lo, lo + ANCHOR_ROWS)
                     s = exact_products(x[own], m)
@@ -137,7 +137,7 @@ def hard_negatives(vectors: DataFrame, every: int = EVERY, id_col: str = "vec_id
             # No more than WAVE_BYTES of anchors, and their few positives.
             wave = asks.where(F.col("wave_key").isin(keys)).drop("wave_key").toArrow()
             parts = [(i.to_numpy(), lab.to_numpy(), m) for b in wave.to_batches() for i, lab, m in unpacked(b)]
-            ids, labels, x = (np.concatenate(v) for v in zip(*parts, strict=True))
+            ids, labels, x = (np.concatenate(v).astype(np.int64) for v in zip(*parts, strict=True))
             anchors = {"ids": ids, "labels": labels, "rows": x, "windows": None}
             positives = _passed(blocks, anchors, POSITIVES, "negatives-positives")
             p = positives.select("anchor", "rank", "score").toArrow()

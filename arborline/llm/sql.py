@@ -52,25 +52,33 @@ p AS (
       CASE WHEN regexp_matches(s, '^[0-9]+(\.[A-Za-z0-9]+)?$') THEN regexp_replace(s, '^[0-9]+', '{n}')
            WHEN regexp_matches(s, '^[0-9A-Fa-f-]{12,}$') THEN '{x}' ELSE s END) AS segs FROM r),
 labelled AS (SELECT *, coalesce(ruled, CASE WHEN known IN ('allow', 'block') THEN known END) AS label FROM p),
-s AS (SELECT host, segs, count(*) AS n, count(label)::DOUBLE AS l, (count(*) FILTER (WHERE label = 'block'))::DOUBLE AS b FROM labelled GROUP BY ALL),
+s AS (SELECT host, segs, count(*)::DOUBLE AS n, count(label)::DOUBLE AS l, (count(*) FILTER (WHERE label = 'block'))::DOUBLE AS b FROM labelled GROUP BY ALL),
 t AS (
-  SELECT host, segs, n, l, b, 0 AS i, host AS node, sum(l) OVER h AS el, sum(b) OVER h AS eb, sum(l) OVER h AS ln, sum(b) OVER h AS bn, count(*) OVER h AS kinds, false AS ends
-  FROM s WINDOW h AS (PARTITION BY host)
+  SELECT host, segs, n, l, b, 0 AS i, host AS node, (bn + (nn - ln) * 0.5::DOUBLE * 0.2::DOUBLE + 0.2::DOUBLE * 4) / (ln + (nn - ln) * 0.5::DOUBLE + 4) AS e, nn, bn, kinds, false AS ends
+  FROM (SELECT *, sum(n) OVER h AS nn, sum(l) OVER h AS ln, sum(b) OVER h AS bn, count(*) OVER h AS kinds FROM s WINDOW h AS (PARTITION BY host))
   UNION ALL
-  SELECT host, segs, n, l, b, i + 1, below, CASE WHEN ml > 0 THEN ml ELSE el END, CASE WHEN ml > 0 THEN mb ELSE eb END,
-         sum(CASE WHEN c IS NULL THEN 0 ELSE l END) OVER (PARTITION BY below), sum(CASE WHEN c IS NULL THEN 0 ELSE b END) OVER (PARTITION BY below), count(c) OVER (PARTITION BY below), c IS NULL
-  FROM (SELECT *, node || '/' || m AS below, sum(l) OVER (PARTITION BY node, m) AS ml, sum(b) OVER (PARTITION BY node, m) AS mb
-  FROM (SELECT *, CASE WHEN side = '~=' OR (side IS NOT NULL AND (gb * sl - sb * gl) ** 2 <= 4 * gl * sb * (sl - sb)) THEN side ELSE g END AS m
+  SELECT host, segs, n, l, b, i + 1, below, CASE WHEN ways = 1 THEN e ELSE (mb + (mn - ml) * 0.5::DOUBLE * 0.2::DOUBLE + e * 4) / (ml + (mn - ml) * 0.5::DOUBLE + 4) END,
+         sum(CASE WHEN c IS NULL THEN 0 ELSE n END) OVER (PARTITION BY below), sum(CASE WHEN c IS NULL THEN 0 ELSE b END) OVER (PARTITION BY below), count(c) OVER (PARTITION BY below), c IS NULL
+  FROM (SELECT *, node || '/' || m AS below, sum(n) OVER (PARTITION BY node, m) AS mn, sum(l) OVER (PARTITION BY node, m) AS ml, sum(b) OVER (PARTITION BY node, m) AS mb
+  FROM (SELECT * EXCLUDE (m), CASE WHEN gl > 0 OR c IS NULL OR greatest(h0, h1, h2) < 0 THEN m WHEN h0 = greatest(h0, h1, h2) THEN '~=' WHEN h1 = greatest(h0, h1, h2) THEN '~+' ELSE '~-' END AS m
+  FROM (SELECT *, HOLDS0 AS h0, HOLDS1 AS h1, HOLDS2 AS h2
+  FROM (SELECT *, OVERLAP0 AS o0, OVERLAP1 AS o1, OVERLAP2 AS o2
+  FROM (SELECT *, row_number() OVER (PARTITION BY node, g, x) AS nth, sum(n) OVER (PARTITION BY node, g, x) AS u, sum(n) OVER (PARTITION BY node, g) AS own, POOL0, POOL1, POOL2
+  FROM (SELECT *, coalesce(segs[i + 2], '/') AS x, CASE WHEN side = '~=' OR (side IS NOT NULL AND (gb * sl - sb * gl) ** 2 <= 4 * gl * sb * (sl - sb)) THEN side ELSE g END AS m
   FROM (SELECT *, sum(l) OVER (PARTITION BY node, side) AS sl, sum(b) OVER (PARTITION BY node, side) AS sb
   FROM (SELECT *, CASE WHEN gl = 0 THEN NULL WHEN (gb * pl - pb * gl) ** 2 <= 4 * gl * pb * (pl - pb) THEN '~=' WHEN gb * pl > pb * gl THEN '~+' ELSE '~-' END AS side
   FROM (SELECT *, sum(l) OVER (PARTITION BY node, g) AS gl, sum(b) OVER (PARTITION BY node, g) AS gb
   FROM (SELECT *, CASE WHEN c IS NULL THEN '$' WHEN k >= 8 AND kn < 4 * k AND c <> '' THEN '*' ELSE '=' || c END AS g
-  FROM (SELECT *, count(DISTINCT c) OVER (PARTITION BY node) AS k, sum(CASE WHEN c IS NULL THEN 0 ELSE n END) OVER (PARTITION BY node) AS kn, sum(l) OVER (PARTITION BY node) AS pl, sum(b) OVER (PARTITION BY node) AS pb
-  FROM (SELECT *, segs[i + 1] AS c FROM t WHERE NOT ends AND ln > bn AND bn > 0 AND kinds > 1))))))))),
-x AS (SELECT host, segs FROM t WHERE (ends OR ln <= bn OR bn = 0 OR kinds <= 1) AND (eb + 0.8::DOUBLE) / (el + 4) >= 0.5)
+  FROM (SELECT *, count(DISTINCT c) OVER (PARTITION BY node) AS k, count(DISTINCT coalesce(c, '/')) OVER (PARTITION BY node) AS ways, sum(CASE WHEN c IS NULL THEN 0 ELSE n END) OVER (PARTITION BY node) AS kn, sum(l) OVER (PARTITION BY node) AS pl, sum(b) OVER (PARTITION BY node) AS pb
+  FROM (SELECT *, segs[i + 1] AS c FROM t WHERE NOT ends AND bn > 0 AND bn < nn AND kinds > 1))))))))))))),
+x AS (SELECT host, segs FROM t WHERE (ends OR bn = 0 OR bn >= nn OR kinds <= 1) AND e >= 0.5)
 SELECT page_id, labelled.host, path, rule, coalesce(ruled, CASE WHEN x.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM labelled LEFT JOIN x ON labelled.host = x.host AND labelled.segs = x.segs
 """
+for _i, _side in enumerate(("~=", "~+", "~-")):
+    URLS = URLS.replace(f"POOL{_i}", f"sum(CASE WHEN m = '{_side}' AND c IS NOT NULL THEN n ELSE 0 END) OVER (PARTITION BY node, x) AS p{_i}, sum(CASE WHEN m = '{_side}' AND c IS NOT NULL THEN n ELSE 0 END) OVER (PARTITION BY node) AS s{_i}")
+    URLS = URLS.replace(f"OVERLAP{_i}", f"sum(CASE WHEN nth = 1 THEN least(u * s{_i}, p{_i} * own) ELSE 0 END) OVER (PARTITION BY node, g)")
+    URLS = URLS.replace(f"HOLDS{_i}", f"CASE WHEN own >= 10 AND s{_i} >= 10 AND 10 * o{_i} >= 9 * own * s{_i} THEN o{_i} / s{_i} ELSE -1 END")
 ORACLES["op9_url_templates"] = URLS.replace("KNOWN", "NULL::VARCHAR")
 
 ORACLES["op11_dense_negatives"] = """

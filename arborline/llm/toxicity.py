@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 from functools import reduce
 
@@ -43,9 +43,11 @@ _MARKS, _OTHER = re.compile("[̀-ͯ]+"), re.compile(r"[\W_]+")
 #: Labelled rows of each class that the lexicon is learned from, taken by a hash of their ids.
 LABELLED_TOXIC, LABELLED_CLEAN = 4000, 8000
 #: Most candidates that come to the driver, letters of a beginning, least different pairs of an entry,
-#: its least weight, standard errors of the interval, and clean pairs that make an exception.
+#: its least weight, standard errors of the interval, and clean texts that make a phrase an exception.
 MOST_TERMS, SHORTEST, LONGEST, LEAST_PAIRS, LEAST_WEIGHT, ERRORS, LEAST_CLEAN = 20_000, 4, 12, 5, 0.7, 2.0, 5
 FEATURES = 3
+#: The logistic constant where no text is known to be toxic.
+NOTHING_KNOWN = -7.0
 
 
 def fold(text: str | None) -> str:
@@ -85,6 +87,8 @@ class Lexicon:
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic weights (constant first) by Newton's steps, drawn towards zero but for the constant."""
+    if not y.any():
+        return np.array([NOTHING_KNOWN, *[0.0] * x.shape[1]])
     a = np.hstack([np.ones((len(x), 1)), x])
     pull = np.diag([1e-6, *[ridge] * x.shape[1]])
     b = np.zeros(a.shape[1])
@@ -111,18 +115,20 @@ def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic"
 
 
 def word_pairs(texts: DataFrame) -> DataFrame:
-    """Different (toxic, before, word) of texts (toxic, text)."""
+    """(toxic, before, word, texts): the different pairs of neighbouring words of texts (toxic, text), and how many
+    texts have each."""
 
     def run(batches):
         for b in batches:
-            seen: set[tuple[int, str, str]] = set()
+            seen: Counter[tuple[int, str, str]] = Counter()
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = fold(text).split()
-                seen.update((toxic, u, w) for u, w in zip(["", *words], words, strict=False))
+                seen.update({(toxic, u, w) for u, w in zip(["", *words], words, strict=False)})
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen, strict=True), (pa.int32(), pa.string(), pa.string()), strict=True)], names=["toxic", "before", "word"])
+                columns = [*zip(*seen, strict=True), seen.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, columns), (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["toxic", "before", "word", "texts"])
 
-    return texts.select("toxic", "text").mapInArrow(tidied(run), "toxic int, before string, word string").distinct()
+    return texts.select("toxic", "text").mapInArrow(tidied(run), "toxic int, before string, word string, texts long").groupBy("toxic", "before", "word").agg(F.sum("texts").alias("texts"))
 
 
 def weight(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Column:
@@ -164,13 +170,13 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     terms = each.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= LEAST_PAIRS).withColumn("w", weight(F.col("t"), F.col("c"), all_toxic, all_clean))
     top = terms.where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("w"), "term").limit(MOST_TERMS).collect()
     weights = pruned({r["term"]: (r["t"], r["w"]) for r in top})
-    # Phrases of an entry and the word before it that stand in clean texts more than the entry's odds allow.
+    # Phrases of an entry and the word before it that several clean texts have and no toxic one.
     spared = [f"{fold(p)}" for p in exceptions]
     if weights:
         entry = reduce(lambda a, b: a | b, (F.concat(F.lit(" "), F.substring("word", 1, n)).isin([w for w in weights if len(w) == n + 1 and not w.endswith(" ")]) for n in range(SHORTEST, LONGEST + 1)))
         entry = entry | F.concat(F.lit(" "), "word", F.lit(" ")).isin([w for w in weights if w.endswith(" ")])
-        phrases = pairs.where(entry).groupBy("before", F.substring("word", 1, LONGEST).alias("start")).agg(F.count_if(is_toxic).alias("t"), F.count_if(is_clean).alias("c"))
-        spared += [f" {r['before']} {r['start']}" for r in phrases.where((F.col("c") >= LEAST_CLEAN) & (F.col("t") == 0) & (F.col("before") != "")).limit(MOST_TERMS).collect()]
+        phrases = pairs.where(entry).groupBy("before", "word").agg(F.count_if(is_toxic).alias("t"), F.sum(F.when(is_clean, F.col("texts")).otherwise(0)).alias("c"))
+        spared += [f" {r['before']} {r['word']} " for r in phrases.where((F.col("c") >= LEAST_CLEAN) & (F.col("t") == 0) & (F.col("before") != "")).limit(MOST_TERMS).collect()]
     scored = features(texts, "text", weights, spared, "toxic").toArrow()  # the labelled rows' few numbers
     x, y = np.array(scored["features"].to_pylist(), float).reshape(-1, FEATURES), np.array(scored["toxic"].to_pylist(), float)
     return weights, spared, fitted(x, y)
