@@ -12,24 +12,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, words
-
-
-def _fixed(text: str) -> tuple[str, ...]:
-    return tuple(x.strip() for x in text.split("|"))
+from ..scratch import written
 
 
 # The census' word lists, its author connectors, the second cascade's lists and its Latin endings.
-PH_WHOLE = _fixed("sp|sp.|spp|spp.|ssp|ssp.|subsp|subsp.|sp.nov|sp.nov.|sp. nov.|nov|nov.|n.sp.|n. sp.|x|×|xx|xxx|indet|indet.|unknown|unidentified|undetermined|undet.|cf|cf.|aff|aff.|nr|nr.|gen.|spec.|species|ss.|s.l.|s.s.|complex|group|hybrid|cv|cv.|var|var.|f.|form|morph|sect.|subg.|ser.|ined.|na|none|null|-")
-P_LEAD = _fixed("sp|sp.|spp|spp.|ssp.|cf|cf.|aff|aff.|nr|nr.|near|nov.|sp.nov|n.sp.|indet.|subg.|subgen.|sect.|subsect.|ser.|gen.|morph|cv|cv.|ss.|-")
-P_INNER = _fixed("sp|sp.|spp|spp.|prob.")
-S_MARK = _fixed("ssp|ssp.|subsp|subsp.|var|var.|f.|fo.|forma|form|ab.|ab|race|nothosubsp.|nothovar.|subvar.|lusus|morph")
+PH_WHOLE = (
+    "sp", "sp.", "spp", "spp.", "ssp", "ssp.", "subsp", "subsp.", "sp.nov", "sp.nov.", "sp. nov.", "nov", "nov.", "n.sp.", "n. sp.", "x",
+    "×", "xx", "xxx", "indet", "indet.", "unknown", "unidentified", "undetermined", "undet.", "cf", "cf.", "aff", "aff.", "nr", "nr.",
+    "gen.", "spec.", "species", "ss.", "s.l.", "s.s.", "complex", "group", "hybrid", "cv", "cv.", "var", "var.", "f.", "form", "morph",
+    "sect.", "subg.", "ser.", "ined.", "na", "none", "null", "-",
+)
+P_LEAD = (
+    "sp", "sp.", "spp", "spp.", "ssp.", "cf", "cf.", "aff", "aff.", "nr", "nr.", "near", "nov.", "sp.nov", "n.sp.", "indet.", "subg.",
+    "subgen.", "sect.", "subsect.", "ser.", "gen.", "morph", "cv", "cv.", "ss.", "-",
+)
+P_INNER = (
+    "sp", "sp.", "spp", "spp.", "prob.",
+)
+S_MARK = (
+    "ssp", "ssp.", "subsp", "subsp.", "var", "var.", "f.", "fo.", "forma", "form", "ab.", "ab", "race", "nothosubsp.", "nothovar.",
+    "subvar.", "lusus", "morph",
+)
 O_MARK = {"group": "cultivar_or_species_group", "complex": "complex_or_aggregate", "agg.": "complex_or_aggregate", "agg": "complex_or_aggregate", "cv.": "cultivar", "cv": "cultivar", "nom.": "provisional_name", "prov.": "provisional_name", "comb.": "provisional_name", "ined.": "provisional_name", "strain": "strain_or_virus", "virus": "strain_or_virus", "pv.": "strain_or_virus"}
-UNKNOWN_WORDS = _fixed("unknown|unidentified|unident.|indet|indet.|indeterminate|undetermined|undet.")
-CONNECT = _fixed("ex|et|al.|al|in|and|&|von|van|der|den|de|du|la|le|da|di|del|della|dos|das|y|auct.|non|sensu|emend.|hort.")
-PLACEHOLDERS = _fixed("sp|spp|ssp|species|spec|xx|xxx|x|nov|n|indet|undet|ined|unknown|unidentified|undescribed|undefined|cf|aff|nr|near|complex|hybrid|group|agg|prob|cv|morph|cultivar")
-RANK_WORDS = _fixed("subg|subgen|sect|ser|subsect|section|subgenus|series")
+UNKNOWN_WORDS = (
+    "unknown", "unidentified", "unident.", "indet", "indet.", "indeterminate", "undetermined", "undet.",
+)
+CONNECT = (
+    "ex", "et", "al.", "al", "in", "and", "&", "von", "van", "der", "den", "de", "du", "la", "le", "da", "di", "del", "della", "dos",
+    "das", "y", "auct.", "non", "sensu", "emend.", "hort.",
+)
+PLACEHOLDERS = (
+    "sp", "spp", "ssp", "species", "spec", "xx", "xxx", "x", "nov", "n", "indet", "undet", "ined", "unknown", "unidentified",
+    "undescribed", "undefined", "cf", "aff", "nr", "near", "complex", "hybrid", "group", "agg", "prob", "cv", "morph", "cultivar",
+)
+RANK_WORDS = (
+    "subg", "subgen", "sect", "ser", "subsect", "section", "subgenus", "series",
+)
 LATIN_ENDINGS = "a|ae|i|ii|um|us|is|es|ensis|ense|oides|ata|atus|ica|icus|ina|inus|osa|osus|ella|ellus|ana|anus|iae|orum|arum|ior|ius|ia|ea|eus|ens|ans|alis|ale|ilis"
-SPECIES_RANKS = _fixed("SPECIES|SUBSPECIES|VARIETY|FORM|INFRASPECIFIC_NAME")
+SPECIES_RANKS = (
+    "SPECIES", "SUBSPECIES", "VARIETY", "FORM", "INFRASPECIFIC_NAME",
+)
 
 #: Tokens whose dot is no abbreviation of an author.
 DOTTED = tuple(dict.fromkeys([*S_MARK, *O_MARK, *PH_WHOLE, *P_LEAD, *P_INNER]))
@@ -37,15 +59,30 @@ DOTTED = tuple(dict.fromkeys([*S_MARK, *O_MARK, *PH_WHOLE, *P_LEAD, *P_INNER]))
 
 @dataclass
 class Evidence:
-    """What a taxonomy knows: author and epithet tokens with their counts, the author tokens of each
-    genus, and the names of two and of three words.  All tokens are folded."""
+    """What a taxonomy knows, as two tables: tokens with their counts as author and as epithet words, and
+    pairs of a genus and a token (as one text) that stand in the genus' authorship, or are a name of two
+    words.  All tokens are folded; names of three words are a table of their own."""
 
-    authors: DataFrame
-    epithets: DataFrame
-    genus_authors: DataFrame
-    binomials: DataFrame
+    tokens: DataFrame
+    pairs: DataFrame
     trinomials: DataFrame
 
+    @property
+    def authors(self) -> DataFrame:
+        return self.tokens.where("ac > 0").select("token", F.col("ac").alias("n"))
+
+    @property
+    def epithets(self) -> DataFrame:
+        return self.tokens.where("ec > 0").select("token", F.col("ec").alias("n"))
+
+    @property
+    def genus_authors(self) -> DataFrame:
+        return self.pairs.where("ga").select(F.regexp_replace("pair", " [^ ]*$", "").alias("genus"), F.substring_index("pair", " ", -1).alias("token"))
+
+    @property
+    def binomials(self) -> DataFrame:
+        return self.pairs.where("known").select(F.col("pair").alias("name"))
+
 
 def _nonempty(xs: Column) -> Column:
     return F.filter(xs, lambda w: w != "")
@@ -61,24 +98,20 @@ def author_tokens(authority: Column) -> Column:
     return F.array_distinct(F.concat(base, dotted, quoted))
 
 
-def folded(rows: DataFrame, col: str, into: str) -> DataFrame:
-    """rows with the folded form of a column: the function sees each value once."""
-    known = rows.select(col).distinct().select(F.col(col).alias("_raw"), fold(col).alias(into))
-    return rows.join(known, F.col(col) == F.col("_raw"), "left").drop("_raw")
-
-
 def evidence(taxa: DataFrame, rank: str, name: str, authority: str) -> Evidence:
-    """Evidence of a taxonomy's rows.  Rows without a name or an authority give none of that kind.
-    Rows of one authority have the same tokens, which are therefore made once."""
+    """Evidence of a taxonomy's rows, written once.  Rows without a name or an authority give none of that
+    kind.  Rows of one authority have the same tokens, which are therefore made and folded once."""
     named = taxa.where(F.col(authority).isNotNull()).groupBy(F.col(authority).alias("a")).agg(F.count("*").alias("rows"))
-    tokens = folded(named.select("a", F.explode(author_tokens(F.col("a"))).alias("t")), "t", "token").select("a", "token").distinct()
-    authors = tokens.join(named, "a").groupBy("token").agg(F.sum("rows").alias("n"))
-    genera = taxa.where((F.col(rank) == "genus") & F.col(name).isNotNull() & F.col(authority).isNotNull()).select(F.col(name).alias("g"), F.col(authority).alias("a")).distinct()
-    genus_authors = folded(genera, "g", "genus").join(tokens, "a").select("genus", "token").distinct()
+    tokens = named.select("a", "rows", F.explode(author_tokens(F.col("a"))).alias("t")).select("a", "rows", fold("t").alias("token")).distinct()
+    zero, one = F.lit(0).cast("long"), F.lit(True)
     w = taxa.where(F.col(name).isNotNull()).select(F.split(F.lower(name), " ").alias("w")).where(F.size("w") >= 2)
-    epithets = folded(w.select(F.explode(_nonempty(F.slice("w", F.lit(2), F.size("w")))).alias("e")).groupBy("e").agg(F.count("*").alias("k")), "e", "token").groupBy("token").agg(F.sum("k").alias("n"))
-    first = lambda k: folded(w.where(F.size("w") >= k).select(F.array_join(F.slice("w", 1, k), " ").alias("b")).distinct(), "b", "name").select("name").distinct()
-    return Evidence(authors, epithets, genus_authors, first(2), first(3))
+    epithets = w.select(F.explode(_nonempty(F.slice("w", F.lit(2), F.size("w")))).alias("e")).groupBy("e").agg(F.count("*").alias("k"))
+    counts = tokens.select("token", F.col("rows").alias("ac"), zero.alias("ec")).unionByName(epithets.select(fold("e").alias("token"), zero.alias("ac"), F.col("k").alias("ec")))
+    genera = taxa.where((F.col(rank) == "genus") & F.col(name).isNotNull() & F.col(authority).isNotNull()).select(F.col(name).alias("g"), F.col(authority).alias("a")).distinct()
+    first = lambda k: w.where(F.size("w") >= k).select(F.array_join(F.slice("w", 1, k), " ").alias("b")).distinct().select(fold("b").alias("b"))
+    authorship = genera.join(tokens.select("a", "token"), "a").select(F.concat_ws(" ", fold("g"), "token").alias("pair"), one.alias("ga"), F.lit(False).alias("known"))
+    pairs = authorship.unionByName(first(2).select(F.col("b").alias("pair"), F.lit(False).alias("ga"), one.alias("known"))).groupBy("pair").agg(F.bool_or("ga").alias("ga"), F.bool_or("known").alias("known"))
+    return Evidence(written(counts.groupBy("token").agg(F.sum("ac").alias("ac"), F.sum("ec").alias("ec")), "census-tokens"), written(pairs, "census-pairs"), first(3).select(F.col("b").alias("name")).distinct())
 
 
 def suffix_evidence(names: DataFrame, epithet: str) -> DataFrame:
@@ -108,15 +141,11 @@ def author_reasons(names: DataFrame, genus: str, epithet: str, ev: Evidence, suf
     rows = names.select(F.col(genus).alias("genus"), F.col(epithet).alias("epithet")).distinct().where("genus IS NOT NULL AND epithet IS NOT NULL")
     rows = rows.select("genus", "epithet", F.size(words_).alias("size"), F.posexplode(words_).alias("pos", "w"))
     rows = rows.withColumn("t", F.when(F.col("pos") == 0, _bare(F.col("w"))).otherwise(F.col("w"))).where("pos > 0 OR t <> ''")
-    rows = folded(folded(rows, "t", "ft"), "genus", "g").withColumn("b", F.concat_ws(" ", "g", "ft"))
-    flag = lambda name: F.lit(True).alias(name)
-    j = rows.join(ev.authors.select(F.col("token").alias("ft"), F.col("n").alias("ac")), "ft", "left")
-    j = j.join(ev.epithets.select(F.col("token").alias("ft"), F.col("n").alias("ec")), "ft", "left")
-    j = j.join(ev.genus_authors.select(F.col("genus").alias("g"), F.col("token").alias("ft"), flag("ga")), ["g", "ft"], "left")
-    j = j.join(ev.binomials.select(F.col("name").alias("b"), flag("known")), "b", "left")
+    rows = rows.withColumns({"ft": fold("t"), "g": fold("genus")}).withColumn("pair", F.concat_ws(" ", "g", "ft"))
+    j = rows.join(ev.tokens.withColumnRenamed("token", "ft"), "ft", "left").join(ev.pairs, "pair", "left")
     j = j.join(suffixes.select(F.col("suffix").alias("t"), "n_first"), "t", "left")
     t, later = F.col("t"), F.col("pos") >= 1
-    ac, ec, fresh = F.coalesce("ac", F.lit(0)), F.coalesce("ec", F.lit(0)), later_or_new(F.col("pos"), F.col("known"))
+    ac, ec, fresh = F.coalesce("ac", F.lit(0)), F.coalesce("ec", F.lit(0)), later | ~F.coalesce("known", F.lit(False))
     ends = later & (F.col("pos") == F.col("size") - 1)
     suffix = ((F.col("n_first") >= 3) & (ac >= 1) & (ac >= ec)) | ((F.col("n_first") >= 5) & (ec <= 2))
     reason = (
@@ -135,11 +164,6 @@ def author_reasons(names: DataFrame, genus: str, epithet: str, ev: Evidence, suf
     return hits.groupBy("genus", "epithet").agg(F.min(F.struct("pos", "reason")).alias("f")).select("genus", "epithet", "f.pos", "f.reason")
 
 
-def later_or_new(pos: Column, known: Column) -> Column:
-    """After the first word, or no known name of the genus."""
-    return (pos >= 1) | known.isNull()
-
-
 def classified(names: DataFrame, genus: str, epithet: str, ev: Evidence, suffixes: DataFrame) -> DataFrame:
     """(genus, epithet, category, subtype, reason, hybrid, epithet_part), one row for each distinct name.
 
@@ -149,7 +173,10 @@ def classified(names: DataFrame, genus: str, epithet: str, ev: Evidence, suffixe
     rows = names.select(F.col(genus).alias("genus"), F.col(epithet).alias("epithet")).distinct().where("genus IS NOT NULL AND epithet IS NOT NULL")
     rows = rows.join(author_reasons(rows, "genus", "epithet", ev, suffixes), ["genus", "epithet"], "left")
     s = F.col("epithet")
-    raw, (toks, hybrid) = F.split(s, " "), _tokens(s)
+    words_, sign = _tokens(s)
+    # Columns of their own: each is made once, and stands in many rules.
+    rows = rows.withColumns({"raw": F.split(s, " "), "toks": words_, "sign": sign})
+    raw, toks, hybrid = F.col("raw"), F.col("toks"), F.col("sign")
     rest = lambda w: F.slice(w, F.lit(2), F.size(w))
     inner = F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 2, F.lit(0)))
     among = lambda w, names_: F.exists(w, lambda t: t.isin(*names_))
@@ -185,7 +212,7 @@ def classified(names: DataFrame, genus: str, epithet: str, ev: Evidence, suffixe
     found = F.struct(F.lit("O").alias("category"), F.lit("other").alias("subtype"))
     for when, cat, sub in reversed(rules):
         found = F.when(when, F.struct(F.lit(cat).alias("category"), (F.lit(sub) if isinstance(sub, str) else sub).alias("subtype"))).otherwise(found)
-    out = rows.withColumn("k", found)
+    out = rows.withColumn("k", found).select("genus", "epithet", "pos", "reason", "raw", "toks", "sign", "k")
     author = F.col("k.category") == "A"
     part = F.when(F.col("k.subtype") == "epithet_plus_author", F.array_join(F.slice(toks, F.lit(1), F.col("pos")), " "))
     early = F.col("k.subtype").isin("bare_token", "bare_number", "question_mark", "undescribed_or_undefined", "qualified_or_rank_marker", "either_or", "inner_sp_or_prob", "machine_tag", "numeral_epithet", "hybrid_formula") | s.rlike("virus|viroid|phytoplasma") | among(raw, ("strain", "pv.", "bv."))
@@ -204,13 +231,12 @@ def overridden(names: DataFrame, ev: Evidence, answers: DataFrame) -> DataFrame:
     species = answers.where("rank IS NULL").select(F.col("name").alias("_name"), F.col("kingdom").alias("_kingdom"), F.coalesce(real, F.lit(False)).alias("is_species")).groupBy("_name", "_kingdom").agg(F.max("is_species").alias("is_species"))
     wrote = F.regexp_replace(F.lower(F.substring("scientific", F.length("canonical") + 1, F.length("scientific"))), r"[()\[\],;&:\p{Nd}]", " ")
     genera = answers.where("rank = 'GENUS' AND scientific IS NOT NULL AND canonical IS NOT NULL").select(F.col("name").alias("_genus"), F.col("kingdom").alias("_kingdom"), F.explode(_nonempty(F.split(wrote, r"\s+"))).alias("_t"))
-    genera = folded(genera, "_t", "_ft").select("_genus", "_kingdom", "_ft").distinct().withColumn("in_authorship", F.lit(True))
-    rows = folded(folded(names, "epithet", "_fe"), "genus", "_fg").withColumns({"_name": F.concat_ws(" ", "genus", "epithet"), "_b": F.concat_ws(" ", "_fg", F.regexp_replace("_fe", "^×+", ""))})
+    genera = genera.select("_genus", "_kingdom", fold("_t").alias("_ft")).distinct().withColumn("in_authorship", F.lit(True))
+    rows = names.withColumns({"_fe": fold("epithet"), "_fg": fold("genus")}).withColumns({"_name": F.concat_ws(" ", "genus", "epithet"), "_b": F.concat_ws(" ", "_fg", F.regexp_replace("_fe", "^×+", ""))})
     j = rows.join(species, (rows["_name"] == species["_name"]) & (rows["kingdom"] == species["_kingdom"]), "left").drop(species["_name"], species["_kingdom"])
     j = j.join(genera, (j["genus"] == genera["_genus"]) & (j["kingdom"] == genera["_kingdom"]) & (j["_fe"] == genera["_ft"]), "left")
-    j = j.join(ev.authors.select(F.col("token").alias("_a"), F.col("n").alias("ac")), F.col("_fe") == F.col("_a"), "left")
-    j = j.join(ev.epithets.select(F.col("token").alias("_e"), F.col("n").alias("ec")), F.col("_fe") == F.col("_e"), "left")
-    j = j.join(ev.binomials.select(F.col("name").alias("_n"), F.lit(True).alias("known")), F.col("_b") == F.col("_n"), "left")
+    j = j.join(ev.tokens.withColumnRenamed("token", "_a"), F.col("_fe") == F.col("_a"), "left")
+    j = j.join(ev.pairs.where("known").select(F.col("pair").alias("_n"), "known"), F.col("_b") == F.col("_n"), "left")
     ac, ec, is_species = F.coalesce("ac", F.lit(0)), F.coalesce("ec", F.lit(0)), F.coalesce("is_species", F.lit(False))
     clean = (F.col("category") == "A") & (F.col("subtype") == "author_only_single") & F.col("reason").isin("genus_authority", "author_name") & is_species
     weak = (F.col("category") == "C") & (F.col("subtype") == "single_word") & F.col("known").isNull() & (ac >= 5) & (ac >= 20 * ec)
@@ -226,12 +252,12 @@ def epithet_like(t: Column, ac: Column, ec: Column) -> Column:
     return ~w.isin(*PLACEHOLDERS) & (F.char_length(w) >= 3) & w.rlike(r"^[a-zà-ÿ][a-zà-ÿ-]*$") & ~((ac >= 1) & ((ec == 0) | (ac >= 5 * (ec + 1))))
 
 
-def drop_reasons(names: DataFrame, authors: DataFrame, epithets: DataFrame, species: DataFrame) -> DataFrame:
+def drop_reasons(names: DataFrame, tokens: DataFrame, species: DataFrame) -> DataFrame:
     """names with `reason_to_drop`: why no real epithet stands in a name that the census did not find
     clean, or null where one does.
 
-    names: (genus, epithet, category, subtype, ...); authors, epithets: (token, n); species: (genus,
-    word), lower-cased, the known species of each genus.
+    names: (genus, epithet, category, subtype, ...); tokens: (token, ac, ec), counts as author and as
+    epithet words; species: (genus, word), lower-cased, the known species of each genus.
     """
     s, sub, cat = F.trim("epithet"), F.col("subtype"), F.col("category")
     base = names.select("genus", "epithet", "category", "subtype").distinct()
@@ -240,10 +266,8 @@ def drop_reasons(names: DataFrame, authors: DataFrame, epithets: DataFrame, spec
     stem = F.regexp_replace(s, r"\.+$", "")
     all_words = F.concat(F.transform(words(source), lambda t, i: F.struct(i.alias("at"), t.alias("t"))), F.array(F.struct(F.lit(-1).alias("at"), stem.alias("t"))))
     rows = base.select("genus", "epithet", "category", "subtype", F.explode(all_words).alias("x")).select("genus", "epithet", "category", "subtype", "x.at", "x.t").withColumn("bare", F.regexp_replace("t", r"^\p{Nd}+-", ""))
-    counts = lambda df, key, as_: df.select(F.col("token").alias(key), F.col("n").alias(as_))
     # Counts of the bare word decide whether it is like an epithet, counts of the word as it stands whether it is known.
-    j = rows.join(counts(authors, "bare", "ac"), "bare", "left").join(counts(epithets, "bare", "bec"), "bare", "left")
-    j = j.join(counts(epithets, "t", "ec"), "t", "left").join(counts(authors, "t", "tac"), "t", "left")
+    j = rows.join(tokens.toDF("bare", "ac", "bec"), "bare", "left").join(tokens.toDF("t", "tac", "ec"), "t", "left")
     j = j.join(species.select(F.col("genus").alias("_g"), F.col("word").alias("t"), F.lit(True).alias("known")).distinct().withColumnRenamed("t", "_t"), (F.lower("genus") == F.col("_g")) & (F.col("t") == F.col("_t")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     like, used, latin = epithet_like(F.col("t"), zero("ac"), zero("bec")), zero("ec") >= 1, F.col("t").rlike(f"^.{{2,}}({LATIN_ENDINGS})$")

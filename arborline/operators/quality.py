@@ -89,6 +89,11 @@ def options_agree(caption_col: str, drop_table: str | None) -> bool:
     return drop_table is None or caption_col == "caption"
 
 
+def options_agree_col(caption_col: Column, drop_table: Column) -> Column:
+    """The same of columns, for settings of many runs."""
+    return drop_table.isNull() | F.coalesce(caption_col == "caption", F.lit(False))
+
+
 def has_column(df: DataFrame, col: str) -> bool:
     return col in df.columns
 

@@ -10,9 +10,21 @@ def linear_decay(t: Column, horizon: int) -> Column:
     return F.greatest(F.lit(0.0), 1 - t / F.lit(float(horizon)))
 
 
-def warmup_cosine(t: Column, warmup: int, total: int) -> Column:
+def warmup_cosine(t: Column, warmup: int | Column, total: int | Column) -> Column:
     """Linear up to 1 over `warmup` steps, then half a cosine down to 0."""
-    return F.when(t < warmup, (t + 1) / F.lit(float(warmup))).otherwise(0.5 * (1 + F.cos(F.pi() * (t - warmup) / (total - warmup))))
+    w, n = (x if isinstance(x, Column) else F.lit(x) for x in (warmup, total))
+    return F.when(t < w, (t + 1) / w.cast("double")).otherwise(0.5 * (1 + F.cos(F.pi() * (t - w) / (n - w))))
+
+
+def position_angles(pos: Column, size: int) -> Column:
+    """The angles of a position of a table of `size` columns: half sines, half cosines of them."""
+    return F.transform(F.sequence(F.lit(0), F.lit(size // 2 - 1)), lambda i: pos / F.pow(F.lit(10000.0), i * 2 / size))
+
+
+def looked_at(t: Column, every: int | None = None, window: tuple[int, int] | None = None) -> Column:
+    """Whether a step is one of every so many, or lies in a window (its ends included)."""
+    regular = t % every == 0 if every else F.lit(False)
+    return regular | t.between(*window) if window else regular
 
 
 def center_crop(w: Column, h: Column, size: int) -> dict[str, Column]:

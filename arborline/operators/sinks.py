@@ -9,9 +9,11 @@ import re
 import tarfile
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..sources.files import opened, write_file
 from ..sources.readers import NULL
@@ -33,6 +35,21 @@ def guard(path: str, forbidden: str) -> str:
     return path
 
 
+def guarded(rows: DataFrame, col: str, forbidden: str, name: str = "allowed") -> DataFrame:
+    """rows with a column that tells whether each path may be written."""
+    def allowed(path: str) -> bool:
+        try:
+            return bool(guard(path, forbidden))
+        except ValueError:
+            return False
+
+    @pandas_udf("boolean")
+    def check(s: pd.Series) -> pd.Series:
+        return s.map(allowed, na_action="ignore")
+
+    return rows.withColumn(name, check(col))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Quotes in values are doubled; an empty value is a pair of quotes, a missing one NULL."""
     df.write.csv(path, header=True, nullValue=NULL, emptyValue='""', escape='"')

@@ -126,16 +126,42 @@ def f16(spark, d):
     return Q.keep_first(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
 
 
-@query("f17_option_conflicts", "SELECT 'caption' AS caption_col, 'list.parquet' AS drop_table, true AS accepted UNION ALL SELECT 'title', 'list.parquet', false UNION ALL SELECT 'title', NULL, true")
+OPTIONS_SQL = "o AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'caption' ELSE 'title' END AS caption_col, CASE WHEN s_suppkey % 2 = 0 THEN 'list.parquet' END AS drop_table FROM supplier)"
+
+
+@query("f17_option_conflicts", f"WITH {OPTIONS_SQL} SELECT s_suppkey, drop_table IS NULL OR caption_col = 'caption' AS accepted FROM o")
 def f17(spark, d):
-    options = [("caption", "list.parquet"), ("title", "list.parquet"), ("title", None)]
-    return spark.createDataFrame([(a, b, Q.options_agree(a, b)) for a, b in options], "caption_col string, drop_table string, accepted boolean")
+    """Settings of many runs: a drop list only goes with the column that it was made for."""
+    rows = table(spark, d, "supplier").select("s_suppkey", F.when(c("s_suppkey") % 3 == 0, "caption").otherwise("title").alias("caption_col"), F.when(c("s_suppkey") % 2 == 0, "list.parquet").alias("drop_table"))
+    return rows.select("s_suppkey", Q.options_agree_col(c("caption_col"), c("drop_table")).alias("accepted"))
 
 
-@query("f18_column_check", "SELECT 'text' AS col, true AS present UNION ALL SELECT 'caption', false")
+@query("f18_column_check", "SELECT shard, CASE WHEN shard % 2 = 0 THEN 'text' ELSE 'caption' END AS col, n FROM (SELECT doc_id % 4 AS shard, count(text) AS n FROM documents GROUP BY 1)")
 def f18(spark, d):
+    """Shards whose caption stands in one of two columns: the first that the shard's schema has is read."""
+    from ..scratch import new_path
+
+    path = new_path(spark, "columns")
+    docs = table(spark, d, "documents")
+    out = None
+    for shard in range(4):
+        docs.where(c("doc_id") % 4 == shard).select("doc_id", c("text").alias("text" if shard % 2 == 0 else "caption")).write.parquet(f"{path}/{shard}")
+        one = spark.read.parquet(f"{path}/{shard}")
+        col = next(x for x in ("text", "caption") if Q.has_column(one, x))
+        one = one.agg(F.lit(shard).cast("long").alias("shard"), F.lit(col).alias("col"), F.count(col).alias("n"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("ud03_predicates", "SELECT count(*) FILTER (WHERE length(text) >= 200) AS long, count(*) FILTER (WHERE lang IN ('en', 'de')) AS two, count(*) FILTER (WHERE length(text) >= 200 AND lang IN ('en', 'de') AND doc_id % 3 <> 0) AS all_three FROM documents")
+def ud03(spark, d):
+    """Predicates as functions of a row's columns, by name, alone and together."""
+    from functools import reduce
+
     docs = table(spark, d, "documents")
-    return spark.createDataFrame([(x, Q.has_column(docs, x)) for x in ("text", "caption")], "col string, present boolean")
+    tests = {"long": lambda r: F.length(r["text"]) >= 200, "two": lambda r: r["lang"].isin("en", "de"), "third": lambda r: r["doc_id"] % 3 != 0}
+    held = {k: f(docs) for k, f in tests.items()}
+    return docs.agg(F.count_if(held["long"]).alias("long"), F.count_if(held["two"]).alias("two"), F.count_if(reduce(lambda a, b: a & b, held.values())).alias("all_three"))
 
 
 @query("f19_membership_and_negation", "SELECT 'in' AS side, count(*) AS n FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) UNION ALL SELECT 'out', count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_acctbal > 5000 AND s_nationkey = c_nationkey)")

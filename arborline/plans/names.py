@@ -155,9 +155,9 @@ SELECT genus, epithet, category, subtype, CASE WHEN category = 'C' THEN NULL
     WHEN head IN ('morph', 'cv') OR starts_with(epithet, '- ') OR starts_with(epithet, '''') THEN 'morph label, cultivar marker or cultivar name' END END AS reason_to_drop FROM h""",
 )
 def c05(spark, d):
-    ev = evidence(spark, d)
+    ev, rows = evidence(spark, d), names(spark, d)
     species = ev.binomials.select(F.split_part("name", F.lit(" "), F.lit(1)).alias("genus"), F.split_part("name", F.lit(" "), F.lit(2)).alias("word"))
-    return C.drop_reasons(classes(spark, d), ev.authors, ev.epithets, species)
+    return C.drop_reasons(C.classified(rows, "genus", "epithet", ev, C.suffix_evidence(rows, "epithet")), ev.tokens, species)
 
 
 ANSWERS = f"""answers AS (SELECT {ANSWER} AS name, NULL::VARCHAR AS rank, {KINGDOM} AS kingdom, CASE WHEN p_size % 3 = 0 THEN 'FUZZY' ELSE 'EXACT' END AS match_type, 'SPECIES' AS taxon_rank, CASE WHEN p_size % 5 = 0 THEN 'DOUBTFUL' ELSE 'ACCEPTED' END AS status, NULL::VARCHAR AS scientific, NULL::VARCHAR AS canonical FROM part WHERE p_partkey % 50 IN (13, 48)
@@ -182,7 +182,9 @@ def c06(spark, d):
     species = p.where("p_partkey % 50 IN (13, 48)").select(F.expr(ANSWER).alias("name"), none.alias("rank"), F.expr(KINGDOM).alias("kingdom"), F.when(c("p_size") % 3 == 0, "FUZZY").otherwise("EXACT").alias("match_type"), F.lit("SPECIES").alias("taxon_rank"), F.when(c("p_size") % 5 == 0, "DOUBTFUL").otherwise("ACCEPTED").alias("status"), none.alias("scientific"), none.alias("canonical"))
     genera = p.select(F.expr(GENUS), F.lit("GENUS"), F.expr(KINGDOM), F.lit("EXACT"), F.lit("GENUS"), F.lit("ACCEPTED"), F.concat(F.expr(GENUS), F.lit(" (Économy & Weldon, 1758)")), F.expr(GENUS))
     kingdoms = names(spark, d).select("genus", "epithet", "kingdom").distinct()
-    return C.overridden(classes(spark, d).join(kingdoms, ["genus", "epithet"]), evidence(spark, d), species.union(genera))
+    rows, ev = names(spark, d), evidence(spark, d)
+    found = C.classified(rows, "genus", "epithet", ev, C.suffix_evidence(rows, "epithet"))
+    return C.overridden(found.join(kingdoms, ["genus", "epithet"]), ev, species.union(genera))
 
 
 KEYED = "keyed AS (SELECT n.genus || '|' || n.epithet AS key, n.split, cls.category, cls.subtype FROM names n JOIN cls ON cls.genus = n.genus AND cls.epithet = n.epithet), per AS (SELECT key, category, subtype, count(*) FILTER (WHERE split = 'train') AS tr, count(*) FILTER (WHERE split = 'val') AS va FROM keyed GROUP BY ALL)"

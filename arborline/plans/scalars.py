@@ -97,18 +97,32 @@ def x17(spark, d):
     return table(spark, d, "documents").select("doc_id", *[F.array_join(X.reduce_tokens(w, 8, how, c("doc_id")), " ").alias(how) for how in ("random", "shuffle", "simple")])
 
 
-MERGES = [("a", "s"), ("e", "r"), ("i", "n"), ("in", "g</w>"), ("o", "l"), ("b", "ol"), ("bol", "t</w>"), ("w", "i"), ("r", "e"), ("re", "d</w>")]
+def merge_file(spark, d) -> str:
+    """A merge file by a rule: what joins each word of the parts' names from its left, in the order of length and
+    text; written as tables of this kind are (a head line, gzip)."""
+    import gzip
 
+    from ..functions.wordbpe import END
+    from ..scratch import new_path
+    from ..sources.files import write_file
 
-@query("x15_word_bpe")
+    words = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).where(F.length("w") > 1)
+    at = F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("n")
+    pair = F.concat_ws(" ", F.expr("left(w, n)"), F.concat(F.substring("w", c("n") + 1, F.lit(1)), F.when(c("n") == F.length("w") - 1, END).otherwise("")))
+    lines = [r["m"] for r in words.select("w", at).select(pair.alias("m")).distinct().orderBy(F.length("m"), "m").toLocalIterator()]  # a vocabulary
+    return write_file(new_path(spark, "merges"), "names.gz", iter([gzip.compress("\n".join(["#version: 1", *lines, ""]).encode(), mtime=0)]))
+
+
+@query("x15_word_bpe", "SELECT p_partkey, array_to_string(regexp_extract_all(p_name || ', ' || p_type, '[[:alpha:]]+|[0-9]|[^[:space:][:alnum:]]+'), ' ') || ' ' AS decoded, true AS fits FROM part")
 def x15(spark, d):
-    """Ids of words with an end sign, and the text that they decode to."""
-    from ..functions.wordbpe import WordBpe, encoder
+    """Texts encoded by a merge file and decoded again; fits: a name has an id for each word at least, and fewer
+    than signs, as its own words gave the merges."""
+    from ..functions.wordbpe import decoder, encoder
 
-    bpe = WordBpe(MERGES)
-    table_ = F.array(*[F.lit(t) for t in bpe.tokens])  # a few hundred tokens
-    ids = table(spark, d, "part").select("p_partkey", "p_name", encoder(MERGES)(F.concat("p_name", F.lit(", "), "p_type")).alias("ids"))
-    return ids.select("p_partkey", "ids", F.array_join(F.transform("ids", lambda i: F.element_at(table_, i + 1)), "").alias("tokens"))
+    merges = merge_file(spark, d)
+    encode = encoder(merges)
+    ids = table(spark, d, "part").select("p_partkey", encode(F.concat("p_name", F.lit(", "), "p_type")).alias("ids"), "p_name", encode(F.lower("p_name")).alias("own"), F.split("p_name", " ").alias("words"))
+    return ids.select("p_partkey", decoder(merges)("ids").alias("decoded"), ((F.size("own") >= F.size("words")) & (F.size("own") < F.length("p_name"))).alias("fits"))
 
 
 X18_SQL = "SELECT p_partkey, list_transform(range(1, 1 + p_size % 9), lambda i: CASE WHEN i % 4 = 0 THEN 50 ELSE i END) AS ids FROM part"
@@ -124,6 +138,7 @@ def x18(spark, d):
     return p.select("p_partkey", join(X.padded(c("t"), 6)).alias("ids"), F.array_join(X.attention_mask(c("t"), 6).cast("array<string>"), "").alias("mask"), join(X.without_separators(c("t"), 50)).alias("bare"), join(X.class_last(c("t"), 6, 98, 99, 97)).alias("clips"))
 
 
+# Text templates of classes.
 TEMPLATES = ("a photo of a {}.", "a drawing of the {}.", "many {}.")
 
 
@@ -141,10 +156,11 @@ def x20(spark, d):
     return table(spark, d, "pages").select("page_id", name.alias("name")).select("page_id", ok.alias("valid"), F.when(ok, F.substring("name", 1, 32)).alias("uuid"))
 
 
-@query("x21_scientific", "SELECT * FROM (VALUES (1, '1e-4'), (2, '1.5e+1'), (3, '2e+0'), (4, '3.25e-10')) x(k, s)")
+@query("x21_scientific", "WITH v AS (SELECT l_orderkey, l_linenumber, l_linenumber * 8 + l_orderkey % 8 AS m, l_orderkey % 25 - 12 AS e FROM lineitem), w AS (SELECT *, CASE WHEN m >= 10 THEN e + 1 ELSE e END AS x, CASE WHEN m % 10 = 0 OR m < 10 THEN CASE WHEN m >= 10 THEN m // 10 ELSE m END::VARCHAR ELSE (m // 10) || '.' || (m % 10) END AS s FROM v) SELECT l_orderkey, l_linenumber, s || 'e' || CASE WHEN x < 0 THEN '-' ELSE '+' END || abs(x) AS s FROM w")
 def x21(spark, d):
-    rows = spark.createDataFrame([(1, 1e-4), (2, 15.0), (3, 2.0), (4, 3.25e-10)], "k int, x double")
-    return rows.select("k", X.scientific(c("x")).alias("s"))
+    """Numbers of one or two digits at every power of ten."""
+    text = F.concat((c("l_linenumber") * 8 + c("l_orderkey") % 8).cast("string"), F.lit("e"), (c("l_orderkey") % 25 - 12).cast("string"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.scientific(text.cast("double")).alias("s"))
 
 
 @query("x23_digests", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
@@ -162,19 +178,34 @@ def m06(spark, d):
     return table(spark, d, "events").select("event_id", F.greatest(F.least("value", F.lit(100.0)), F.lit(10.0)).alias("x"))
 
 
-@query("m09_schedules", "SELECT t, greatest(0.0, 1 - t / 40.0) AS linear, CASE WHEN t < 10 THEN 'warm' WHEN t < 30 THEN 'main' ELSE 'cool' END AS phase FROM (SELECT range AS t FROM range(50))")
+#: Steps of a user's run: events in order.
+STEPS_SQL = "t AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
+
+
+def steps(spark, d):
+    from pyspark.sql import Window
+
+    user = Window.partitionBy("user_id")
+    return table(spark, d, "events").select("event_id", "user_id", "value", (F.row_number().over(user.orderBy("ts", "event_id")) - 1).alias("t"), F.count("*").over(user).alias("n"))
+
+
+@query("m09_schedules", f"WITH {STEPS_SQL} SELECT event_id, round(greatest(0.0, 1 - t / 40.0) * value, 6) AS weighted, CASE WHEN t < 10 THEN 'warm' WHEN t < 30 THEN 'main' ELSE 'cool' END AS phase FROM t")
 def m09(spark, d):
+    """Each value of a run weighed by a schedule that falls over its first forty steps, and its phase."""
     from ..operators.schedules import linear_decay
 
-    t = spark.range(50).withColumnRenamed("id", "t")
-    return t.select("t", linear_decay(c("t"), 40).alias("linear"), F.when(c("t") < 10, "warm").when(c("t") < 30, "main").otherwise("cool").alias("phase"))
+    t = steps(spark, d)
+    return t.select("event_id", F.round(linear_decay(c("t"), 40) * c("value"), 6).alias("weighted"), F.when(c("t") < 10, "warm").when(c("t") < 30, "main").otherwise("cool").alias("phase"))
 
 
-@query("m10_warmup_cosine", "SELECT t, round(CASE WHEN t < 65 THEN (t + 1) / 65.0 ELSE 0.5 * (1 + cos(pi() * (t - 65) / (647 - 65))) END, 6) AS lr FROM (SELECT range AS t FROM range(647))")
+@query("m10_warmup_cosine", f"WITH {STEPS_SQL} SELECT user_id, round(sum(value * CASE WHEN t < n // 10 + 1 THEN (t + 1) / (n // 10 + 1) ELSE 0.5 * (1 + cos(pi() * (t - n // 10 - 1) / greatest(n - n // 10 - 1, 1))) END), 6) AS moved FROM t GROUP BY 1")
 def m10(spark, d):
+    """The sum of a run's values under a rate that warms up over a tenth of its steps and then falls by a cosine."""
     from ..operators.schedules import warmup_cosine
 
-    return spark.range(647).withColumnRenamed("id", "t").select("t", F.round(warmup_cosine(c("t"), 65, 647), 6).alias("lr"))
+    t = steps(spark, d).withColumn("w", F.expr("n div 10 + 1"))
+    rate = warmup_cosine(c("t"), c("w"), F.greatest(c("n"), c("w") + 1))
+    return t.groupBy("user_id").agg(F.round(F.sum(c("value") * rate), 6).alias("moved"))
 
 
 @query("m11_resize_geometry", "SELECT p_partkey, CAST(CASE WHEN w <= h THEN 224 ELSE floor(224.0 * w / h) END AS BIGINT) AS rw, CAST(CASE WHEN h <= w THEN 224 ELSE floor(224.0 * h / w) END AS BIGINT) AS rh, CAST(round_even((CASE WHEN w <= h THEN 224 ELSE floor(224.0 * w / h) END - 224) / 2.0, 0) AS BIGINT) AS x0 FROM (SELECT p_partkey, p_size + 10 AS w, p_size * 7 % 53 + 10 AS h FROM part)")
@@ -185,11 +216,16 @@ def m11(spark, d):
     return p.select("p_partkey", *[x.alias(n) for n, x in center_crop(c("w"), c("h"), 224).items() if n in ("rw", "rh", "x0")])
 
 
-@query("m12_position_table", "SELECT pos, i, round(sin(pos / pow(10000, 2.0 * i / 16)), 6) AS s, round(cos(pos / pow(10000, 2.0 * i / 16)), 6) AS c FROM (SELECT range AS pos FROM range(20)), (SELECT range AS i FROM range(8))")
+@query("m12_position_table", "WITH w AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, md5(text)) - 1 AS pos FROM conversations) SELECT conv_id, i, round(sum(sin(pos / pow(10000, 2.0 * i / 16))), 6) AS s, round(sum(cos(pos / pow(10000, 2.0 * i / 16))), 6) AS c FROM w, (SELECT range AS i FROM range(8)) GROUP BY ALL")
 def m12(spark, d):
-    grid = spark.range(20).withColumnRenamed("id", "pos").select("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("i"))
-    angle = c("pos") / F.pow(F.lit(10000.0), c("i") * 2 / 16)
-    return grid.select("pos", "i", F.round(F.sin(angle), 6).alias("s"), F.round(F.cos(angle), 6).alias("c"))
+    """The position codes of a conversation's turns, summed: eight sines and eight cosines."""
+    from pyspark.sql import Window
+
+    from ..operators.schedules import position_angles
+
+    pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", F.md5("text"))) - 1
+    angles = table(spark, d, "conversations").select("conv_id", pos.alias("pos")).select("conv_id", F.posexplode(position_angles(c("pos"), 16)).alias("i", "a"))
+    return angles.groupBy("conv_id", c("i").cast("long").alias("i")).agg(F.round(F.sum(F.sin("a")), 6).alias("s"), F.round(F.sum(F.cos("a")), 6).alias("c"))
 
 
 @query("m13_finite", "SELECT count(*) FILTER (WHERE event_id % 7 <> 0 AND event_id % 11 <> 0) AS finite, count(*) AS n FROM events")
@@ -198,6 +234,17 @@ def m13(spark, d):
     return table(spark, d, "events").select(x.alias("x")).agg(F.count_if(~F.isnan("x") & (F.abs("x") < float("inf"))).alias("finite"), F.count("*").alias("n"))
 
 
-@query("m14_monitor_steps", "SELECT range AS t FROM range(200) WHERE range % 25 = 0 OR range BETWEEN 60 AND 70")
+@query("m14_monitor_steps", f"WITH {STEPS_SQL} SELECT event_id, t FROM t WHERE t % 25 = 0 OR t BETWEEN 60 AND 70")
 def m14(spark, d):
-    return spark.range(200).withColumnRenamed("id", "t").where((c("t") % 25 == 0) | c("t").between(60, 70))
+    """The steps of each run that are looked at: every 25th, and all of a window."""
+    from ..operators.schedules import looked_at
+
+    return steps(spark, d).where(looked_at(c("t"), every=25, window=(60, 70))).select("event_id", c("t").cast("long").alias("t"))
+
+
+@query("ud06_template_callables", "SELECT c_custkey, 'a photo of ' || lower(c_mktsegment) || '.' AS plain, 'the ' || lower(c_mktsegment) || ' of ' || c_nationkey AS made FROM customer")
+def ud06(spark, d):
+    """A template is a format string or a function of the row's columns; both give a column."""
+    t = table(spark, d, "customer")
+    made = {"plain": X.template("a photo of {}."), "made": lambda name, row: F.concat(F.lit("the "), name, F.lit(" of "), row["c_nationkey"].cast("string"))}
+    return t.select("c_custkey", *[X.rendered(f, F.lower("c_mktsegment"), t).alias(n) for n, f in made.items()])

@@ -55,9 +55,14 @@ def sc05(spark, d):
     return spark.createDataFrame([(f.rsplit("/", 1)[1],) for f in files], "folder string")
 
 
-@query("sc06_shard_ranges", "SELECT 'train-' || lpad(range::VARCHAR, 4, '0') || '.tar' AS path FROM range(16)")
+@query("sc06_shard_ranges", "SELECT 'train-' || lpad((page_id % 20)::VARCHAR, 4, '0') AS shard, count(*) AS n FROM pages WHERE page_id % 20 BETWEEN 3 AND 11 GROUP BY 1")
 def sc06(spark, d):
-    return spark.createDataFrame([(p,) for p in shards.expand_all(["train-{0000..0015}.tar", "train-{0003..0004}.tar"])], "path string")
+    """The shards of two overlapping ranges are read, each once."""
+    path = scratch(spark, "ranges")
+    shard = F.concat(F.lit("train-"), F.lpad((c("page_id") % 20).cast("string"), 4, "0"))
+    table(spark, d, "pages").select("page_id", shard.alias("shard")).write.partitionBy("shard").parquet(path)
+    files = shards.listed(spark, [f"{path}/shard=train-{{0003..0009}}", f"{path}/shard=train-{{0008..0011}}"])
+    return spark.read.option("basePath", path).parquet(*files).groupBy("shard").agg(F.count("*").alias("n"))
 
 
 @query("sc07_tar_pairs", "SELECT 's' || s_suppkey AS key, s_name AS txt FROM supplier WHERE s_suppkey % 4 <> 0")
@@ -250,19 +255,21 @@ def sk06(spark, d):
     return index.join(back, ["shard", "row"]).select("page_id", c("part").cast("long").alias("part"), "digest")
 
 
-@query("sk07_success_marker", "SELECT * FROM (VALUES ('first run', true, false, true), ('failed run', false, true, true), ('cleared', false, false, true)) x(state, done, failed, committed)")
+@query("sk07_success_marker", "SELECT state, state = 'first run' AS done, state = 'failed run' AS failed, true AS committed, count(*) AS n FROM (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'first run' WHEN 1 THEN 'failed run' ELSE 'cleared' END AS state FROM supplier) GROUP BY 1")
 def sk07(spark, d):
-    """Markers of runs: a run takes the earlier ones away and leaves its own; the data has the commit's."""
+    """Markers of runs that each write their rows: a run takes the earlier ones away and leaves its own; the data
+    has the commit's."""
     path = scratch(spark, "marker")
-    states = []
-    for state, name in (("first run", "done"), ("failed run", "failed"), ("cleared", None)):
+    out = None
+    for run, (state, name) in enumerate((("first run", "done"), ("failed run", "failed"), ("cleared", None))):
         K.begin(spark, path)
-        table(spark, d, "region").write.mode("overwrite").parquet(f"{path}/data")
+        table(spark, d, "supplier").where(c("s_suppkey") % 3 == run).write.parquet(f"{path}/data-{run}")
         if name:
             K.mark(spark, path, name, state)
         seen = K.markers(spark, path)
-        states.append((state, seen["done"], seen["failed"], K.is_done(spark, f"{path}/data")))
-    return spark.createDataFrame(states, "state string, done boolean, failed boolean, committed boolean")
+        one = spark.read.parquet(f"{path}/data-{run}").agg(F.lit(state).alias("state"), F.lit(seen["done"]).alias("done"), F.lit(seen["failed"]).alias("failed"), F.lit(K.is_done(spark, f"{path}/data-{run}")).alias("committed"), F.count("*").alias("n"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("sk09_export_files", "SELECT run, CASE WHEN p_partkey % 50 = 0 THEN 'mismatch' WHEN run = 1 OR p_partkey % 10 = 1 THEN 'written' ELSE 'existing' END AS status, count(*) AS n FROM part, (VALUES (1), (2)) r(run) GROUP BY ALL")
@@ -280,15 +287,22 @@ def sk09(spark, d):
     return out
 
 
-@query("sk10_write_guard", "SELECT * FROM (VALUES ('s3://a/data/x', false), ('s3://a/data/../data2/x', true), ('s3://a/data', false), ('s3://b/data/x', true), ('s3://a/./out/../data/y', false), ('hdfs://a/data/x', true)) x(path, allowed)")
+@query("sk10_write_guard", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 's3://a/data/' || page_id WHEN 1 THEN 's3://a/data/../data2/' || page_id WHEN 2 THEN 's3://a/data' WHEN 3 THEN 's3://b/data/' || page_id WHEN 4 THEN 's3://a/./out/../data/' || page_id ELSE 'hdfs://a/data/' || page_id END AS path, page_id % 6 IN (1, 3, 5) AS allowed FROM pages")
 def sk10(spark, d):
-    def allowed(path):
-        try:
-            return bool(K.guard(path, "s3://a/data"))
-        except ValueError:
-            return False
-
-    return spark.createDataFrame([(p, allowed(p)) for p in ("s3://a/data/x", "s3://a/data/../data2/x", "s3://a/data", "s3://b/data/x", "s3://a/./out/../data/y", "hdfs://a/data/x")], "path string, allowed boolean")
+    """Where each page would be written, and whether that lies outside a folder that must stay as it is."""
+    k, i = c("page_id") % 6, c("page_id").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("s3://a/data/"), i)).when(k == 1, F.concat(F.lit("s3://a/data/../data2/"), i)).when(k == 2, "s3://a/data").when(k == 3, F.concat(F.lit("s3://b/data/"), i)).when(k == 4, F.concat(F.lit("s3://a/./out/../data/"), i)).otherwise(F.concat(F.lit("hdfs://a/data/"), i))
+    return K.guarded(table(spark, d, "pages").select("page_id", path.alias("path")), "path", "s3://a/data")
+
+
+@query("sk05_npz_archive", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total, label FROM embeddings")
+def sk05(spark, d):
+    """Keys, labels and vectors as arrays of one archive for each range of keys, read back array by array."""
+    path = scratch(spark, "npz")
+    e = table(spark, d, "embeddings").select("vec_id", c("label").cast("long").alias("label"), "embedding")
+    matrices.write_npz(e, "vec_id", {"vec_id": "<i8", "label": "<i8", "embedding": "<f4"}, path).collect()  # one row for each file
+    rows = matrices.read_npz(spark, f"{path}/*.npz", {"vec_id": "long", "label": "long", "embedding": "array<double>"})
+    return rows.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), c("label").cast("int").alias("label"))
 
 
 @query("sk08_append_log", "SELECT event_id FROM events")

@@ -63,3 +63,45 @@ def read_npy(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) ->
     from .formats import read
 
     return read(spark, "npy_rows", path, chunkBytes=str(chunk_bytes))
+
+
+def write_npz(rows: DataFrame, key: str, columns: dict[str, str], folder: str) -> DataFrame:
+    """One npz archive for each range of the key, its rows in the key's order: an array for each column, of the
+    type named; vectors make matrices.  Returns (path, n).  A task holds its range."""
+    import io
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        found: dict[str, list] = {c: [] for c in columns}
+        for b in batches:
+            for i, (c, kind) in enumerate(columns.items()):
+                if b.num_rows:
+                    own = b.column(i)
+                    found[c].append((matrix_of(own) if pa.types.is_list(own.type) else own.to_numpy(zero_copy_only=False)).astype(kind))
+        n = sum(map(len, found[key]))
+        if n:
+            out = io.BytesIO()
+            np.savez_compressed(out, **{c: np.concatenate(x) for c, x in found.items()})
+            path = write_file(folder, f"part-{TaskContext.get().partitionId():05d}.npz", iter([out.getvalue()]))
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n"])
+
+    return rows.select(*columns).repartitionByRange(key).sortWithinPartitions(key).mapInArrow(pack, "path string, n long")
+
+
+def read_npz(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """The named arrays (by the types that they get) of the archives of a glob, side by side; a task reads an
+    archive, and of it the arrays that are named."""
+    import zipfile
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                store, at = opened(uri)
+                with store.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+                    arrays = {c: np.lib.format.read_array(z.open(f"{c}.npy"), allow_pickle=False) for c in columns}
+                made = [pa.array(list(x.astype(np.float64))) if x.ndim > 1 else pa.array(x) for x in arrays.values()]
+                yield pa.RecordBatch.from_arrays(made, names=[*columns])
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(read, ", ".join(f"{c} {t}" for c, t in columns.items()))

@@ -5,21 +5,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.vectors import group_mean
+from ..operators.vectors import vector_sums
 
 
 def fold_updates(rows: DataFrame, key: str, step: str, vec: str) -> DataFrame:
     """(key, state): starting at the first step's mean, each step's mean of k rows moves the state
-    by k / N, where N is all of the key's rows."""
-    totals = rows.groupBy(key).agg(F.count("*").alias("_total"))
-    per = group_mean(rows, [key, step], vec).join(rows.groupBy(key, step).agg(F.count("*").alias("_k")), [key, step])
-    runs = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col("_k").alias("k"), F.col("mean").alias("m")))).alias("r")).join(totals, key)
-    move = lambda s, x: F.zip_with(s, x["m"], lambda a, b: a + (b - a) * (x["k"] / F.col("_total")))
-    return runs.select(key, F.aggregate(F.slice("r", F.lit(2), F.greatest(F.size("r") - 1, F.lit(0))), F.element_at("r", 1)["m"], move).alias("state"))
+    by k / N, where N is all of the key's rows.
+
+    The state is a sum of the steps' means, each weighed by its own share and what the later steps leave of
+    it; the weights are numbers in a window, the vectors are summed where they are.
+    """
+    counts = rows.groupBy(key, step).agg(F.count("*").alias("_k"))
+    of_key = Window.partitionBy(key)
+    share = F.when(F.row_number().over(of_key.orderBy(step)) == 1, 1.0).otherwise(F.col("_k") / F.sum("_k").over(of_key))
+    later = of_key.orderBy(F.desc(step)).rowsBetween(Window.unboundedPreceding, -1)
+    # A share of one, and the first step, leave nothing of what was before.
+    left = F.coalesce(F.exp(F.sum(F.log1p(-F.col("_share"))).over(later)), F.lit(1.0))
+    weights = counts.withColumn("_share", share).withColumn("_w", F.col("_share") * left).select(key, step, (F.col("_w") / F.col("_k")).alias("_w"))
+    weighed = rows.join(weights, [key, step]).select(key, F.transform(vec, lambda x: x * F.col("_w")).alias("_v"))
+    return vector_sums(weighed, [key], "_v").select(key, F.col("s").alias("state"))
 
 
 def ema_stream(stream: DataFrame, key: str, order: str, value: str, decay: float) -> DataFrame:
