@@ -6,14 +6,15 @@ import ctypes
 import inspect
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import new_path, remove, shared_dir
 
-#: The intermediate tables of the operators that are being put together, innermost last.
-_scopes: list[list[str]] = []
+#: The intermediate tables of the operators that this thread is putting together, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
@@ -21,24 +22,25 @@ def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
     """Within it, materialize() notes its tables; finished() deletes them.  After an error all go; what is
     still there at its end is noted in the scope around it, of an operator that called this one."""
     paths: list[str] = []
-    _scopes.append(paths)
+    around = _scopes.get()
+    _scopes.set((*around, paths))
     try:
         yield paths
     except BaseException:
         remove(spark, *paths)
         raise
     finally:
-        _scopes.pop()
-    if _scopes:
-        _scopes[-1].extend(paths)
+        _scopes.set(around)
+    if around:
+        around[-1].extend(paths)
 
 
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import finished, materialize, scratch_scope, tidied
+from .common import finished, materialize, new_path, remove, scratch_scope, tidied
 
 MIN_BYTES, GRAM = 50, 24
 #: Raw bytes of a chunk; anchors and text bytes that a shard is planned for.
@@ -37,7 +37,7 @@ MAX_WINDOWS, HOT_DOCS = 50, 2000
 LAST = np.iinfo(np.int64).max
 #: Ways in which the exact copies of one text are spread, and files at most that each task of the
 #: packing writes (a bucket may hold any number of chunks).
-SALT, MOST_BUCKETS = 16, 4096
+SALT, MOST_BUCKETS = 16, 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -151,8 +151,8 @@ def expand(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - (np.cumsum(n) - n)[which]
 
 
-def pack_chunks(docs: DataFrame, table: str, buckets: int) -> DataFrame:
-    """docs (id, text) as a table of chunks, bucketed by chunk."""
+def pack_chunks(docs: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """docs (id, text) as a table of chunks, bucketed by chunk, whose files stand in a shared folder."""
 
     def run(batches):
         import zstandard
@@ -178,7 +178,7 @@ def pack_chunks(docs: DataFrame, table: str, buckets: int) -> DataFrame:
             yield row()
 
     out = docs.mapInArrow(tidied(run), "chunk long, n_bytes long, ids binary, sizes binary, data binary")
-    out.write.bucketBy(buckets, "chunk").option("compression", "uncompressed").saveAsTable(table)
+    out.write.bucketBy(buckets, "chunk").option("compression", "uncompressed").option("path", path).saveAsTable(table)
     return docs.sparkSession.table(table)
 
 
@@ -420,10 +420,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = max(slots, -(-total // (18 * SHARD_ANCHORS)))
     stores = max(2 * slots, -(-total // SHARD_BYTES))
     buckets = min(MOST_BUCKETS, max(slots, -(-total // (4 * CHUNK_BYTES))))
-    table = f"chunks_{uuid.uuid4().hex}"
+    table, path = f"chunks_{uuid.uuid4().hex}", new_path(spark, "chunks")
     try:
         with scratch_scope(spark) as scope:
-            chunks = pack_chunks(src, table, buckets)
+            chunks = pack_chunks(src, table, path, buckets)
             known, _ = materialize(chunks.select("chunk", "ids", "sizes", "data").mapInArrow(tidied(digests), "chunk long, doc int, place long, sha binary"), "digests")
             # Only digests that repeat meet their documents, and the copies of one text are spread.
             firsts = known.groupBy("sha").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
@@ -439,3 +439,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return finished(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(tidied(finish(with_text)), schema), "repeats", scope)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(spark, path)

@@ -958,6 +958,18 @@ def test_near_dedup_recall_on_given_documents(spark):
     assert len(gone - kept) >= 0.9 * len(gone) and set(sets) - gone <= kept
 
 
+def test_operators_in_threads(spark):
+    """Two operators at once keep their own intermediate tables."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = "/root/testdata/sf0.001"
+    read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
+    calls = [lambda: urltree.judge_urls(read("pages")), lambda: simhash.simhash_components(read("documents")), lambda: clusters.clustered(read("embeddings")), lambda: repeats.remove_repeats(read("documents"))]
+    alone = [rows(f()) for f in calls]
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda f: rows(f()), calls)) == alone
+
+
 # 11 Hard negatives
 
 
