@@ -10,14 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..scratch import written
+from ..scratch import new_path, written
+from ..sources.files import opened
 
 #: Below this a norm counts as this much (the clamping contract).
 TINY = 1e-12
-#: Bytes of the class matrix that goes to every task at once, rows of a tile of a blocked product, and
+#: Bytes of the class matrix that a task holds at once, rows of a tile of a blocked product, and
 #: parts in which sums of matrices are brought together.
 CLASS_BYTES, TILE_ROWS, PARTS = 64 << 20, 2048, 32
+#: Rows that meet the classes together.
+ROWS_TOGETHER = 1 << 16
 #: Pivots of a block, parts by the angle to the first, and what angles may be wrong by.
 PIVOTS, ANGLE_PARTS, ANGLE_ERROR = 3, 32, 1e-6
 
@@ -128,39 +132,56 @@ def variance_split(rows: DataFrame, label: str, vec: str) -> DataFrame:
 def nearest_class(rows: DataFrame, key: str, vec: str, classes: DataFrame, cls: str, cvec: str, most_bytes: int = CLASS_BYTES) -> DataFrame:
     """(key, class, cosine): the class of the largest cosine, ties to the smallest class.
 
-    Classes go to the tasks in blocks of `most_bytes` at most, each block to a scan of the rows that
-    scores whole batches; of several blocks the best is kept.  Keys are unique.
+    Classes are written in order, in files of `most_bytes` at most; one scan of the rows takes ROWS_TOGETHER
+    of them at a time past these files, a matrix product for each, and keeps the best so far.  No class
+    goes through the driver, and a task holds one file.
     """
-    classes = classes.select(cls, cvec).persist()
+    spark = rows.sparkSession
+    kind, key_kind = (df.schema[x].dataType for df, x in ((classes, cls), (rows, key)))
+    schema = T.StructType([T.StructField(key, key_kind), T.StructField(cls, kind), T.StructField("cosine", T.DoubleType())])
     size = classes.agg(F.count("*").alias("n"), F.max(F.size(cvec)).alias("d")).first()
-    blocks = max(1, -(-size["n"] * (size["d"] or 1) * 8 // most_bytes))
-    kind, key_kind = (df.schema[x].dataType.simpleString() for df, x in ((classes, cls), (rows, key)))
-    out = None
-    for block in range(blocks):
-        part = classes.where(F.pmod(F.xxhash64(cls), F.lit(blocks)) == block).orderBy(cls).toArrow()  # most_bytes, as counted above
-        if not part.num_rows:
-            continue
-        matrix = matrix_of(part.column(1).combine_chunks())
-        held = rows.sparkSession.sparkContext.broadcast((part.column(0).combine_chunks(), (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), TINY)).T))
-
-        def score(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, m = held.value
-            for b in batches:
-                if b.num_rows:
-                    x = matrix_of(b.column(1))
-                    s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), TINY)) @ m
-                    best = s.argmax(axis=1)  # the first of equals
-                    yield pa.RecordBatch.from_arrays([b.column(0), names.take(pa.array(best)), pa.array(s[np.arange(len(s)), best])], names=[key, cls, "cosine"])
-
-        one = rows.select(key, F.col(vec).cast("array<double>").alias("_v")).mapInArrow(score, f"{key} {key_kind}, {cls} {kind}, cosine double")
-        out = one if out is None else out.unionByName(one)
-    classes.unpersist()
-    if out is None:
-        return rows.sparkSession.createDataFrame([], f"{key} {key_kind}, {cls} {kind}, cosine double")
-    if blocks == 1:
-        return out
-    top = out.groupBy(key).agg(F.max("cosine").alias("_top"))
-    return out.join(top, key).where(F.col("cosine") == F.col("_top")).groupBy(key).agg(F.min(cls).alias(cls), F.first("cosine").alias("cosine"))
+    if not size["n"]:
+        return spark.createDataFrame([], schema)
+    each = max(1, most_bytes // (8 * (size["d"] or 1)))
+    path = new_path(spark, "classes")
+    # Names of files follow the order of the classes.
+    ordered = classes.select(cls, normalized(F.col(cvec)).alias("_c")).repartitionByRange(max(1, -(-size["n"] // each)), cls).sortWithinPartitions(cls)
+    ordered.write.option("maxRecordsPerFile", each).parquet(path)
+    files = sorted(spark.read.parquet(path).inputFiles())
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import parquet as pq
+
+        def best_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            x = matrix_of(t.column(1).combine_chunks())
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), TINY)
+            top, name = np.full(len(x), -np.inf), np.empty(len(x), dtype=object)
+            for uri in files:
+                store, at = opened(uri)
+                with store.open_input_file(at) as f:
+                    block = pq.read_table(f)
+                if not block.num_rows:
+                    continue
+                s = x @ matrix_of(block.column("_c").combine_chunks()).T
+                own = s.argmax(axis=1)  # the first of equals
+                found = s[np.arange(len(s)), own]
+                better = found > top
+                top[better] = found[better]
+                name[better] = block.column(cls).take(pa.array(own[better])).to_pylist()
+            return pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array(name, to_arrow_type(kind)), pa.array(top)], names=[key, cls, "cosine"])
+
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held, n = [*held, b], n + b.num_rows
+            if n >= ROWS_TOGETHER:
+                yield best_of(held)
+                held, n = [], 0
+        if held:
+            yield best_of(held)
+
+    return rows.select(key, F.col(vec).cast("array<double>").alias("_v")).mapInArrow(score, schema)
 
 
 def blocked_max_cosine(left: DataFrame, right: DataFrame, key: str, block: str, vec: str, tile: int = TILE_ROWS, least: float | None = None, sent: list | None = None) -> DataFrame:
