@@ -22,7 +22,7 @@ from .common import tidied
 
 # Element names by their role in the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes template".split())
 SHOWN_RAW = frozenset(["textarea", "xmp"])
 HIDDEN = frozenset("head datalist object audio video canvas annotation annotation-xml".split())
 #: Closed from any depth; of svg, only what stands in SVG_SHOWN outside SVG_UNSEEN is drawn.
@@ -43,6 +43,8 @@ IMPLIED = (
 SCOPE_ENDS = frozenset(["table", "td", "th", "button", "caption"])
 #: Elements nested deeper are kept beside, not inside, one another, as browsers do.
 MAX_DEPTH = 512
+#: Elements that a selector may name; longer ones are not known.
+MAX_STEPS = 16
 # The most columns and rows that a cell may span by the standard.
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 #: Cells are padded to their columns' widest line, unless that makes a table so many times longer than
@@ -50,23 +52,27 @@ MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 MAX_PADDING, WIDE = 16, 60
 
 TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)")
+#: Signs that are never drawn: soft hyphens, break opportunities, joins of words, byte order marks.
+UNDRAWN = dict.fromkeys(map(ord, "\u00ad\u200b\u2060\ufeff"))
 #: What ends a tag, or opens a quoted value in it.
 IN_TAG = re.compile(r"=\s*([\"'])|>")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"(?:^|[\s\"'/])hidden(?=$|[\s=/>])(?!\s*=\s*[\"']?until-found)|(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+GONE = re.compile(r"(?:^|[\s\"'/])hidden(?=$|[\s=/>])(?!\s*=\s*[\"']?until-found)|display\s*:\s*none", re.I)
 QUOTED = re.compile(r"(?<![\w-])(?!style\b)[\w-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Style sheets: comments, blocks with their selectors, simple selectors, and what hides.
 CSS_COMMENT, CSS_RULE = re.compile(r"/\*(?s:.*?)(?:\*/|\Z)"), re.compile(r"([^{}]*)\{([^{}]*)\}")
-SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+|\[\s*[\w-]+\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\])*)")
+MARK = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]+))\s*)?\]")
+COMBINATOR = re.compile(r"\s*(>)\s*|\s+")
 DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-zA-Z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "tag")
+    __slots__ = ("attrs", "kids", "marks", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.marks = tag, attrs, [], None
 
 
 def text_of(s: str) -> str:
@@ -125,44 +131,117 @@ def top_level(css: str) -> str:
     return "".join([*out, css[at:]])
 
 
-def hiding_rules(sheets: list[str]) -> list[tuple]:
-    """(important, weight, order, tag, id, classes, property, value) of the rules with a simple
-    selector (an element, class or id, or these joined) for display or visibility."""
+def selector(text: str) -> tuple[tuple, list] | None:
+    """(weight, steps) of a selector; steps from the last element outwards: (how the one before it is related,
+    tag, ids, classes, attributes with their values).  Descendants and children are known, and elements by
+    name, id, class and attribute; None for others."""
+    ends = [m for m in COMBINATOR.finditer(text) if "[" not in text[: m.start()] or text[: m.start()].count("[") == text[: m.start()].count("]")]
+    cuts = [0, *(x for m in ends for x in m.span()), len(text)]
+    parts, ties = [text[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True)], [m[1] or " " for m in ends]
+    if len(parts) > MAX_STEPS:
+        return None
+    steps, weight = [], [0, 0, 0]
+    for part, tie in zip(parts, [None, *ties], strict=True):
+        m = SELECTOR.fullmatch(part)
+        if not m or not part:
+            return None
+        marks = MARK.findall(m[2] or "")
+        ids, classes = frozenset(n for k, n, *_ in marks if k == "#"), frozenset(n for k, n, *_ in marks if k == ".")
+        has = [(name.lower(), next((v for v in values if v), None) if any(values) else None) for k, _, name, *values in marks if not k]
+        tag = (m[1] or "*").lower()
+        weight = [w + x for w, x in zip(weight, (len(ids), len(classes) + len(has), tag != "*"), strict=True)]
+        steps.append((tie, tag, ids, classes, has))
+    return tuple(weight), steps[::-1]
+
+
+def shown_rules(sheets: list[str]) -> list[tuple]:
+    """(important, weight, order, steps, property, value) of the rules for display or visibility."""
     out = []
     for order, (selectors, body) in enumerate(m.groups() for css in sheets for m in CSS_RULE.finditer(top_level(css))):
         for prop, value, important in DECLARED.findall(body):
             for one in selectors.split(","):
-                if (m := SELECTOR.fullmatch(one.strip())) and one.strip():
-                    marks = re.findall(r"[.#][\w-]+", m[2] or "")
-                    ids, classes = frozenset(x[1:] for x in marks if x[0] == "#"), frozenset(x[1:] for x in marks if x[0] == ".")
-                    tag = (m[1] or "*").lower()
-                    out.append((bool(important), (len(ids), len(classes), tag != "*"), order, tag, ids, classes, prop.lower(), value.lower()))
-    return out if any(r[-1] in ("none", "hidden", "collapse") for r in out) else []
-
-
-def hidden_by(rules: list[tuple], node: Node) -> bool:
-    """Whether the style sheets hide an element; its own style goes before theirs."""
-    own = attributes(node.attrs) if node.attrs else {}
-    inline = {p.lower(): v for p, v, _ in DECLARED.findall(own.get("style", ""))}
-    classes, best = frozenset(own.get("class", "").split()), {}
-    for important, weight, order, tag, ids, needed, prop, value in rules:
-        if tag in ("*", node.tag) and needed <= classes and ids <= {own.get("id")} and (important or prop not in inline):
-            best[prop] = max(best.get(prop, ((), "")), ((important, weight, order), value))
-    return best.get("display", ((), ""))[1] == "none" or best.get("visibility", ((), ""))[1] in ("hidden", "collapse")
-
-
-def prune(root: Node, rules: list[tuple]) -> None:
-    """Take what style sheets hide out of the tree."""
-    left = [root]
-    while left:
-        node = left.pop()
-        node.kids = [k for k in node.kids if isinstance(k, str) or not hidden_by(rules, k)]
-        left += [k for k in node.kids if isinstance(k, Node)]
+                if found := selector(one.strip()):
+                    out.append((bool(important), found[0], order, found[1], prop.lower(), value.lower()))
+    return out
+
+
+def fits(steps: list, chain: tuple) -> bool:
+    """Whether an element, the last of a chain (node, chain of its parent), is what a selector names."""
+
+    def one(node: Node, step: tuple) -> bool:
+        _, tag, ids, classes, has = step
+        if tag not in ("*", node.tag):
+            return False
+        if not (ids or classes or has):
+            return True
+        if node.marks is None:
+            own = attributes(node.attrs) if node.attrs else {}
+            node.marks = own, frozenset(own.get("class", "").split())
+        own, named = node.marks
+        return classes <= named and ids <= {own.get("id")} and all(n in own and v in (None, own[n]) for n, v in has)
+
+    if not one(chain[0], steps[0]):
+        return False
+    # Where the next step may stand: of a descendant any ancestor, so each place is tried from the nearest.
+    open_, known = [(1, chain[1], steps[0][0])], set()
+    while open_:
+        k, above, tie = open_.pop()
+        if k == len(steps):
+            return True
+        if (k, id(above)) in known:
+            continue
+        known.add((k, id(above)))
+        while above is not None:
+            if one(above[0], steps[k]):
+                if tie == " ":
+                    open_.append((k, above[1], tie))
+                open_.append((k + 1, above[1], steps[k][0]))
+                break
+            if tie == ">":
+                break
+            above = above[1]
+    return False
+
+
+def styled(rules: list[tuple], chain: tuple) -> tuple[str, str]:
+    """(display, visibility) that an element's own style and the sheets give it, empty where neither does."""
+    node = chain[0]
+    inline = {p.lower(): v.lower() for p, v, _ in DECLARED.findall(attributes(node.attrs).get("style", ""))} if "style" in node.attrs.lower() else {}
+    best = {p: ((False, (9, 9, 9), -1), v) for p, v in inline.items()}
+    for important, weight, order, steps, prop, value in rules:
+        if (important or prop not in inline) and (prop not in best or best[prop][0] < (important, weight, order)) and fits(steps, chain):
+            best[prop] = ((important, weight, order), value)
+    return best.get("display", ("", ""))[1], best.get("visibility", ("", ""))[1]
+
+
+def settle(root: Node, rules: list[tuple]) -> None:
+    """Take out of the tree what is not displayed, and texts that are not visible.  Visibility is inherited, and
+    may be given back below; an invisible element stays where something in it is seen, and as a cell."""
+    order: list[tuple[tuple, bool]] = [((root, None), True)]
+    for chain, visible in order:
+        kids = []
+        for k in chain[0].kids:
+            if isinstance(k, str):
+                if visible:
+                    kids.append(k)
+                continue
+            below = (k, chain)
+            display, how = styled(rules, below)
+            if display == "none" or (how == "collapse" and (k.tag == "tr" or k.tag in ROW_GROUPS)):
+                continue
+            kids.append(k)
+            order.append((below, how in ("visible", "initial") if how and how != "inherit" else visible))
+        chain[0].kids = kids
+    seen = set()
+    for (node, _), visible in reversed(order):
+        node.kids = [k for k in node.kids if isinstance(k, str) or id(k) in seen]
+        if visible or node.kids or node.tag in CELLS:
+            seen.add(id(node))
 
 
 def parse(page: str) -> Node:
     """The tree of what is shown; texts are strings among the children."""
-    root, sheets = Node("html"), []
+    root, sheets, veiled = Node("html"), [], False
     stack, at, end = [root], 0, len(page)
     broken = False
     hidden = 0  # depth of the stack at which a hidden element was opened, 0 if none
@@ -211,8 +290,9 @@ def parse(page: str) -> Node:
             shut = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
             if tag == "style" and not hidden_media(attrs):
                 sheets.append(page[at : shut.start() if shut else end])
-            if tag in SHOWN_RAW and not hidden and not unseen(attrs):
-                node = Node("pre")
+            if tag in SHOWN_RAW and not hidden and not gone(attrs):
+                node = Node("pre", attrs)
+                veiled = veiled or "visibility" in attrs.lower()
                 node.kids.append(text_of(page[at : shut.start() if shut else end]) if tag == "textarea" else page[at : shut.start() if shut else end])
                 stack[-1].kids.append(node)
             at = shut.end() if shut else end
@@ -234,17 +314,18 @@ def parse(page: str) -> Node:
             stack.append(row)
         node = Node(tag, attrs)
         if not hidden:
-            if tag in HIDDEN or (attrs and unseen(attrs)) or (tag == "dialog" and "open" not in attributes(attrs)):
+            if tag in HIDDEN or (attrs and gone(attrs)) or (tag == "dialog" and "open" not in attributes(attrs)):
                 if tag not in VOID and len(stack) < 4 * MAX_DEPTH:
                     stack.append(node)
                     hidden = len(stack) - 1
                 continue
             stack[-1].kids.append(node)
+            veiled = veiled or "visibility" in attrs.lower()
         if tag not in VOID and not attrs.endswith("/") and len(stack) < MAX_DEPTH * (4 if hidden else 1):
             stack.append(node)
-    rules = hiding_rules(sheets)
-    if rules:
-        prune(root, rules)
+    rules = shown_rules(sheets)
+    if veiled or any(r[-1] in ("none", "hidden", "collapse") for r in rules):
+        settle(root, rules)
     return root
 
 
@@ -253,11 +334,12 @@ def hidden_media(attrs: str) -> bool:
     return "media" in attrs.lower() and not re.search(r"screen|all", attributes(attrs).get("media", "all"), re.I)
 
 
-def unseen(attrs: str) -> bool:
+def gone(attrs: str) -> bool:
+    """Whether a tag's own attributes take the element out of the page."""
     low = attrs.lower()
-    if "hidden" not in low and "display" not in low and "visibility" not in low:
+    if "hidden" not in low and "display" not in low:
         return False
-    return bool(UNSEEN.search(QUOTED.sub(" ", attrs)))
+    return bool(GONE.search(QUOTED.sub(" ", attrs)))
 
 
 class Lines:
@@ -455,7 +537,8 @@ def page_text(page: str | None) -> str:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * MAX_DEPTH))  # a few calls for each level
     render(parse(page or ""), out)
     out.line()
-    return "\n".join(out.lines).strip("\n")
+    text = "\n".join(out.lines)
+    return (text if text.isascii() else text.translate(UNDRAWN)).strip("\n")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

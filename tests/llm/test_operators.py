@@ -63,7 +63,7 @@ def test_html_spans_sheets_and_long_attributes():
     assert t("<table><tr><td rowspan=2>A<td>b1<td>c1<tr><td>b2<td>c2<tr><td>d</table>") == "A  b1  c1\n   b2  c2\nd"
     assert t("<table><tr><td colspan=2>wide one<td>x<tr><td>a<td>b<td>y</table>") == "wide one  x\na  b  y"
     assert t("<style>.h, #i {display:none} @media print {p{display:none}} em{visibility:hidden} .s{display:none}.s{display:block}</style><p>a<b class='x h'>b</b><i id=i>c</i><em>d</em><b class=s>e</b><b class=h style='display:inline'>f</b>") == "aef"
-    assert t("<style>p.no{display:none}/*}*/ div p{display:none}</style><p>a<p class=no>b<div><p>c</div>") == "a\n\nc"
+    assert t("<style>p.no{display:none}/*}*/ div p{display:none}</style><p>a<p class=no>b<div><p>c</div>") == "a"  # as a browser shows it: descendants are known
     assert t("a<dialog>b</dialog><dialog open>c</dialog>") == "a\nc"
     assert t(f"<p title='{'x' * 5000}>{'y' * 5000}'>seen") == "seen"
     assert t("<ol reversed><li>a<li>b<li value=7>c<li>d</ol>") == "4. a\n3. b\n7. c\n6. d"
@@ -74,6 +74,58 @@ def test_html_spans_sheets_and_long_attributes():
     assert len(t("<table>" + f"<tr><td>a<td>{long}<td>b" + "<tr><td>a<td>c<td>b" * 2000 + "</table>")) < 1_500_000
 
 
+def test_html_visibility_is_inherited_and_given_back():
+    t = htmltext.page_text
+    assert t('<div style="visibility:hidden">v<span style="visibility:visible">vis</span> w</div>x') == "vis\nx"
+    assert t("<style>.h{visibility:hidden} .h .s, p > b{visibility:visible}</style><p class=h>a<i class=s>b</i><b>c</b><u><b>d</b></u></p>e") == "bc\n\ne"
+    assert t("<style>div p{display:none} ul > li{display:none} [data-x]{display:none} a[rel='no follow']{display:none}</style><div><p>a</div><p>b<ul><li>c</ul><i data-x=1>d</i><a rel='no follow'>e</a><a rel=x>f</a>") == "b\n\nf"
+    assert t("<style>div div em{display:none} section > div em{visibility:hidden}</style><div><p><div><em>a</em></div></div><section><div><p><em>b</em></div><em>c</em></section>") == "c"
+    assert t("<noscript>plain <b>page</b></noscript> so&shy;ft zero\u200bwidth") == "plain page soft zerowidth"
+    assert t("<ul><li>a<li style='visibility:hidden'>b<li>c</ul><table><tr><td>x<td style='visibility:hidden'>y<td>z<tr style='visibility:collapse'><td>q</table>") == "- a\n- c\n\nx    z"
+    for bad in ("<style>" + "a " * 3000 + "b{display:none}</style>" + "<a>" * 600 + "<b>x", "<style>a[" * 2000, "<style>" + ">" * 5000 + "{display:none}</style>"):
+        t(bad)
+
+
+def test_html_visibility_against_a_plain_walk():
+    """Random trees under random sheets: a word is shown if a walk from the root, one element after the other, says so."""
+    r = random.Random(21)
+    for _ in range(300):
+        names = iter(range(1000))
+        sheet = [(r.choice(["", "i", "b", "u"]), r.choice(["", "", ".k", ".m", "#n"]), r.choice(["none", "inline", "hidden", "visible"])) for _ in range(r.randint(0, 4))]
+        sheet = [(a or ("" if b else "*"), b, v) for a, b, v in sheet]
+        pair = [(r.choice("ibu"), r.choice([" ", " > "]), r.choice("ibu"), r.choice(["none", "hidden", "visible"])) for _ in range(r.randint(0, 2))]
+        prop = lambda v: "display" if v in ("none", "inline") else "visibility"
+        css = "".join(f"{a}{b}{{{prop(v)}:{v}}}" for a, b, v in sheet) + "".join(f"{a}{tie}{b}{{{prop(v)}:{v}}}" for a, tie, b, v in pair)
+
+        def grow(depth):
+            tag, mark, style = r.choice("ibu"), r.choice(["", "", "class=k", "class='m k'", "id=n"]), r.choice(["", "", "", "visibility:hidden", "visibility:visible", "display:none"])
+            return tag, mark, style, [grow(depth + 1) if depth < 4 and r.random() < 0.6 else f"w{next(names)}" for _ in range(r.randint(1, 3))]
+
+        def markup(n):
+            return n + " " if isinstance(n, str) else f"<{n[0]} {n[1]} style='{n[2]}'>{''.join(map(markup, n[3]))}</{n[0]}> "
+
+        def walk(n, above, visible):
+            if isinstance(n, str):
+                return [n] if visible else []
+            tag, mark, style, kids = n
+            value = {}
+            fit = lambda a, b: a in ("", "*", tag) and (not b or (b[1:] in mark.replace("class=", "").replace("'", "").split() if b[0] == "." else mark == "id=n"))
+            cands = [((0, b.startswith("#"), b.startswith("."), a not in ("", "*"), i), prop(v), v) for i, (a, b, v) in enumerate(sheet) if fit(a, b)]
+            cands += [((0, False, False, 2, 100 + i), prop(v), v) for i, (a, tie, b, v) in enumerate(pair) if tag == b and (a in above if tie == " " else above[-1:] == [a])]
+            if style:
+                cands.append(((1,), style.split(":")[0], style.split(":")[1]))
+            for _, p, v in sorted(cands, key=lambda c: (c[0] + (0,) * 5)[:5]):
+                value[p] = v
+            if value.get("display") == "none":
+                return []
+            shown = {"hidden": False, "visible": True}.get(value.get("visibility"), visible)
+            return [w for k in kids for w in walk(k, [*above, tag], shown)]
+
+        trees = [grow(0) for _ in range(3)]
+        page = f"<style>{css}</style>" + "".join(map(markup, trees))
+        assert htmltext.page_text(page).split() == [w for tree in trees for w in walk(tree, [], True)], page
+
+
 def test_html_tables_against_a_plain_grid():
     """Random tables with spans: each cell's text stands at its column, by a grid filled cell by cell."""
     r = random.Random(12)
