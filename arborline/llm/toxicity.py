@@ -46,6 +46,8 @@ LABELLED_TOXIC, LABELLED_CLEAN = 4000, 8000
 #: its least weight, standard errors of the interval, and clean texts that make a phrase an exception.
 MOST_TERMS, SHORTEST, LONGEST, LEAST_PAIRS, LEAST_WEIGHT, ERRORS, LEAST_CLEAN = 20_000, 4, 12, 5, 0.7, 2.0, 5
 FEATURES = 3
+#: Pairs that a task holds before it hands them on.
+HELD_PAIRS = 100_000
 #: The logistic constant where no text is known to be toxic.
 NOTHING_KNOWN = -7.0
 
@@ -118,15 +120,21 @@ def word_pairs(texts: DataFrame) -> DataFrame:
     """(toxic, before, word, texts): the different pairs of neighbouring words of texts (toxic, text), and how many
     texts have each."""
 
+    def table(seen: Counter) -> pa.RecordBatch:
+        columns = [*zip(*seen, strict=True), seen.values()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, columns), (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["toxic", "before", "word", "texts"])
+
     def run(batches):
+        seen: Counter[tuple[int, str, str]] = Counter()
         for b in batches:
-            seen: Counter[tuple[int, str, str]] = Counter()
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = fold(text).split()
                 seen.update({(toxic, u, w) for u, w in zip(["", *words], words, strict=False)})
-            if seen:
-                columns = [*zip(*seen, strict=True), seen.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, columns), (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["toxic", "before", "word", "texts"])
+                if len(seen) >= HELD_PAIRS:
+                    yield table(seen)
+                    seen.clear()
+        if seen:
+            yield table(seen)
 
     return texts.select("toxic", "text").mapInArrow(tidied(run), "toxic int, before string, word string, texts long").groupBy("toxic", "before", "word").agg(F.sum("texts").alias("texts"))
 
