@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import posixpath
 import re
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..sources.bytestore import read_exactly
 from ..sources.files import opened, write_file
 from ..sources.readers import NULL
 
@@ -107,6 +110,58 @@ def write_bytes(rows: DataFrame, folder: str, width: int, order: str = "page_id"
     return _by_shard(src, "_order", lambda shard, found: write_file(folder, f"{shard:05d}.u8", checked(row[1:] for row in found)))
 
 
+#: Bytes of a file of a store in parts.
+PART_BYTES = 16 << 20
+
+
+def write_parts(rows: DataFrame, folder: str, width: int, make, keep: bool = True, part_bytes: int = PART_BYTES) -> DataFrame:
+    """A store of records make(data) of `width` bytes from (shard, row, data), in files <shard>.<part>.u8 of as
+    many rows as `part_bytes` hold; (shard, row, size, digest) of each record as it is read back.
+
+    Only the sources are shuffled: a record is made where its file is written.  Without `keep` a file goes as
+    soon as its rows are read back, so the disk holds as many parts as tasks run.  A shard's rows go from 0 without
+    a gap; of several sources of one row the first counts.
+    """
+    each = max(1, part_bytes // width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from itertools import groupby
+
+        flat = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for (shard, part), found in groupby(flat, key=lambda r: (r[0], r[1] // each)):
+            n = 0
+
+            def made(part=part, found=found):
+                nonlocal n
+                for _, row, data in found:
+                    if row == part * each + n - 1:
+                        continue
+                    if row != part * each + n:
+                        raise ValueError("a row of the store has no source")
+                    record = make(data)
+                    if len(record) != width:
+                        raise ValueError("a record has another width")
+                    n += 1
+                    yield record
+
+            # A file that goes again has a name of its own: another attempt of the task has another one.
+            path = write_file(folder, f"{shard:05d}.{part:05d}{'' if keep else '.' + uuid.uuid4().hex}.u8", made())
+            store, own = opened(path)
+            try:
+                with store.open_input_file(own) as f:
+                    if f.size() != n * width:
+                        raise ValueError(f"short record in {path}")
+                    back = [hashlib.sha1(read_exactly(f, k * width, width)).hexdigest() for k in range(n)]
+            finally:
+                if not keep:
+                    store.delete_file(own)
+            places = pa.array(range(part * each, part * each + n), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), places, pa.array([width] * n, pa.int64()), pa.array(back, pa.string())], names=["shard", "row", "size", "digest"])
+
+    src = rows.select(F.col("shard").cast("long").alias("shard"), F.col("row").cast("long").alias("row"), "data")
+    return src.repartition("shard", F.expr(f"row div {each}")).sortWithinPartitions("shard", "row").mapInArrow(run, "shard long, row long, size long, digest string")
+
+
 def _by_shard(rows: DataFrame, order: str, write) -> DataFrame:
     """Each shard's rows in order, streamed through `write(shard, rows)`; done at once, (shard, path, n)."""
     from itertools import groupby
@@ -223,7 +278,6 @@ def save_state(state: DataFrame, path: str, key: str | None = None, keep: int =
     returns the version.  Until the manifest is there, readers see the version before.  Of older
     snapshots `keep` stay.  before_swap: called between the two, as a crash there would come."""
     import json
-    import uuid
 
     spark = state.sparkSession
     known = versions(spark, path)
