@@ -176,9 +176,9 @@ def m03(spark, d):
 def m04(spark, d):
     from ..sources.bytestore import normalized_bytes
 
-    x = normalized_bytes(0.5, 0.25)(F.encode("html", "utf-8"))
-    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")
-    return table(spark, d, "pages").select("page_id", x.alias("x")).where(F.size("x") > 0).select("page_id", F.round(mean, 6).alias("mean"))
+    x = normalized_bytes(table(spark, d, "pages").select("page_id", F.encode("html", "utf-8").alias("data")), "data", 0.5, 0.25)
+    sums = x.select("page_id", F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("s"), F.size("x").alias("n"))
+    return sums.groupBy("page_id").agg(F.round(F.sum("s") / F.sum("n"), 6).alias("mean"))
 
 
 @query("m07_softmax", "WITH e AS (SELECT event_id, user_id, value / 100 AS x, last_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS target FROM events), m AS (SELECT user_id, max(x) AS m FROM e GROUP BY 1), l AS (SELECT user_id, any_value(m) + ln(sum(exp(x - m))) AS lse FROM e JOIN m USING (user_id) GROUP BY 1) SELECT user_id, round(any_value(lse), 6) AS logsumexp, round(sum(exp(x - lse) * (x - lse)), 6) AS weighted_log, round(any_value(lse) - sum(CASE WHEN event_id = target THEN x END), 6) AS cross_entropy FROM e JOIN l USING (user_id) GROUP BY 1")

@@ -123,14 +123,30 @@ def valid_member(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, NAME, 1), F.lit(""))
 
 
-def normalized_bytes(mean: float, std: float):
-    """A function of a binary column: (x / 255 - mean) / std of each byte."""
+#: Bytes of a piece of a value, and pieces that are normalized at a time.
+PIECE_BYTES, PIECES = 4096, 128
 
-    @pandas_udf("array<double>")
-    def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: (np.frombuffer(b, np.uint8) / 255 - mean) / std, na_action="ignore")
 
-    return f
+def normalized_bytes(rows: DataFrame, data: str, mean: float, std: float, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """rows with (piece, x) in place of a binary column: (byte / 255 - mean) / std of each byte of its pieces, numbered
+    from 0.  A double takes eight times its byte, so values go in pieces, and a task holds `PIECES` of them
+    as doubles, however long a value is.  Values that are null or empty have no piece."""
+    others = [x for x in rows.columns if x != data]
+    last = F.floor((F.octet_length(data) - 1) / piece_bytes)
+    cut = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda k: F.substring(F.col(data), k * piece_bytes + 1, F.lit(piece_bytes)))
+    pieces = rows.where(F.octet_length(data) > 0).select(*others, F.posexplode(cut).alias("piece", data))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, PIECES):
+                part = b.slice(at, PIECES)
+                found = part.column(part.num_columns - 1).to_pylist()
+                x = (np.frombuffer(b"".join(found), np.uint8) / 255 - mean) / std
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(x))], names=[*others, "piece", "x"])
+
+    made = T.StructType([*pieces.schema.fields[:-1], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return pieces.mapInArrow(run, made)
 
 
 def image_size(data: bytes | None) -> tuple[int, int] | None:

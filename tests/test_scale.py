@@ -386,3 +386,29 @@ def test_store_build_leaves_no_pixels(spark, sf_dir, tmp_path, monkeypatch):
     assert stored.verified == stored.stored > 0
     # Every row was written and read back; archives and digests are left.
     assert sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()) < stored.store_bytes / 10
+
+
+def test_normalized_bytes_in_pieces(spark):
+    from arborline.sources.bytestore import PIECES, normalized_bytes
+
+    rng = np.random.default_rng(7)
+    values = {1: b"", 2: None, 3: b"\xff", 4: bytes(range(256)) * 3, 5: rng.bytes(4096), 6: rng.bytes(4097), 7: rng.bytes(3_000_000)}
+    rows = spark.createDataFrame(list(values.items()), "k long, data binary")
+    for piece in (4096, 100):
+        own = {k: v for k, v in values.items() if v and len(v) < 5000 or piece == 4096}
+        got = normalized_bytes(rows.where(F.col("k").isin(list(own))), "data", 0.5, 0.25, piece).collect()
+        assert all(0 < len(r.x) <= piece for r in got) and PIECES * piece * 8 <= 4 << 20  # what a task holds as doubles
+        for k, v in own.items():
+            parts = sorted((r.piece, r.x) for r in got if r.k == k)
+            assert [p for p, _ in parts] == list(range(-(-len(v or b"") // piece)))
+            assert sum((x for _, x in parts), []) == ((np.frombuffer(v or b"", np.uint8) / 255 - 0.5) / 0.25).tolist()
+
+
+def test_image_normalize_of_long_and_odd_pages(spark, tmp_path):
+    from __spark_entry__ import oracle_sql, queries
+
+    rows = [(0, "", None), (1, "", ""), (2, "", "a"), (3, "", "\u00e9\u20ac\U0001f600"), (4, "", "long \u00fc" * 200_000), (5, "", "a"), (5, "", "zz"), (None, "", "q")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries()["m04_image_normalize"](spark, str(tmp_path))
+    same_as_oracle(got, oracle_sql()["m04_image_normalize"], pages=frame.toPandas().astype({"page_id": "Int64"}))
